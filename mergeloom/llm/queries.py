@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mergeloom.llm import simhash
+from mergeloom.llm import mixing, packing, quality_rules, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,8 +23,26 @@ def op7_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op2_packing_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = packing.digests(packing.pack(_table(spark, sf_dir, "documents")))
+    return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+def op3_mixing_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.Mix(_table(spark, sf_dir, "documents")).taken()
+    return out.select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality_rules.quality_rules(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", *quality_rules.COUNTS, "base_failed", "kept", "lang", "source")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_packing_binary": op2_packing_binary,
+    "op3_mixing_blocks": op3_mixing_blocks,
     "op7_simhash_golay": op7_simhash_golay,
+    "op10_quality_rules": op10_quality_rules,
 }
 
 ORACLE_SQL: dict[str, str] = {}
