@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mergeloom.llm import mixing, packing, quality_rules, secrets, simhash, warc
+from mergeloom.llm import classifier, licenses, mixing, packing, quality_rules, secrets, simhash, token_counts, warc
 from mergeloom.llm.common import scratch_path
 
 
@@ -19,6 +19,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classifier.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op6_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "archives")
     warc.write_archives(_table(spark, sf_dir, "pages"), path)
@@ -30,6 +34,10 @@ def op7_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.maintained(_table(spark, sf_dir, "documents"), scratch_path(spark, "rollup")).totals()
+
+
 def op2_packing_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = packing.digests(packing.pack(_table(spark, sf_dir, "documents")))
     return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
@@ -40,6 +48,10 @@ def op3_mixing_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(_table(spark, sf_dir, "documents"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = secrets.secret_scan(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans", "n_live", "n_example")
@@ -51,15 +63,20 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_counts": op1_token_counts,
     "op2_packing_binary": op2_packing_binary,
     "op3_mixing_blocks": op3_mixing_blocks,
+    "op4_quality_classifier": op4_quality_classifier,
     "op6_warc_segments": op6_warc_segments,
     "op7_simhash_golay": op7_simhash_golay,
+    "op8_license_scan": op8_license_scan,
     "op9_secret_scan": op9_secret_scan,
     "op10_quality_rules": op10_quality_rules,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_token_counts": token_counts.oracle_sql(),
     "op6_warc_segments": warc.oracle_sql(),
+    "op8_license_scan": licenses.oracle_sql(),
     "op9_secret_scan": secrets.oracle_sql(),
 }
