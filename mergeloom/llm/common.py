@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -36,10 +37,35 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def scratch_scope() -> Iterator[list[str]]:
+    """Collects the paths that ``materialize`` writes meanwhile, for
+    ``remove`` once nothing reads them any more."""
+    paths: list[str] = []
+    _scopes.append(paths)
+    try:
+        yield paths
+    finally:
+        _scopes.remove(paths)
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    paths.clear()
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet in the shared folder, read it
-    again. Survives lost executors; the folder goes with the application's."""
+    again. Survives lost executors. The folder can go with the application, or
+    earlier through ``scratch_scope``."""
     path = scratch_path(df.sparkSession, name)
+    for paths in _scopes:
+        paths.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -75,6 +101,14 @@ def sized_join(
     return out.drop(*[f"_l_{k}" for k in keys], *[f"_r_{k}" for k in keys])
 
 
+def flattened(docs: DataFrame) -> tuple[DataFrame, list[str], dict[str, str]]:
+    """All columns under position names ``_c0``, ``_c1`` ..., the own names, and
+    for each own name the position name of its first bearer."""
+    ship(docs.sparkSession)
+    names = docs.columns
+    return docs.toDF(*[f"_c{i}" for i in range(len(names))]), names, {n: f"_c{i}" for i, n in reversed(list(enumerate(names)))}
+
+
 def texts(column: pa.Array) -> list[str]:
     """The strings of an Arrow column, null as empty."""
     return [x or "" for x in column.to_pylist()]

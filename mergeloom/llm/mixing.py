@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mergeloom.llm.common import batches, byte_texts, materialize, pick, sized_join
+from mergeloom.llm.common import batches, byte_texts, flattened, materialize, pick, sized_join
 
 BLOCK = 128
 SHARDS = 256
@@ -200,15 +200,14 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """The mixture as documents: for each time round, a row for each run of
     neighbouring words that a document gives; whole documents come whole.
     Returns the columns of ``docs``; ``n_chars``, if there, is counted anew."""
-    names = docs.columns
-    rows = materialize(docs.toDF(*[f"_c{i}" for i in range(len(names))]).withColumn("_row", F.monotonically_increasing_id()), "rows")
-    at = {n: f"_c{names.index(n)}" for n in ("doc_id", "text", "source")}
-    plan = Mix(rows.select("_row", *[F.col(c).alias(n) for n, c in at.items()]), row="_row", **options)
+    flat, names, at = flattened(docs)
+    rows = materialize(flat.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    plan = Mix(rows.select("_row", *[F.col(at[n]).alias(n) for n in ("doc_id", "text", "source")]), row="_row", **options)
     times = plan.block_times().groupBy("row").agg(F.sort_array(F.collect_list(F.struct("from_word", "words", "times"))).alias("_given"))
     sizes = plan.placed.select(F.col("row").alias("_row"), F.col("size").alias("_size"))
     given = times.withColumnRenamed("row", "_row").join(sizes, "_row")
     joined = rows.join(given, "_row").drop("_row")
-    text, count = at["text"], f"_c{names.index('n_chars')}" if "n_chars" in names else None
+    text, count = at["text"], at.get("n_chars")
 
     def run(batch: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(batch):

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mergeloom.llm.common import batches, byte_texts, materialize, pick, sized_join
+from mergeloom.llm.common import batches, byte_texts, flattened, materialize, pick, sized_join
 
 SYMBOLS = tuple(b"#*$%&|<>")
 SPACES = b"\t\n\x0b\x0c\r "
@@ -84,7 +84,7 @@ def repeated(words: list[bytes], width: int = 3) -> int:
     return int(covered.sum())
 
 
-def measured(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+def measured(docs: DataFrame) -> DataFrame:
     """(doc_id, lang, source, counts..., base_failed); one Arrow pass."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,9 +134,9 @@ def thresholds(rows: DataFrame) -> DataFrame:
     return groups.select("level", "lang", "source", "n", *fences)
 
 
-def judge(rows: DataFrame) -> DataFrame:
-    """``rows`` with ``kept``: the fixed rules, then the group's fences."""
-    fences = materialize(thresholds(rows), "fences")
+def judge(rows: DataFrame, fences: DataFrame) -> DataFrame:
+    """``rows`` (lang, source, counts..., base_failed) with ``kept``: the fixed
+    rules, then the group's fences (materialized ``thresholds``)."""
     columns = [c for c in fences.columns if c not in ("level", "lang", "source", "n")]
     overall = fences.where("level = 3").select(*columns).first()
     own = fences.where(f"level = 0 and n >= {LEAST_ROWS}").drop("level", "n")
@@ -150,4 +150,22 @@ def judge(rows: DataFrame) -> DataFrame:
 
 def quality_rules(docs: DataFrame) -> DataFrame:
     """(doc_id, lang, source, counts..., base_failed, kept), a row a document."""
-    return judge(materialize(measured(docs), "measured"))
+    rows = materialize(measured(docs), "measured")
+    return judge(rows, materialize(thresholds(rows), "fences"))
+
+
+def passing(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, with their own columns. Texts
+    are measured twice rather than written or shuffled."""
+    fences = materialize(thresholds(measured(docs)), "fences")
+    flat, names, at = flattened(docs)
+    ready = flat.withColumns({"lang": F.col(at["lang"]).cast("string"), "source": F.col(at["source"]).cast("string"), "_text": F.col(at["text"]).cast("string")})
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches(rows):
+            found = np.array([counts(t) for t in byte_texts(b.column(b.num_columns - 1))], np.int64).reshape(-1, 5)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *(pa.array(found[:, i]) for i in range(5))], [*b.schema.names[:-1], *COUNTS])
+
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in ready.schema.fields[:-1]), *(f"{c} long" for c in COUNTS)])
+    full = ready.mapInArrow(run, schema).withColumn("base_failed", failed_base())
+    return judge(full, fences).where("kept").select(*flat.columns).toDF(*names)

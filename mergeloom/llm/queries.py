@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mergeloom.llm import classifier, licenses, mixing, packing, quality_rules, secrets, simhash, token_counts, warc
+from mergeloom.llm import classifier, embeddings, licenses, mixing, packing, quality_rules, secrets, simhash, token_counts, warc
 from mergeloom.llm.common import scratch_path
 
 
@@ -23,6 +23,10 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op5_embedding_itq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op6_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "archives")
     warc.write_archives(_table(spark, sf_dir, "pages"), path)
@@ -67,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing_binary": op2_packing_binary,
     "op3_mixing_blocks": op3_mixing_blocks,
     "op4_quality_classifier": op4_quality_classifier,
+    "op5_embedding_itq": op5_embedding_itq,
     "op6_warc_segments": op6_warc_segments,
     "op7_simhash_golay": op7_simhash_golay,
     "op8_license_scan": op8_license_scan,

@@ -30,7 +30,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mergeloom.llm.common import materialize, pick
+from mergeloom.llm.common import flattened, materialize, pick
 
 MOST_OWNERS = 2
 STEP = 128
@@ -155,25 +155,22 @@ def redact(docs: DataFrame, owner: str = "source", repo: str = "doc_id", most_ow
     other one gives way to a placeholder, which says whether its value is
     widely copied. ``n_chars``, if there, is counted anew. Rows without a
     candidate pass as they are; only the others are joined with the verdicts."""
-    names = docs.columns
-    flat = docs.toDF(*[f"_c{i}" for i in range(len(names))])
-    at = lambda n: F.col(f"_c{names.index(n)}")
-    ready = flat.select("*", F.coalesce(at("text").cast("string"), F.lit("")).alias("text"), at(owner).cast("string").alias("owner"), at(repo).cast("string").alias("repo"))
+    flat, names, at = flattened(docs)
+    own = F.col(at["text"]).cast("string")
+    ready = flat.select("*", F.coalesce(own, F.lit("")).alias("text"), F.col(at[owner]).cast("string").alias("owner"), F.col(at[repo]).cast("string").alias("repo"))
     rows = materialize(scanned(ready.withColumn("row", F.monotonically_increasing_id())).drop("text"), "scanned")
     values = ownership(rows.select("owner", "repo", "spans"), most_owners)
     each = rows.where("size(spans) > 0").select("row", F.explode("spans.hash").alias("hash")).join(values.where("not live").select("hash"), "hash")
     examples = each.groupBy("row").agg(F.collect_set("hash").alias("examples"))
     hit = rows.where("size(spans) > 0").join(examples, "row", "left").withColumn("examples", F.coalesce("examples", F.array().cast("array<string>")))
-    text = f"_c{names.index('text')}"
+    text = at["text"]
     for kind in KINDS:
         m, g = _matches(F.col(text), kind)
         hit = hit.withColumn("_m", m).withColumn("_g", g)
         hit = hit.withColumn(text, F.when(F.size("_m") > 0, F.array_join(F.flatten(F.zip_with("_g", F.transform("_m", _replaced(kind)), lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")).otherwise(F.col(text)))
-    if "n_chars" in names:
-        count = f"_c{names.index('n_chars')}"
+    if count := at.get("n_chars"):
         hit = hit.withColumn(count, F.char_length(text).cast(hit.schema[count].dataType))
-    keep = [f"_c{i}" for i in range(len(names))]
-    return hit.select(*keep).union(rows.where("size(spans) = 0").select(*keep)).toDF(*names)
+    return hit.select(*flat.columns).union(rows.where("size(spans) = 0").select(*flat.columns)).toDF(*names)
 
 
 def _replaced(kind: str):

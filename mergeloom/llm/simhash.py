@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mergeloom.llm import golay
-from mergeloom.llm.common import batches, byte_texts, materialize, pick
+from mergeloom.llm.common import batches, byte_texts, flattened, materialize, pick
 from mergeloom.llm.components import components
 
 SEED = 42
@@ -148,3 +148,18 @@ def near_duplicates(docs: DataFrame, width: int = 4, most: int = MOST_BITS) -> D
     ids = named.join(distinct, "fp").groupBy("component").agg(F.min("least").alias("component_id"))
     by_print = materialize(named.join(ids, "component").select("fp", "component_id"), "by_print")
     return all_prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
+
+
+def deduplicated(docs: DataFrame, width: int = 4, most: int = MOST_BITS) -> DataFrame:
+    """``docs`` with one row of each component, that with the smallest doc_id
+    (null last). Rows get a number on being written once, so rows of equal or
+    null doc_ids stay apart; then only the numbers to drop are joined."""
+    flat, names, at = flattened(docs)
+    rows = materialize(flat.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    found = near_duplicates(rows.select(F.col("_row").alias("doc_id"), F.col(at["text"]).alias("text")), width, most)
+    found = materialize(found.select(F.col("doc_id").alias("_row"), F.col("component_id").alias("c")), "found")
+    several = found.groupBy("c").agg(F.count("*").alias("k")).where("k > 1").select("c")
+    members = found.join(several, "c").join(rows.select("_row", F.col(at["doc_id"]).alias("doc_id")), "_row")
+    chosen = members.groupBy("c").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).getField("_row").alias("_row"))
+    drop = members.select("_row").join(chosen.select("_row"), "_row", "left_anti")
+    return rows.join(materialize(drop, "drop"), "_row", "left_anti").select(*flat.columns).toDF(*names)
