@@ -1,11 +1,53 @@
-"""The corpus pipeline: documents in, packed training sequences out."""
+"""The corpus pipeline: documents in, packed training sequences out.
+
+Quality rules reject junk, one document of each group of near copies stays,
+secrets give way to placeholders, sources are mixed to their target weights,
+and what remains is tokenized and packed. Each stage works on all rows of its
+predecessor, written as Parquet and read again; a stage's own intermediate
+tables are removed when the next stage begins.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from mergeloom.llm import mixing, packing, quality_rules, secrets, simhash
+from mergeloom.llm.common import remove, scratch_path, scratch_scope
+
+_left: list[str] = []
+
+
+def _stage(apply: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        remove(spark, _left)  # of the stage before, whose result is written
+        with scratch_scope() as paths:
+            out = apply(docs)
+        _left.extend(paths)
+        return out
+
+    return run_stage
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality rules", _stage(quality_rules.passing)),
+    ("SimHash near-dedup", _stage(simhash.deduplicated)),
+    ("secret scans", _stage(secrets.redact)),
+    ("mixing sources to target weights", _stage(mixing.mix_documents)),
+    ("packing", _stage(packing.pack)),
+]
+
+#: Fingerprints, sketches and tokenizers are beyond SQL: tests hold the stages
+#: against brute-force versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage over the whole table ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs
+    for name, stage in STAGES[:-1]:
+        path = scratch_path(spark, name.replace(" ", "-"))
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)
