@@ -40,8 +40,8 @@ def quantile_bounds(tree: DataFrame, p: float, by: Sequence[str] = (), level: in
         raise ValueError("p must lie between 0 and 1")
     w = Window.partitionBy(*by).orderBy("leaf")
     whole = Window.partitionBy(*by)
-    rows = tree.select(*by, "leaf", F.sum("n").over(w).alias("_to"), F.sum("n").over(whole).alias("_all"), "n")
-    rank = F.least(F.floor(F.col("_all") * p), F.col("_all") - 1)
+    rows = tree.select(*by, "leaf", F.sum("n").over(w).alias("_to"), F.sum("n").over(whole).alias("_whole"), "n")
+    rank = F.least(F.floor(F.col("_whole") * p), F.col("_whole") - 1)
     hit = rows.where((F.col("_to") > rank) & (F.col("_to") - F.col("n") <= rank))
     return hit.select(*by, (F.col("leaf") * 2.0**level).alias("lower"), ((F.col("leaf") + 1) * 2.0**level).alias("upper"))
 

@@ -12,8 +12,6 @@ from mergeloom.plans import spec
 from mergeloom.plans.catalog import query
 from mergeloom.sources.tables import seconds, table
 
-DAY = F.date_trunc("day", "l_shipdate")
-
 
 def r(c, digits: int = 6):
     return F.round(c, digits)
@@ -215,7 +213,7 @@ def moments(spark, sf):
 
 @query(MOMENTS_SQL.format(key="l_returnflag", x="l_extendedprice", t="lineitem"))
 def moments_merge(spark, sf):
-    rows = table(spark, sf, "lineitem").withColumn("day", DAY)
+    rows = table(spark, sf, "lineitem").withColumn("day", F.date_trunc("day", "l_shipdate"))
     merged = A.merge_moments(A.moment_buffers(rows, "l_extendedprice", ["l_returnflag", "day"]), ["l_returnflag"])
     s = A.present_moments()
     return merged.select("l_returnflag", F.col("m0").alias("n"), r(s["mean"], 4).alias("mean"), r(s["variance"], 3).alias("variance"), r(s["skewness"]).alias("skewness"), r(s["kurtosis"]).alias("kurtosis"))

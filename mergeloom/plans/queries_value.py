@@ -59,7 +59,7 @@ def adjoined_unit(spark, sf):
     return table(spark, sf, "nation").select("n_nationkey", p["ones"].alias("ones"), p["value"].alias("v"))
 
 
-@query("""select l_returnflag, ((sum(l_orderkey::hugeint * 1000000000000000) % 18446744073709551616 + 27670116147564327424) % 18446744073709551616 - 9223372036854775808)::bigint as wrapped from lineitem group by 1""")
+@query("""select l_returnflag, ((sum(l_orderkey::hugeint * 10000000000000) % 18446744073709551616 + 27670116110564327424) % 18446744073709551616 - 9223372036854775808)::bigint as wrapped from lineitem group by 1""")
 def wrapping_sum(spark, sf):
     agg = A.wrapping_sum(F.col("l_orderkey") * 10000000000000)
     return spec.aggregate(table(spark, sf, "lineitem"), {"wrapped": agg}, ["l_returnflag"])
