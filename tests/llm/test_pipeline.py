@@ -1,0 +1,57 @@
+from __future__ import annotations
+
+import duckdb
+import numpy as np
+import pytest
+from conftest import corpus
+
+import corpus_pipeline
+from mergeloom.llm import packing, queries
+
+
+def test_stages_one_after_another(spark, docs, tmp_path):
+    now, kept = docs, []
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, now, str(tmp_path))
+        out.write.parquet(f"{tmp_path}/{name}")
+        now = spark.read.parquet(f"{tmp_path}/{name}")
+        kept.append(now.count())
+        if name != "packing":
+            assert now.columns == docs.columns
+    assert kept[0] < docs.count() and kept[1] < kept[0] and kept[2] == kept[1]
+
+
+def test_run(spark, docs, tmp_path):
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    ids = packing.WordIds(packing.word_bpe_path())
+    words = set(np.frombuffer(b"".join(ids(r[1]) for r in corpus() if r[1]), "<u4").tolist()) | {2}
+    assert out and {i for p in out for i in p.ids} <= words
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(out)
+
+
+def test_no_documents(spark, none, tmp_path):
+    none.write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_queries_match_their_sql(spark, name):
+    sf = "/root/testdata/sf0.001"
+    c = duckdb.connect()
+    for t in ("documents", "pages"):
+        c.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    cursor = c.execute(queries.ORACLE_SQL[name])
+    columns = [d[0] for d in cursor.description]
+    want = sorted(map(repr, cursor.fetchall()))
+    got = queries.QUERIES[name](spark, sf).select(*columns)
+    assert sorted(repr(tuple(r)) for r in got.collect()) == want
+
+
+@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.ORACLE_SQL)))
+def test_queries_return_a_row_for_each_input_row(spark, name):
+    sf = "/root/testdata/sf0.001"
+    table = "embeddings" if "embedding" in name else "documents"
+    n = spark.read.parquet(f"{sf}/{table}.parquet").count()
+    got = queries.QUERIES[name](spark, sf).count()
+    assert got == n or (name == "op2_packing_binary" and got > n)
