@@ -144,6 +144,7 @@ def maintained(docs: DataFrame, path: str) -> Rollup:
     """The registered run: all documents under two versions, counts revised to
     ``words-2`` in place, short documents taken down, two batches repeated."""
     rollup = Rollup(docs.sparkSession, path)
+    docs = pick(docs, source="string", lang="string", text="string")
     load = inserts(docs, "words", tokens("words-1"))
     short = docs.where(tokens("words-1") < FEW_WORDS)
     down = deletes(short, "words", tokens("words-2")).unionByName(deletes(short, "pieces", tokens("pieces-1")))
