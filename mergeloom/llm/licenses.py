@@ -9,6 +9,10 @@ it can match, and units meet templates by an equality join on their size:
 no unit meets a template that the size bounds exclude. Units too short or with
 too few or many words for any template go before bigrams are made.
 
+Texts are first searched for a few bigrams of each template by one pattern. A
+unit within t shares t/(2-t) of a template's bigrams or more, so it has at least
+one of any larger number than the rest: a text without them matches nothing.
+
 One scan without a shuffle. Templates are a parameter; their list, by size, is
 broadcast up to a checked number of rows, beyond which the join is salted.
 
@@ -25,6 +29,8 @@ from pyspark.sql import functions as F
 from mergeloom.llm.common import materialize, pick, sized_join
 
 LEAST = 0.8
+#: Bigrams that texts are searched for; with more, all texts are cut into units.
+MOST_PAIRS = 2000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLANK = r"\n[\x20\t\r]*\n"
 #: Public licence notices: fixed values, (licence, wording).
@@ -64,6 +70,23 @@ def common(a: Column, b: Column) -> Column:
     return F.aggregate(each, F.lit(0), lambda x, y: x + y)
 
 
+def needed(templates: DataFrame, least: float = LEAST) -> DataFrame:
+    """(bigram): for each template as many bigrams (the longest) as leave too few
+    others for a Dice coefficient of ``least``."""
+    sets = templates.select(bigrams(words(F.col("wording"))).alias("b")).where(F.size("b") > 0)
+    by_length = F.sort_array(F.transform("b", lambda g: F.struct((-F.length(g)).alias("l"), g.alias("g"))))
+    enough = F.size("b") - F.ceil(F.size("b") * least / (2 - least) - 1e-9).cast("int") + 1
+    return sets.select(F.explode(F.slice(by_length, F.lit(1), enough)).alias("s")).select(F.col("s.g").alias("bigram")).distinct()
+
+
+def pattern(pairs: list[str]) -> str:
+    """A pattern for texts that hold one of the bigrams, by first letter."""
+    groups: dict[str, list[str]] = {}
+    for pair in sorted(pairs):
+        groups.setdefault(pair[0], []).append(pair[1:].replace(" ", "[^a-z0-9]+"))
+    return "(?i)(?<![a-z0-9])(?:" + "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in groups.items()) + ")(?![a-z0-9])"
+
+
 def by_size(templates: DataFrame, least: float = LEAST) -> DataFrame:
     """(n, wanted: structs of license and bigrams) from (license, wording): the
     templates that a unit of n bigrams can match with ``least`` or more."""
@@ -90,8 +113,11 @@ def license_scan(docs: DataFrame, templates: DataFrame | None = None, least: flo
     shortest, longest = sized.agg(F.min("n"), F.max("n")).first()
     if shortest is None:
         return spark.createDataFrame([], "doc_id long, paragraph int, position int, license string, dice double")
+    ready = pick(docs, doc_id="long", text="string")
+    pairs = [r.bigram for r in needed(templates, least).limit(MOST_PAIRS + 1).collect()]
+    has = F.col("text").rlike(pattern(pairs)) if len(pairs) <= MOST_PAIRS else F.lit(True)
     # n bigrams have n + 1 words, each of a byte or more and a byte apart.
-    found = pick(docs, doc_id="long", text="string").select("doc_id", F.explode(F.filter(units(F.col("text")), lambda s: F.octet_length(s["unit"]) > 2 * shortest)).alias("u"))
+    found = ready.where(has).select("doc_id", F.explode(F.filter(units(F.col("text")), lambda s: F.octet_length(s["unit"]) > 2 * shortest)).alias("u"))
     found = found.select("doc_id", "u.paragraph", "u.position", words(F.col("u.unit")).alias("words")).withColumn("n", F.size("words") - 1)
     found = found.where(F.col("n").between(shortest, longest))
     met = sized_join(found, sized, ["n"]).withColumn("own", bigrams(F.col("words")))
