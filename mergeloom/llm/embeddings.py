@@ -43,8 +43,9 @@ BITS = 64
 TABLES = 4
 MOST_BITS = 16
 #: Vectors that the rotation is fitted on: those with the smallest hashes of
-#: their components, at most so many.
-SAMPLE = 20_000
+#: their components, at most so many, and of at most so many components in all
+#: (but 64 vectors), as the driver holds them.
+SAMPLE, SAMPLE_VALUES = 20_000, 4_000_000
 LEAST_COSINE = 0.98
 FITTED_LENGTHS = 8
 
@@ -85,6 +86,8 @@ def unit(vector: list | np.ndarray | None) -> np.ndarray | None:
 
 def fit(entries: DataFrame, sample: int = SAMPLE) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """A model for each of the commonest vector lengths in the sample."""
+    longest = entries.agg(F.max(F.size("embedding"))).first()[0] or 1
+    sample = max(64, min(sample, SAMPLE_VALUES // longest))
     rows = entries.orderBy(F.xxhash64("embedding"), "gid").limit(sample).select("embedding").collect()
     by_length: dict[int, list[np.ndarray]] = {}
     for r in rows:
