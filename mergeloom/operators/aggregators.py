@@ -59,6 +59,21 @@ def fold_left(x: ColumnLike, start: Column, step: Callable[[Column, Column], Col
     return Agg((_c(x),), (Part("rows", lambda xs: F.array_sort(F.collect_list(item)), lambda c: F.array_sort(F.flatten(F.collect_list(c)))),), lambda p: run(p[0]))
 
 
+def append_monoid(x: ColumnLike, update: Callable[[Column], Column], merge: Callable[[Column], Column], zero: object = None, present: Callable[[Column], Column] | None = None) -> Agg:
+    """An aggregation from a native one that takes rows in (``update``) and one
+    that joins its results (``merge``); without ``zero`` a semigroup's."""
+    agg = simple(x, update, merge, zero)
+    return agg.and_then_present(present) if present else agg
+
+
+append_semigroup = append_monoid
+
+
+def prepared(x: ColumnLike, prepare: Callable[[Column], Column], agg: Callable[[Column], Agg]) -> Agg:
+    """Map, then aggregate."""
+    return agg(prepare(_c(x)))
+
+
 def sum_of(x: ColumnLike) -> Agg:
     """The monoid sum: 0 on empty input."""
     return simple(x, F.sum, F.sum, 0, lambda p: p == 0)

@@ -100,3 +100,29 @@ def iterate_arithmetic(start: float, step: float, w: WindowSpec) -> Column:
 
 def iterate_geometric(start: float, ratio: float, w: WindowSpec) -> Column:
     return F.lit(start) * F.pow(F.lit(float(ratio)), index(w).cast("double"))
+
+
+def global_scan(df: DataFrame, aggs: Mapping[str, Agg], order: Sequence[str], rank: Column, chunks: int = 64) -> DataFrame:
+    """Running aggregations of the whole table in order, in many tasks.
+
+    ``rank`` is a number that never falls along the order. The table is cut
+    into ranges of equal size by approximate quantiles of it; each range's
+    buffers are merged, each range begins with the buffers of all before it,
+    and a window runs within each range. Two shuffles of the rows' range, none
+    of them to a single task but for a row a range. Results stand beside the
+    rows under the aggregations' names; their parts must merge from rows."""
+    probabilities = [i / chunks for i in range(1, chunks)]
+    bounds = df.agg(F.percentile_approx(rank, probabilities, 10_000).alias("b")).first().b or []
+    at = F.size(F.filter(F.array(*[F.lit(b) for b in sorted(set(bounds))]).cast("array<double>"), lambda b: b <= rank.cast("double"))) if bounds else F.lit(0)
+    names = df.columns
+    flat = df.withColumn("_chunk", at)
+    single = Window.partitionBy("_chunk").orderBy(*order).rowsBetween(0, 0)
+    parts = {f"_{n}__{p.name}": (a, p) for n, a in aggs.items() for p in a.parts}
+    rows = flat.select("*", F.lit(1).alias("_real"), *[p.update(a.inputs).over(single).alias(c) for c, (a, p) in parts.items()])
+    totals = flat.groupBy("_chunk").agg(*[p.update(a.inputs).alias(c) for c, (a, p) in parts.items()])
+    before = Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    heads = totals.select("_chunk", F.lit(0).alias("_real"), *[p.merge(F.col(c)).over(before).alias(c) for c, (_, p) in parts.items()])
+    both = rows.unionByName(heads, allowMissingColumns=True)
+    running = Window.partitionBy("_chunk").orderBy("_real", *order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    merged = both.select(*names, "_real", *[p.value(p.merge(F.col(c)).over(running)).alias(c) for c, (_, p) in parts.items()]).where("_real = 1")
+    return merged.select(*names, *[a.present([F.col(f"_{n}__{p.name}") for p in a.parts]).alias(n) for n, a in aggs.items()])

@@ -84,6 +84,13 @@ class ExpHist:
                 out.append((1 << i, newest))
         return ExpHist(self.epsilon, self.window, tuple(out), moved.time)
 
+    def add_all(self, items: Sequence[tuple[int, int]]) -> ExpHist:
+        """(n, time) pairs in the order of time."""
+        out = self
+        for n, time in items:
+            out = out.add(n, time)
+        return out
+
     def inc(self, time: int) -> ExpHist:
         return self.add(1, time)
 
@@ -103,3 +110,15 @@ class ExpHist:
             return 0.0
         low, high = self.bounds()
         return (high - low) / 2 / max(low, 1)
+
+
+def fold(df: DataFrame, by: Sequence[str], time: str, n: str, epsilon: float, window: int, key_schema: str = "") -> DataFrame:
+    """(by, time, guess, low, high): each group's rows added in order of time;
+    the state of a group is its buckets."""
+    from mergeloom.operators.ordered import fold_groups
+
+    def end(h: ExpHist) -> tuple:
+        return (h.time, h.guess(), *h.bounds())
+
+    schema = ", ".join(x for x in (key_schema, "time long, guess double, low long, high long") if x)
+    return fold_groups(df, by, [time], [time, n], schema, lambda: ExpHist(epsilon, window), lambda h, row: h.add(int(row[1]), int(row[0])), end)

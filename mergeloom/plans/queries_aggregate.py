@@ -365,6 +365,26 @@ def scan_zip(spark, sf):
     return scan.zip_scans(left, right, ["ts", "left_id"], ["ts2", "right_id"], ["user_id"]).select("user_id", "left_id", "right_id", "index")
 
 
+@query("""select event_id, sum(event_id) over w as total, count(*) over w as n, max(value) over w as top, first_value(user_id) over w as first_user
+    from events window w as (order by ts, event_id rows unbounded preceding)""")
+def scan_global(spark, sf):
+    """Running values over the whole table, in as many tasks as ranges."""
+    rows = table(spark, sf, "events").select("event_id", "ts", "value", "user_id")
+    aggs = {"total": A.sum_of("event_id"), "n": A.size(), "top": A.max_of("value"), "first_user": A.head("user_id", ["ts", "event_id"])}
+    return scan.global_scan(rows, aggs, ["ts", "event_id"], seconds("ts"), 16).select("event_id", *aggs)
+
+
+@query("""select user_id, 1 as one, count(*) filter (value > 100) as n, case when count(*) > 70 then round(max(value) * 2, 4) end as doubled from events group by 1""")
+def custom_aggregators(spark, sf):
+    """Aggregations from one's own parts, prepared and presented."""
+    aggs = {
+        "one": A.const(1), "n": A.prepared("value", lambda x: x > 100, A.count),
+        "doubled": A.append_monoid("value", F.max, F.max, present=lambda v: r(v * 2, 4)),
+    }
+    out = spec.aggregate(table(spark, sf, "events"), {**aggs, "all": A.size()}, ["user_id"])
+    return out.select("user_id", "one", "n", F.when(F.col("all") > 70, F.col("doubled")).alias("doubled"))
+
+
 @query("""select event_id, 10::double + 0.5::double * (row_number() over w - 1) as steps from events window w as (partition by user_id order by ts, event_id)""")
 def scan_iterate(spark, sf):
     return scan.scan(table(spark, sf, "events"), {"steps": r(scan.iterate_arithmetic(10.0, 0.5, _w()), 4)}).select("event_id", "steps")

@@ -313,3 +313,18 @@ def exp_hist_exact(spark, sf):
 def exp_hist_running(spark, sf):
     rows = table(spark, sf, "events").select("event_id", "user_id", F.floor(seconds("ts")).alias("s"), F.lit(1).cast("long").alias("one"))
     return rows.select("event_id", exphist.running("one", "s", 86400, ["user_id"]).alias("total"))
+
+
+@query()
+def exp_hist_fold(spark, sf):
+    """A bounded histogram of the last three days, by event type."""
+    rows = table(spark, sf, "events").select("event_type", F.floor(seconds("ts")).cast("long").alias("s"), F.lit(1).alias("one"))
+    return exphist.fold(rows, ["event_type"], "s", "one", 0.05, 3 * 86400, "event_type string")
+
+
+@query("select 0::bigint as missed")
+def bloom_truth_values(spark, sf):
+    """No item that was put in is denied."""
+    put = table(spark, sf, "orders").where("o_totalprice > 250000").select(F.col("o_custkey").alias("x"))
+    found = bloom.contains(put, "x", _rich(spark, sf), HASHES, WIDTH)
+    return found.agg(F.count_if(~F.col("found.is_true")).alias("missed"))

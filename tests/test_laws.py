@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from mergeloom.operators import aggregators as A
 from mergeloom.operators import keyed as K
+from mergeloom.operators import scan
 from mergeloom.operators.preparer import prepare
 from mergeloom.plans import spec
 
@@ -115,3 +116,26 @@ def test_shortest_paths(spark):
     edges = spark.createDataFrame([(1, 2, 5.0), (2, 3, 1.0), (1, 3, 9.0), (3, 4, 1.0)], "source long, target long, weight double")
     start = spark.createDataFrame([(1, 0.0)], "node long, cost double")
     assert dict(map(tuple, K.min_plus_closure(start, edges, 10).collect())) == {1: 0.0, 2: 5.0, 3: 6.0, 4: 7.0}
+
+
+@few
+@given(lists, st.integers(2, 9))
+def test_global_scan_in_any_ranges(spark, xs, chunks):
+    own = {k: aggs()[k] for k in ("size", "sum", "max", "head", "last", "mean", "any")}
+    got = scan.global_scan(frame(spark, xs), own, ["i"], F.col("i"), chunks).orderBy("i").collect()
+    for k, row in enumerate(got):
+        want = expected(xs[: k + 1])
+        assert {n: row[n] for n in own} == {n: pytest.approx(want[n]) if n == "mean" else want[n] for n in own}
+
+
+def test_scans_by_group(spark):
+    df = frame(spark, [5, 1, 4, 2]).withColumn("g", F.col("i") % 2)
+    w = scan.ordered(["i"], ["g"])
+    rows = scan.scan(df, {"s": scan.cumulative(A.sum_of("x"), w), "b": scan.prior_state(A.sum_of("x"), w, 0), "k": scan.index(w), "d": scan.trailing_sum_by_difference("x", 2, w)}).orderBy("i").collect()
+    assert [(r.s, r.b, r.k, r.d) for r in rows] == [(5, 0, 0, 5), (1, 0, 0, 1), (9, 5, 1, 9), (3, 1, 1, 3)]
+
+
+def test_combined_mean(spark):
+    for n, a, k, b in ((1, 2.0, 1000, 3.0), (5, 1.0, 5, 2.0), (0, 0.0, 4, 7.0), (900, 1.0, 2, 5.0)):
+        got = spark.range(1).select(A.combined_mean(F.lit(n), F.lit(a), F.lit(k), F.lit(b)).alias("m")).first().m
+        assert got == pytest.approx((n * a + k * b) / (n + k))
