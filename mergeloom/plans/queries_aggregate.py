@@ -63,14 +63,14 @@ def sorted_reverse_take(spark, sf):
     return out.select("l_returnflag", F.array_join(F.transform("values", lambda v: v.cast("string")), ";").alias("largest"))
 
 
-@query("""select o_orderkey, o_totalprice, row_number() over (order by o_totalprice desc, o_orderkey) as rank from orders
+@query("""select o_orderkey, o_totalprice, (row_number() over (order by o_totalprice desc, o_orderkey))::int as rank from orders
     qualify rank <= 10""")
 def sort_by_take(spark, sf):
     order = [F.col("o_totalprice").desc(), F.col("o_orderkey")]
     return A.sort_by_take(table(spark, sf, "orders"), 10, order).select("o_orderkey", "o_totalprice", "rank")
 
 
-@query("""select o_orderpriority, o_orderkey, rank from (select *, row_number() over (partition by o_orderpriority order by o_totalprice, o_orderkey) as rank from orders) where rank <= 3""")
+@query("""select o_orderpriority, o_orderkey, rank::int as rank from (select *, row_number() over (partition by o_orderpriority order by o_totalprice, o_orderkey) as rank from orders) where rank <= 3""")
 def sort_by_take_grouped(spark, sf):
     order = [F.col("o_totalprice"), F.col("o_orderkey")]
     return A.sort_by_take(table(spark, sf, "orders"), 3, order, ["o_orderpriority"]).select("o_orderpriority", "o_orderkey", "rank")
@@ -320,7 +320,7 @@ def cumulative_agg(spark, sf):
     return scan.scan(table(spark, sf, "events"), c).select("event_id", *c)
 
 
-@query("""select event_id, row_number() over w - 1 as index, round(coalesce(sum(value) over (w rows between unbounded preceding and 1 preceding), 0), 4) as before,
+@query("""select event_id, (row_number() over w - 1)::int as index, round(coalesce(sum(value) over (w rows between unbounded preceding and 1 preceding), 0), 4) as before,
         round(sum(value) over (w rows unbounded preceding), 4) as after, round(100 + sum(value) over (w rows unbounded preceding), 4) as from_100
     from events window w as (partition by user_id order by ts, event_id)""")
 def scan_prior_posterior_index(spark, sf):
@@ -355,7 +355,7 @@ def window_last_n(spark, sf):
     return out.withColumn("total", r("total", 4))
 
 
-@query("""select a.user_id, a.event_id as left_id, b.event_id as right_id, a.k - 1 as index
+@query("""select a.user_id, a.event_id as left_id, b.event_id as right_id, (a.k - 1)::int as index
     from (select *, row_number() over (partition by user_id order by ts, event_id) as k from events where event_type = 'click') a
     join (select *, row_number() over (partition by user_id order by ts, event_id) as k from events where event_type = 'view') b on a.user_id = b.user_id and a.k = b.k""")
 def scan_zip(spark, sf):
@@ -365,7 +365,7 @@ def scan_zip(spark, sf):
     return scan.zip_scans(left, right, ["ts", "left_id"], ["ts2", "right_id"], ["user_id"]).select("user_id", "left_id", "right_id", "index")
 
 
-@query("""select event_id, sum(event_id) over w as total, count(*) over w as n, max(value) over w as top, first_value(user_id) over w as first_user
+@query("""select event_id, (sum(event_id) over w)::bigint as total, count(*) over w as n, max(value) over w as top, first_value(user_id) over w as first_user
     from events window w as (order by ts, event_id rows unbounded preceding)""")
 def scan_global(spark, sf):
     """Running values over the whole table, in as many tasks as ranges."""

@@ -16,7 +16,7 @@ def r(c, digits: int = 6):
     return F.round(c, digits)
 
 
-@query("""select label, i - 1 as i, round(sum(v), 3) as v from (select label, unnest(embedding) as v, generate_subscripts(embedding, 1) as i from embeddings) group by 1, 2""")
+@query("""select label, (i - 1)::int as i, round(sum(v), 3) as v from (select label, unnest(embedding) as v, generate_subscripts(embedding, 1) as i from embeddings) group by 1, 2""")
 def elementwise_array_sum(spark, sf):
     out = algebra.elementwise_sum(table(spark, sf, "embeddings").withColumn("embedding", F.col("embedding").cast("array<double>")), "embedding", ["label"])
     return out.select("label", F.posexplode("embedding").alias("i", "v")).withColumn("v", r("v", 3))
