@@ -14,6 +14,19 @@ def text_key(*keys: Column | str) -> Column:
     return F.concat_ws(":", *[(F.col(k) if isinstance(k, str) else k).cast("string") for k in keys])
 
 
+def known(*keys: Column | str) -> Column:
+    """All keys are there: plain null checks, which reach the scan."""
+    checks = [(F.col(k) if isinstance(k, str) else k).isNotNull() for k in keys]
+    return _and(checks)
+
+
+def _and(checks: list[Column]) -> Column:
+    out = checks[0]
+    for c in checks[1:]:
+        out = out & c
+    return out
+
+
 def digest(seed: int | Column, *keys: Column | str) -> Column:
     """The md5 of "seed:key", as 32 hex digits."""
     s = F.lit(str(seed)) if isinstance(seed, int) else seed.cast("string")
@@ -21,8 +34,9 @@ def digest(seed: int | Column, *keys: Column | str) -> Column:
 
 
 def hex32(digest: Column, i: int) -> Column:
-    """The i-th eight digits of a digest as a number in [0, 2^32)."""
-    return F.conv(F.substring(digest, 8 * i + 1, 8), 16, 10).cast("long")
+    """The i-th eight digits of a digest as a number in [0, 2^32). Never null, so
+    that no filter of a join repeats the hash."""
+    return F.coalesce(F.conv(F.substring(digest, 8 * i + 1, 8), 16, 10).cast("long"), F.lit(0).cast("long"))
 
 
 def slice32(i: int, seed: int | Column, *keys: Column | str) -> Column:

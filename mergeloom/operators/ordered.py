@@ -195,7 +195,7 @@ def space_saver_partials(df: DataFrame, x: str, capacity: int, item_type: str =
             least = min(c for c, _ in counters.values()) if len(counters) >= capacity else 0
             yield pd.DataFrame([(part, k, c, e, least) for k, (c, e) in counters.items()], columns=["part", "item", "n", "err", "least"])
 
-    rows = df.dropna(subset=[x]).select(F.spark_partition_id().alias("part"), F.col(x).cast(item_type).alias("item"))
+    rows = df.where(F.col(x).isNotNull()).select(F.spark_partition_id().alias("part"), F.col(x).cast(item_type).alias("item"))
     return rows.mapInPandas(run, f"part int, item {item_type}, n long, err long, least long")
 
 

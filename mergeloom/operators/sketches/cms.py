@@ -42,7 +42,7 @@ def _cells(items: DataFrame, x: str, depth: int, width: int, seed: int) -> DataF
 
 def counts(df: DataFrame, x: str, by: Sequence[str] = (), n: Column | None = None) -> DataFrame:
     """(by, x, n): the exact table of counts (or sums of ``n``)."""
-    return df.dropna(subset=[x]).groupBy(*by, x).agg((F.count("*") if n is None else F.sum(n)).alias("n"))
+    return df.where(F.col(x).isNotNull()).groupBy(*by, x).agg((F.count("*") if n is None else F.sum(n)).alias("n"))
 
 
 def sketch(df: DataFrame, x: str, depth: int, width: int, by: Sequence[str] = (), n: Column | None = None, seed: int = SEED) -> DataFrame:
@@ -130,7 +130,7 @@ def decaying(df: DataFrame, x: str, time: str, half_life: float, depth: int, wid
     """(cells, latest): cells whose counts halve once a half-life, all as of
     the latest time, a table of one row (ts)."""
     latest = df.agg(F.max(time).alias("ts"))
-    rows = df.dropna(subset=[x]).join(F.broadcast(latest))
+    rows = df.where(F.col(x).isNotNull()).join(F.broadcast(latest))
     amount = (F.lit(1.0) if n is None else n) * F.exp(-(F.col("ts") - F.col(time)) * (LN2 / half_life))
     return sketch(rows, x, depth, width, (), amount, seed), latest
 

@@ -31,7 +31,7 @@ def alpha(bits: int) -> float:
 def registers(df: DataFrame, x: str | Sequence[str], bits: int, by: Sequence[str] = ()) -> DataFrame:
     """(by, j, rho): a row for each register that is set. NULLs do not count."""
     keys = [x] if isinstance(x, str) else list(x)
-    rows = df.dropna(subset=keys).withColumn("_d", hashing.digest(SEED, *keys))
+    rows = df.where(hashing.known(*keys)).withColumn("_d", hashing.digest(SEED, *keys))
     rows = rows.select(*by, (hashing.hex32(F.col("_d"), 0) % 2**bits).cast("int").alias("j"), hashing.rho32(hashing.hex32(F.col("_d"), 1)).cast("int").alias("rho"))
     return rows.groupBy(*by, "j").agg(F.max("rho").alias("rho"))
 
@@ -99,7 +99,7 @@ def set_size(df: DataFrame, x: str, bits: int, most: int = 10, by: Sequence[str]
     """(by, size): exact up to ``most`` distinct values, then the estimate cut
     to a whole number. Exact sets are not kept: distinct values are counted in
     a first, pre-aggregated step that both branches share."""
-    values = df.dropna(subset=[x]).select(*by, x).distinct()
+    values = df.where(F.col(x).isNotNull()).select(*by, x).distinct()
     exact = (values.groupBy(*by) if by else values.groupBy()).agg(F.count("*").alias("_exact"))
     est = estimate(registers(values, x, bits, by), bits, by)
     both = exact.join(est, list(by)) if by else exact.join(F.broadcast(est))
@@ -116,7 +116,7 @@ def approximate_unique_count(df: DataFrame, x: str, by: Sequence[str] = ()) -> D
 
 def series(df: DataFrame, x: str, time: str, bits: int, by: Sequence[str] = ()) -> DataFrame:
     """(by, j, rho, ts): for each register and level the latest time."""
-    rows = df.dropna(subset=[x]).withColumn("_d", hashing.digest(SEED, x))
+    rows = df.where(F.col(x).isNotNull()).withColumn("_d", hashing.digest(SEED, x))
     rows = rows.select(*by, (hashing.hex32(F.col("_d"), 0) % 2**bits).cast("int").alias("j"), hashing.rho32(hashing.hex32(F.col("_d"), 1)).cast("int").alias("rho"), F.col(time).alias("ts"))
     return rows.groupBy(*by, "j", "rho").agg(F.max("ts").alias("ts"))
 

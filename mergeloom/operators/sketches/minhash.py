@@ -40,7 +40,7 @@ def probability_of_inclusion(similarity: float, bands: int, rows: int) -> float:
 def signatures(df: DataFrame, x: str, hashes: int, by: Sequence[str]) -> DataFrame:
     """(by, i, h): the least of each of ``hashes`` hash functions over a set's
     distinct elements. Four functions come from one digest."""
-    items = df.dropna(subset=[x]).select(*by, x).distinct()
+    items = df.where(F.col(x).isNotNull()).select(*by, x).distinct()
     quads = items.withColumn("_q", F.explode(F.sequence(F.lit(0), F.lit((hashes - 1) // 4)))).withColumn("_d", hashing.digest(F.col("_q"), x))
     each = quads.select(*by, F.posexplode(F.array(*[hashing.hex32(F.col("_d"), k) for k in range(4)])).alias("_k", "h"), (F.col("_q") * 4).alias("_base"))
     each = each.select(*by, (F.col("_base") + F.col("_k")).alias("i"), "h").where(F.col("i") < hashes)
@@ -99,7 +99,7 @@ TRICK_SEED = 123456
 def hashing_trick(df: DataFrame, x: str, value: str, bits: int, by: Sequence[str] = (), seed: int = TRICK_SEED) -> DataFrame:
     """(by, index, value): values added up by a hash of their key in [0, 2^bits),
     with a sign from another bit; zero sums are dropped."""
-    summed = df.dropna(subset=[x]).groupBy(*by, x).agg(F.sum(value).alias("_v")).withColumn("_d", hashing.digest(seed, x))
+    summed = df.where(F.col(x).isNotNull()).groupBy(*by, x).agg(F.sum(value).alias("_v")).withColumn("_d", hashing.digest(seed, x))
     sign = F.when(hashing.hex32(F.col("_d"), 1) % 2 == 1, F.col("_v")).otherwise(-F.col("_v"))
     rows = summed.select(*by, (hashing.hex32(F.col("_d"), 0) % 2**bits).alias("index"), sign.alias("_v"))
     return rows.groupBy(*by, "index").agg(F.sum("_v").alias("value")).where("value != 0")

@@ -21,7 +21,7 @@ def _checked(x: Column) -> Column:
 def leaves(df: DataFrame, x: str, by: Sequence[str] = (), level: int = LEVEL) -> DataFrame:
     """(by, leaf, n, s): counts and sums by bin. Negative values raise."""
     value = F.col(x).cast("double")
-    rows = df.dropna(subset=[x]).select(*by, F.floor(_checked(value) / (2.0**level)).alias("leaf"), value.alias("_v"))
+    rows = df.where(F.col(x).isNotNull() & ~F.isnan(value)).select(*by, F.floor(_checked(value) / (2.0**level)).alias("leaf"), value.alias("_v"))
     return rows.groupBy(*by, "leaf").agg(F.count("*").alias("n"), F.sum("_v").alias("s"))
 
 
