@@ -7,7 +7,7 @@ buffers. Partial sums may repeat keys; merging makes that invisible.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from typing import Any
 
 import pandas as pd
@@ -128,6 +128,3 @@ def counted_calls(df: DataFrame, name: str, *aggs: Column) -> tuple[DataFrame, A
 
     seen = Observation(name)
     return df.observe(seen, F.count(F.lit(1)).alias("calls"), *aggs), seen
-
-
-Flush = Callable[[DataFrame, int], None]
