@@ -113,33 +113,35 @@ def ratios() -> dict[str, Column]:
 
 def sketches(rows: DataFrame) -> DataFrame:
     """(lang, source, n, a sketch for each ratio) of the texts that pass the
-    fixed rules. The table can be stored and merged with later ones by
-    ``kll_sketch_merge`` or ``merged``."""
+    fixed rules. The table can be stored, and merged with others by ``merged``."""
     passing = rows.where(~F.col("base_failed")).select("lang", "source", *[c.alias(k) for k, c in ratios().items()])
     return passing.groupBy("lang", "source").agg(F.count("*").alias("n"), *[F.kll_sketch_agg_double(k, F.lit(K)).alias(k) for k in LEAST])
 
 
-def thresholds(rows: DataFrame) -> DataFrame:
-    """(level, lang, source, n, low_... and high_... for each ratio): a row a
-    group at level 0, and one of all groups merged at level 3."""
-    passing = rows.where(~F.col("base_failed")).select("lang", "source", *[c.alias(k) for k, c in ratios().items()])
-    groups = passing.groupingSets([["lang", "source"], []], "lang", "source").agg(
-        F.grouping_id().alias("level"), F.count("*").alias("n"), *[F.kll_sketch_agg_double(k, F.lit(K)).alias(k) for k in LEAST]
-    )
+def merged(stored: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Sketches merged by coarser keys, or all of them into one row."""
+    keys = list(by) or [F.lit(1).alias("_all")]
+    out = stored.groupBy(*keys).agg(F.sum("n").alias("n"), *[F.kll_merge_agg_double(k).alias(k) for k in LEAST])
+    return out if by else out.drop("_all")
+
+
+def thresholds(stored: DataFrame) -> DataFrame:
+    """``low_...`` and ``high_...`` for each ratio, from the sketches of a row;
+    its other columns stay."""
     fences = []
     for k, (least, both) in LEAST.items():
         low, mid, high = (F.kll_sketch_get_quantile_double(k, F.lit(q)) for q in (0.25, 0.5, 0.75))
         reach = F.greatest(REACH * (high - low), F.lit(least))
         fences += [(mid - reach if both else F.lit(float("-inf"))).alias(f"low_{k}"), (mid + reach).alias(f"high_{k}")]
-    return groups.select("level", "lang", "source", "n", *fences)
+    return stored.select(*[c for c in stored.columns if c not in LEAST], *fences)
 
 
-def judge(rows: DataFrame, fences: DataFrame) -> DataFrame:
+def judge(rows: DataFrame, stored: DataFrame) -> DataFrame:
     """``rows`` (lang, source, counts..., base_failed) with ``kept``: the fixed
-    rules, then the group's fences (materialized ``thresholds``)."""
-    columns = [c for c in fences.columns if c not in ("level", "lang", "source", "n")]
-    overall = fences.where("level = 3").select(*columns).first()
-    own = fences.where(f"level = 0 and n >= {LEAST_ROWS}").drop("level", "n")
+    rules, then the fences from materialized ``sketches`` by lang and source."""
+    columns = [f"{side}_{k}" for k in LEAST for side in ("low", "high")]
+    overall = thresholds(merged(stored)).select(*columns).first()
+    own = thresholds(stored.where(f"n >= {LEAST_ROWS}")).drop("n")
     joined = sized_join(rows, own, ["lang", "source"], "left")
     kept = ~F.col("base_failed")
     for k, ratio in ratios().items():
@@ -151,13 +153,13 @@ def judge(rows: DataFrame, fences: DataFrame) -> DataFrame:
 def quality_rules(docs: DataFrame) -> DataFrame:
     """(doc_id, lang, source, counts..., base_failed, kept), a row a document."""
     rows = materialize(measured(docs), "measured")
-    return judge(rows, materialize(thresholds(rows), "fences"))
+    return judge(rows, materialize(sketches(rows), "sketches"))
 
 
 def passing(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with their own columns. Texts
     are measured twice rather than written or shuffled."""
-    fences = materialize(thresholds(measured(docs)), "fences")
+    stored = materialize(sketches(measured(docs)), "sketches")
     flat, names, at = flattened(docs)
     ready = flat.withColumns({"lang": F.col(at["lang"]).cast("string"), "source": F.col(at["source"]).cast("string"), "_text": F.col(at["text"]).cast("string")})
 
@@ -168,4 +170,4 @@ def passing(docs: DataFrame) -> DataFrame:
 
     schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in ready.schema.fields[:-1]), *(f"{c} long" for c in COUNTS)])
     full = ready.mapInArrow(run, schema).withColumn("base_failed", failed_base())
-    return judge(full, fences).where("kept").select(*flat.columns).toDF(*names)
+    return judge(full, stored).where("kept").select(*flat.columns).toDF(*names)

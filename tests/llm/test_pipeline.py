@@ -3,7 +3,7 @@ from __future__ import annotations
 import duckdb
 import numpy as np
 import pytest
-from conftest import corpus
+from conftest_llm import corpus
 
 import corpus_pipeline
 from mergeloom.llm import packing, queries

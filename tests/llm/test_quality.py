@@ -46,8 +46,19 @@ def test_outliers_fall_and_plain_texts_stay(spark, docs):
 
 def test_thresholds_by_group_are_the_quantiles(spark):
     rows = spark.createDataFrame([("a", "s", 100, 400 + i, 0, 0, 0, False) for i in range(101)], "lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean")
-    t = {r.level: r for r in quality_rules.thresholds(rows).collect()}
-    assert t[0].n == t[3].n == 101 and abs(t[0].high_mean_word - (4.5 + max(6 * 0.5, 2.0))) < 0.2
+    t = quality_rules.thresholds(quality_rules.sketches(rows)).first()
+    assert t.n == 101 and abs(t.high_mean_word - (4.5 + max(6 * 0.5, 2.0))) < 0.2
+
+
+def test_merged_sketches_are_those_of_all_rows(spark):
+    schema = "lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean"
+    rows = spark.createDataFrame([("ab"[i % 2], None if i % 3 else "s", 100, 400 + i, i % 5, 0, 0, i % 11 == 0) for i in range(2000)], schema)
+    stored = quality_rules.sketches(rows)
+    both = quality_rules.merged(stored.where("lang = 'a'").unionByName(stored.where("lang = 'b'")))
+    t = quality_rules.thresholds(both).first()
+    passing = sorted(4 + i / 100 for i in range(2000) if i % 11)
+    q = lambda p: passing[int(p * len(passing))]
+    assert t.n == len(passing) and abs(t.high_mean_word - (q(0.5) + 6 * (q(0.75) - q(0.25)))) < 2.0
 
 
 def test_empty_tables(none, spark):
