@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from mergeloom.llm.common import materialize
 
+EDGES_A_FILE = 100_000
+
 
 def _turn(edges: DataFrame) -> DataFrame:
     """One large-star and one small-star step; edges (u, v) with u > v."""
@@ -31,15 +33,15 @@ def _turn(edges: DataFrame) -> DataFrame:
 def components(links: DataFrame, a: str, b: str, most_rounds: int = 64) -> DataFrame:
     """(id, component) for every vertex in ``links`` that is not its own
     component's smallest vertex. Vertices are non-null longs; other vertices
-    are their own component. Links may repeat and go either way."""
+    are their own component. Links may repeat and go either way. A round's
+    table has a file for each ``EDGES_A_FILE`` edges of the round before."""
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct()
     edges = materialize(edges, "edges")
     mark = None
     for _ in range(most_rounds):
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.countDistinct("u")).first()
-        # All edges point at roots when no vertex has two targets and nothing moves any more.
-        if not now[0] or now == mark:
+        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
+        if not now[0] or now == mark:  # nothing moves any more
             return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
         mark = now
-        edges = materialize(_turn(edges), "edges")
+        edges = materialize(_turn(edges).coalesce(-(-now[0] // EDGES_A_FILE)), "edges")
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")

@@ -42,6 +42,8 @@ from mergeloom.llm.components import components
 
 SEED = 42
 MOST_BITS = 4
+#: Numbers of rows to drop, 8 bytes each, that are broadcast at most.
+MOST_BROADCAST = 500_000
 #: (shift, bits) of the segments and of each segment's two halves.
 SEGMENTS = ((42, 22), (21, 21), (0, 21))
 HALVES = (((11, 11), (0, 11)), ((11, 10), (0, 11)), ((11, 10), (0, 11)))
@@ -127,11 +129,10 @@ def link(prints: DataFrame, most: int = MOST_BITS) -> DataFrame:
     ).where("low != high")
     shared = materialize(shared, "shared")
     stars = shared.select("fp", F.explode(F.array("before", "low", "high")).alias("to")).where("to != fp").where(_close("fp", "to", most))
-    first = materialize(components(stars, "fp", "to"), "first")
+    first = components(stars, "fp", "to")
     named = shared.select("key", "fp").join(first, F.col("fp") == F.col("id"), "left").select("key", "fp", F.coalesce("component", "fp").alias("c"))
     by_key = Window.partitionBy("key")
     mixed = named.select("*", F.min("c").over(by_key).alias("c0"), F.max("c").over(by_key).alias("c1")).where("c0 != c1").select("key", "fp", "c")
-    mixed = materialize(mixed, "mixed")
     pairs = mixed.alias("x").join(mixed.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.c") < F.col("y.c")))
     pairs = pairs.where(_close("x.fp", "y.fp", most)).select(F.col("x.c").alias("a"), F.col("y.c").alias("b"))
     second = components(pairs, "a", "b").withColumnsRenamed({"id": "c", "component": "root"})
@@ -143,10 +144,10 @@ def near_duplicates(docs: DataFrame, width: int = 4, most: int = MOST_BITS) -> D
     """(doc_id, fp, component_id): component_id is the smallest doc_id
     reachable by links of at most ``most`` differing bits."""
     all_prints = materialize(fingerprints(docs, width), "prints")
-    distinct = materialize(all_prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    distinct = all_prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     named = materialize(link(distinct, most), "named")
     ids = named.join(distinct, "fp").groupBy("component").agg(F.min("least").alias("component_id"))
-    by_print = materialize(named.join(ids, "component").select("fp", "component_id"), "by_print")
+    by_print = named.join(ids, "component").select("fp", "component_id")
     return all_prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -158,8 +159,8 @@ def deduplicated(docs: DataFrame, width: int = 4, most: int = MOST_BITS) -> Data
     rows = materialize(flat.withColumn("_row", F.monotonically_increasing_id()), "rows")
     found = near_duplicates(rows.select(F.col("_row").alias("doc_id"), F.col(at["text"]).alias("text")), width, most)
     found = materialize(found.select(F.col("doc_id").alias("_row"), F.col("component_id").alias("c")), "found")
-    several = found.groupBy("c").agg(F.count("*").alias("k")).where("k > 1").select("c")
-    members = found.join(several, "c").join(rows.select("_row", F.col(at["doc_id"]).alias("doc_id")), "_row")
-    chosen = members.groupBy("c").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).getField("_row").alias("_row"))
-    drop = members.select("_row").join(chosen.select("_row"), "_row", "left_anti")
-    return rows.join(materialize(drop, "drop"), "_row", "left_anti").select(*flat.columns).toDF(*names)
+    ids = found.join(rows.select("_row", F.col(at["doc_id"]).alias("doc_id")), "_row")
+    chosen = ids.groupBy("c").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).getField("_row").alias("_row"))
+    drop = materialize(found.select("_row").join(chosen.select("_row"), "_row", "left_anti"), "drop")
+    few = drop.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST  # else texts shuffle by number
+    return rows.join(F.broadcast(drop) if few else drop, "_row", "left_anti").select(*flat.columns).toDF(*names)
