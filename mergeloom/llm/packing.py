@@ -83,8 +83,7 @@ class WordIds:
                 self.before, self.words, missing = self.words, {}, set(found)
             before, word = self.before, self._word
             self.words.update([(x, before[x] if x in before else word(x)) for x in missing])
-        known = self.words
-        return b"".join([known[x] for x in found])
+        return b"".join(map(self.words.__getitem__, found))
 
 
 def word_bpe_path() -> str:
@@ -108,7 +107,7 @@ def pack(docs: DataFrame, most: int = MOST, end: int = END, tokenizer_path: str
         word_ids = WordIds(tokenizer_path or word_bpe_path())
         sequence = TaskContext.get().partitionId() << 40
         tail = np.array([end], "<u4").tobytes()
-        for b in batches(rows, 1 << 20):
+        for b in batches(rows, 4 << 20):
             flat, doc, start, length, total = [], [], [], [], []
             for doc_id, text in zip(b.column(0).to_pylist(), texts(b.column(1)), strict=True):
                 ids = word_ids(text) + tail
