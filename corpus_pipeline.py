@@ -32,7 +32,7 @@ def _stage(apply: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, D
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality rules", _stage(quality_rules.passing)),
-    ("SimHash near-dedup", _stage(simhash.deduplicated)),
+    ("SimHash near-dedup", _stage(simhash.without_copies)),
     ("secret scans", _stage(secrets.redact)),
     ("mixing sources to target weights", _stage(mixing.mix_documents)),
     ("packing", _stage(packing.pack)),

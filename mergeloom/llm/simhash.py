@@ -24,11 +24,18 @@ Null text counts as empty; a text without words has fingerprint zero and
 links like any other. A null doc_id gets a fingerprint and a component, but is
 never a component's id unless no other is there. Repeated rows come out as
 often as they came in.
+
+Four bits reach only part of the texts that share most of their words. The
+pipeline drops near copies by the texts themselves (``similar``): a Jaccard
+similarity of 0.8 or more of their sets of five-word shingles. Golay keys and
+bands of min-hashes only propose pairs; sets decide. Of pairs at 0.8 exactly,
+``BANDS`` bands of ``BAND_ROWS`` min-hashes miss (1 - 0.8**6)**40 = 5 in a
+million, of closer ones fewer.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +49,7 @@ from mergeloom.llm.components import components
 
 SEED = 42
 MOST_BITS = 4
+BANDS, BAND_ROWS = 40, 6
 #: Numbers of rows to drop, 8 bytes each, that are broadcast at most.
 MOST_BROADCAST = 500_000
 #: (shift, bits) of the segments and of each segment's two halves.
@@ -151,13 +159,119 @@ def near_duplicates(docs: DataFrame, width: int = 4, most: int = MOST_BITS) -> D
     return all_prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
 
 
+def shingles(text: bytes, width: int = 5) -> np.ndarray:
+    """The set of the text's shingles as sorted 64-bit hashes."""
+    words = text.lower().split()
+    n = max(1, len(words) - width + 1) if words else 0
+    hash_of = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((hash_of(b" ".join(words[i : i + width]), SEED) for i in range(n)), np.uint64, n))
+
+
+def marks(hashes: np.ndarray, chunk: int = 1 << 12) -> tuple[bytes, int, list[int]]:
+    """A digest, the SimHash and the keys by bands of a set of shingles."""
+    digest = xxhash.xxh3_128_digest(hashes.tobytes())
+    if not len(hashes):
+        return digest, 0, []
+    times, plus = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * BAND_ROWS, 1), np.uint64) * np.uint64(2) + np.uint64(1)
+    ones, least = np.zeros(64, np.int64), np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(hashes), chunk):
+        h = hashes[i : i + chunk]
+        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        least = np.minimum(least, (times * h + plus).min(1))
+    fp = int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)[0])
+    bands = [xxhash.xxh64_intdigest(b.tobytes(), k) for k, b in enumerate(least.reshape(BANDS, BAND_ROWS))]
+    return digest, fp, np.array(bands, np.uint64).view(np.int64).tolist()
+
+
+def _marked(docs: DataFrame, width: int) -> DataFrame:
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches(rows):
+            digest, fp, bands = zip(*(marks(shingles(t, width)) for t in byte_texts(b.column(1))), strict=True)
+            columns = [pa.array(digest, pa.binary()), pa.array(fp, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), *columns], ["doc_id", "digest", "fp", "bands"])
+
+    return pick(docs, doc_id="long", text="string").mapInArrow(run, "doc_id long, digest binary, fp long, bands array<long>")
+
+
+def _set_keys(sets: DataFrame) -> DataFrame:
+    """(key, v) from (v, fp, bands): Golay keys of the SimHash, and bands."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in rows:
+            for i in range(0, b.num_rows, 1024):
+                v, fp, bands = (b.column(k).slice(i, 1024) for k in range(3))
+                v, (r, k) = v.to_numpy(), keys(fp.to_numpy())
+                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(v[r])], ["key", "v"])
+                at = np.repeat(np.arange(len(v)), bands.value_lengths().to_numpy())
+                yield pa.RecordBatch.from_arrays([bands.flatten(), pa.array(v[at])], ["key", "v"])
+
+    return sets.select("v", "fp", "bands").mapInArrow(run, "key long, v long")
+
+
+def _sets(docs: DataFrame, width: int) -> DataFrame:
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches(rows, 1 << 20):
+            found = [shingles(t, width).view(np.int64) for t in byte_texts(b.column(1))]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], ["v", "s"])
+
+    return pick(docs, doc_id="long", text="string").mapInArrow(run, "v long, s array<long>")
+
+
+def similar(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
+    """(doc_id, component_id) for non-null, distinct doc_ids: component_id is
+    the smallest doc_id reachable by links of texts whose sets of shingles have
+    a Jaccard similarity of ``least`` (0.8 or more: bands are made for that)."""
+    if least < 0.8:
+        raise ValueError("the bands are made for similarities of 0.8 or more")
+    marked = materialize(_marked(docs, width), "marks")
+    same = materialize(marked.groupBy("digest").agg(F.min("doc_id").alias("v")), "same")
+    bucket = Window.partitionBy("key").orderBy("v")
+    whole = bucket.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    keyed = _set_keys(marked.join(same.select("v"), F.col("doc_id") == F.col("v")))
+    shared = keyed.select(
+        "key", "v", F.lag("v").over(bucket).alias("before"), F.first("v").over(whole).alias("low"), F.last("v").over(whole).alias("high")
+    ).where("low != high")
+    shared = materialize(shared, "shared")
+    wanted = materialize(shared.select("v").distinct(), "wanted")
+    few = wanted.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST  # else texts shuffle by number
+    texts = docs.join(F.broadcast(wanted) if few else wanted, F.col("doc_id") == F.col("v"), "left_semi")
+    sets = materialize(_sets(texts, width), "sets")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        x, y = (sets.select(F.col("v").alias(k), F.col("s").alias(f"s{k}")) for k in "ab")
+        both = F.size(F.array_intersect("sa", "sb"))
+        return pairs.join(x, "a").join(y, "b").where(both / (F.size("sa") + F.size("sb") - both) >= least).drop("sa", "sb")
+
+    stars = shared.select(F.col("v").alias("a"), F.explode(F.array("before", "low")).alias("b")).where("a != b").distinct()
+    first = components(verified(stars), "a", "b")
+    named = shared.select("key", "v").join(first, F.col("v") == F.col("id"), "left").select("key", "v", F.coalesce("component", "v").alias("c"))
+    by_key = Window.partitionBy("key")
+    mixed = named.select("*", F.min("c").over(by_key).alias("c0"), F.max("c").over(by_key).alias("c1")).where("c0 != c1").select("key", "v", "c")
+    pairs = mixed.alias("x").join(mixed.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.c") < F.col("y.c")))
+    pairs = pairs.select(F.col("x.v").alias("a"), F.col("y.v").alias("b"), F.col("x.c").alias("ca"), F.col("y.c").alias("cb")).distinct()
+    second = components(verified(pairs), "ca", "cb").withColumnsRenamed({"id": "c", "component": "root"})
+    out = same.join(first, F.col("v") == F.col("id"), "left").select("digest", F.coalesce("component", "v").alias("c"))
+    out = out.join(second, "c", "left").select("digest", F.coalesce("root", "c").alias("component_id"))
+    return marked.select("doc_id", "digest").join(out, "digest").select("doc_id", "component_id")
+
+
 def deduplicated(docs: DataFrame, width: int = 4, most: int = MOST_BITS) -> DataFrame:
     """``docs`` with one row of each component, that with the smallest doc_id
-    (null last). Rows get a number on being written once, so rows of equal or
-    null doc_ids stay apart; then only the numbers to drop are joined."""
+    (null last)."""
+    return _one_of_each(docs, lambda rows: near_duplicates(rows, width, most))
+
+
+def without_copies(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
+    """``docs`` with one row of each component of ``similar``, chosen alike."""
+    return _one_of_each(docs, lambda rows: similar(rows, width, least))
+
+
+def _one_of_each(docs: DataFrame, find: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Rows get a number on being written once, so rows of equal or null
+    doc_ids stay apart; then only the numbers to drop are joined."""
     flat, names, at = flattened(docs)
     rows = materialize(flat.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    found = near_duplicates(rows.select(F.col("_row").alias("doc_id"), F.col(at["text"]).alias("text")), width, most)
+    found = find(rows.select(F.col("_row").alias("doc_id"), F.col(at["text"]).alias("text")))
     found = materialize(found.select(F.col("doc_id").alias("_row"), F.col("component_id").alias("c")), "found")
     ids = found.join(rows.select("_row", F.col(at["doc_id"]).alias("doc_id")), "_row")
     chosen = ids.groupBy("c").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).getField("_row").alias("_row"))

@@ -9,6 +9,7 @@ from conftest_llm import rows_of
 from hypothesis import given
 from hypothesis import strategies as st
 
+import corpus_pipeline
 from mergeloom.llm import golay, simhash
 from mergeloom.llm.components import components
 
@@ -122,3 +123,34 @@ def test_one_document_of_each_group_stays(docs, odd):
     assert got.columns == docs.columns
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in got.collect()) == sorted(best.values())
     assert simhash.deduplicated(odd).columns == odd.columns
+
+
+def plain_set(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def test_pipeline_keeps_one_of_edited_copies(spark, docs, odd):
+    """Copies with three of 127 words changed: far beyond four bits."""
+    rng = random.Random(8)
+    texts = [[rng.choice("abcdefgh") + str(rng.randrange(900)) for _ in range(127)] for _ in range(40)]
+    edited = [list(t) for t in texts for _ in range(2)]
+    for t in edited:
+        for i in rng.sample(range(127), rng.choice([1, 3, 9])):
+            t[i] = "changed"
+    rows = [tuple(r) for r in docs.collect()] + [(1000 + i, " ".join(t), "a", "s", 0) for i, t in enumerate(texts + edited)]
+    rng.shuffle(rows)
+    sets = [plain_set(r[1]) for r in rows]
+    close = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if a == b or 5 * len(a & b) >= 4 * len(a | b)]
+    best = {}
+    for g, r in zip(grouped(len(rows), close), rows, strict=True):
+        key = (r[0] is None, r[0] or 0)
+        best[g] = min(key, best.get(g, key))
+    table = spark.createDataFrame(rows, docs.schema).repartition(4)
+    stage = dict(corpus_pipeline.STAGES)["SimHash near-dedup"]
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in stage(spark, table, "").collect()) == sorted(best.values())
+    assert stage(spark, odd, "").columns == odd.columns
+
+
+def test_no_documents_without_copies(none):
+    assert rows_of(simhash.without_copies(none)) == []
