@@ -9,9 +9,11 @@ them. Sketches pre-aggregate in every task, so a source with a third of all
 rows sends a sketch a task like any other. Thresholds are a row a group; they
 join back with a checked size (see ``sized_join``), the counts alone at first.
 
-A fence reaches from the quartiles by ``REACH`` times their distance, and by at
-least ``LEAST`` of the ratio's own unit: a group without spread does not reject
-every text that differs a little. Groups of fewer than ``LEAST_ROWS`` texts use
+A fence reaches from the median by ``REACH`` times the quartiles' distance,
+taken as twice that of the nearer quartile: junk on one side, up to half of a
+group, doesn't widen its own fence. It reaches at least ``LEAST`` of the ratio's
+own unit: a group without spread does not reject every text that differs a
+little. Groups of fewer than ``LEAST_ROWS`` texts use
 the sketches of all groups merged.
 
 Null texts count as empty and fail the fixed rules. Null languages and sources
@@ -131,7 +133,7 @@ def thresholds(stored: DataFrame) -> DataFrame:
     fences = []
     for k, (least, both) in LEAST.items():
         low, mid, high = (F.kll_sketch_get_quantile_double(k, F.lit(q)) for q in (0.25, 0.5, 0.75))
-        reach = F.greatest(REACH * (high - low), F.lit(least))
+        reach = F.greatest(2 * REACH * F.least(high - mid, mid - low), F.lit(least))
         fences += [(mid - reach if both else F.lit(float("-inf"))).alias(f"low_{k}"), (mid + reach).alias(f"high_{k}")]
     return stored.select(*[c for c in stored.columns if c not in LEAST], *fences)
 

@@ -50,6 +50,16 @@ def test_thresholds_by_group_are_the_quantiles(spark):
     assert t.n == 101 and abs(t.high_mean_word - (4.5 + max(6 * 0.5, 2.0))) < 0.2
 
 
+def test_junk_of_a_third_does_not_open_the_fences(spark, docs):
+    rng = np.random.default_rng(3)
+    prose = lambda size: " ".join("".join(rng.choice(list("abcdefgh"), size)) for _ in range(80))
+    good = [(i, prose(5), "a", "hot", 0) for i in range(70)]
+    for at, junk in enumerate((lambda: prose(5).replace("a", "#*"), lambda: prose(1) + prose(2), lambda: prose(14))):
+        table = spark.createDataFrame(good + [(1000 + 100 * at + i, junk(), "a", "hot", 0) for i in range(30)], docs.schema)
+        for kept in (quality_rules.quality_rules(table).where("kept"), quality_rules.passing(table)):
+            assert sorted(r.doc_id for r in kept.collect()) == list(range(70))
+
+
 def test_merged_sketches_are_those_of_all_rows(spark):
     schema = "lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean"
     rows = spark.createDataFrame([("ab"[i % 2], None if i % 3 else "s", 100, 400 + i, i % 5, 0, 0, i % 11 == 0) for i in range(2000)], schema)
