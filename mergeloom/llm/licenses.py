@@ -13,7 +13,16 @@ Texts are first searched for a few bigrams of each template by one pattern. A
 unit within t shares t/(2-t) of a template's bigrams or more, so it has at least
 one of any larger number than the rest: a text without them matches nothing.
 
-One scan without a shuffle. Templates are a parameter; their list, by size, is
+Notices that share their line with other words, or run over lines that begin
+with comment signs, are found by ``windows``: runs of words anywhere in a text,
+of any length within the size bounds. The places of a template's bigrams in a
+text are counted from each of them on; the best run from each place competes
+with those that it overlaps, the greatest coefficient first, then the longest.
+Runs that touch a line or paragraph already given for the same licence are left
+out. Only texts with a needed bigram are written and cut into words, and only
+places of template bigrams shuffle.
+
+Lines and paragraphs alone are one scan without a shuffle. Templates are a parameter; their list, by size, is
 broadcast up to a checked number of rows, beyond which the join is salted.
 
 Null texts have no units. Texts of a single word or none have no bigrams and
@@ -23,7 +32,7 @@ results. An empty table gives no rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mergeloom.llm.common import materialize, pick, sized_join
@@ -103,9 +112,69 @@ def units(text: Column) -> Column:
     return F.concat(cut("\n", 0), F.filter(cut(BLANK, 1), lambda s: F.trim(s["unit"], F.lit(" \t\r\n")).contains("\n")))
 
 
-def license_scan(docs: DataFrame, templates: DataFrame | None = None, least: float = LEAST) -> DataFrame:
+def _places(texts: DataFrame) -> DataFrame:
+    """(rid, doc_id, k, bigram, line, par, line1, par1): all bigrams of the texts
+    from place 0, with the lines and paragraphs of their two words."""
+    own = lambda x: F.filter(words(x), lambda y: y != "")
+    cut = lambda pattern: F.flatten(F.transform(F.split("text", pattern, -1), lambda x, i: F.transform(own(x), lambda y: F.struct(y.alias("w"), i.alias("i")))))
+    rows = texts.select("rid", "doc_id", F.arrays_zip(cut("\n").alias("l"), cut(BLANK).alias("p")).alias("a"))
+    rest = F.slice("a", 2, F.greatest(F.size("a") - 1, F.lit(0)))
+    pairs = rows.select("rid", "doc_id", F.posexplode(F.zip_with(F.slice("a", 1, F.size(rest)), rest, lambda x, y: F.struct(x.alias("x"), y.alias("y")))).alias("k", "b"))
+    return pairs.select(
+        "rid", "doc_id", "k", F.concat_ws(" ", "b.x.l.w", "b.y.l.w").alias("bigram"),
+        F.col("b.x.l.i").alias("line"), F.col("b.x.p.i").alias("par"), F.col("b.y.l.i").alias("line1"), F.col("b.y.p.i").alias("par1"),
+    )
+
+
+def windows(texts: DataFrame, found: DataFrame, templates: DataFrame, least: float = LEAST) -> DataFrame:
+    """(doc_id, paragraph: 2, position: number of the first word, license, dice)
+    from texts (rid, doc_id, text) beyond the units ``found`` (rid, paragraph,
+    position, license)."""
+    sets = templates.select("license", bigrams(words(F.col("wording"))).alias("g")).where(F.size("g") > 0).distinct()
+    sets = sets.select(F.xxhash64("license", "g").alias("t"), "license", F.size("g").alias("of"), F.explode("g").alias("bigram"))
+    sets = materialize(sets.groupBy("t", "license", "of", "bigram").agg(F.count("*").cast("int").alias("times")), "bigrams")
+    most = sets.agg(F.max("times")).first()[0]
+    if most is None:
+        return found.sparkSession.createDataFrame([], "doc_id long, paragraph int, position int, license string, dice double")
+    high = F.floor(F.col("of") * (2 - least) / least + 1e-9).cast("int")
+    low = F.ceil(F.col("of") * least / (2 - least) - 1e-9)
+    hits = sized_join(_places(texts), materialize(sets.groupBy("bigram").agg(F.collect_list(F.struct("t", "license", "of", "times")).alias("ts")), "wanted"), ["bigram"])
+    hits = hits.withColumn("t", F.explode("ts")).select("*", "t.license", "t.of", "t.times", F.col("t.t").alias("id")).drop("t", "ts")
+    # A bigram counts in a run from s on if fewer than ``times`` of its kind are from s to it.
+    same = Window.partitionBy("rid", "id", "bigram").orderBy("k")
+    past = F.coalesce(*[F.when(F.col("times") == n, F.lag("k", n).over(same)) for n in range(1, most + 1)], F.lit(-1))
+    places = F.sort_array(F.collect_list(F.struct("k", "past", "line", "par", "line1", "par1")))
+    runs = hits.withColumn("past", past).groupBy("rid", "doc_id", "id", "license", "of").agg(places.alias("h")).where(F.size("h") >= low)
+
+    def best(x: Column, i: Column) -> Column:
+        """The best run from place ``x`` on."""
+
+        def longer(s: Column, y: Column) -> Column:
+            n, c = y["k"] - x["k"] + 1, s["c"] + F.when(y["past"] < x["k"], 1).otherwise(0)
+            run = F.struct((-F.round(2.0 * c / (n + F.col("of")), 6)).alias("d"), (-n).alias("n"), y["line1"].alias("line1"), y["par1"].alias("par1"))
+            return F.struct(c.alias("c"), F.when(n <= high, F.least(s["run"], run)).otherwise(s["run"]).alias("run"))
+
+        none = F.struct(F.lit(0.0).alias("d"), F.lit(0).alias("n"), F.lit(0).alias("line1"), F.lit(0).alias("par1"))
+        r = F.aggregate(F.slice("h", i + 1, high), F.struct(F.lit(0).alias("c"), none.alias("run")), longer)["run"]
+        return F.struct(r["d"].alias("d"), r["n"].alias("n"), x["k"].alias("k"), F.col("license").alias("license"), x["line"].alias("line"), x["par"].alias("par"), r["line1"].alias("line1"), r["par1"].alias("par1"))
+
+    runs = runs.select("rid", "doc_id", F.explode(F.filter(F.transform("h", best), lambda r: r["d"] <= -least)).alias("r"))
+    runs = runs.groupBy("rid", "doc_id").agg(F.sort_array(F.collect_list("r")).alias("rs"))
+    # A run of n bigrams from word k on ends with word k - (-n).
+    apart = lambda a, b: (a["k"] - a["n"] < b["k"]) | (b["k"] - b["n"] < a["k"])
+    add = lambda chosen, r: F.when(F.forall(chosen, lambda o: apart(o, r)), F.concat(chosen, F.array(r))).otherwise(chosen)
+    runs = runs.withColumn("rs", F.aggregate("rs", F.slice("rs", 1, 0), add))
+    known = found.groupBy("rid").agg(F.collect_list(F.struct("paragraph", "position", "license")).alias("us"))
+    within = lambda u, r: F.when(u["paragraph"] == 0, u["position"].between(r["line"], r["line1"])).otherwise(u["position"].between(r["par"], r["par1"]))
+    new = F.filter("rs", lambda r: ~F.exists("us", lambda u: (u["license"] == r["license"]) & within(u, r)))
+    runs = runs.join(known, "rid", "left").select("doc_id", F.explode(F.when(F.col("us").isNull(), F.col("rs")).otherwise(new)).alias("r"))
+    return runs.select("doc_id", F.lit(2).alias("paragraph"), F.col("r.k").alias("position"), "r.license", (-F.col("r.d")).alias("dice"))
+
+
+def license_scan(docs: DataFrame, templates: DataFrame | None = None, least: float = LEAST, anywhere: bool = False) -> DataFrame:
     """(doc_id, paragraph, position, license, dice): a row for each line and
-    each paragraph that comes within ``least`` of a template, with the best."""
+    each paragraph that comes within ``least`` of a template, with the best;
+    with ``anywhere`` also for other runs of words, see ``windows``."""
     spark: SparkSession = docs.sparkSession
     if templates is None:
         templates = spark.createDataFrame(list(TEMPLATES), "license string, wording string").coalesce(1)
@@ -116,14 +185,21 @@ def license_scan(docs: DataFrame, templates: DataFrame | None = None, least: flo
     ready = pick(docs, doc_id="long", text="string")
     pairs = [r.bigram for r in needed(templates, least).limit(MOST_PAIRS + 1).collect()]
     has = F.col("text").rlike(pattern(pairs)) if len(pairs) <= MOST_PAIRS else F.lit(True)
+    ready = ready.where(has).withColumn("rid", F.monotonically_increasing_id() if anywhere else F.lit(0).cast("long"))
+    if anywhere:
+        ready = materialize(ready, "texts")
     # n bigrams have n + 1 words, each of a byte or more and a byte apart.
-    found = ready.where(has).select("doc_id", F.explode(F.filter(units(F.col("text")), lambda s: F.octet_length(s["unit"]) > 2 * shortest)).alias("u"))
-    found = found.select("doc_id", "u.paragraph", "u.position", words(F.col("u.unit")).alias("words")).withColumn("n", F.size("words") - 1)
+    found = ready.select("rid", "doc_id", F.explode(F.filter(units(F.col("text")), lambda s: F.octet_length(s["unit"]) > 2 * shortest)).alias("u"))
+    found = found.select("rid", "doc_id", "u.paragraph", "u.position", words(F.col("u.unit")).alias("words")).withColumn("n", F.size("words") - 1)
     found = found.where(F.col("n").between(shortest, longest))
     met = sized_join(found, sized, ["n"]).withColumn("own", bigrams(F.col("words")))
     dice = lambda t: F.round(2.0 * common(F.col("own"), t["bigrams"]) / (F.size("own") + F.size(t["bigrams"])), 6)
     best = F.array_min(F.transform("wanted", lambda t: F.struct((-dice(t)).alias("d"), t["license"].alias("license"))))
-    return met.select("doc_id", "paragraph", "position", best.alias("b")).where(F.col("b.d") <= -least).select("doc_id", "paragraph", "position", "b.license", (-F.col("b.d")).alias("dice"))
+    out = met.select("rid", "doc_id", "paragraph", "position", best.alias("b")).where(F.col("b.d") <= -least).select("rid", "doc_id", "paragraph", "position", "b.license", (-F.col("b.d")).alias("dice"))
+    if not anywhere:
+        return out.drop("rid")
+    out = materialize(out, "found")
+    return out.drop("rid").union(windows(ready, out, templates, least))
 
 
 def oracle_sql() -> str:

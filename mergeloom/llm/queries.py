@@ -53,7 +53,7 @@ def op3_mixing_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.license_scan(_table(spark, sf_dir, "documents"))
+    return licenses.license_scan(_table(spark, sf_dir, "documents"), anywhere=True)
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -144,6 +144,47 @@ def test_licenses_as_brute_force(spark):
     assert rows_of(licenses.license_scan(odd)) == want
 
 
+def brute_runs(text, templates=licenses.TEMPLATES, least=licenses.LEAST):
+    """(position, end, license, dice) of runs of words: the best from each word
+    on, then those that no better one overlaps."""
+    words = [w for w in plain_words(text or "") if w]
+    runs = []
+    for name, wording in templates:
+        b = pairs(plain_words(wording))
+        m = sum(b.values())
+        for i in range(len(words) - 1 if m else 0):
+            if (words[i], words[i + 1]) in b:
+                ends = range(i + 1, min(len(words), i + 1 + int(m * (2 - least) / least + 1e-9)))
+                dice = lambda j: round(2 * sum((pairs(words[i : j + 1]) & b).values()) / (j - i + m), 6)  # noqa: B023, E731
+                d, n = min((-dice(j), i - j) for j in ends)
+                runs += [(d, n, i, name)] if d <= -least else []
+    chosen = []
+    for d, n, i, name in sorted(runs):
+        if all(i - n < k or k - l < i for _, l, k, _ in chosen):
+            chosen.append((d, n, i, name))
+    return [(i, i - n, name, -d) for d, n, i, name in chosen]
+
+
+def test_notices_among_other_words(spark):
+    mit = licenses.TEMPLATES[-2][1]
+    commented = "/*\n" + "\n".join(" * " + " ".join(mit.split()[i : i + 9]) for i in range(0, len(mit.split()), 9)) + "\n */\n" + "int main; " * 60
+    gpl = "This work is licensed under the GNU General Public License, version 3."
+    texts = [
+        "Copyright 2020 Ada. Released under the MIT License.", "He said: " + mit + " and so on, and so on, for many more words than those of the notice itself " * 3, commented, gpl * 3,
+        "a b c\n\nLicensed under the really Apache License, Version 2.0 x y", "no notice", "", None, "word", gpl, "x\n" + gpl + "\ny", "# Released under\n# the MIT License. # end of it\nand more",
+    ]
+    rows = [(i, t, "a", None, 0) for i, t in enumerate(texts)] + [(0, texts[0], "a", None, 0)]
+    units = brute_licenses(rows)
+    want = sorted(units + [repr((d, 2, i, name, x)) for d, t, *_ in rows if d not in (9, 10) for i, _, name, x in brute_runs(t)])
+    got = rows_of(licenses.license_scan(spark.createDataFrame(rows, SCHEMA).repartition(3), anywhere=True))
+    assert got == want and {eval(r)[0] for r in want} >= {0, 1, 2, 3, 4, 9, 10, 11}
+    rng = random.Random(6)
+    own = [(f"L{i}", " ".join(rng.choice("abc") for _ in range(rng.randrange(1, 8)))) for i in range(6)]
+    rows = [(i, " ".join(rng.choice("abcd") for _ in range(rng.randrange(1, 40))) + " d d d d d d d d d d d d d d d d d d", None, None, None) for i in range(60)]
+    got = licenses.license_scan(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(own, "license string, wording string"), anywhere=True)
+    assert rows_of(got) == sorted(repr((d, 2, i, name, x)) for d, t, *_ in rows for i, _, name, x in brute_runs(t, own))
+
+
 def test_other_templates(spark):
     rng = random.Random(1)
     words = ["aa", "bb", "cc", "dd"]
