@@ -12,7 +12,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mergeloom.plans.spec import Agg, Part
+from mergeloom.plans.spec import Agg, Inputs, Part, buffers, merge
 
 ColumnLike = str | Column
 
@@ -135,8 +135,12 @@ def unique_count(x: ColumnLike) -> Agg:
 
 
 def unique_count_exact(x: ColumnLike) -> Agg:
-    """The same number without a stored set: for ``aggregate`` only."""
-    return simple(x, F.count_distinct, F.max, 0)
+    """The same number without a stored set: for ``aggregate`` and ``over``."""
+
+    def refuse(_: Column) -> Column:
+        raise ValueError("numbers of distinct values do not merge: use unique_count, or keyed.group and count")
+
+    return simple(x, F.count_distinct, refuse, 0)
 
 
 # First, last, extrema --------------------------------------------------
@@ -229,10 +233,16 @@ def _values(top: DataFrame, x: str, by: Sequence[str]) -> DataFrame:
     return grouped.agg(F.transform(rows, lambda r: r["v"]).alias("values"))
 
 
-def top_k(x: ColumnLike, k: int) -> Agg:
-    """The k smallest as a mergeable buffer of at most k values."""
-    cut = lambda a: F.slice(F.array_sort(a), 1, k)
-    return Agg((_c(x),), (Part("top", lambda xs: cut(F.collect_list(xs[0])), lambda c: cut(F.flatten(F.collect_list(c)))),), _one)
+def top_k(df: DataFrame, k: int, x: str, by: Sequence[str]) -> DataFrame:
+    """(by, top): the k smallest values, ascending, as a buffer of at most k.
+    The limit by group runs before the shuffle and after it, so no task ever
+    holds more than k values of a group."""
+    return _values(sort_by_take(df.where(F.col(x).isNotNull()), k, [F.col(x)], by), x, by).withColumnRenamed("values", "top")
+
+
+def merge_top_k(stored: DataFrame, k: int, by: Sequence[str] = ()) -> DataFrame:
+    """Such buffers merged by coarser keys, the same way."""
+    return top_k(stored.select(*by, F.explode("top").alias("_x")), k, "_x", by)
 
 
 # Samples ---------------------------------------------------------------
@@ -274,54 +284,72 @@ def average(x: ColumnLike) -> Agg:
     return averaged(x).and_then_present(lambda s: s["mean"])
 
 
-def _moment(k: int) -> Part:
-    return Part(f"s{k}", lambda xs: F.sum(F.pow(xs[0] - xs[1], F.lit(float(k)))), F.sum, 0.0)
+#: Puts an aggregate in its place: as it is in a group, or over a window.
+On = Callable[[Column], Column]
 
 
-def moments(x: ColumnLike) -> Agg:
-    """count, mean, variance, stddev (population), skewness and excess kurtosis
-    by the native one-pass aggregates. For ``aggregate`` and ``over``; stored
-    buffers are ``moment_buffers``."""
-    fs = {"count": F.count, "mean": F.avg, "variance": F.var_pop, "stddev": F.stddev_pop, "skewness": F.skewness, "kurtosis": F.kurtosis}
-    parts = tuple(Part(n, lambda xs, f=f: f(xs[0]), F.max) for n, f in fs.items())
-    return Agg((_c(x).cast("double"),), parts, lambda p: F.struct(*[c.alias(n) for n, c in zip(fs, p, strict=True)]))
+def _part(name: str, update: Callable[[Inputs, On], Column], of: str, zero: object = None) -> Part:
+    """A part of a central statistic, which is not merged on its own."""
+
+    def refuse(_: Column) -> Column:
+        raise ValueError(f"{of} merge by spec.merge only: it needs the merged mean first")
+
+    return Part(name, lambda xs: update(xs, lambda c: c), refuse, zero, lambda xs, w: update(xs, lambda c: c.over(w)))
+
+
+def _weighted_mean(n: Column, mean: Column) -> Column:
+    return F.try_divide(F.sum(n * mean), F.sum(n))
 
 
 MOMENTS = ("m0", "m1", "m2", "m3", "m4")
 
 
-def moment_buffers(df: DataFrame, x: str, by: Sequence[str]) -> DataFrame:
-    """(by, m0..m4): count, mean and central sums of powers."""
-    n, var = F.count(x), F.var_pop(x)
-    m2 = var * n
-    return df.groupBy(*by).agg(
-        n.alias("m0"), F.avg(x).alias("m1"), m2.alias("m2"),
-        (F.coalesce(F.skewness(x), F.lit(0.0)) * n * F.pow(var, F.lit(1.5))).alias("m3"),
-        (F.coalesce(F.kurtosis(x) + 3, F.lit(0.0)) * n * var * var).alias("m4"),
-    )
+def moments(x: ColumnLike) -> Agg:
+    """count, mean, variance, stddev (population), skewness and excess kurtosis.
+    The buffer is the count, the mean and the central sums of powers 2 to 4,
+    which the native one-pass aggregates give and ``spec.merge`` moves to the
+    merged mean. A column without values has count 0 and nulls."""
+
+    def central(c: Column, k: int, on: On) -> Column:
+        n, var = on(F.count(c)), on(F.var_pop(c))
+        if k < 3:
+            return (n.cast("double"), on(F.avg(c)), var * n)[k]
+        power = on(F.skewness(c)) * n * F.pow(var, F.lit(1.5)) if k == 3 else (on(F.kurtosis(c)) + 3) * n * var * var
+        return F.coalesce(power, F.when(n > 0, F.lit(0.0)))
+
+    def merge_about(p: Sequence[Column], about: Sequence[Column]) -> list[Column]:
+        n, mean, m2, m3, m4 = p
+        d = mean - about[0]
+        return [
+            F.sum(n), F.max(about[0]), F.sum(m2 + n * d * d), F.sum(m3 + 3 * d * m2 + n * d * d * d),
+            F.sum(m4 + 4 * d * m3 + 6 * d * d * m2 + n * d * d * d * d),
+        ]
+
+    parts = tuple(_part(m, lambda xs, on, k=k: central(xs[0], k, on), "moments", 0.0 if m == "m0" else None) for k, m in enumerate(MOMENTS))
+    return Agg((_c(x).cast("double"),), parts, lambda p: F.struct(*[c.alias(n) for n, c in present_moments(p).items()]), None, lambda p: [_weighted_mean(p[0], p[1])], merge_about)
+
+
+def present_moments(parts: Sequence[Column]) -> dict[str, Column]:
+    """The statistics of the columns m0..m4."""
+    m0, m1, m2, m3, m4 = parts
+    variance = F.try_divide(m2, m0)
+    return {
+        "count": m0.cast("long"), "mean": m1, "variance": variance, "stddev": F.sqrt(variance),
+        "skewness": F.try_divide(m3, m2 * F.sqrt(variance)), "kurtosis": F.try_divide(m0 * m4, m2 * m2) - 3,
+    }
 
 
-def merge_moments(stored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Stored moments merged by coarser keys: the common mean first, then the
-    central sums about it. Two small aggregations, nothing is collected."""
-    keys = list(by) or [F.lit(1).alias("_all")]
-    rows = stored.select(*keys, *MOMENTS)
-    names = list(by) or ["_all"]
-    means = rows.groupBy(*names).agg((F.sum(F.col("m0") * F.col("m1")) / F.sum("m0")).alias("_mean"))
-    joined = rows.join(means, names).withColumn("_d", F.col("m1") - F.col("_mean"))
-    d, m0, m2, m3, m4 = (F.col(c) for c in ("_d", "m0", "m2", "m3", "m4"))
-    out = joined.groupBy(*names).agg(
-        F.sum("m0").alias("m0"), F.max("_mean").alias("m1"), F.sum(m2 + m0 * d * d).alias("m2"),
-        F.sum(m3 + 3 * d * m2 + m0 * d * d * d).alias("m3"), F.sum(m4 + 4 * d * m3 + 6 * d * d * m2 + m0 * d * d * d * d).alias("m4"),
-    )
-    return out if by else out.drop("_all")
+def moment_buffers(df: DataFrame, x: str, by: Sequence[str]) -> DataFrame:
+    """(by, m0..m4): count, mean and central sums of powers, as a table whose
+    columns may be scaled or negated."""
+    stored = buffers(df, {"m": moments(x)}, by)
+    return stored.withColumnsRenamed({f"m__{m}": m for m in MOMENTS})
 
 
-def present_moments() -> dict[str, Column]:
-    """The statistics of columns m0..m4."""
-    m0, m1, m2, m3, m4 = (F.col(c) for c in MOMENTS)
-    sd = F.sqrt(m2 / m0)
-    return {"count": m0, "mean": m1, "variance": m2 / m0, "stddev": sd, "skewness": F.when(m2 != 0, m3 / (m2 * sd)), "kurtosis": F.when(m2 != 0, m0 * m4 / (m2 * m2) - 3)}
+def merge_moments(stored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Such tables merged by coarser keys."""
+    merged = merge(stored.withColumnsRenamed({m: f"m__{m}" for m in MOMENTS}), {"m": moments("_")}, by)
+    return merged.withColumnsRenamed({f"m__{m}": m for m in MOMENTS})
 
 
 def scale_moments(stored: DataFrame, z: float) -> DataFrame:
@@ -337,46 +365,94 @@ def negate_moments(stored: DataFrame) -> DataFrame:
 
 
 def combined_mean(n: Column, a: Column, k: Column, b: Column) -> Column:
-    """The mean of two groups, stable when one is much smaller."""
-    total = (n + k).cast("double")
-    small, large = F.least(n, k), F.greatest(n, k)
-    far, near = F.when(n <= k, a).otherwise(b), F.when(n <= k, b).otherwise(a)
-    shifted = near + (far - near) * (small / total)
-    return F.when(total == 0, 0.0).when(small / total < 0.1, shifted).otherwise((small * far + large * near) / total)
+    """The mean of two groups: the larger group's mean, moved by the other's
+    share of the distance, so that a small group costs no precision."""
+    share = F.coalesce(F.try_divide(F.least(n, k).cast("double"), (n + k).cast("double")), F.lit(0.0))
+    start, other = F.when(n < k, b).otherwise(a), F.when(n < k, a).otherwise(b)
+    return F.when(n + k == 0, 0.0).otherwise(start + share * (other - start))
+
+
+def _pairs(inputs: Inputs, updates: dict[str, Callable[[Inputs, On], Column]], present: Callable[[dict[str, Column]], Column]) -> Agg:
+    """Pairs by weight, means and central sums: ``w, mx, my, xx, yy, xy``."""
+
+    def merge_about(p: Sequence[Column], about: Sequence[Column]) -> list[Column]:
+        w, mx, my, xx, yy, xy = p
+        dx, dy = mx - about[0], my - about[1]
+        return [F.sum(w), F.max(about[0]), F.max(about[1]), F.sum(xx + w * dx * dx), F.sum(yy + w * dy * dy), F.sum(xy + w * dx * dy)]
+
+    parts = tuple(_part(n, f, "correlations", 0.0 if n == "w" else None) for n, f in updates.items())
+    centers = lambda p: [_weighted_mean(p[0], p[1]), _weighted_mean(p[0], p[2])]
+    return Agg(inputs, parts, lambda p: present(dict(zip(updates, p, strict=True))), None, centers, merge_about)
+
+
+def _correlated(p: dict[str, Column]) -> Column:
+    """The correlation of central sums, within -1 and 1 whatever the rounding;
+    null if either side does not vary."""
+    root = lambda c: F.sqrt(F.greatest(F.lit(0.0), c))
+    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(p["xy"], root(p["xx"]) * root(p["yy"]))))
 
 
 def correlation(x: ColumnLike, y: ColumnLike) -> Agg:
-    """Population co-moments of pairs: correlation, covariance, least squares
-    (y on x), means, variances and distance = sqrt(1 - correlation)."""
+    """Population co-moments of pairs without a null: count, correlation,
+    covariance, least squares (y on x), means, variances and distance = sqrt(1 -
+    correlation). Stored buffers merge."""
     both = lambda xs: F.when(xs[1].isNotNull(), xs[0])
     other = lambda xs: F.when(xs[0].isNotNull(), xs[1])
-    fs = {
-        "count": lambda xs: F.count(both(xs)), "correlation": lambda xs: F.corr(xs[0], xs[1]), "covariance": lambda xs: F.covar_pop(xs[0], xs[1]),
-        "slope": lambda xs: F.regr_slope(xs[1], xs[0]), "intercept": lambda xs: F.regr_intercept(xs[1], xs[0]),
-        "mean_x": lambda xs: F.avg(both(xs)), "mean_y": lambda xs: F.avg(other(xs)), "variance_x": lambda xs: F.var_pop(both(xs)), "variance_y": lambda xs: F.var_pop(other(xs)),
+    updates = {
+        "w": lambda xs, on: on(F.count(both(xs))).cast("double"), "mx": lambda xs, on: on(F.avg(both(xs))), "my": lambda xs, on: on(F.avg(other(xs))),
+        "xx": lambda xs, on: on(F.var_pop(both(xs))) * on(F.count(both(xs))), "yy": lambda xs, on: on(F.var_pop(other(xs))) * on(F.count(both(xs))),
+        "xy": lambda xs, on: on(F.covar_pop(xs[0], xs[1])) * on(F.count(both(xs))),
     }
-    parts = tuple(Part(n, f, F.max) for n, f in fs.items())
 
-    def present(p: Sequence[Column]) -> Column:
-        named = dict(zip(fs, p, strict=True))
-        return F.struct(*[c.alias(n) for n, c in named.items()], F.sqrt(1 - named["correlation"]).alias("distance"))
+    def present(p: dict[str, Column]) -> Column:
+        slope, c, mean = F.try_divide(p["xy"], p["xx"]), _correlated(p), lambda s: F.try_divide(s, p["w"])
+        return F.struct(
+            p["w"].cast("long").alias("count"), c.alias("correlation"), mean(p["xy"]).alias("covariance"), slope.alias("slope"), (p["my"] - slope * p["mx"]).alias("intercept"),
+            p["mx"].alias("mean_x"), p["my"].alias("mean_y"), mean(p["xx"]).alias("variance_x"), mean(p["yy"]).alias("variance_y"), F.sqrt(1 - c).alias("distance"),
+        )
+
+    return _pairs((_c(x).cast("double"), _c(y).cast("double")), updates, present)
+
+
+def weighted_correlation(x: ColumnLike, y: ColumnLike, weight: ColumnLike, about: tuple[float, float] = (0.0, 0.0)) -> Agg:
+    """The same for weighted pairs: weight, means, covariance, variances,
+    correlation. Rows with a null in any of the three do not count. Within a
+    buffer the sums are about the point ``about``; one near the data keeps
+    digits when values are large beside their spread
+    (``weighted_correlation_of`` finds it). Stored buffers merge."""
+
+    def moment(i: int, j: int) -> Callable[[Inputs, On], Column]:
+        """The sum of w a^i b^j about the point."""
+
+        def run(xs: Inputs, on: On) -> Column:
+            a, b, out = xs[0] - float(about[0]), xs[1] - float(about[1]), F.when(xs[0].isNotNull() & xs[1].isNotNull(), xs[2])
+            for factor in (*[a] * i, *[b] * j):
+                out = out * factor
+            return on(F.sum(out))
+
+        return run
+
+    def central(i: int, j: int) -> Callable[[Inputs, On], Column]:
+        first, second = (moment(1, 0) if i else moment(0, 1)), (moment(0, 1) if j else moment(1, 0))
+        return lambda xs, on: moment(i, j)(xs, on) - F.try_divide(first(xs, on) * second(xs, on), moment(0, 0)(xs, on))
 
-    return Agg((_c(x).cast("double"), _c(y).cast("double")), parts, present)
+    mean = lambda i, j, c: lambda xs, on: F.lit(float(c)) + F.try_divide(moment(i, j)(xs, on), moment(0, 0)(xs, on))
+    updates = {"w": moment(0, 0), "mx": mean(1, 0, about[0]), "my": mean(0, 1, about[1]), "xx": central(2, 0), "yy": central(0, 2), "xy": central(1, 1)}
 
+    def present(p: dict[str, Column]) -> Column:
+        of = lambda s: F.try_divide(s, p["w"])
+        return F.struct(
+            p["w"].alias("weight"), p["mx"].alias("mean_x"), p["my"].alias("mean_y"), of(p["xy"]).alias("covariance"),
+            of(p["xx"]).alias("variance_x"), of(p["yy"]).alias("variance_y"), _correlated(p).alias("correlation"),
+        )
 
-def weighted_correlation(x: ColumnLike, y: ColumnLike, weight: ColumnLike) -> Agg:
-    """The same for weighted pairs from mergeable weighted sums: weight, means,
-    covariance, variances, correlation."""
-    names = ("w", "x", "y", "xx", "yy", "xy")
-    terms = (lambda a, b, w: w, lambda a, b, w: w * a, lambda a, b, w: w * b, lambda a, b, w: w * a * a, lambda a, b, w: w * b * b, lambda a, b, w: w * a * b)
-    parts = tuple(Part(n, lambda xs, t=t: F.sum(t(*xs)), F.sum, 0.0) for n, t in zip(names, terms, strict=True))
+    return _pairs(tuple(_c(c).cast("double") for c in (x, y, weight)), updates, present)
 
-    def present(p: Sequence[Column]) -> Column:
-        w, sx, sy, sxx, syy, sxy = p
-        cov, vx, vy = sxy / w - sx / w * (sy / w), sxx / w - F.pow(sx / w, F.lit(2.0)), syy / w - F.pow(sy / w, F.lit(2.0))
-        return F.struct(w.alias("weight"), (sx / w).alias("mean_x"), (sy / w).alias("mean_y"), cov.alias("covariance"), vx.alias("variance_x"), vy.alias("variance_y"), (cov / F.sqrt(vx * vy)).alias("correlation"))
 
-    return Agg(tuple(_c(c).cast("double") for c in (x, y, weight)), parts, present)
+def weighted_correlation_of(df: DataFrame, x: str, y: str, weight: str) -> Agg:
+    """``weighted_correlation`` about the means of ``df``, one pass more."""
+    means = df.agg(F.avg(x), F.avg(y)).first()
+    return weighted_correlation(x, y, weight, tuple(float(m) if m is not None and math.isfinite(m) else 0.0 for m in means))
 
 
 def gaussian_sum(mean: ColumnLike, variance: ColumnLike) -> Agg:

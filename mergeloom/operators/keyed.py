@@ -7,7 +7,7 @@ them, once, at the end. ``keep_zeros`` gives the plain grouped sum instead.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -179,12 +179,15 @@ def min_plus_step(distances: DataFrame, edges: DataFrame, node: str = "node", co
     return distances.select(node, cost).union(through).groupBy(node).agg(F.min(cost).alias(cost))
 
 
-def min_plus_closure(start: DataFrame, edges: DataFrame, most_rounds: int, cut=lambda df: df) -> DataFrame:
-    """Relaxations until nothing changes; ``cut`` bounds the lineage."""
+def min_plus_closure(start: DataFrame, edges: DataFrame, most_rounds: int, cut: Callable[[DataFrame], DataFrame] = lambda df: df.checkpoint()) -> DataFrame:
+    """Relaxations until nothing changes; ``cut`` writes each round away and so
+    bounds the lineage (default: a checkpoint, which survives lost executors).
+    Raises if ``most_rounds`` are not enough: shortest paths of so many edges,
+    or a cycle of negative weight."""
     distances = cut(start.select("node", "cost"))
     for _ in range(most_rounds):
         nearer = cut(min_plus_step(distances, edges))
         if nearer.exceptAll(distances).isEmpty():
             return nearer
         distances = nearer
-    return distances
+    raise RuntimeError(f"distances still change after {most_rounds} rounds")

@@ -1,48 +1,68 @@
 """Order-sensitive operators that no native window expresses.
 
-Rows are hashed by group, sorted in their partitions and streamed through a
-Python generator with one group's state at a time: a group may be larger than
-memory, only its state may not.
+Rows are hashed by group, sorted in their partitions and streamed as Arrow
+batches through a Python generator with one group's state at a time: a group
+may be larger than memory, only its state may not. Values come as Python's own:
+nulls are None, 64-bit integers exact. Null keys are one group, and so are NaN
+keys. Without a group all rows form one sequence, which is one task's; a scan
+that any ``Agg`` expresses should use ``scan.global_scan`` instead.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from mergeloom.session import ship
 
 Row = tuple
 
 
-def _streamed(df: DataFrame, by: Sequence[str], order: Sequence[str], columns: Sequence[str], schema: str, run: Callable[[Iterator[tuple[Row, Row]]], Iterator[tuple]]) -> DataFrame:
+def _arrow(schema: str) -> pa.Schema:
+    return to_arrow_schema(StructType.fromDDL(schema))
+
+
+def _group(key: Row) -> Row:
+    """The key, equal to itself: NaN is equal to NaN as in a grouping."""
+    return tuple("NaN" if x != x else x for x in key) if any(x != x for x in key) else key
+
+
+def _streamed(df: DataFrame, by: Sequence[str], order: Sequence[str], columns: Sequence[str], schema: str, run: Callable[[Iterator[tuple[Row, Row]]], Iterator[tuple]], reverse: bool = False, rows_a_batch: int = 10_000) -> DataFrame:
     """``run`` gets (key, values) in order, group after group."""
     ship(df.sparkSession)
-    rows = df.select(*dict.fromkeys([*by, *order, *columns]))
-    rows = rows.repartition(*by) if by else rows.coalesce(1)
-    rows = rows.sortWithinPartitions(*by, *order)
-    k, names = len(by), [x.split(" ")[0] for x in schema.split(", ")]
-
-    def items(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[Row, Row]]:
+    places = [f"_o{i}" for i in range(len(order))]
+    rows = df.select(*[F.col(c).alias(f"_v{i}") for i, c in enumerate([*by, *columns])], *[F.col(o).alias(p) for o, p in zip(order, places, strict=True)])
+    k, width, own = len(by), len(by) + len(columns), _arrow(schema)
+    keys = [f"_v{i}" for i in range(k)]
+    rows = rows.repartition(*keys) if by else rows.coalesce(1)
+    rows = rows.sortWithinPartitions(*keys, *[F.col(p).desc() if reverse else F.col(p) for p in places])
+
+    def items(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Row, Row]]:
         for b in batches:
-            for t in zip(*[b[c].tolist() for c in [*by, *columns]], strict=True):
+            for t in zip(*[b.column(i).to_pylist() for i in range(width)], strict=True):
                 yield t[:k], t[k:]
 
-    def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def batch(held: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), own, strict=True)], schema=own)
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         for out in run(items(batches)):
             held.append(out)
-            if len(held) == 10_000:
-                yield pd.DataFrame(held, columns=names)
+            if len(held) == rows_a_batch:
+                yield batch(held)
                 held = []
         if held:
-            yield pd.DataFrame(held, columns=names)
+            yield batch(held)
 
-    return rows.mapInPandas(apply, schema)
+    return rows.drop(*places).mapInArrow(apply, schema)
 
 
 def scan_groups(df: DataFrame, by: Sequence[str], order: Sequence[str], columns: Sequence[str], schema: str, initial: Any, step: Callable[[Any, Row], tuple[Any, tuple]]) -> DataFrame:
@@ -52,48 +72,46 @@ def scan_groups(df: DataFrame, by: Sequence[str], order: Sequence[str], columns:
     def run(items: Iterator[tuple[Row, Row]]) -> Iterator[tuple]:
         state, last = None, object()
         for key, row in items:
-            if key != last:
-                state, last = initial() if callable(initial) else initial, key
+            if (group := _group(key)) != last:
+                state, last = initial() if callable(initial) else initial, group
             state, out = step(state, row)
             yield (*key, *out)
 
     return _streamed(df, by, order, columns, schema, run)
 
 
-def fold_groups(df: DataFrame, by: Sequence[str], order: Sequence[str], columns: Sequence[str], schema: str, initial: Any, step: Callable[[Any, Row], Any], end: Callable[[Any], tuple | None]) -> DataFrame:
-    """A general fold: a row out for each group, or none if ``end`` gives None."""
+def fold_groups(df: DataFrame, by: Sequence[str], order: Sequence[str], columns: Sequence[str], schema: str, initial: Any, step: Callable[[Any, Row], Any], end: Callable[[Any], tuple | None], reverse: bool = False) -> DataFrame:
+    """A general fold: a row out for each group, or none if ``end`` gives None.
+    ``reverse`` begins with the last row."""
 
     def run(items: Iterator[tuple[Row, Row]]) -> Iterator[tuple]:
-        state, last, started = None, None, False
-        for key, row in items:
-            if not started or key != last:
+        state, last, key, started = None, None, (), False
+        for new, row in items:
+            if not started or (group := _group(new)) != last:
                 if started and (out := end(state)) is not None:
-                    yield (*last, *out)
-                state, last, started = initial() if callable(initial) else initial, key, True
+                    yield (*key, *out)
+                state, last, key, started = initial() if callable(initial) else initial, _group(new), new, True
             state = step(state, row)
         if started and (out := end(state)) is not None:
-            yield (*last, *out)
+            yield (*key, *out)
 
-    return _streamed(df, by, order, columns, schema, run)
+    return _streamed(df, by, order, columns, schema, run, reverse)
 
 
 def right_folded(df: DataFrame, by: Sequence[str], order: Sequence[str], item: str, value: str, schema: str, fold: Callable[[Any, Any], Any]) -> DataFrame:
     """Each row is an item to fold or a value to start from (``value`` not
     null). The group's first value counts; the items before it are folded into
-    it from the right, nearest first. Groups without a value give no row."""
+    it from the right, nearest first. Groups without a value give no row.
 
-    def step(state: tuple, row: Row) -> tuple:
-        waiting, done, out = state
-        if done:
-            return state
-        if pd.isna(row[1]):
-            return ([*waiting, row[0]], False, None)
-        out = row[1]
-        for x in reversed(waiting):
-            out = fold(x, out)
-        return ([], True, out)
+    Rows come last first, so the state is one value: each value starts anew,
+    and every item that follows it in this order is folded in at once."""
 
-    return fold_groups(df, by, order, [item, value], schema, lambda: ([], False, None), step, lambda s: (s[2],) if s[1] else None)
+    def step(state: tuple | None, row: Row) -> tuple | None:
+        if row[1] is not None:
+            return (row[1],)
+        return state and (fold(row[0], state[0]),)
+
+    return fold_groups(df, by, order, [item, value], schema, lambda: None, step, lambda s: s, reverse=True)
 
 
 def right_folded_sums(df: DataFrame, by: Sequence[str], order: Sequence[str], item: str, value: str, schema: str, fold: Callable[[Any, Any], Any], measure: Callable[[Any], float] = lambda x: x) -> DataFrame:
@@ -101,15 +119,12 @@ def right_folded_sums(df: DataFrame, by: Sequence[str], order: Sequence[str], it
     the items right before it folded in: (by, value, total)."""
 
     def step(state: tuple, row: Row) -> tuple:
-        waiting, first, total = state
-        if pd.isna(row[1]):
-            return ([*waiting, row[0]], first, total)
-        out = row[1]
-        for x in reversed(waiting):
-            out = fold(x, out)
-        return ([], (out,) if first is None else first, total + measure(out))
+        current, total = state
+        if row[1] is not None:
+            return (row[1],), total + (measure(current[0]) if current else 0.0)
+        return current and (fold(row[0], current[0]),), total
 
-    return fold_groups(df, by, order, [item, value], schema, lambda: ([], None, 0.0), step, lambda s: (s[1][0], s[2]) if s[1] else None)
+    return fold_groups(df, by, order, [item, value], schema, lambda: (None, 0.0), step, lambda s: (s[0][0], s[1] + measure(s[0][0])) if s[0] else None, reverse=True)
 
 
 # Gradient descent ----------------------------------------------------------
@@ -163,16 +178,18 @@ def space_saver_partials(df: DataFrame, x: str, capacity: int, item_type: str =
         raise ValueError("the capacity must be above 1")
     ship(df.sparkSession)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    schema = f"part int, item {item_type}, n long, err long, least long"
+    own = _arrow(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import heapq
 
         counters: dict[Any, list[int]] = {}
         heap: list[tuple[int, int, Any]] = []
         part, serial = 0, 0
         for b in batches:
-            part = int(b["part"].iloc[0]) if len(b) else part
-            for item, n in b["item"].value_counts(sort=False).items():
-                n = int(n)
+            part = b.column(0)[0].as_py() if b.num_rows else part
+            for item, n in Counter(b.column(1).to_pylist()).items():
                 if item in counters:
                     counters[item][0] += n
                     continue
@@ -193,10 +210,11 @@ def space_saver_partials(df: DataFrame, x: str, capacity: int, item_type: str =
                 heapq.heappush(heap, (err + n, serial, item))
         if counters:
             least = min(c for c, _ in counters.values()) if len(counters) >= capacity else 0
-            yield pd.DataFrame([(part, k, c, e, least) for k, (c, e) in counters.items()], columns=["part", "item", "n", "err", "least"])
+            held = [(part, k, c, e, least) for k, (c, e) in counters.items()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), own, strict=True)], schema=own)
 
     rows = df.where(F.col(x).isNotNull()).select(F.spark_partition_id().alias("part"), F.col(x).cast(item_type).alias("item"))
-    return rows.mapInPandas(run, f"part int, item {item_type}, n long, err long, least long")
+    return rows.mapInArrow(run, schema)
 
 
 def space_saver_merge(partials: DataFrame, capacity: int) -> DataFrame:
@@ -222,8 +240,6 @@ def most_frequent(saver: DataFrame, threshold: int) -> DataFrame:
 def saver_top_k(saver: DataFrame, k: int) -> DataFrame:
     """The k most frequent; guaranteed if no other can be among them."""
     rows = saver.orderBy(F.col("n").desc(), "item").limit(k + 1)
-    from pyspark.sql import Window
-
     ranked = rows.withColumn("_k", F.row_number().over(Window.orderBy(F.col("n").desc(), "item")))
     following = ranked.agg(F.coalesce(F.max(F.when(F.col("_k") == k + 1, F.col("n"))), F.lit(0)).alias("_next"))
     return ranked.where(F.col("_k") <= k).join(F.broadcast(following)).withColumn("guaranteed", F.col("low") >= F.col("_next")).drop("_k", "_next")

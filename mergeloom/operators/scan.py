@@ -111,6 +111,8 @@ def global_scan(df: DataFrame, aggs: Mapping[str, Agg], order: Sequence[str], ra
     and a window runs within each range. Two shuffles of the rows' range, none
     of them to a single task but for a row a range. Results stand beside the
     rows under the aggregations' names; their parts must merge from rows."""
+    if alone := [n for n, a in aggs.items() if a.centers]:
+        raise ValueError(f"{alone}: central statistics merge by spec.merge only")
     probabilities = [i / chunks for i in range(1, chunks)]
     bounds = df.agg(F.percentile_approx(rank, probabilities, 10_000).alias("b")).first().b or []
     at = F.size(F.filter(F.array(*[F.lit(b) for b in sorted(set(bounds))]).cast("array<double>"), lambda b: b <= rank.cast("double"))) if bounds else F.lit(0)

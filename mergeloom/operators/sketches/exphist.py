@@ -1,8 +1,10 @@
 """Exponential histograms: how much came within the last window of time.
 
 ``exact`` and ``running`` are native and exact. ``ExpHist`` is the bounded
-state for streams: buckets of sizes 1, 2, 4, ..., of each at most l + 1, whose
-oldest one is the only one that may reach out of the window.
+state for streams (Datar, Gionis, Indyk, Motwani): buckets of sizes 1, 2, 4,
+... with the time of their newest item. Whenever a size has more than l + 1
+buckets its two oldest become one of the next size. Only the oldest bucket of
+all may reach out of the window, which bounds the error.
 """
 
 from __future__ import annotations
@@ -34,56 +36,73 @@ def least_buckets(epsilon: float) -> int:
     return math.ceil(1 / (2 * epsilon))
 
 
-def canonical(total: int, least: int) -> list[int]:
-    """How many buckets of sizes 1, 2, 4, ... make up ``total``: l or l + 1 of
-    each but the largest, of which there are 1 to l + 1."""
-    if total <= 0:
-        return []
-    number, base = total + least, least + 1
-    top = (number // base).bit_length() - 1
-    rest = (number - (base << top)) % (1 << top)
-    return [least + (rest >> i & 1) for i in range(top)] + [(number >> top) - least]
+#: Buckets of one size, newest first, as runs (time, how many of that time).
+Runs = tuple[tuple[int, int], ...]
+
+
+def _merged(runs: list[tuple[int, int]], most: int) -> tuple[Runs, list[tuple[int, int]]]:
+    """What stays of one size, ``most`` buckets or one less, and the runs that
+    the oldest ones make in the next size when they are joined in pairs."""
+    pairs = max(0, -(-(sum(n for _, n in runs) - most) // 2))
+    kept, up = list(runs), []
+    while pairs:
+        time, n = kept.pop()
+        whole = min(n // 2, pairs)
+        if whole:
+            up.append((time, whole))
+            pairs, n = pairs - whole, n - 2 * whole
+        elif kept:  # a single one joins the next newer bucket, whose time counts
+            newer, more = kept.pop()
+            up.append((newer, 1))
+            pairs, time, n = pairs - 1, newer, more - 1
+        if n:
+            kept.append((time, n))
+    return tuple(kept), up[::-1]
 
 
 @dataclass(frozen=True)
 class ExpHist:
-    """Buckets (size, time), newest first."""
+    """``sizes[i]`` holds the buckets of size 2^i; none is newer than a smaller one."""
 
     epsilon: float
     window: int
-    buckets: tuple[tuple[int, int], ...] = ()
+    sizes: tuple[Runs, ...] = ()
     time: int = 0
 
+    @property
+    def buckets(self) -> list[tuple[int, int]]:
+        """(size, time) of all buckets, newest first."""
+        return [(1 << i, t) for i, runs in enumerate(self.sizes) for t, n in runs for _ in range(n)]
+
     @property
     def total(self) -> int:
-        return sum(n for n, _ in self.buckets)
+        return sum(n << i for i, runs in enumerate(self.sizes) for _, n in runs)
 
     def step(self, time: int) -> ExpHist:
         """Move on to ``time`` and drop what is too old; never back in time."""
         now = max(self.time, time)
-        kept = tuple(b for b in self.buckets if b[1] > now - self.window)
-        return ExpHist(self.epsilon, self.window, kept, now)
+        kept = [tuple(r for r in runs if r[0] > now - self.window) for runs in self.sizes]
+        while kept and not kept[-1]:
+            kept.pop()
+        return ExpHist(self.epsilon, self.window, tuple(kept), now)
 
     def add(self, n: int, time: int) -> ExpHist:
-        """n more at ``time``."""
+        """n more at ``time``: buckets of size 1, then merges size by size."""
         moved = self.step(time)
         if n <= 0:
             return moved
-        waiting = [(n, moved.time), *moved.buckets]
-        out, at, left = [], 0, waiting[0][0]
-        for i, count in enumerate(canonical(n + moved.total, least_buckets(self.epsilon))):
-            for _ in range(count):
-                need, newest = 1 << i, None
-                while need:
-                    if not left:
-                        at += 1
-                        left = waiting[at][0]
-                    newest = waiting[at][1] if newest is None else newest
-                    took = min(left, need)
-                    left, need = left - took, need - took
-                out.append((1 << i, newest))
+        most, out, coming = least_buckets(self.epsilon) + 1, [], [(moved.time, n)]
+        for runs in moved.sizes:
+            kept, coming = _merged([*coming, *runs], most)
+            out.append(kept)
+        while coming:
+            kept, coming = _merged(coming, most)
+            out.append(kept)
         return ExpHist(self.epsilon, self.window, tuple(out), moved.time)
 
+    def inc(self, time: int) -> ExpHist:
+        return self.add(1, time)
+
     def add_all(self, items: Sequence[tuple[int, int]]) -> ExpHist:
         """(n, time) pairs in the order of time."""
         out = self
@@ -91,26 +110,32 @@ class ExpHist:
             out = out.add(n, time)
         return out
 
-    def inc(self, time: int) -> ExpHist:
-        return self.add(1, time)
-
     def bounds(self) -> tuple[int, int]:
         """The true number lies from low to high."""
-        if not self.buckets:
-            return 0, 0
-        oldest = self.buckets[-1][0]
-        return self.total - oldest + 1, self.total
+        oldest = 1 << len(self.sizes) >> 1
+        return (self.total - oldest + 1, self.total) if oldest else (0, 0)
 
     def guess(self) -> float:
-        return self.total - (self.buckets[-1][0] - 1) / 2 if self.buckets else 0.0
+        """The middle of the bounds: half of the oldest bucket counts."""
+        return sum(self.bounds()) / 2
 
     def relative_error(self) -> float:
         """A bound on the guess's relative error."""
-        if not self.buckets:
-            return 0.0
         low, high = self.bounds()
         return (high - low) / 2 / max(low, 1)
 
+    def state(self) -> tuple[list[int], list[int], list[int], int]:
+        """Size numbers, times and numbers of all runs, and the time."""
+        flat = [(i, *r) for i, runs in enumerate(self.sizes) for r in runs]
+        return [x[0] for x in flat], [x[1] for x in flat], [x[2] for x in flat], self.time
+
+    @classmethod
+    def of_state(cls, epsilon: float, window: int, number: Sequence[int], times: Sequence[int], counts: Sequence[int], now: int) -> ExpHist:
+        sizes: list[list[tuple[int, int]]] = [[] for _ in range(max(number, default=-1) + 1)]
+        for i, t, n in zip(number, times, counts, strict=True):
+            sizes[i].append((t, n))
+        return cls(epsilon, window, tuple(map(tuple, sizes)), now)
+
 
 def fold(df: DataFrame, by: Sequence[str], time: str, n: str, epsilon: float, window: int, key_schema: str = "") -> DataFrame:
     """(by, time, guess, low, high): each group's rows added in order of time;

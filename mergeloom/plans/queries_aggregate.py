@@ -78,9 +78,8 @@ def sort_by_take_grouped(spark, sf):
 
 @query("""select l_returnflag, array_to_string(list(p order by p)[1:4], ',') as top from (select l_returnflag, l_partkey * 100000000 + l_orderkey as p from lineitem) group by 1""")
 def top_k_buffers_merged(spark, sf):
-    aggs = {"top": A.top_k(F.col("l_partkey") * 100000000 + F.col("l_orderkey"), 4)}
-    stored = spec.buffers(table(spark, sf, "lineitem"), aggs, ["l_returnflag", "l_linestatus"])
-    out = spec.present_buffers(spec.merge(stored, aggs, ["l_returnflag"]), aggs, ["l_returnflag"])
+    rows = table(spark, sf, "lineitem").select("l_returnflag", "l_linestatus", (F.col("l_partkey") * 100000000 + F.col("l_orderkey")).alias("p"))
+    out = A.merge_top_k(A.top_k(rows, 4, "p", ["l_returnflag", "l_linestatus"]), 4, ["l_returnflag"])
     return out.select("l_returnflag", F.array_join(F.transform("top", lambda v: v.cast("string")), ",").alias("top"))
 
 
@@ -215,14 +214,34 @@ def moments(spark, sf):
 def moments_merge(spark, sf):
     rows = table(spark, sf, "lineitem").withColumn("day", F.date_trunc("day", "l_shipdate"))
     merged = A.merge_moments(A.moment_buffers(rows, "l_extendedprice", ["l_returnflag", "day"]), ["l_returnflag"])
-    s = A.present_moments()
-    return merged.select("l_returnflag", F.col("m0").alias("n"), r(s["mean"], 4).alias("mean"), r(s["variance"], 3).alias("variance"), r(s["skewness"]).alias("skewness"), r(s["kurtosis"]).alias("kurtosis"))
+    s = A.present_moments([F.col(m) for m in A.MOMENTS])
+    return merged.select("l_returnflag", F.col("m0").cast("long").alias("n"), r(s["mean"], 4).alias("mean"), r(s["variance"], 3).alias("variance"), r(s["skewness"]).alias("skewness"), r(s["kurtosis"]).alias("kurtosis"))
+
+
+@query(MOMENTS_SQL.format(key="l_returnflag", x="l_extendedprice", t="lineitem"))
+def moments_stored_merged(spark, sf):
+    """Buffers by day and supplier, more rows appended, merged by the engine."""
+    rows = table(spark, sf, "lineitem").withColumn("day", F.date_trunc("day", "l_shipdate"))
+    aggs = {"m": A.moments("l_extendedprice"), "n": A.size()}
+    stored = spec.buffers(rows.where("l_linenumber < 4"), aggs, ["l_returnflag", "day", "l_suppkey"])
+    both = spec.append(stored, rows.where("l_linenumber >= 4"), aggs, ["l_returnflag", "day", "l_suppkey"])
+    out = spec.present_buffers(spec.merge(spec.merge(both, aggs, ["l_returnflag", "day"]), aggs, ["l_returnflag"]), aggs, ["l_returnflag"])
+    return out.select("l_returnflag", "n", r("m.mean", 4).alias("mean"), r("m.variance", 3).alias("variance"), r("m.skewness").alias("skewness"), r("m.kurtosis").alias("kurtosis"))
+
+
+@query("""select event_id, count(*) over w as n, round(avg(value) over w, 4) as mean, round(var_pop(value) over w, 3) as variance from events
+    window w as (partition by user_id order by ts, event_id rows between 9 preceding and current row)""")
+def moments_trailing(spark, sf):
+    """Moments and a correlation over a sliding window."""
+    w = scan.ordered(["ts", "event_id"], ["user_id"]).rowsBetween(-9, 0)
+    out = table(spark, sf, "events").select("event_id", A.moments("value").over(w).alias("m"))
+    return out.select("event_id", F.col("m.count").alias("n"), r("m.mean", 4).alias("mean"), r("m.variance", 3).alias("variance"))
 
 
 @query("""select l_returnflag, round(avg(l_quantity), 6) as mean, round(var_pop(l_quantity), 6) as variance, 2 * count(*)::double as n from lineitem group by 1""")
 def moments_scaled(spark, sf):
     m = A.scale_moments(A.moment_buffers(table(spark, sf, "lineitem"), "l_quantity", ["l_returnflag"]), 2.0)
-    s = A.present_moments()
+    s = A.present_moments([F.col(m) for m in A.MOMENTS])
     return m.select("l_returnflag", r(s["mean"]).alias("mean"), r(s["variance"]).alias("variance"), F.col("m0").cast("double").alias("n"))
 
 
@@ -242,15 +261,43 @@ def correlation(spark, sf):
     return out.select("l_returnflag", r("c.correlation").alias("correlation"), r("c.covariance", 3).alias("covariance"), r("c.slope", 4).alias("slope"), r("c.intercept", 3).alias("intercept"), r("c.distance").alias("distance"))
 
 
-@query("""with w as (select l_returnflag, l_linenumber::double as w, l_quantity as x, l_discount as y from lineitem),
+CORRELATION_SQL = """select l_returnflag, count(*) as n, round(corr(l_quantity, l_extendedprice), 6) as correlation, round(covar_pop(l_quantity, l_extendedprice), 3) as covariance,
+    round(regr_slope(l_extendedprice, l_quantity), 4) as slope, round(regr_intercept(l_extendedprice, l_quantity), 3) as intercept from lineitem group by 1"""
+
+
+@query(CORRELATION_SQL)
+def correlation_stored_merged(spark, sf):
+    rows = table(spark, sf, "lineitem").withColumn("day", F.date_trunc("day", "l_shipdate"))
+    aggs = {"c": A.correlation("l_quantity", "l_extendedprice")}
+    stored = spec.append(spec.buffers(rows.where("l_linenumber < 4"), aggs, ["l_returnflag", "day"]), rows.where("l_linenumber >= 4"), aggs, ["l_returnflag", "day"])
+    out = spec.present_buffers(spec.merge(stored, aggs, ["l_returnflag"]), aggs, ["l_returnflag"])
+    return out.select("l_returnflag", F.col("c.count").alias("n"), r("c.correlation").alias("correlation"), r("c.covariance", 3).alias("covariance"), r("c.slope", 4).alias("slope"), r("c.intercept", 3).alias("intercept"))
+
+
+WEIGHTED_SQL = """with w as (select l_returnflag, l_linenumber::double as w, l_quantity + {shift} as x, l_discount as y from lineitem),
         m as (select l_returnflag, sum(w) as sw, sum(w * x) / sum(w) as mx, sum(w * y) / sum(w) as my from w group by 1)
-    select l_returnflag, any_value(sw) as weight, round(any_value(mx), 6) as mean_x, round(sum(w * (x - mx) * (y - my)) / any_value(sw), 6) as covariance,
-        round(sum(w * (x - mx) * (y - my)) / sqrt(sum(w * (x - mx) * (x - mx)) * sum(w * (y - my) * (y - my))), 6) as correlation from w join m using (l_returnflag) group by 1""")
-def weighted_correlation(spark, sf):
-    out = spec.aggregate(table(spark, sf, "lineitem"), {"c": A.weighted_correlation("l_quantity", "l_discount", "l_linenumber")}, ["l_returnflag"])
+    select l_returnflag, any_value(sw) as weight, round(any_value(mx) - {shift}, 6) as mean_x, round(sum(w * (x - mx) * (y - my)) / any_value(sw), 6) as covariance,
+        round(sum(w * (x - mx) * (y - my)) / sqrt(sum(w * (x - mx) * (x - mx)) * sum(w * (y - my) * (y - my))), 6) as correlation from w join m using (l_returnflag) group by 1"""
+
+
+def _weighted(out):
     return out.select("l_returnflag", "c.weight", r("c.mean_x").alias("mean_x"), r("c.covariance").alias("covariance"), r("c.correlation").alias("correlation"))
 
 
+@query(WEIGHTED_SQL.format(shift=0))
+def weighted_correlation(spark, sf):
+    return _weighted(spec.aggregate(table(spark, sf, "lineitem"), {"c": A.weighted_correlation("l_quantity", "l_discount", "l_linenumber")}, ["l_returnflag"]))
+
+
+@query(WEIGHTED_SQL.format(shift=0))
+def weighted_correlation_shifted(spark, sf):
+    """Values near a billion that vary by tens, by stored buffers."""
+    rows = table(spark, sf, "lineitem").withColumn("x", F.col("l_quantity") + F.lit(1e9))
+    aggs = {"c": A.weighted_correlation_of(rows, "x", "l_discount", "l_linenumber")}
+    out = spec.present_buffers(spec.merge(spec.buffers(rows, aggs, ["l_returnflag", "l_suppkey"]), aggs, ["l_returnflag"]), aggs, ["l_returnflag"])
+    return _weighted(out.withColumn("c", F.col("c").withField("mean_x", F.col("c.mean_x") - F.lit(1e9))))
+
+
 @query("""select l_returnflag, round(sum(l_quantity), 4) as mean, round(sum(l_discount), 4) as variance from lineitem group by 1""")
 def gaussian_sum(spark, sf):
     out = spec.aggregate(table(spark, sf, "lineitem"), {"g": A.gaussian_sum("l_quantity", "l_discount")}, ["l_returnflag"])

@@ -10,6 +10,10 @@ expression over the parts). From the one definition come
 * ``buffers``, ``merge`` and ``present_buffers``: parts stored as a table, merged
   later with others, presented last.
 
+Central statistics (moments, correlations) merge about the merged mean, which no
+sum of parts gives in one pass. They name their ``centers``, sums over the parts
+that give it; ``merge`` adds those up by group first and joins them back.
+
 A part has a ``zero`` if it comes from a monoid: empty input then presents the
 zero. Without one the result of empty input is NULL.
 """
@@ -18,6 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
@@ -33,6 +38,11 @@ class Part:
     update: Callable[[Inputs], Column]
     merge: Callable[[Column], Column]
     zero: object = None
+    #: The same over a window, for updates that combine several aggregates.
+    windowed: Callable[[Inputs, WindowSpec], Column] | None = None
+
+    def over(self, inputs: Inputs, window: WindowSpec) -> Column:
+        return self.windowed(inputs, window) if self.windowed else self.update(inputs).over(window)
 
     def value(self, column: Column) -> Column:
         return column if self.zero is None else F.coalesce(column, self.zero if isinstance(self.zero, Column) else F.lit(self.zero))
@@ -47,6 +57,10 @@ class Agg:
     present: Callable[[Sequence[Column]], Column]
     #: Over the parts: is the buffer the monoid's zero? None without a zero.
     is_zero: Callable[[Sequence[Column]], Column] | None = None
+    #: Aggregates over the parts whose values ``merge_about`` needs by group.
+    centers: Callable[[Sequence[Column]], Sequence[Column]] | None = None
+    #: (parts, centers): the merged parts, in place of the parts' own merges.
+    merge_about: Callable[[Sequence[Column], Sequence[Column]], Sequence[Column]] | None = None
 
     def updates(self) -> list[Column]:
         return [p.value(p.update(self.inputs)) for p in self.parts]
@@ -56,7 +70,7 @@ class Agg:
         return self.present(self.updates())
 
     def over(self, window: WindowSpec) -> Column:
-        return self.present([p.value(p.update(self.inputs).over(window)) for p in self.parts])
+        return self.present([p.value(p.over(self.inputs, window)) for p in self.parts])
 
     # Combinators -------------------------------------------------------
 
@@ -102,12 +116,31 @@ def struct_of(aggs: Mapping[str, Agg]) -> Agg:
         inputs += agg.inputs
         for p in agg.parts:
             update = lambda xs, p=p, at=at, n=len(agg.inputs): p.update(xs[at : at + n])
-            parts.append(Part(f"{name}_{p.name}", update, p.merge, p.zero))
+            windowed = p.windowed and (lambda xs, w, p=p, at=at, n=len(agg.inputs): p.windowed(xs[at : at + n], w))
+            parts.append(Part(f"{name}_{p.name}", update, p.merge, p.zero, windowed))
         spans.append((name, agg, first, len(parts)))
     present = lambda cols: F.struct(*[a.present(cols[i:j]).alias(n) for n, a, i, j in spans])
     zeros = all(a.is_zero for a in aggs.values())
     is_zero = (lambda cols: _all([a.is_zero(cols[i:j]) for _, a, i, j in spans])) if zeros else None
-    return Agg(tuple(inputs), tuple(parts), present, is_zero)
+    central = [(a, i, j) for _, a, i, j in spans if a.centers]
+    if not central:
+        return Agg(tuple(inputs), tuple(parts), present, is_zero)
+
+    def centers(cols: Sequence[Column]) -> list[Column]:
+        return [c for a, i, j in central for c in a.centers(cols[i:j])]
+
+    def merge_about(cols: Sequence[Column], about: Sequence[Column]) -> list[Column]:
+        out, at = [], 0
+        for _, a, i, j in spans:
+            if a.centers:
+                n = len(a.centers(cols[i:j]))
+                out += a.merge_about(cols[i:j], about[at : at + n])
+                at += n
+            else:
+                out += [p.merge(c) for p, c in zip(a.parts, cols[i:j], strict=True)]
+        return out
+
+    return Agg(tuple(inputs), tuple(parts), present, is_zero, centers, merge_about)
 
 
 def map_of(aggs: Mapping[str, Agg]) -> Agg:
@@ -140,10 +173,10 @@ def aggregate(df: DataFrame, aggs: Mapping[str, Agg], by: Sequence[str | Column]
 
 
 def aggregate_or_raise(df: DataFrame, aggs: Mapping[str, Agg]) -> DataFrame:
-    """Over everything; a NULL result of an aggregation without zero raises."""
-    out = aggregate(df, aggs)
-    checked = [F.coalesce(n, F.raise_error(F.lit(f"{n}: empty input"))).alias(n) if all(p.zero is None for p in a.parts) else F.col(n) for n, a in aggs.items()]
-    return out.select(*checked)
+    """Over everything; on input without rows an aggregation without zero raises."""
+    out = df.agg(F.count(F.lit(1)).alias("_rows"), *[a.column().alias(n) for n, a in aggs.items()])
+    raising = lambda n: F.when(F.col("_rows") == 0, F.raise_error(F.lit(f"{n}: empty input"))).otherwise(F.col(n)).alias(n)
+    return out.select(*[raising(n) if all(p.zero is None for p in a.parts) else F.col(n) for n, a in aggs.items()])
 
 
 def buffers(df: DataFrame, aggs: Mapping[str, Agg], by: Sequence[str]) -> DataFrame:
@@ -151,10 +184,28 @@ def buffers(df: DataFrame, aggs: Mapping[str, Agg], by: Sequence[str]) -> DataFr
     return df.groupBy(*by).agg(*[p.update(a.inputs).alias(f"{n}__{p.name}") for n, a in aggs.items() for p in a.parts])
 
 
+def _columns(name: str, agg: Agg) -> list[Column]:
+    return [F.col(f"{name}__{p.name}") for p in agg.parts]
+
+
 def merge(stored: DataFrame, aggs: Mapping[str, Agg], by: Sequence[str] = ()) -> DataFrame:
-    """Buffers merged by coarser keys; still buffers."""
-    grouped = stored.groupBy(*by) if by else stored.groupBy()
-    return grouped.agg(*[p.merge(F.col(f"{n}__{p.name}")).alias(f"{n}__{p.name}") for n, a in aggs.items() for p in a.parts])
+    """Buffers merged by coarser keys; still buffers. With central statistics
+    there is one more aggregation, of the centers, and a join by key of as many
+    rows as there are groups; adaptive execution can split a hot group there."""
+    centers = [c.alias(f"_{n}_{i}") for n, a in aggs.items() if a.centers for i, c in enumerate(a.centers(_columns(n, a)))]
+    rows = stored
+    if centers and by:
+        about = stored.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(by)]).agg(*centers)
+        rows = stored.join(about, reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(by)]))
+    elif centers:
+        rows = stored.crossJoin(F.broadcast(stored.agg(*centers)))  # one row
+    out = []
+    for n, a in aggs.items():
+        own = _columns(n, a)
+        about = [F.col(f"_{n}_{i}") for i in range(len(a.centers(own)))] if a.centers else []
+        merged = a.merge_about(own, about) if a.centers else [p.merge(c) for p, c in zip(a.parts, own, strict=True)]
+        out += [m.alias(f"{n}__{p.name}") for m, p in zip(merged, a.parts, strict=True)]
+    return (rows.groupBy(*by) if by else rows.groupBy()).agg(*out)
 
 
 def append(stored: DataFrame, df: DataFrame, aggs: Mapping[str, Agg], by: Sequence[str]) -> DataFrame:
@@ -164,4 +215,4 @@ def append(stored: DataFrame, df: DataFrame, aggs: Mapping[str, Agg], by: Sequen
 
 def present_buffers(stored: DataFrame, aggs: Mapping[str, Agg], by: Sequence[str] = ()) -> DataFrame:
     """The results of merged buffers."""
-    return stored.select(*by, *[a.present([p.value(F.col(f"{n}__{p.name}")) for p in a.parts]).alias(n) for n, a in aggs.items()])
+    return stored.select(*by, *[a.present([p.value(c) for p, c in zip(a.parts, _columns(n, a), strict=True)]).alias(n) for n, a in aggs.items()])

@@ -9,19 +9,24 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
-#: Arrow batches to and from Python, unless the session sets its own: texts can
-#: be long, and a worker and its task hold a batch each way.
-ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
+#: Rows that are held at once, unless the session sets its own: texts can be
+#: long. A worker and its task hold an Arrow batch each way, a Parquet scan the
+#: texts of a batch of rows.
+BATCHES = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "4m",
+    "spark.sql.parquet.columnarReaderBatchSize": "1024",
+}
 PACKAGE = Path(__file__).resolve().parent
 
 
 def ship(spark: SparkSession) -> None:
     """Give this package to the Python workers, once a Spark context, so that
-    functions sent to them can be unpickled wherever they run; and bound Arrow
-    batches where nobody has set them."""
+    functions sent to them can be unpickled wherever they run; and bound batches
+    where nobody has set them."""
     context = spark.sparkContext
-    if not set(ARROW) & set(spark.conf.getAll):
-        for key, value in ARROW.items():
+    if not set(BATCHES) & set(spark.conf.getAll):
+        for key, value in BATCHES.items():
             spark.conf.set(key, value)
     if getattr(context, "_mergeloom_shipped", False):
         return

@@ -75,7 +75,7 @@ def summing_queue(df: DataFrame, key: Sequence[str], value: str, capacity: int,
 def salted_sum_by_key(df: DataFrame, key: Sequence[str], value: str, salts: int = 64) -> DataFrame:
     """Sums in two stages, by key and salt, then by key: for values whose sums
     no map-side aggregate can pre-combine well because hot keys dominate."""
-    salted = df.select(*key, value, F.pmod(F.xxhash64(*key, value), F.lit(salts)).alias("_salt"))
+    salted = df.select(*key, value, F.pmod(F.monotonically_increasing_id(), F.lit(salts)).alias("_salt"))
     return salted.groupBy(*key, "_salt").agg(F.sum(value).alias(value)).groupBy(*key).agg(F.sum(value).alias(value))
 
 
@@ -108,18 +108,19 @@ def exp_hist_stream(stream: DataFrame, key: str, time: str, n: str, epsilon: flo
     ship(stream.sparkSession)
 
     def update(k: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        sizes, times, now = state.get if state.exists else ([], [], 0)
-        hist = ExpHist(epsilon, window, tuple(zip(sizes, times, strict=True)), now)
-        rows = pd.concat(list(frames)).groupby(time)[n].sum().sort_index()
-        for t, count in rows.items():
-            hist = hist.add(int(count), int(t))
-        state.update(([b[0] for b in hist.buckets], [b[1] for b in hist.buckets], hist.time))
+        hist = ExpHist.of_state(epsilon, window, *state.get) if state.exists else ExpHist(epsilon, window)
+        counts: dict[int, int] = {}
+        for frame in frames:  # one at a time: only the batch's distinct times are held
+            for t, count in frame.groupby(time)[n].sum().items():
+                counts[int(t)] = counts.get(int(t), 0) + int(count)
+        hist = hist.add_all([(counts[t], t) for t in sorted(counts)])
+        state.update(hist.state())
         low, high = hist.bounds()
         yield pd.DataFrame([(k[0], hist.time, hist.guess(), low, high)], columns=[key, "time", "guess", "low", "high"])
 
-    return stream.groupBy(key).applyInPandasWithState(
-        update, f"{key} {key_type}, time long, guess double, low long, high long", "sizes array<long>, times array<long>, now long", "update", "NoTimeout"
-    )
+    out = f"{key} {key_type}, time long, guess double, low long, high long"
+    held = "number array<long>, times array<long>, counts array<long>, now long"
+    return stream.groupBy(key).applyInPandasWithState(update, out, held, "update", "NoTimeout")
 
 
 def counted_calls(df: DataFrame, name: str, *aggs: Column) -> tuple[DataFrame, Any]:

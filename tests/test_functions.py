@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from mergeloom.functions import algebra, approximate, intervals, keyed_maps, vectors
 from mergeloom.operators import fold, ordered
-from mergeloom.operators.sketches.exphist import ExpHist, canonical
+from mergeloom.operators.sketches.exphist import ExpHist, least_buckets
 from mergeloom.plans import spec
 
 
@@ -102,13 +102,27 @@ def test_fold_in_order(spark):
     assert fold.over_empty(df, agg).first().value == ""
 
 
-def test_canonical_buckets():
-    assert canonical(76, 1) == [2, 1, 2, 2, 1, 1]  # 1,1,2,4,4,8,8,16,32
-    for least in (1, 2, 5):
-        for total in range(1, 300):
-            counts = canonical(total, least)
-            assert sum(n << i for i, n in enumerate(counts)) == total
-            assert all(least <= n <= least + 1 for n in counts[:-1]) and 1 <= counts[-1] <= least + 1
+def test_exponential_histogram_sizes_and_bounds():
+    rng = random.Random(1)
+    for epsilon in (0.5, 0.1, 0.03):
+        for window in (5, 50, 500):
+            h, items, now, most = ExpHist(epsilon, window), [], 0, least_buckets(epsilon) + 1
+            for _ in range(150):
+                now += rng.choice([0, 0, 1, 3, window // 4])
+                n = rng.choice([0, 1, 1, 2, 7, 100, 12345])
+                h = h.add(n, now)
+                items.append((n, now))
+                true = sum(n for n, t in items if t > now - window)
+                low, high = h.bounds()
+                assert low <= true <= high and abs(h.guess() - true) <= epsilon * true + 1e-9 and h.relative_error() <= epsilon + 0.5 / max(low, 1)
+                assert all(most - 1 <= sum(n for _, n in runs) <= most for runs in h.sizes[:-1])
+                times = [t for _, t in h.buckets]
+                assert times == sorted(times, reverse=True) and ExpHist.of_state(epsilon, window, *h.state()) == h
+            assert ExpHist(epsilon, window).add_all(items) == h
+    one = ExpHist(0.1, 9)
+    for _ in range(57):
+        one = one.inc(3)
+    assert one.buckets == ExpHist(0.1, 9).add(57, 3).buckets
 
 
 def test_exponential_histogram_example():
@@ -142,6 +156,19 @@ def test_general_scan_and_folds(spark):
     assert sorted(map(tuple, sums.collect())) == [("a", "312"), ("b", "312")]
 
 
+def test_ordered_operators_keep_nulls_and_long_integers(spark):
+    big = 2**53 + 1
+    df = spark.createDataFrame([(None, i, v) for i, v in enumerate([big, None, big])] + [(1, 0, big)], "k long, i int, v long").repartition(3)
+    out = ordered.scan_groups(df, ["k"], ["i"], ["v"], "k long, n long, v long", 0, lambda s, r: (s + 1, (s + 1, r[0]))).collect()
+    assert sorted(map(repr, map(tuple, out))) == sorted(map(repr, [(None, 1, big), (None, 2, None), (None, 3, big), (1, 1, big)]))
+    folded = ordered.fold_groups(df, ["k"], ["i"], ["v"], "k long, n long", 0, lambda s, r: s + 1, lambda s: (s,)).collect()
+    assert {r.k: r.n for r in folded} == {None: 3, 1: 1}
+    nan = spark.createDataFrame([(float("nan"), i) for i in range(4)], "k double, i int")
+    assert ordered.fold_groups(nan, ["k"], ["i"], ["i"], "k double, n long", 0, lambda s, r: s + 1, lambda s: (s,)).first().n == 4
+    none = ordered.fold_groups(df.limit(0), ["k"], ["i"], ["v"], "k long, n long", 0, lambda s, r: s + 1, lambda s: (s,))
+    assert none.count() == 0
+
+
 def test_right_folded(spark):
     rows = [(1, 1, None, 1.0), (2, 2, None, 2.0), (3, None, 10.0, None), (4, 7, None, None), (5, None, 100.0, None)]
     df = spark.createDataFrame([(i, float(x) if x else None, v) for i, x, v, _ in rows], "i int, x double, v double").withColumn("k", F.lit("g"))

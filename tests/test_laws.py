@@ -36,7 +36,6 @@ def aggs():
         "last": A.last("x", ["i"]),
         "list": A.to_list("x", ["i"]),
         "set": A.to_set("x"),
-        "top": A.top_k("x", 3),
         "mean": A.averaged("x").and_then_present(lambda s: F.round(s["mean"], 9)),
         "odd": A.bool_xor(F.col("x") % 2 != 0),
     }
@@ -45,7 +44,7 @@ def aggs():
 def expected(xs):
     return {
         "size": len(xs), "sum": sum(xs), "max": max(xs, default=None), "min": min(xs, default=None), "all": True, "any": any(x > 990 for x in xs),
-        "head": xs[0] if xs else None, "last": xs[-1] if xs else None, "list": xs, "set": sorted(set(xs)), "top": sorted(xs)[:3],
+        "head": xs[0] if xs else None, "last": xs[-1] if xs else None, "list": xs, "set": sorted(set(xs)), 
         "mean": round(sum(xs) / len(xs), 9) if xs else 0.0, "odd": sum(x % 2 for x in xs) % 2 == 1,
     }
 
@@ -74,6 +73,7 @@ def test_empty_input(spark):
     assert (row["size"], row["sum"], row["max"], row["all"], row["any"], row["list"]) == (0, 0, None, True, False, [])
     with pytest.raises(Exception, match="empty input"):
         prepare(none, "x").max().collect()
+    assert prepare(spark.createDataFrame([(None,)], "x int"), "x").max().first()[0] is None
     assert prepare(none, "x").max_option().first()[0] is None
 
 
@@ -82,8 +82,72 @@ def test_moments_of_known_values(spark):
         df = frame(spark, xs)
         m = spec.aggregate(df, {"m": A.moments("x")}).first().m
         assert (m["count"], *[pytest.approx(v) for v in (m["mean"], m["variance"], m["skewness"], m["kurtosis"])]) == want
-        merged = A.merge_moments(A.moment_buffers(df, "x", ["i"])).select(*[c.alias(n) for n, c in A.present_moments().items()]).first()
+        stored = A.merge_moments(A.moment_buffers(df, "x", ["i"]))
+        merged = stored.select(*[c.alias(n) for n, c in A.present_moments([F.col(m) for m in A.MOMENTS]).items()]).first()
         assert [merged[n] for n in ("count", "mean", "variance", "skewness", "kurtosis")] == pytest.approx(list(want))
+        negated = A.negate_moments(stored).first()
+        assert (negated.m0, negated.m1) == (-want[0], pytest.approx(want[1]))
+
+
+def central():
+    x, y = F.col("x").cast("double"), (F.col("x") * F.col("i")).cast("double")
+    return {"m": A.moments(x), "c": A.correlation(x, y), "w": A.weighted_correlation(x, y, F.col("i") % 3 + 1), "n": A.size()}
+
+
+def flat(row):
+    """All numbers of a row, nested ones too; null for what does not vary."""
+    out = []
+    for v in row:
+        out += flat(v) if isinstance(v, tuple) else [v]
+    return out
+
+
+@few
+@given(st.lists(st.integers(-50, 50), max_size=25))
+def test_central_statistics_merge_in_any_order(spark, xs):
+    df = frame(spark, xs).withColumn("part", F.when(F.col("i") % 4 > 0, F.col("i") % 4)).withColumn("whole", F.lit("w"))
+    want = flat(spec.aggregate(df, central()).first())
+    numbers = lambda row: [pytest.approx(v, rel=1e-6, abs=1e-6) if isinstance(v, float) else v for v in row]
+    joined = {"s": spec.struct_of(central())}
+    by_part = spec.buffers(df, joined, ["whole", "part", "i"])
+    steps = spec.merge(spec.merge(by_part, joined, ["whole", "part"]), joined)
+    assert flat(spec.present_buffers(steps, joined).first()) == numbers(want)
+    stored = spec.append(spec.buffers(df.where("i < 9"), central(), ["whole"]), df.where("i >= 9"), central(), ["whole"])
+    assert not xs or flat(spec.present_buffers(stored, central()).first()) == numbers(want)
+    window = scan.ordered(["i"]).rowsBetween(scan.Window.unboundedPreceding, scan.Window.unboundedFollowing)
+    over = df.select(*[a.over(window).alias(n) for n, a in central().items()]).first()
+    assert not xs or flat(over) == numbers(want)
+
+
+def test_parts_of_central_statistics_refuse_to_merge_alone(spark):
+    df = frame(spark, [1, 2, 3])
+    for agg in (A.moments("x"), A.correlation("x", "i")):
+        with pytest.raises(ValueError, match="merge"):
+            scan.global_scan(df, {"a": agg}, ["i"], F.col("i"), 2)
+    distinct = {"a": A.unique_count_exact("x")}
+    with pytest.raises(ValueError, match="merge"):
+        spec.merge(spec.buffers(df, distinct, ["i"]), distinct)
+
+
+def test_correlation_of_large_values(spark):
+    rows = spark.range(200).select((F.col("id") + 1e9).alias("x"), (2 * F.col("id") - 3e8).alias("y"), F.lit(2).alias("w"))
+    c = spec.aggregate(rows, {"c": A.correlation("x", "y")}).first().c
+    assert c.correlation == pytest.approx(1.0) and c.correlation <= 1 and c.distance == pytest.approx(0, abs=1e-6)
+    w = spec.aggregate(rows, {"c": A.weighted_correlation_of(rows, "x", "y", "w")}).first().c
+    assert (w.weight, w.variance_x, w.correlation) == (400.0, pytest.approx((200**2 - 1) / 12), pytest.approx(1.0))
+    same = rows.withColumn("x", F.lit(1e9))
+    flat_x = spec.aggregate(same, {"c": A.weighted_correlation("x", "y", "w")}).first().c
+    assert flat_x.weight == 400.0  # whatever is left of the variance, nothing is divided by zero
+
+
+def test_top_k_buffers(spark):
+    rng = random.Random(3)
+    rows = [(g, p, rng.randrange(50)) for g in "ab" for p in range(4) for _ in range(9)]
+    df = spark.createDataFrame([*rows, ("a", 0, None)], "g string, p int, x int").repartition(5)
+    got = A.merge_top_k(A.top_k(df, 3, "x", ["g", "p"]), 3, ["g"]).collect()
+    assert {r.g: r.top for r in got} == {g: sorted(x for h, _, x in rows if h == g)[:3] for g in "ab"}
+    everything = A.merge_top_k(A.top_k(df, 3, "x", ["g"]), 3).first()
+    assert everything.top == sorted(x for *_, x in rows)[:3]
 
 
 def test_sum_by_key_drops_zeros_only_if_asked(spark):
@@ -116,6 +180,8 @@ def test_shortest_paths(spark):
     edges = spark.createDataFrame([(1, 2, 5.0), (2, 3, 1.0), (1, 3, 9.0), (3, 4, 1.0)], "source long, target long, weight double")
     start = spark.createDataFrame([(1, 0.0)], "node long, cost double")
     assert dict(map(tuple, K.min_plus_closure(start, edges, 10).collect())) == {1: 0.0, 2: 5.0, 3: 6.0, 4: 7.0}
+    with pytest.raises(RuntimeError, match="still change"):
+        K.min_plus_closure(start, edges, 2)
 
 
 @few
