@@ -30,7 +30,7 @@ def op5_embedding_itq(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "archives")
     warc.write_archives(_table(spark, sf_dir, "pages"), path)
-    return warc.digests(warc.read_archives(spark, path))
+    return warc.digests(warc.read_archives(spark, path, payloads=False))
 
 
 def op7_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
