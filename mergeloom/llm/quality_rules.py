@@ -2,23 +2,28 @@
 
 Each text gets counts (words, symbols, repeats). Two fixed rules reject very
 short texts and texts that mostly repeat themselves. All other cutoffs adapt:
-for each language and source a mergeable quantile sketch (KLL) of every ratio
-among the texts that pass the fixed rules gives the median and the upper and
-lower quartiles, and a text fails when a ratio lies outside a fence around
-them. Sketches pre-aggregate in every task, so a source with a third of all
-rows sends a sketch a task like any other. Thresholds are a row a group; they
-join back with a checked size (see ``sized_join``), the counts alone at first.
-
-A fence reaches from the median by ``REACH`` times the quartiles' distance,
-taken as twice that of the nearer quartile: junk on one side, up to half of a
-group, doesn't widen its own fence. It reaches at least ``LEAST`` of the ratio's
-own unit: a group without spread does not reject every text that differs a
-little. Groups of fewer than ``LEAST_ROWS`` texts use
-the sketches of all groups merged.
+for each language and source mergeable quantile sketches (KLL) of every ratio
+and of the texts' lengths, among the texts that pass the fixed rules, give the
+median, the quartiles and the typical length, and a text fails when a ratio
+lies outside a fence around the median. Sketches pre-aggregate in every task,
+so a source with a third of all rows sends a sketch a task like any other.
+Thresholds are a row a group; they join back with a checked size (see
+``sized_join``), the counts alone at first.
+
+A fence reaches ``REACH`` times the ratio's spread in the group, which is the
+distance from the median to the nearer quartile, or the ratio's grain if that
+is more. Junk on one side, up to half of a group, doesn't widen its own fence.
+The grain is what one symbol, one repeated line or one repeated window makes in
+a text of the group's median length, and what a mean over so many words moves
+by chance: in a group without spread a text may differ by a little. Median,
+spread and grain of a group of n texts are shrunk towards those of all groups'
+merged sketches, which count as ``PRIOR`` texts: a small group has its own say
+in proportion, and no size is a switch.
 
 Null texts count as empty and fail the fixed rules. Null languages and sources
-are groups like others. Repeated rows are judged alike. An empty table gives
-no rows.
+are groups like others. Very long texts are counted whole. Repeated rows are
+judged alike. Other columns, whatever their names, are not read, and stay where
+rows are kept whole. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from mergeloom.llm.common import batches, byte_texts, flattened, materialize, pick, sized_join
@@ -36,12 +41,14 @@ SYMBOLS = tuple(b"#*$%&|<>")
 SPACES = b"\t\n\x0b\x0c\r "
 FEW_WORDS = 50
 MOST_REPEATED = 50  # percent of the words
-REACH = 6.0
-LEAST_ROWS = 40
+REACH = 24.0
+PRIOR = 40
 K = 200  # the sketches' size parameter
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-#: Ratios with their fence's least reach, and whether low values fail as well.
-LEAST = {"mean_word": (2.0, True), "symbol_share": (0.05, False), "dup_line_share": (0.5, False), "repeat_share": (0.45, False)}
+WINDOW = 3
+#: Ratios, and whether low values fail as well.
+RATIOS = {"mean_word": True, "symbol_share": False, "dup_line_share": False, "repeat_share": False}
+LENGTHS = ("n_words", "word_chars")
 
 
 def counts(text: bytes) -> tuple[int, int, int, int, int]:
@@ -60,7 +67,7 @@ def text_symbols(text: bytes) -> int:
     return sum(text.count(s) for s in SYMBOLS)
 
 
-def repeated(words: list[bytes], width: int = 3) -> int:
+def repeated(words: list[bytes], width: int = WINDOW) -> int:
     """Words that lie in a window of ``width`` words found twice or more."""
     n = len(words)
     if n <= width:
@@ -113,42 +120,60 @@ def ratios() -> dict[str, Column]:
     }
 
 
+def grains(words: Column, chars: Column) -> dict[str, Column]:
+    """The ratios' steps in a text of so many words and characters."""
+    one = F.lit(1.0)
+    return {"mean_word": one / F.sqrt(words), "symbol_share": one / chars, "dup_line_share": 10 * one / words, "repeat_share": 2 * WINDOW * one / words}
+
+
 def sketches(rows: DataFrame) -> DataFrame:
-    """(lang, source, n, a sketch for each ratio) of the texts that pass the
-    fixed rules. The table can be stored, and merged with others by ``merged``."""
-    passing = rows.where(~F.col("base_failed")).select("lang", "source", *[c.alias(k) for k, c in ratios().items()])
-    return passing.groupBy("lang", "source").agg(F.count("*").alias("n"), *[F.kll_sketch_agg_double(k, F.lit(K)).alias(k) for k in LEAST])
+    """(lang, source, n, a sketch for each ratio and length) of the texts that
+    pass the fixed rules. The table can be stored, and merged with others by
+    ``merged``."""
+    own = {**ratios(), **{k: F.col(k).cast("double") for k in LENGTHS}}
+    passing = rows.where(~F.col("base_failed")).select("lang", "source", *[c.alias(k) for k, c in own.items()])
+    return passing.groupBy("lang", "source").agg(F.count("*").alias("n"), *[F.kll_sketch_agg_double(k, F.lit(K)).alias(k) for k in own])
 
 
 def merged(stored: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Sketches merged by coarser keys, or all of them into one row."""
     keys = list(by) or [F.lit(1).alias("_all")]
-    out = stored.groupBy(*keys).agg(F.sum("n").alias("n"), *[F.kll_merge_agg_double(k).alias(k) for k in LEAST])
+    out = stored.groupBy(*keys).agg(F.sum("n").alias("n"), *[F.kll_merge_agg_double(k).alias(k) for k in (*RATIOS, *LENGTHS)])
     return out if by else out.drop("_all")
 
 
-def thresholds(stored: DataFrame) -> DataFrame:
-    """``low_...`` and ``high_...`` for each ratio, from the sketches of a row;
-    its other columns stay."""
+def centers(stored: DataFrame) -> DataFrame:
+    """``mid_...`` and ``spread_...`` for each ratio and ``mid_...`` for each
+    length in place of the sketches of a row; its other columns stay."""
+    quantile = lambda k, q: F.kll_sketch_get_quantile_double(k, F.lit(q))
+    found = [quantile(k, 0.5).alias(f"mid_{k}") for k in (*RATIOS, *LENGTHS)]
+    found += [F.least(quantile(k, 0.75) - quantile(k, 0.5), quantile(k, 0.5) - quantile(k, 0.25)).alias(f"spread_{k}") for k in RATIOS]
+    return stored.select(*[c for c in stored.columns if c not in (*RATIOS, *LENGTHS)], *found)
+
+
+def thresholds(own: DataFrame, overall: Row) -> DataFrame:
+    """(lang, source, low_..., high_...) of groups from their ``centers`` and
+    those of all groups."""
+    shrunk = lambda c: (F.col("n") * F.col(c) + PRIOR * F.lit(overall[c])) / (F.col("n") + PRIOR)
+    grain = grains(*[shrunk(f"mid_{k}") for k in LENGTHS])
     fences = []
-    for k, (least, both) in LEAST.items():
-        low, mid, high = (F.kll_sketch_get_quantile_double(k, F.lit(q)) for q in (0.25, 0.5, 0.75))
-        reach = F.greatest(2 * REACH * F.least(high - mid, mid - low), F.lit(least))
+    for k, both in RATIOS.items():
+        mid, reach = shrunk(f"mid_{k}"), REACH * F.greatest(shrunk(f"spread_{k}"), grain[k])
         fences += [(mid - reach if both else F.lit(float("-inf"))).alias(f"low_{k}"), (mid + reach).alias(f"high_{k}")]
-    return stored.select(*[c for c in stored.columns if c not in LEAST], *fences)
+    return own.select("lang", "source", *fences)
 
 
 def judge(rows: DataFrame, stored: DataFrame) -> DataFrame:
     """``rows`` (lang, source, counts..., base_failed) with ``kept``: the fixed
     rules, then the fences from materialized ``sketches`` by lang and source."""
-    columns = [f"{side}_{k}" for k in LEAST for side in ("low", "high")]
-    overall = thresholds(merged(stored)).select(*columns).first()
-    own = thresholds(stored.where(f"n >= {LEAST_ROWS}")).drop("n")
-    joined = sized_join(rows, own, ["lang", "source"], "left")
+    columns = [f"{side}_{k}" for k in RATIOS for side in ("low", "high")]
+    overall = centers(merged(stored)).first()
+    if overall is None:  # no text passes the fixed rules
+        return rows.withColumn("kept", F.lit(False))
+    joined = sized_join(rows, thresholds(centers(stored), overall), ["lang", "source"], "left")
     kept = ~F.col("base_failed")
     for k, ratio in ratios().items():
-        low, high = (F.coalesce(F.col(f"{side}_{k}"), F.lit(overall[f"{side}_{k}"] if overall else None).cast("double")) for side in ("low", "high"))
-        kept &= F.coalesce(ratio.between(low, high), F.lit(True))
+        kept &= F.coalesce(ratio.between(F.col(f"low_{k}"), F.col(f"high_{k}")), F.lit(False))
     return joined.withColumn("kept", kept).drop(*columns)
 
 

@@ -44,10 +44,46 @@ def test_outliers_fall_and_plain_texts_stay(spark, docs):
     assert verdict.pop(900) is False and all(verdict.values())
 
 
-def test_thresholds_by_group_are_the_quantiles(spark):
-    rows = spark.createDataFrame([("a", "s", 100, 400 + i, 0, 0, 0, False) for i in range(101)], "lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean")
-    t = quality_rules.thresholds(quality_rules.sketches(rows)).first()
-    assert t.n == 101 and abs(t.high_mean_word - (4.5 + max(6 * 0.5, 2.0))) < 0.2
+def brute_kept(rows):
+    """Verdicts row by row, with exact quantiles."""
+    found = [(r, *plain_counts(r[1])) for r in rows]
+    failed = [n < 50 or 100 * rep > 50 * n for _, n, _, _, _, rep in found]
+    values = [(c / max(n, 1), s / max(c, 1), 10 * d / max(n, 1), rep / max(n, 1), n, c) for _, n, c, s, d, rep in found]
+    groups = {}
+    for r, v, f in zip(rows, values, failed, strict=True):
+        if not f:
+            groups.setdefault((r[2], r[3]), []).append(v)
+    q = lambda own, p: np.quantile(np.array(own), p, axis=0, method="inverted_cdf")
+    centre = lambda own: (q(own, 0.5), np.minimum(q(own, 0.75) - q(own, 0.5), q(own, 0.5) - q(own, 0.25)))
+    every = centre([v for own in groups.values() for v in own])
+    out = []
+    for r, v, f in zip(rows, values, failed, strict=True):
+        if f:
+            out.append(False)
+            continue
+        own = groups[r[2], r[3]]
+        mid, spread = ((len(own) * a + 40 * b) / (len(own) + 40) for a, b in zip(centre(own), every, strict=True))
+        grain = np.array([1 / np.sqrt(mid[4]), 1 / mid[5], 10 / mid[4], 6 / mid[4]])
+        reach = 24 * np.maximum(spread[:4], grain)
+        away = np.array(v[:4]) - mid[:4]
+        out.append(bool((away <= reach).all() and away[0] >= -reach[0]))
+    return out
+
+
+def test_verdicts_are_those_of_exact_quantiles(spark, docs):
+    rng = np.random.default_rng(5)
+    rows = [tuple(r) for r in docs.collect()]
+    words = rows[0][1].split()
+    for i in range(60):  # ever more symbols, long words, repeated lines and windows
+        picked = [str(w) for w in rng.choice(words, 90)]
+        text = [" ".join(w + "#" * (j < i // 4) for j, w in enumerate(picked)), " ".join(w + "x" * (i // 8) for w in picked), " ".join(picked) + "\nsame line" * (i // 4), " ".join(picked + picked[: i // 2 * 3])][i % 4]
+        rows.append((2000 + i, text, "a", ["s1", "s2", "new"][i % 3], 0))
+    got = quality_rules.quality_rules(spark.createDataFrame(rows, docs.schema).repartition(3))
+    again = quality_rules.passing(spark.createDataFrame(rows, docs.schema).repartition(2))
+    want = Counter(repr((r[0], k)) for r, k in zip(rows, brute_kept(rows), strict=True))
+    assert Counter(repr((r.doc_id, r.kept)) for r in got.collect()) == want
+    assert Counter(repr((r.doc_id, True)) for r in again.collect()) == Counter({k: n for k, n in want.items() if "True" in k})
+    assert 5 < sum(not k for k in brute_kept(rows)) < len(rows) / 2
 
 
 def test_junk_of_a_third_does_not_open_the_fences(spark, docs):
@@ -65,10 +101,10 @@ def test_merged_sketches_are_those_of_all_rows(spark):
     rows = spark.createDataFrame([("ab"[i % 2], None if i % 3 else "s", 100, 400 + i, i % 5, 0, 0, i % 11 == 0) for i in range(2000)], schema)
     stored = quality_rules.sketches(rows)
     both = quality_rules.merged(stored.where("lang = 'a'").unionByName(stored.where("lang = 'b'")))
-    t = quality_rules.thresholds(both).first()
+    c = quality_rules.centers(both).first()
     passing = sorted(4 + i / 100 for i in range(2000) if i % 11)
     q = lambda p: passing[int(p * len(passing))]
-    assert t.n == len(passing) and abs(t.high_mean_word - (q(0.5) + 6 * (q(0.75) - q(0.25)))) < 2.0
+    assert c.n == len(passing) and abs(c.mid_mean_word - q(0.5)) < 0.5 and abs(c.spread_mean_word - (q(0.75) - q(0.5))) < 0.5
 
 
 def test_empty_tables(none, spark):
