@@ -19,12 +19,15 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of
-    the session, and only where nothing has set one, a fresh temporary folder."""
+    the session. Where nothing has set one, a fresh temporary folder in local
+    mode; on a cluster, whose machines share no such folder, an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             base = held.get()
+        elif not spark.sparkContext._jsc.sc().isLocal():
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         else:
             base = f"file://{tempfile.mkdtemp(prefix='mergeloom-')}"
             spark.sparkContext.setCheckpointDir(base)
@@ -68,6 +71,54 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows that one bitmap covers (as a power of two; an eighth of that in bytes),
+#: and the bitmaps that are broadcast at once: 128 MB.
+COVERED_BITS, MOST_BITMAPS = 15, 1 << 15
+
+
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once, each row with a number ``_row`` of its own."""
+    return materialize(df.withColumn("_row", F.monotonically_increasing_id()), name)
+
+
+def by_number(rows: DataFrame, marked: DataFrame) -> DataFrame:
+    """The rows of a ``numbered`` table whose numbers are among the column
+    ``_row`` of ``marked``. The table is filtered where it lies: it does not
+    shuffle, whatever its size.
+
+    The marked numbers become bitmaps of 2^``COVERED_BITS`` rows each. At most
+    ``MOST_BITMAPS`` of them, a proven 128 MB, are broadcast for one range of
+    numbers; the next range of the table, which Parquet's statistics tell apart,
+    gets a broadcast of its own. Ranges end between the tasks that wrote the
+    table; the driver holds a row a task."""
+    number, places = F.col("_row"), 33 - COVERED_BITS  # bits of a place within a task
+    place = F.shiftright(number, COVERED_BITS)
+    at = number.bitwiseAND((1 << COVERED_BITS) - 1)
+    maps = materialize(marked.groupBy(place.alias("_place")).agg(F.bitmap_construct_agg(at).alias("_bits")), "bitmaps")
+    by_task = maps.groupBy(F.shiftright("_place", places).alias("task")).agg(F.count("*").alias("n"), F.max("_place").alias("high")).collect()
+    cuts, held = [0], 0
+    for task, n, high in sorted(map(tuple, by_task)):
+        if held and held + n > MOST_BITMAPS:
+            cuts.append(task << places)
+            held = 0
+        if n > MOST_BITMAPS:  # a task's places are consecutive
+            cuts += range((task << places) + MOST_BITMAPS, high + 1, MOST_BITMAPS)
+            n = high + 1 - cuts[-1]
+        held += n
+    byte = F.conv(F.hex(F.substring("_bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.getbit(byte, at.bitwiseAND(7).cast("int")) == 1
+    out = None
+    for low, high in zip(cuts, [*cuts[1:], None], strict=True):
+        own, ones = rows, maps
+        if low:
+            own, ones = own.where(number >= low << COVERED_BITS), ones.where(F.col("_place") >= low)
+        if high is not None:
+            own, ones = own.where(number < high << COVERED_BITS), ones.where(F.col("_place") < high)
+        found = own.join(F.broadcast(ones), place == F.col("_place")).where(hit).select(*rows.columns)
+        out = found if out is None else out.union(found)
+    return out
+
+
 def pick(df: DataFrame, **types: str) -> DataFrame:
     """Only the named columns, cast. Names match exactly, the first of equal
     names counts, so other columns may bear any names, also in other case."""

@@ -23,14 +23,19 @@ components is lost, and groups of near copies are not expanded into pairs.
 Null text counts as empty; a text without words has fingerprint zero and
 links like any other. A null doc_id gets a fingerprint and a component, but is
 never a component's id unless no other is there. Repeated rows come out as
-often as they came in.
+often as they came in. Very long texts are hashed whole, in runs of ``chunk``
+shingles. Other columns, whatever their names, are not read; where whole rows
+are kept they stay as they are. An empty table gives no rows.
 
 Four bits reach only part of the texts that share most of their words. The
 pipeline drops near copies by the texts themselves (``similar``): a Jaccard
 similarity of 0.8 or more of their sets of five-word shingles. Golay keys and
 bands of min-hashes only propose pairs; sets decide. Of pairs at 0.8 exactly,
 ``BANDS`` bands of ``BAND_ROWS`` min-hashes miss (1 - 0.8**6)**40 = 5 in a
-million, of closer ones fewer.
+million, of closer ones fewer. Texts do not shuffle for that: rows are written
+once with a number, and whatever is asked of some of them, the sets of those
+that share a key and the rows that stay, filters that table where it lies
+(``common.by_number``).
 """
 
 from __future__ import annotations
@@ -44,14 +49,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mergeloom.llm import golay
-from mergeloom.llm.common import batches, byte_texts, flattened, materialize, pick
+from mergeloom.llm.common import batches, by_number, byte_texts, flattened, materialize, numbered, pick
 from mergeloom.llm.components import components
 
 SEED = 42
 MOST_BITS = 4
 BANDS, BAND_ROWS = 40, 6
-#: Numbers of rows to drop, 8 bytes each, that are broadcast at most.
-MOST_BROADCAST = 500_000
+#: Fingerprints whose keys, up to 150 each, one task makes.
+KEYED_A_TASK = 10_000
 #: (shift, bits) of the segments and of each segment's two halves.
 SEGMENTS = ((42, 22), (21, 21), (0, 21))
 HALVES = (((11, 11), (0, 11)), ((11, 10), (0, 11)), ((11, 10), (0, 11)))
@@ -130,9 +135,10 @@ def link(prints: DataFrame, most: int = MOST_BITS) -> DataFrame:
     the smallest fingerprint reachable by links of at most ``most`` bits."""
     if most > MOST_BITS:
         raise ValueError(f"the keys find at most {MOST_BITS} differing bits")
+    tasks = -(-prints.count() // KEYED_A_TASK) or 1
     bucket = Window.partitionBy("key").orderBy("fp")
     whole = bucket.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    shared = _keyed(prints).select(
+    shared = _keyed(prints.select("fp").repartition(tasks, "fp")).select(
         "key", "fp", F.lag("fp").over(bucket).alias("before"), F.first("fp").over(whole).alias("low"), F.last("fp").over(whole).alias("high")
     ).where("low != high")
     shared = materialize(shared, "shared")
@@ -155,6 +161,7 @@ def near_duplicates(docs: DataFrame, width: int = 4, most: int = MOST_BITS) -> D
     distinct = all_prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     named = materialize(link(distinct, most), "named")
     ids = named.join(distinct, "fp").groupBy("component").agg(F.min("least").alias("component_id"))
+    ids = materialize(ids, "ids")  # so that a join on a component that many share can be split
     by_print = named.join(ids, "component").select("fp", "component_id")
     return all_prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
 
@@ -183,14 +190,14 @@ def marks(hashes: np.ndarray, chunk: int = 1 << 12) -> tuple[bytes, int, list[in
     return digest, fp, np.array(bands, np.uint64).view(np.int64).tolist()
 
 
-def _marked(docs: DataFrame, width: int) -> DataFrame:
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches(rows):
+def _marked(rows: DataFrame, width: int) -> DataFrame:
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches(found):
             digest, fp, bands = zip(*(marks(shingles(t, width)) for t in byte_texts(b.column(1))), strict=True)
             columns = [pa.array(digest, pa.binary()), pa.array(fp, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([b.column(0), *columns], ["doc_id", "digest", "fp", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *columns], ["_row", "digest", "fp", "bands"])
 
-    return pick(docs, doc_id="long", text="string").mapInArrow(run, "doc_id long, digest binary, fp long, bands array<long>")
+    return rows.select("_row", F.col("text").cast("string")).mapInArrow(run, "_row long, digest binary, fp long, bands array<long>")
 
 
 def _set_keys(sets: DataFrame) -> DataFrame:
@@ -208,34 +215,33 @@ def _set_keys(sets: DataFrame) -> DataFrame:
     return sets.select("v", "fp", "bands").mapInArrow(run, "key long, v long")
 
 
-def _sets(docs: DataFrame, width: int) -> DataFrame:
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches(rows, 1 << 20):
-            found = [shingles(t, width).view(np.int64) for t in byte_texts(b.column(1))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], ["v", "s"])
+def _sets(rows: DataFrame, width: int) -> DataFrame:
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches(found, 1 << 20):
+            sets = [shingles(t, width).view(np.int64) for t in byte_texts(b.column(1))]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["v", "s"])
 
-    return pick(docs, doc_id="long", text="string").mapInArrow(run, "v long, s array<long>")
+    return rows.select(F.col("_row").alias("v"), F.col("text").cast("string")).mapInArrow(run, "v long, s array<long>")
 
 
-def similar(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
-    """(doc_id, component_id) for non-null, distinct doc_ids: component_id is
-    the smallest doc_id reachable by links of texts whose sets of shingles have
-    a Jaccard similarity of ``least`` (0.8 or more: bands are made for that)."""
+def similar(rows: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
+    """(_row, component) for a ``numbered`` table with ``text``: component is the
+    smallest number reachable by links of texts whose sets of shingles have a
+    Jaccard similarity of ``least`` (0.8 or more: bands are made for that)."""
     if least < 0.8:
         raise ValueError("the bands are made for similarities of 0.8 or more")
-    marked = materialize(_marked(docs, width), "marks")
-    same = materialize(marked.groupBy("digest").agg(F.min("doc_id").alias("v")), "same")
+    marked = materialize(_marked(rows, width), "marks")
+    same = materialize(marked.groupBy("digest").agg(F.min("_row").alias("v")), "same")
+    tasks = -(-same.count() // KEYED_A_TASK) or 1
     bucket = Window.partitionBy("key").orderBy("v")
     whole = bucket.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    keyed = _set_keys(marked.join(same.select("v"), F.col("doc_id") == F.col("v")))
+    keyed = _set_keys(marked.repartition(tasks, "_row").join(same.select("v").repartition(tasks, "v"), F.col("_row") == F.col("v")))
     shared = keyed.select(
         "key", "v", F.lag("v").over(bucket).alias("before"), F.first("v").over(whole).alias("low"), F.last("v").over(whole).alias("high")
     ).where("low != high")
     shared = materialize(shared, "shared")
-    wanted = materialize(shared.select("v").distinct(), "wanted")
-    few = wanted.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST  # else texts shuffle by number
-    texts = docs.join(F.broadcast(wanted) if few else wanted, F.col("doc_id") == F.col("v"), "left_semi")
-    sets = materialize(_sets(texts, width), "sets")
+    wanted = shared.select(F.col("v").alias("_row")).distinct()
+    sets = materialize(_sets(by_number(rows, wanted), width), "sets")
 
     def verified(pairs: DataFrame) -> DataFrame:
         x, y = (sets.select(F.col("v").alias(k), F.col("s").alias(f"s{k}")) for k in "ab")
@@ -251,14 +257,19 @@ def similar(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
     pairs = pairs.select(F.col("x.v").alias("a"), F.col("y.v").alias("b"), F.col("x.c").alias("ca"), F.col("y.c").alias("cb")).distinct()
     second = components(verified(pairs), "ca", "cb").withColumnsRenamed({"id": "c", "component": "root"})
     out = same.join(first, F.col("v") == F.col("id"), "left").select("digest", F.coalesce("component", "v").alias("c"))
-    out = out.join(second, "c", "left").select("digest", F.coalesce("root", "c").alias("component_id"))
-    return marked.select("doc_id", "digest").join(out, "digest").select("doc_id", "component_id")
+    out = materialize(out.join(second, "c", "left").select("digest", F.coalesce("root", "c").alias("component")), "roots")
+    return marked.select("_row", "digest").join(out, "digest").select("_row", "component")
 
 
 def deduplicated(docs: DataFrame, width: int = 4, most: int = MOST_BITS) -> DataFrame:
     """``docs`` with one row of each component, that with the smallest doc_id
     (null last)."""
-    return _one_of_each(docs, lambda rows: near_duplicates(rows, width, most))
+
+    def find(rows: DataFrame) -> DataFrame:
+        found = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), width, most)
+        return found.select(F.col("doc_id").alias("_row"), F.col("component_id").alias("component"))
+
+    return _one_of_each(docs, find)
 
 
 def without_copies(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
@@ -268,13 +279,10 @@ def without_copies(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataF
 
 def _one_of_each(docs: DataFrame, find: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Rows get a number on being written once, so rows of equal or null
-    doc_ids stay apart; then only the numbers to drop are joined."""
+    doc_ids stay apart; ``find`` gives (_row, component)."""
     flat, names, at = flattened(docs)
-    rows = materialize(flat.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    found = find(rows.select(F.col("_row").alias("doc_id"), F.col(at["text"]).alias("text")))
-    found = materialize(found.select(F.col("doc_id").alias("_row"), F.col("component_id").alias("c")), "found")
+    rows = numbered(flat, "rows")
+    found = materialize(find(rows.select("_row", F.col(at["text"]).alias("text"))), "found")
     ids = found.join(rows.select("_row", F.col(at["doc_id"]).alias("doc_id")), "_row")
-    chosen = ids.groupBy("c").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).getField("_row").alias("_row"))
-    drop = materialize(found.select("_row").join(chosen.select("_row"), "_row", "left_anti"), "drop")
-    few = drop.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST  # else texts shuffle by number
-    return rows.join(F.broadcast(drop) if few else drop, "_row", "left_anti").select(*flat.columns).toDF(*names)
+    chosen = ids.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).getField("_row").alias("_row"))
+    return by_number(rows, chosen).select(*flat.columns).toDF(*names)
