@@ -12,18 +12,30 @@ pseudorandom permutation of the source's indices, another one each round
 through the source. Slots and blocks are then joined by block index.
 
 Stream positions come from a two-level prefix sum: documents are hashed into
-``CHUNKS`` chunks a source, chunk totals are summed up, and a window runs
-within each chunk only. No task sees a whole source. The driver holds a row a
-source and the draws, sources times shards; more than ``MOST_DRAWS`` of them
-raise an error that asks for fewer shards. Text never shuffles for the counts.
+chunks of about ``ROWS_A_CHUNK`` documents by id, size and text, chunk totals
+are summed up, and a window runs within each chunk only. No task sees a whole
+source, nor one id's rows if their texts differ. Slots are made by as many
+tasks as ``SLOTS_A_TASK`` asks for. The driver holds a row a source and the
+draws, sources times shards; with more than ``MOST_DRAWS`` of them there are
+fewer shards, one at least. Text never shuffles for the counts.
+
+As documents (``mix_documents``) the output keeps its order: each run of words
+bears the shard and slot where its source's turn first comes to it, and every
+output partition, a random part of all rows, is sorted by them, so sources
+alternate in each file as the shards say.
 
 Null texts count as empty. Null is a source of its own, last in order. Empty
-documents get no words. Repeated rows are documents of their own. Null doc_ids
-are carried. An empty table gives no rows. Seeds fix all draws: reruns agree.
+documents get no words. Very long texts are counted whole and span blocks.
+Repeated rows are documents of their own; rows equal in id, size and text tie,
+and which of them comes first changes nothing in the result. Null doc_ids are
+carried. Other columns, whatever their names, are not read, and stay where rows
+are kept. An empty table gives no rows. Seeds fix all draws: reruns agree.
 """
 
 from __future__ import annotations
 
+import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,14 +43,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mergeloom.llm.common import batches, byte_texts, flattened, materialize, pick, sized_join
+from mergeloom.llm.common import batches, byte_texts, flattened, materialize, numbered, pick, sized_join
 
 BLOCK = 128
 SHARDS = 256
-CHUNKS = 1024
+ROWS_A_CHUNK = 20_000
 MOST_TIMES = 3
 MOST_DRAWS = 4_000_000
-SLOTS_A_ROW = 1 << 16
+SLOTS_A_ROW, SLOTS_A_TASK = 1 << 14, 1 << 18
 WEIGHTS = (1, 2, 3)
 GOLDEN = 0x9E3779B97F4A7C15  # 2^64 over the golden ratio, odd
 
@@ -107,16 +119,18 @@ def permuted(index: np.ndarray, n: int, key: np.ndarray, rounds: int = 4) -> np.
 
 
 def measured(docs: DataFrame, row: str | None = None) -> DataFrame:
-    """(row, doc_id, source, size); one Arrow pass. ``row`` names a column of
-    longs that tells rows apart, else null."""
+    """(row, doc_id, source, size, mark); one Arrow pass. ``row`` names a column
+    of longs that tells rows apart, else null; ``mark`` is a hash of the text."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(rows):
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([len(t.split()) for t in byte_texts(b.column(3))], pa.int64())], ["row", "doc_id", "source", "size"])
+            found = byte_texts(b.column(3))
+            sizes = pa.array([len(t.split()) for t in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], sizes, pa.array([zlib.crc32(t) for t in found], pa.int64())], ["row", "doc_id", "source", "size", "mark"])
 
     ready = pick(docs, **({row: "long"} if row else {}), doc_id="long", source="string", text="string")
     ready = ready.withColumnRenamed(row, "row") if row else ready.withColumn("row", F.lit(None).cast("long"))
-    return ready.select("row", "doc_id", "source", "text").mapInArrow(run, "row long, doc_id long, source string, size long")
+    return ready.select("row", "doc_id", "source", "text").mapInArrow(run, "row long, doc_id long, source string, size long, mark long")
 
 
 class Mix:
@@ -124,30 +138,29 @@ class Mix:
 
     def __init__(self, docs: DataFrame, block: int = BLOCK, shards: int = SHARDS, seed: int = 20240607, row: str | None = None) -> None:
         self.spark: SparkSession = docs.sparkSession
-        self.block, self.shards, self.seed = block, shards, seed
+        self.block, self.seed = block, seed
         sized = materialize(measured(docs, row), "sized")
-        rows = sized.groupBy("source").agg(F.sum("size").alias("size")).limit(MOST_DRAWS // shards + 1).collect()
-        if len(rows) * shards > MOST_DRAWS:
-            raise ValueError(f"more than {MOST_DRAWS} draws: take fewer than {shards} shards")
+        rows = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("docs")).collect()
+        self.shards = max(1, min(shards, MOST_DRAWS // max(1, len(rows))))
         rows.sort(key=lambda r: (r.source is None, r.source or ""))
         sizes = [r.size for r in rows]
         goals = targets(sizes, [WEIGHTS[i % len(WEIGHTS)] for i in range(len(rows))]) if rows else []
         counts = [-(-s // block) for s in sizes]
         wanted = apportion([t * n / s if s else 0.0 for t, n, s in zip(goals, counts, sizes, strict=True)])
-        self.drawn = draws(wanted, shards, seed)
-        table = [(r.source, i, s, t, n) for i, (r, s, t, n) in enumerate(zip(rows, sizes, goals, counts, strict=True))]
-        self.sources = materialize(self.spark.createDataFrame(table, "source string, sid int, source_size long, target double, n_blocks long").coalesce(1), "sources")
+        self.drawn = draws(wanted, self.shards, seed)
+        table = [(r.source, i, s, t, n, -(-r.docs // ROWS_A_CHUNK)) for i, (r, s, t, n) in enumerate(zip(rows, sizes, goals, counts, strict=True))]
+        self.sources = materialize(self.spark.createDataFrame(table, "source string, sid int, source_size long, target double, n_blocks long, n_chunks long").coalesce(1), "sources")
         self.placed = self._placed(sized)
 
     def _placed(self, sized: DataFrame) -> DataFrame:
         """(row, doc_id, source, size, sid, source_size, target, start)."""
-        named = sized_join(sized, self.sources, ["source"]).withColumn("chunk", F.pmod(F.xxhash64("doc_id", "size"), F.lit(CHUNKS)).cast("int"))
-        own = Window.partitionBy("sid", "chunk").orderBy("doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        named = sized_join(sized, self.sources, ["source"]).withColumn("chunk", F.pmod(F.xxhash64("doc_id", "size", "mark"), F.col("n_chunks")))
+        own = Window.partitionBy("sid", "chunk").orderBy("doc_id", "size", "mark", "row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         inner = named.withColumn("_to", F.sum("size").over(own))
         totals = named.groupBy("sid", "chunk").agg(F.sum("size").alias("_all"))
         before = Window.partitionBy("sid").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
         offsets = totals.select("sid", "chunk", F.coalesce(F.sum("_all").over(before), F.lit(0)).alias("_from"))
-        return materialize(inner.join(offsets, ["sid", "chunk"]).withColumn("start", F.expr("_from + _to - size")).drop("_from", "_to", "chunk"), "placed")
+        return materialize(inner.join(offsets, ["sid", "chunk"]).withColumn("start", F.expr("_from + _to - size")).drop("_from", "_to", "chunk", "n_chunks", "mark"), "placed")
 
     def slots(self) -> DataFrame:
         """(shard, slot, sid, block): which block each slot reads."""
@@ -157,7 +170,8 @@ class Mix:
         table = list(zip(k.tolist(), s.tolist(), self.drawn[k, s].tolist(), first[k, s].tolist(), at[k, s].tolist(), strict=True))
         plan = self.spark.createDataFrame(table, "shard int, sid int, n long, first long, at long")
         plan = plan.join(self.sources.select("sid", "n_blocks"), "sid")
-        pieces = plan.withColumn("skip", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(SLOTS_A_ROW).cast("long")))).repartition("shard", "sid", "skip")
+        pieces = plan.withColumn("skip", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(SLOTS_A_ROW).cast("long"))))
+        pieces = pieces.repartition(-(-int(self.drawn.sum()) // SLOTS_A_TASK) or 1, "shard", "sid", "skip")
         seed = self.seed
 
         def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,8 +199,10 @@ class Mix:
         return self.slots().join(self.blocks(), ["sid", "block"])
 
     def block_times(self) -> DataFrame:
-        """``blocks`` with ``times``: the slots that read the block."""
-        return self.blocks().join(self.slots().groupBy("sid", "block").agg(F.count("*").alias("times")), ["sid", "block"])
+        """``blocks`` with ``times``, how many slots read the block, and the
+        ``first`` of them by shard and slot."""
+        order = F.struct("shard", "slot")
+        return self.blocks().join(self.slots().groupBy("sid", "block").agg(F.count("*").alias("times"), F.min(order).alias("first")), ["sid", "block"])
 
     def taken(self) -> DataFrame:
         """``placed`` with ``taken``: a document's words in the output, repeats
@@ -198,54 +214,58 @@ class Mix:
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """The mixture as documents: for each time round, a row for each run of
-    neighbouring words that a document gives; whole documents come whole.
-    Returns the columns of ``docs``; ``n_chars``, if there, is counted anew."""
+    neighbouring words that a document gives; whole documents come whole. Rows
+    of a partition come in the order of shards and slots. Returns the columns of
+    ``docs``; ``n_chars``, if there, is counted anew."""
     flat, names, at = flattened(docs)
-    rows = materialize(flat.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    rows = numbered(flat, "rows")
     plan = Mix(rows.select("_row", *[F.col(at[n]).alias(n) for n in ("doc_id", "text", "source")]), row="_row", **options)
-    times = plan.block_times().groupBy("row").agg(F.sort_array(F.collect_list(F.struct("from_word", "words", "times"))).alias("_given"))
+    given = plan.block_times().select(F.col("row").alias("_row"), F.struct("from_word", "words", "times", "first.shard", "first.slot").alias("g"))
+    given = given.groupBy("_row").agg(F.sort_array(F.collect_list("g")).alias("_given"))
     sizes = plan.placed.select(F.col("row").alias("_row"), F.col("size").alias("_size"))
-    given = times.withColumnRenamed("row", "_row").join(sizes, "_row")
-    joined = rows.join(given, "_row").drop("_row")
+    joined = rows.join(given.join(sizes, "_row"), "_row").drop("_row")
     text, count = at["text"], at.get("n_chars")
 
     def run(batch: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(batch):
             held = [c for c in b.schema.names if c not in ("_given", "_size")]
-            index, pieces = [], []
+            index, pieces, places = [], [], []
             for i, (t, blocks, n) in enumerate(zip(b.column(text).to_pylist(), b.column("_given").to_pylist(), b.column("_size").to_pylist(), strict=True)):
-                for piece in given_texts(t, [tuple(x.values()) for x in blocks], n):
+                for piece, place in given_texts(t, [tuple(x.values()) for x in blocks], n):
                     index.append(i)
                     pieces.append(piece)
+                    places.append(place)
             out = b.select(held).take(pa.array(index, pa.int64()))
             for name, values in ((text, pa.array(pieces, pa.string())), (count, pa.array([len(x) for x in pieces], pa.int64()))):
                 if name:
                     k = held.index(name)
                     out = out.set_column(k, out.schema.field(name), values.cast(out.schema.field(name).type))
-            yield out
+            shards, slots = zip(*places, strict=True) if places else ((), ())
+            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(shards, pa.int32()), pa.array(slots, pa.int64())], [*held, "_shard", "_slot"])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in joined.schema if f.name not in ("_given", "_size"))
-    return joined.mapInArrow(run, schema).toDF(*names)
+    out = joined.mapInArrow(run, f"{schema}, _shard int, _slot long").sortWithinPartitions("_shard", "_slot")
+    return out.drop("_shard", "_slot").toDF(*names)
 
 
-def given_texts(text: str, blocks: list[tuple[int, int, int]], size: int) -> Iterator[str]:
+def given_texts(text: str, blocks: list[tuple[int, int, int, int, int]], size: int) -> Iterator[tuple[str, tuple[int, int]]]:
     """For each time round, the runs of words in blocks (from_word, words,
-    times) that are given at least so often."""
-    import re
-
+    times, shard, slot) that are given at least so often, each with the first
+    (shard, slot) that reads one of its blocks."""
     ends: list[tuple[int, int]] | None = None
-    for k in range(1, max(t for *_, t in blocks) + 1):
-        runs: list[list[int]] = []
-        for start, words, times in blocks:
+    for k in range(1, max(b[2] for b in blocks) + 1):
+        runs: list[list] = []
+        for start, words, times, *place in blocks:
             if times >= k:
                 if runs and runs[-1][1] == start:
                     runs[-1][1] = start + words
+                    runs[-1][2] = min(runs[-1][2], tuple(place))
                 else:
-                    runs.append([start, start + words])
-        for i, j in runs:
+                    runs.append([start, start + words, tuple(place)])
+        for i, j, place in runs:
             if (i, j) == (0, size):
-                yield text
+                yield text, place
                 continue
             if ends is None:
                 ends = [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", text)]
-            yield text[ends[i][0] : ends[j - 1][1]]
+            yield text[ends[i][0] : ends[j - 1][1]], place

@@ -44,7 +44,7 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_packing_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = packing.digests(packing.pack(_table(spark, sf_dir, "documents")))
-    return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+    return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "bucket", "batch_id", "batch_row")
 
 
 def op3_mixing_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:

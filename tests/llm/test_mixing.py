@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -71,5 +72,45 @@ def test_edge_tables(spark, none):
     assert rows_of(mixing.Mix(none).taken()) == [] and rows_of(mixing.mix_documents(none)) == []
     blank = spark.createDataFrame([(1, None, "a", None, 0), (2, " ", "a", "x", 0)], none.schema)
     assert [r.taken for r in mixing.Mix(blank).taken().collect()] == [0, 0] and rows_of(mixing.mix_documents(blank)) == []
-    with pytest.raises(ValueError, match="fewer"):
-        mixing.Mix(blank, shards=mixing.MOST_DRAWS)
+
+
+def test_more_sources_than_draws_take_fewer_shards(docs, monkeypatch):
+    monkeypatch.setattr(mixing, "MOST_DRAWS", 8)
+    monkeypatch.setattr(mixing, "ROWS_A_CHUNK", 3)
+    plan = mixing.Mix(docs, block=16, shards=64)
+    assert plan.shards == 2 and plan.taken().count() == docs.count()
+
+
+def test_taken_words_anew(docs):
+    """Streams, blocks, permutations and slots followed document by document."""
+    plan = mixing.Mix(docs, block=16, shards=8)
+    placed = plan.placed.collect()
+    sources = {r.sid: r for r in plan.sources.collect()}
+    reads = Counter()
+    for sid, own in enumerate(plan.drawn.sum(0).tolist()):
+        n = sources[sid].n_blocks
+        for d in range(own):
+            key = mixing._mixed(np.array([d // n], np.uint64) + np.uint64(sid << 32) + np.uint64(plan.seed))
+            reads[sid, int(mixing.permuted(np.array([d % n]), n, key)[0])] += 1
+    assert max(reads.values()) <= 3
+    for sid, source in sources.items():
+        stream = sorted((r.start, r["size"]) for r in placed if r.sid == sid and r["size"])
+        assert [x for x, _ in stream] == np.cumsum([0, *(n for _, n in stream[:-1])]).tolist() and sum(n for _, n in stream) == source.source_size
+    want = sorted(repr((r.doc_id, r["size"], sum(reads[r.sid, w // 16] for w in range(r.start, r.start + r["size"])))) for r in placed)
+    assert rows_of(plan.taken().select("doc_id", "size", "taken")) == want
+
+
+def test_mixed_documents_come_in_slot_order(docs):
+    plan = mixing.Mix(docs.coalesce(1), block=16, shards=4)
+    first = {}
+    for r in plan.mixture().collect():
+        first[r.doc_id] = min((r.shard, r.slot), first.get(r.doc_id, (99, 0)))
+    parts = mixing.mix_documents(docs.coalesce(1), block=16, shards=4).select(F.spark_partition_id().alias("p"), "doc_id").collect()
+    for p in {r.p for r in parts}:
+        own = list(dict.fromkeys(r.doc_id for r in parts if r.p == p and r.doc_id not in (None, 5, rows_twice(docs))))
+        assert [first[d] for d in own] == sorted(first[d] for d in own)
+
+
+def rows_twice(docs):
+    """A doc_id that comes several times."""
+    return docs.groupBy("doc_id").count().where("count > 1 and doc_id != 5").first().doc_id

@@ -200,44 +200,96 @@ def test_other_templates(spark):
 # Token counts ---------------------------------------------------------------
 
 
+def one(docs):
+    """The documents with a count of one token each."""
+    return docs.withColumn("n1", F.lit(1))
+
+
 def test_rollup_of_all_kinds_of_changes(spark, docs, odd, tmp_path):
     want = defaultdict(lambda: [0, 0])
     for r in docs.collect():
-        text = r.text or ""
-        if len(re.findall(token_counts.WORD, text)) < token_counts.FEW_WORDS:
-            continue
         for name, version in (("words", "words-2"), ("pieces", "pieces-1")):
             want[r.source, r.lang, name][0] += 1
-            want[r.source, r.lang, name][1] += len(re.findall(token_counts.VERSIONS[version], text))
+            want[r.source, r.lang, name][1] += len(re.findall(token_counts.VERSIONS[version], r.text or ""))
     want = sorted(repr((*k, *v)) for k, v in want.items())
     for name, df in (("a", docs), ("b", odd)):
         rollup = token_counts.maintained(df, f"{tmp_path}/{name}")
         assert rows_of(rollup.totals()) == want
-        assert rollup.committed() == {"load", "pieces", "recount", "takedown"}
-    assert rollup.commit("load", token_counts.inserts(docs, "words", F.lit(1))) is False
+        assert all(map(rollup.committed, ("load", "pieces", "recount", "takedown", "restored"))) and not rollup.committed("other")
+        assert rollup._folders("batch") == ["restored"]
+    assert rollup.commit("load", token_counts.inserts(one(docs), "words", "n1")) is False
     rollup.compact()
     assert rows_of(rollup.totals()) == want and rollup._folders("batch") == []
     again = token_counts.Rollup(spark, rollup.path)
-    assert again.commit("takedown", token_counts.inserts(docs, "words", F.lit(1))) is False
-    assert again.commit("undo/é %", token_counts.deletes(docs, "none", F.lit(5))) is True
+    assert again.commit("takedown", token_counts.inserts(one(docs), "words", "n1")) is False
+    five = docs.withColumn("five", F.lit(5))
+    assert again.commit("undo/é %", token_counts.deletes(five, "none", "five")) is True
     again.compact()
-    assert again.commit("undo/é %", token_counts.deletes(docs, "none", F.lit(5))) is False
+    assert again.commit("undo/é %", token_counts.deletes(five, "none", "five")) is False
     assert again.totals().where("tokenizer = 'none'").agg(F.sum("docs"), F.sum("tokens")).first() == (-docs.count(), -5 * docs.count())
 
 
+def test_stored_counts_are_revised_and_deleted(spark, docs, tmp_path):
+    rollup = token_counts.Rollup(spark, f"{tmp_path}/r")
+    stored = spark.createDataFrame([("s", "a", 7, 9), ("s", "a", None, 4), ("t", None, 3, None)], "source string, lang string, old long, new long")
+    rollup.commit("in", token_counts.inserts(stored, "x", "old"))
+    rollup.commit("new", token_counts.revisions(stored, "x", "old", "new"))
+    assert rows_of(rollup.totals()) == ["('s', 'a', 'x', 2, 13)", "('t', None, 'x', 1, 0)"]
+    rollup.commit("out", token_counts.deletes(stored, "x", "new"))
+    assert rows_of(rollup.totals()) == []
+
+
+def test_counts_of_all_versions_in_one_pass(docs, odd, none):
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+
+    versions = [*token_counts.VERSIONS, *token_counts.FILES]
+    rows = {r.text or "" for r in docs.collect()}
+    files = {v: Tokenizer.from_file(public_tokenizers.path(f"{v}.json")) for v in token_counts.FILES}
+    plain = lambda t: tuple(len(re.findall(p, t)) for p in token_counts.VERSIONS.values()) + tuple(len(f.encode(t, add_special_tokens=False).ids) for f in files.values())
+    want = sorted(repr((r.doc_id, *plain(r.text or ""))) for r in docs.collect())
+    out = token_counts.counted(docs, versions)
+    assert out.columns == [c for c in docs.columns if c != "text"] + [f"n_{v}" for v in versions] and rows
+    assert rows_of(out.select("doc_id", *[F.col(f"n_{v}") for v in versions])) == want
+    assert rows_of(token_counts.counted(odd, versions).toDF(*[f"c{i}" for i in range(len(odd.columns) - 1 + len(versions))]).select("c0", *[f"c{len(odd.columns) - 1 + i}" for i in range(len(versions))])) == want
+    assert token_counts.counted(none, versions).count() == 0
+    with pytest.raises(ValueError, match="no tokenizer"):
+        token_counts.counted(docs, ["words-3"])
+
+
 def test_race_for_a_batch(spark, docs, tmp_path, monkeypatch):
     a, b = (token_counts.Rollup(spark, f"{tmp_path}/r") for _ in range(2))
-    changes = token_counts.inserts(docs, "t", F.lit(1))
-    monkeypatch.setattr(b, "committed", lambda: set())  # b looked before a was done
+    changes = token_counts.inserts(one(docs), "t", "n1")
+    monkeypatch.setattr(b, "committed", lambda _: False)  # b looked before a was done
     assert a.commit("x", changes) is True and b.commit("x", changes) is False
     assert a.totals().agg(F.sum("docs")).first()[0] == docs.count()
 
 
+def test_a_batch_that_comes_while_others_are_folded_counts_once(spark, docs, tmp_path, monkeypatch):
+    a, b = (token_counts.Rollup(spark, f"{tmp_path}/r") for _ in range(2))
+    changes, n = token_counts.inserts(one(docs), "t", "n1"), docs.count()
+    total = lambda: b.totals().agg(F.sum("docs")).first()[0]
+    a.commit("first", changes)
+    sums, late = a._sums, iter(["second", "third"])
+
+    def with_a_late_commit(*parts):
+        assert b.commit(next(late), changes)
+        return sums(*parts)
+
+    monkeypatch.setattr(a, "_sums", with_a_late_commit)
+    a.compact()
+    assert total() == 2 * n and b._folders("batch") == ["second"]
+    a.compact()
+    assert total() == 3 * n and b._folders("batch") == ["third"]
+    assert not any(b.commit(x, changes) for x in ("first", "second", "third")) and total() == 3 * n
+
+
 def test_rollup_without_rows(spark, none, tmp_path):
     rollup = token_counts.Rollup(spark, f"{tmp_path}/r")
     assert rows_of(rollup.totals()) == []
-    assert rollup.commit("", token_counts.inserts(none, "t", F.lit(1))) is True
-    assert rollup.commit("", token_counts.inserts(none, "t", F.lit(1))) is False
+    assert rollup.commit("", token_counts.inserts(one(none), "t", "n1")) is True
+    assert rollup.commit("", token_counts.inserts(one(none), "t", "n1")) is False
     assert rows_of(rollup.totals()) == []
 
 

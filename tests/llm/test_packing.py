@@ -25,8 +25,20 @@ def test_ids_are_the_librarys(text):
 def test_words_forgotten_and_found_again(monkeypatch):
     monkeypatch.setattr(packing, "KEPT_WORDS", 3)
     own = packing.WordIds(packing.word_bpe_path())
-    for text in ("a bb ccc dddd eeeee", "a bb x y z w", "eeeee a"):
+    for text in ("a bb ccc dddd eeeee", "a bb x y z w", "eeeee a", "a bb", "c " + "d" * 100, "a c", "bb f", "a"):
         assert np.frombuffer(own(text), "<u4").tolist() == library(text)
+        assert len(own.words) <= 3 and len(own.before) <= 3
+
+
+def test_other_tokenizers_go_to_the_library():
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    own = packing.WordIds(path)
+    assert IDS.by_word and not own.by_word
+    for text in ("Hello  world's\n end", "", "é 1234"):
+        assert np.frombuffer(own(text), "<u4").tolist() == own.tokenizer.encode(text, add_special_tokens=False).ids
+    assert packing.word_ids() is packing.word_ids()
 
 
 @given(st.integers(0, 50_000), st.sampled_from([1, 8, 4096]))
@@ -51,6 +63,13 @@ def test_pieces_make_up_the_documents(docs, odd):
             at = None
     assert sorted(map(repr, runs)) == want
     assert len({p.sequence_id for p in packed}) == len(packed)
+    seats = {(p.batch_id, p.batch_row) for p in packed}
+    assert len(seats) == len(packed) and all(p.length == 1 << p.bucket for p in packed)
+    by_batch = {}
+    for p in packed:
+        by_batch.setdefault(p.batch_id, set()).add(p.length)
+    assert all(len(x) == 1 for x in by_batch.values())
+    assert all(p.batch_row < packing.BATCH_TOKENS // p.length for p in packed)
     digested = packing.digests(packing.pack(docs)).collect()
     assert sorted(d.ids_crc32 for d in digested) == sorted(zlib.crc32(np.array(p.ids, "<u4").tobytes()) for p in packed)
     assert packing.pack(odd).count() == len(packed)
@@ -59,4 +78,4 @@ def test_pieces_make_up_the_documents(docs, odd):
 def test_empty_table_and_buckets(none, docs, spark, tmp_path):
     assert rows_of(packing.pack(none)) == [] and rows_of(packing.digests(packing.pack(none))) == []
     packing.write_buckets(packing.pack(docs), f"{tmp_path}/b")
-    assert spark.read.parquet(f"{tmp_path}/b/bucket=4096").where("length != 4096").count() == 0
+    assert spark.read.parquet(f"{tmp_path}/b/bucket=12").where("length != 4096").count() == 0
