@@ -1,7 +1,11 @@
 """Count-min sketches as a relation (group, row, col, n): merge is a sum.
 
-Items are counted exactly before they are hashed, so a row of input costs one
-partial aggregate and an item costs ``depth`` hashes.
+Rows go to their cells at once and add up there before they shuffle, so what
+crosses the network is at most ``depth`` times ``width`` cells a task and group,
+however many different items there are. Estimates for all rows, as heavy hitters
+need them, read the cells from one broadcast array of ``depth`` times ``width``
+numbers where that is at most ``MOST_CELLS``, so no item shuffles that is not a
+hitter; larger sketches join their cells.
 """
 
 from __future__ import annotations
@@ -16,6 +20,8 @@ from mergeloom.functions import hashing
 from mergeloom.operators.aggregators import LN2
 
 SEED = 1
+#: Cells, 8 bytes each, of a sketch that is broadcast.
+MOST_CELLS = 4_000_000
 
 
 def depth_for(delta: float) -> int:
@@ -47,8 +53,24 @@ def counts(df: DataFrame, x: str, by: Sequence[str] = (), n: Column | None = Non
 
 def sketch(df: DataFrame, x: str, depth: int, width: int, by: Sequence[str] = (), n: Column | None = None, seed: int = SEED) -> DataFrame:
     """(by, row, col, n): the cells that are not empty."""
-    cells = _cells(counts(df, x, by, n), x, depth, width, seed)
-    return cells.groupBy(*by, "row", "col").agg(F.sum("n").alias("n"))
+    rows = df.where(F.col(x).isNotNull()).select(*by, F.col(x).alias("_x"), *([] if n is None else [n.alias("_n")]))
+    cells = _cells(rows, "_x", depth, width, seed)
+    return cells.groupBy(*by, "row", "col").agg((F.count("*") if n is None else F.sum("_n")).alias("n"))
+
+
+def estimated(df: DataFrame, cells: DataFrame, x: str, depth: int, width: int, seed: int = SEED) -> DataFrame:
+    """Every row of ``df`` with a non-null item, its ``estimate`` and the
+    sketch's ``total`` beside it, from one broadcast row."""
+    if depth * width > MOST_CELLS:
+        raise ValueError(f"a sketch of {depth * width} cells is not broadcast")
+    places = cells.sparkSession.range(0, depth * width, 1, 1).withColumnRenamed("id", "_k")
+    filled = places.join(cells.select((F.col("row") * width + F.col("col")).cast("long").alias("_k"), "n"), "_k", "left")
+    row = F.struct("_k", F.coalesce("n", F.lit(0)).alias("n"))
+    dense = filled.agg(F.transform(F.array_sort(F.collect_list(row)), lambda c: c["n"]).alias("_cells"), F.coalesce(F.sum(F.when(F.col("_k") < width, F.col("n"))), F.lit(0)).alias("total"))
+    col = lambda r: hashing.bucket(width, F.concat_ws("/", F.lit(str(seed)), F.lit(r)), x).cast("int")
+    each = [F.get("_cells", r * width + col(r)) for r in range(depth)]
+    rows = df.where(F.col(x).isNotNull()).crossJoin(F.broadcast(dense))
+    return rows.withColumn("estimate", F.least(*each) if depth > 1 else each[0]).drop("_cells")
 
 
 def merge(cells: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -89,19 +111,29 @@ def second_moment(a: DataFrame, depth: int) -> DataFrame:
 
 def top_pct(df: DataFrame, x: str, depth: int, width: int, pct: float, seed: int = SEED) -> DataFrame:
     """(x, estimate): items whose estimate is at least ``pct`` of the total."""
-    items = counts(df, x)
-    cells = merge(_cells(items, x, depth, width, seed).select("row", "col", "n"))
-    estimates = frequency(cells, items, x, depth, width, seed=seed)
+    cells = sketch(df, x, depth, width, seed=seed)
+    if depth * width <= MOST_CELLS:
+        rows = estimated(df.select(x), cells, x, depth, width, seed)
+        return rows.where(F.col("estimate") >= pct * F.col("total")).select(x, "estimate").distinct()
+    estimates = frequency(cells, df.where(F.col(x).isNotNull()), x, depth, width, seed=seed)
     return estimates.join(F.broadcast(total(cells))).where(F.col("estimate") >= pct * F.col("total")).drop("total")
 
 
 def top_n(df: DataFrame, x: str, depth: int, width: int, n: int, by: Sequence[str] = (), seed: int = SEED) -> DataFrame:
     """(by, x, estimate): the n largest estimates, of each scope if ``by`` is
-    given; ties by item. The same whatever the order of merging."""
-    items = counts(df, x, by)
-    cells = merge(_cells(items, x, depth, width, seed).select(*by, "row", "col", "n"), by)
-    estimates = frequency(cells, items, x, depth, width, by, seed)
+    given; ties by item. The same whatever the order of merging. Over
+    everything, any n items bound the least estimate that can be among them; the
+    native sketch of frequent items names good ones, and only items from there
+    on shuffle. Scopes estimate each of their distinct items."""
     order = [F.col("estimate").desc(), F.col(x)]
+    cells = sketch(df, x, depth, width, by, seed=seed)
+    if not by and depth * width <= MOST_CELLS:
+        tracked = max(1000, 4 * n)
+        some = df.where(F.col(x).isNotNull()).agg(F.call_function("approx_top_k", F.col(x), F.lit(n), F.lit(tracked)).alias("t")).select(F.explode("t.item").alias(x))
+        kth = estimated(some, cells, x, depth, width, seed).agg(F.when(F.count("*") >= n, F.min("estimate")).otherwise(0).alias("_least"))
+        rows = estimated(df.select(x), cells, x, depth, width, seed).crossJoin(F.broadcast(kth)).where(F.col("estimate") >= F.col("_least"))
+        return rows.select(x, "estimate").distinct().orderBy(*order).limit(n)
+    estimates = frequency(cells, df.where(F.col(x).isNotNull()), x, depth, width, by, seed)
     if not by:
         return estimates.orderBy(*order).limit(n)
     w = Window.partitionBy(*by).orderBy(*order)
@@ -118,9 +150,8 @@ def sketch_map(df: DataFrame, x: str, value: Column, depth: int, width: int, by:
 
 def heavy_hitters(df: DataFrame, x: str, value: Column, depth: int, width: int, k: int, seed: int = SEED) -> DataFrame:
     """(x, estimate): the k keys with the largest estimated sums."""
-    items = counts(df, x, (), value)
-    cells = merge(_cells(items, x, depth, width, seed).select("row", "col", "n"))
-    return frequency(cells, items, x, depth, width, seed=seed).orderBy(F.col("estimate").desc(), F.col(x)).limit(k)
+    cells = sketch(df, x, depth, width, (), value, seed)
+    return frequency(cells, df.where(F.col(x).isNotNull()), x, depth, width, seed=seed).orderBy(F.col("estimate").desc(), F.col(x)).limit(k)
 
 
 # Decaying counts ---------------------------------------------------------

@@ -480,8 +480,18 @@ def right_folded_sums(spark, sf):
     return out.select("user_id", r("total", 4).alias("total"))
 
 
-@query()
+@query("""with r as (select l_returnflag, {'n': 0::bigint, 'a': 0::double, 'b': 0::double, 'c': 0::double, 'x': l_quantity / 50, 'z': l_discount * 10, 'y': l_extendedprice / 1e5} as r,
+        l_orderkey, l_linenumber, l_partkey, l_extendedprice / 1e5 as y from lineitem),
+    l as (select l_returnflag, list_prepend({'n': 0::bigint, 'a': 0::double, 'b': 0::double, 'c': 0::double, 'x': 0::double, 'z': 0::double, 'y': 0::double},
+        list(r order by l_orderkey, l_linenumber, l_partkey, y)) as l from r group by 1),
+    w as (select l_returnflag, list_reduce(l, lambda s, r: {'n': s.n + 1,
+        'a': s.a - 0.1 * power(s.n + 1.0, -0.5) * ((s.a * r.x + s.b * r.z + s.c - r.y) * r.x),
+        'b': s.b - 0.1 * power(s.n + 1.0, -0.5) * ((s.a * r.x + s.b * r.z + s.c - r.y) * r.z),
+        'c': s.c - 0.1 * power(s.n + 1.0, -0.5) * (s.a * r.x + s.b * r.z + s.c - r.y), 'x': 0::double, 'z': 0::double, 'y': 0::double}) as w from l)
+    select l_returnflag, w.n as steps, round(w.a, 6) as quantity, round(w.b, 6) as discount, round(w.c, 6) as intercept from w""")
 def sgd_linear(spark, sf):
     """One model a return flag, price from quantity and discount (scaled)."""
     rows = table(spark, sf, "lineitem").select("l_returnflag", "l_orderkey", "l_linenumber", "l_partkey", (F.col("l_quantity") / 50).alias("x1"), (F.col("l_discount") * 10).alias("x2"), (F.col("l_extendedprice") / 1e5).alias("y"))
-    return ordered.sgd(rows, ["l_returnflag"], ["l_orderkey", "l_linenumber", "l_partkey", "y"], ["x1", "x2"], "y", [0.0, 0.0, 0.0], ordered.count_adaptive_step(0.1, 0.5), key_schema="l_returnflag string")
+    out = ordered.sgd(rows, ["l_returnflag"], ["l_orderkey", "l_linenumber", "l_partkey", "y"], ["x1", "x2"], "y", [0.0, 0.0, 0.0], ordered.count_adaptive_step(0.1, 0.5), key_schema="l_returnflag string")
+    w = F.col("weights")
+    return out.select("l_returnflag", F.col("count").alias("steps"), r(w[0]).alias("quantity"), r(w[1]).alias("discount"), r(w[2]).alias("intercept"))

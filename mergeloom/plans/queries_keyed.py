@@ -215,12 +215,47 @@ def streaming_sum_by_key(spark, sf):
     return summers.totals(spark, aggs, ["event_type"], f"{top}/buffers").withColumn("value", r("value"))
 
 
+@query("""select event_type, date_trunc('hour', ts) as hour, count(*) as n, round(sum(value), 4) as value from events group by 1, 2""")
+def streaming_windows(spark, sf):
+    """Counts and sums by hour of event time from the stream, all hours kept."""
+    top, events = _shared(spark), tables.stream(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    counted = summers.windowed(events, "ts", "2 hours", "1 hour", {"n": A.size(), "value": A.numeric_sum("value")}, ["event_type"])
+
+    def keep(batch, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{top}/windows/batch={number}")
+
+    counted.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{top}/progress").trigger(availableNow=True).start().awaitTermination()
+    found = spark.read.parquet(f"{top}/windows")
+    last = found.agg(F.max("batch").alias("_last"))
+    rows = found.join(F.broadcast(last), F.col("batch") == F.col("_last"))
+    return rows.select("event_type", F.col("window.start").cast("timestamp_ntz").alias("hour"), "n", r("value", 4).alias("value"))
+
+
+@query("""with e as (select user_id, ts, value, case when ts >= lag(ts) over w + interval 6 hour or lag(ts) over w is null then 1 else 0 end as first from events window w as (partition by user_id order by ts)),
+        s as (select user_id, ts, value, sum(first) over (partition by user_id order by ts) as k from e)
+    select user_id, min(ts) as start, count(*) as n, round(sum(value), 4) as value from s group by user_id, k having max(ts) + interval 6 hour <= (select max(ts) from events)""")
+def streaming_sessions(spark, sf):
+    """Sessions that end after six hours without an event, each written once
+    when the watermark has passed it; those still open stay in the state."""
+    top, events = _shared(spark), tables.stream(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    closed = summers.sessions(events, "ts", "0 seconds", "6 hours", {"n": A.size(), "value": A.numeric_sum("value")}, ["user_id"])
+    out = closed.select("user_id", F.col("session_window.start").alias("start"), "n", "value").writeStream.outputMode("append").format("parquet")
+    out.option("path", f"{top}/sessions").option("checkpointLocation", f"{top}/progress").trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.schema("user_id long, start timestamp, n long, value double").parquet(f"{top}/sessions")
+    return rows.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n", r("value", 4).alias("value"))
+
+
 def _shared(spark) -> str:
-    """A fresh folder under ``spark.checkpoint.dir``; a temporary one only if
-    the session has none."""
+    """A fresh folder under ``spark.checkpoint.dir``. Where the session has none,
+    a temporary one in local mode; on a cluster, whose machines share no such
+    folder, an error."""
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='mergeloom-')}"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext._jsc.sc().isLocal():
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='mergeloom-')}"
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 

@@ -274,11 +274,16 @@ def minhash_similarity(spark, sf):
     return both.groupBy("a", "b").agg(r(F.count_if(F.col("ha") == F.col("hb")) / float(HASHES_MH)).alias("similarity"))
 
 
-@query()
+@query(f"""with sig as ({signature_sql("user_id as g, strftime(ts, '%Y-%m-%d') as x from events")}),
+    bands as (select g, i // 4 as band, string_agg(h::varchar, ',' order by i) as bucket from sig group by 1, 2),
+    pairs as (select distinct x.g as a, y.g as b from bands x join bands y using (band, bucket) where x.g < y.g)
+    select a, b, round(count(*) filter (x.h = y.h) / {HASHES_MH}.0::double, 6) as similarity from pairs join sig x on x.g = a join sig y on y.g = b and x.i = y.i
+    group by 1, 2 having count(*) filter (x.h = y.h) >= {0.9 * HASHES_MH}""")
 def minhash_lsh(spark, sf):
     """Users with similar sets of days, by banding."""
     rows = table(spark, sf, "events").select("user_id", F.to_date("ts").cast("string").alias("day"))
-    return minhash.similar_pairs(minhash.signatures(rows, "day", HASHES_MH, ["user_id"]), HASHES_MH, 16, "user_id", 0.9)
+    out = minhash.similar_pairs(minhash.signatures(rows, "day", HASHES_MH, ["user_id"]), HASHES_MH, 16, "user_id", 0.9)
+    return out.withColumn("similarity", r("similarity"))
 
 
 @query(f"""select event_type, count(*) as n, round(sum(abs(v)), 3) as mass from (select event_type, i, sum(v) as v from (
@@ -297,9 +302,29 @@ def space_saver_exact(spark, sf):
     return ordered.space_saver(table(spark, sf, "events"), "event_type", 16).select("item", "n", "guaranteed")
 
 
-@query()
+@query("""with n as (select user_id, count(*) as n from events group by 1)
+    select least(60, (select count(*) from n)) as counters, 0::bigint as outside, (select count(*) from events) as counted""")
 def space_saver_topk(spark, sf):
-    return ordered.saver_top_k(ordered.space_saver(table(spark, sf, "events"), "user_id", 60, "long"), 10)
+    """Fewer counters than users may need: what is certain and what is possible
+    for each of those listed, against exact counts."""
+    events = table(spark, sf, "events")
+    saver = ordered.space_saver(events, "user_id", 60, "long")
+    true = events.groupBy(F.col("user_id").alias("item")).agg(F.count("*").alias("true"))
+    top = ordered.saver_top_k(saver, 10).select("item", F.lit(True).alias("top"))
+    both = saver.join(true, "item").join(top, "item", "left")
+    wrong = ~F.col("true").between(F.col("low"), F.col("high")) | (F.col("top") & (F.col("high") < F.col("low")))
+    return both.agg(F.count("*").alias("counters"), F.count_if(F.coalesce(wrong, F.lit(False))).alias("outside")).crossJoin(F.broadcast(events.agg(F.count("*").alias("counted"))))
+
+
+@query("""with n as (select user_id, count(*) as n from events group by 1), t as (select sum(n) as t from n)
+    select user_id as item from n, t where n > t / 40.0""")
+def space_saver_frequent(spark, sf):
+    """Every user with more than a fortieth of all events is among 60 counters."""
+    events = table(spark, sf, "events")
+    saver = ordered.most_frequent(ordered.space_saver(events, "user_id", 60, "long"), 0)
+    counts = events.groupBy(F.col("user_id").alias("item")).agg(F.count("*").alias("n"))
+    frequent = counts.crossJoin(F.broadcast(events.agg(F.count("*").alias("t")))).where(F.col("n") > F.col("t") / 40)
+    return saver.select("item").join(frequent.select("item"), "item")
 
 
 @query("""select event_type, count(*) filter (ts > timestamp '2024-01-20' - interval 7 day and ts <= timestamp '2024-01-20') as total from events group by 1""")
@@ -315,11 +340,17 @@ def exp_hist_running(spark, sf):
     return rows.select("event_id", exphist.running("one", "s", 86400, ["user_id"]).alias("total"))
 
 
-@query()
+@query("""with e as (select event_type, epoch_us(ts) // 1000000 as s from events), m as (select event_type, max(s) as time from e group by 1)
+    select event_type, any_value(time)::bigint as time, count(*) filter (s > time - 3 * 86400) as true, true as held, true as near from e join m using (event_type) group by 1""")
 def exp_hist_fold(spark, sf):
-    """A bounded histogram of the last three days, by event type."""
+    """A bounded histogram of the last three days, by event type, its bounds and
+    its error against the exact number."""
     rows = table(spark, sf, "events").select("event_type", F.floor(seconds("ts")).cast("long").alias("s"), F.lit(1).alias("one"))
-    return exphist.fold(rows, ["event_type"], "s", "one", 0.05, 3 * 86400, "event_type string")
+    found = exphist.fold(rows, ["event_type"], "s", "one", 0.05, 3 * 86400, "event_type string")
+    true = rows.join(found.select("event_type", "time"), "event_type").where(F.col("s") > F.col("time") - 3 * 86400).groupBy("event_type").agg(F.count("*").alias("true"))
+    held = F.col("true").between(F.col("low"), F.col("high"))
+    near = F.abs(F.col("guess") - F.col("true")) <= 0.05 * F.col("true")
+    return found.join(true, "event_type").select("event_type", "time", "true", held.alias("held"), near.alias("near"))
 
 
 @query("select 0::bigint as missed")
