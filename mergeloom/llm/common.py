@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mergeloom.session import ship
@@ -53,11 +53,12 @@ def scratch_scope() -> Iterator[list[str]]:
         _scopes.remove(paths)
 
 
-def remove(spark: SparkSession, paths: list[str]) -> None:
-    for path in paths:
+def remove(spark: SparkSession, paths: list[str], which: Callable[[str], bool] = lambda path: True) -> None:
+    """Delete those of the folders, and take them from the list."""
+    for path in [p for p in paths if which(p)]:
         target = spark._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-    paths.clear()
+        paths.remove(path)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -129,19 +130,22 @@ def pick(df: DataFrame, **types: str) -> DataFrame:
 
 
 def sized_join(
-    big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", limit: int = 50_000, salts: int = 64
+    big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", limit: int = 50_000, salts: int = 64,
+    weight: Column | None = None, most_bytes: int = 64 << 20,
 ) -> DataFrame:
     """Join ``big`` with a per-group table ``small`` (unique, null-safe keys).
 
-    ``small`` must be materialized: its rows are counted first. Up to ``limit``
-    rows it is broadcast. Beyond that both sides are salted, so that a key with
+    ``small`` must be materialized: its rows are counted first, and the bytes of
+    what may be long in them, ``weight``, added up. Up to ``limit`` rows and
+    ``most_bytes`` it is broadcast. Beyond that both sides are salted, so that a key with
     a third of all rows is dealt over ``salts`` tasks."""
     if how not in ("inner", "left"):
         raise ValueError(how)
     cond = lambda l, r: [F.col(f"_l_{k}").eqNullSafe(F.col(f"_r_{k}")) for k in keys]
     left = big.select("*", *[F.col(k).alias(f"_l_{k}") for k in keys])
     right = small.withColumnsRenamed({k: f"_r_{k}" for k in keys})
-    if small.limit(limit + 1).count() <= limit:
+    counted = small.limit(limit + 1).agg(F.count("*"), F.coalesce(F.sum(weight if weight is not None else F.lit(0)), F.lit(0))).first()
+    if counted[0] <= limit and counted[1] <= most_bytes:
         out = left.join(F.broadcast(right), cond(left, right), how)
     else:
         left = left.withColumn("_salt", (F.rand(7) * salts).cast("int"))

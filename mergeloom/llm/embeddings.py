@@ -4,27 +4,36 @@ Vectors are scaled to unit length. On a bounded sample a rotation of their
 principal components is learned such that signs lose as little as possible
 (ITQ), which gives balanced binary codes of ``BITS`` bits; dimensions below
 that are filled up with signs of random projections, and so are vectors of a
-length that the sample lacks.
+length that no model is fitted for.
 
 Retrieval is multi-index hashing: a code is cut into ``TABLES`` substrings, and
 two codes meet if a substring differs in at most one bit, which includes every
-pair of codes within 2 * TABLES - 1 bits. Every vector is indexed under its own
+pair of codes within 2 * TABLES - 1 bits. Every code is indexed under its own
 substrings and probes with each one-bit change. A pair is taken in the first
 table where it meets, if the whole codes differ in at most ``MOST_BITS`` bits,
-and then compared by the cosine of the original vectors in double precision.
-Vectors only meet within their label; labels are part of the bucket key.
-
-Equal vectors of a label are one entry with a count, so groups of copies are
-not expanded. Buckets have no cap; a hot bucket is a skewed join that adaptive
-execution splits. Links between different vectors are all listed, as n_links
-needs them. For a label of many millions of vectors take fewer tables, so that
+and then compared by the cosine of the original vectors in double precision, in
+Arrow batches. Vectors only meet within their label; labels are part of the key.
+
+Each vector is read and written once, with a number, its code and a digest of
+its components; equal vectors of a label are one entry with a count, so groups
+of copies are not expanded, and what returns to the rows goes by number. Of a
+pair only numbers and counts are written, and only if it links: vectors travel
+to the comparison in their own element type and end there. Buckets have no cap; a
+hot bucket is a skewed join that adaptive execution splits. n_links needs every
+link between different vectors, so the work grows with the square of a group of
+near copies. For a label of many millions of vectors take fewer tables, so that
 substrings have about as many values as the label has vectors.
 
+Models are fitted for the ``FITTED_LENGTHS`` commonest lengths, each on its own
+sample of distinct vectors: those with the smallest hashes, at most ``SAMPLE``
+and at most ``SAMPLE_VALUES`` components in all, as the driver holds them.
+
 Vectors that are null, empty, zero or hold null or non-finite components, and
 vectors with a null label, link with nothing. Vectors of unequal length do not
 link. A null vec_id gets its row; it names a component only if no other can.
-Repeated rows are vectors of their own, linked as equal ones. An empty table
-gives no rows.
+Very long vectors are compared whole. Repeated rows are vectors of their own,
+linked as equal ones; vectors at exactly the least cosine link. Other columns,
+whatever their names, are not read. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,18 +42,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mergeloom.llm.common import materialize, pick
+from mergeloom.llm.common import batches, materialize, pick
 from mergeloom.llm.components import components
 
 BITS = 64
 TABLES = 4
 MOST_BITS = 16
-#: Vectors that the rotation is fitted on: those with the smallest hashes of
-#: their components, at most so many, and of at most so many components in all
-#: (but 64 vectors), as the driver holds them.
 SAMPLE, SAMPLE_VALUES = 20_000, 4_000_000
 LEAST_COSINE = 0.98
 FITTED_LENGTHS = 8
@@ -72,46 +79,70 @@ def codes(x: np.ndarray, models: dict[int, tuple[np.ndarray, np.ndarray]]) -> np
     return np.packbits((x - mean) @ projection >= 0, axis=1, bitorder="little").view(np.int64)[:, 0]
 
 
-def unit(vector: list | np.ndarray | None) -> np.ndarray | None:
-    """The vector at length 1 in double precision, or None if it has none."""
-    if vector is None or len(vector) == 0 or any(v is None for v in vector):
-        return None
-    x = np.asarray(vector, np.float64)
-    top = np.abs(x).max()
-    if not np.isfinite(top) or top == 0:
-        return None
-    x = x / top
-    return x / np.sqrt(x @ x)
-
-
-def fit(entries: DataFrame, sample: int = SAMPLE) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """A model for each of the commonest vector lengths in the sample."""
-    longest = entries.agg(F.max(F.size("embedding"))).first()[0] or 1
-    sample = max(64, min(sample, SAMPLE_VALUES // longest))
-    rows = entries.orderBy(F.xxhash64("embedding"), "gid").limit(sample).select("embedding").collect()
-    by_length: dict[int, list[np.ndarray]] = {}
-    for r in rows:
-        if (x := unit(r[0])) is not None:
-            by_length.setdefault(len(x), []).append(x)
-    common = sorted(by_length, key=lambda d: (-len(by_length[d]), d))[:FITTED_LENGTHS]
-    return {d: itq(np.array(by_length[d])) for d in common if len(by_length[d]) > 1}
-
-
-def encoded(entries: DataFrame, models: dict[int, tuple[np.ndarray, np.ndarray]]) -> DataFrame:
-    """(gid, label, d, code) of (gid, label, embedding); vectors that link
-    with nothing are left out."""
-
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in rows:
-            found = [(g, k, x) for g, k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), map(unit, b.column(2).to_pylist()), strict=True) if x is not None]
-            by_length: dict[int, list[tuple]] = {}
-            for f in found:
-                by_length.setdefault(len(f[2]), []).append(f)
-            for d, own in by_length.items():
-                gid, label, x = zip(*own, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(gid, pa.int64()), pa.array(label, pa.int64()), pa.array(np.full(len(own), d, np.int32)), pa.array(codes(np.array(x), models))], ["gid", "label", "d", "code"])
-
-    return entries.select("gid", "label", "embedding").mapInArrow(run, "gid long, label long, d int, code long")
+def units(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """By length of vector: their places in the column, the vectors themselves
+    and the vectors at length 1 in double precision. Null, empty and zero ones
+    and those with null or non-finite components are left out."""
+    sizes = np.asarray(column.value_lengths().fill_null(0)) if len(column) else np.zeros(0, np.int64)
+    ends = np.cumsum(sizes)
+    flat = column.flatten()
+    values, whole = flat.fill_null(0).to_numpy(zero_copy_only=False), np.asarray(flat.is_valid())
+    for d in np.unique(sizes[sizes > 0]).tolist():
+        at = np.nonzero(sizes == d)[0]
+        index = (ends[at] - d)[:, None] + np.arange(d)
+        own = values[index]
+        x = own.astype(np.float64)
+        top = np.abs(x).max(1)
+        sound = whole[index].all(1) & np.isfinite(top) & (top > 0)
+        x = x[sound] / top[sound][:, None]
+        yield at[sound], own[sound], x / np.sqrt((x * x).sum(1))[:, None]
+
+
+def fit(rows: DataFrame, sample: int = SAMPLE) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """A model for each of the commonest lengths of ``rows`` (embedding)."""
+    sized = rows.select("embedding", F.size("embedding").alias("d"), F.xxhash64("embedding").alias("h")).where("d > 0")
+    common = sized.groupBy("d").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "d").limit(FITTED_LENGTHS).collect()
+    models = {}
+    for d, n in map(tuple, common):
+        most = min(sample, SAMPLE_VALUES // d)
+        if most < 2:
+            continue
+        # Hashes are even: of a range that holds four times as many as needed, the smallest.
+        share = min(1.0, (4 * most + 1000) / n)
+        low = F.col("h") <= int(-(2**63) + share * (2**64 - 1)) if share < 1 else F.lit(True)
+        one = sized.where((F.col("d") == d) & low).groupBy("h").agg(F.first("embedding").alias("embedding"))
+        found = [r[0] for r in one.orderBy("h").limit(most).select("embedding").collect()]
+        for _, _, x in units(pa.array(found, pa.list_(pa.float64()))):
+            if len(x) > 1:
+                models[d] = itq(x)
+    return models
+
+
+def encoded(rows: DataFrame, models: dict[int, tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """(row, vec_id, label, d, code, digest, vector) of (row, vec_id, label,
+    embedding); of vectors that link with nothing d and what follows is null."""
+    kind = rows.schema["embedding"].dataType.simpleString()
+
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["row", "vec_id", "label", "d", "code", "digest", "vector"]
+        for b in batches(found):
+            labelled, alone = np.asarray(b.column(2).is_valid()), np.ones(b.num_rows, bool)
+            element = b.column(3).type.value_type
+            for at, own, x in units(b.column(3)):
+                keep = labelled[at]
+                at, own, x = at[keep], own[keep] + 0.0, x[keep]  # minus zero is zero
+                if not len(at):
+                    continue
+                alone[at], d = False, own.shape[1]
+                digests = [xxhash.xxh3_128_digest(v.tobytes()) for v in own]
+                vectors = pa.ListArray.from_arrays(pa.array(np.arange(0, own.size + 1, d, np.int32)), pa.array(own.ravel(), element))
+                heads = [c.take(pa.array(at)) for c in b.columns[:3]]
+                yield pa.RecordBatch.from_arrays([*heads, pa.array(np.full(len(at), d, np.int32)), pa.array(codes(x, models)), pa.array(digests, pa.binary()), vectors], names)
+            at = pa.array(np.nonzero(alone)[0])
+            nulls = [pa.nulls(len(at), t) for t in (pa.int32(), pa.int64(), pa.binary(), pa.list_(element))]
+            yield pa.RecordBatch.from_arrays([*(c.take(at) for c in b.columns[:3]), *nulls], names)
+
+    return rows.select("row", "vec_id", "label", "embedding").mapInArrow(run, f"row long, vec_id long, label long, d int, code long, digest binary, vector {kind}")
 
 
 def candidates(coded: DataFrame, tables: int = TABLES, most_bits: int = MOST_BITS) -> DataFrame:
@@ -132,38 +163,40 @@ def candidates(coded: DataFrame, tables: int = TABLES, most_bits: int = MOST_BIT
     return met.select(F.col("x.gid").alias("x"), F.col("y.gid").alias("y"))
 
 
-def _dot(a: str, b: str):
-    return F.aggregate(F.zip_with(F.col(a), F.col(b), lambda u, v: u * v), F.lit(0.0), lambda s, v: s + v)
+def linked(pairs: DataFrame, vectors: DataFrame, least: float = LEAST_COSINE) -> DataFrame:
+    """(x, y, n_x, n_y): the candidate pairs with a cosine of ``least`` or more,
+    by the original vectors (gid, n, vector), and the copies of either."""
+    left, right = (vectors.select(F.col("gid").alias(k), F.col("n").alias(f"n_{k}"), F.col("vector").alias(f"v_{k}")) for k in "xy")
+    both = pairs.join(left, "x").join(right, "y").select("x", "y", "n_x", "n_y", "v_x", "v_y")
 
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches(found):
+            for (at, _, x), (_, _, y) in zip(units(b.column(4)), units(b.column(5)), strict=True):  # the same lengths and places
+                near = pa.array(at[(x * y).sum(1) >= least])
+                yield pa.RecordBatch.from_arrays([c.take(near) for c in b.columns[:4]], ["x", "y", "n_x", "n_y"])
 
-def linked(pairs: DataFrame, entries: DataFrame, least: float = LEAST_COSINE) -> DataFrame:
-    """(x, y, n_x, n_y): the candidate pairs with a cosine of ``least`` or
-    more, by the original vectors, and the copies of either."""
-    scaled = entries.select("gid", "n", F.transform("embedding", lambda v: v / F.array_max(F.transform("embedding", F.abs))).alias("v"))
-    scaled = scaled.select("gid", "n", "v", F.sqrt(_dot("v", "v")).alias("norm"))
-    left = scaled.select(F.col("gid").alias("x"), F.col("n").alias("n_x"), F.col("v").alias("v_x"), F.col("norm").alias("norm_x"))
-    right = scaled.select(F.col("gid").alias("y"), F.col("n").alias("n_y"), F.col("v").alias("v_y"), F.col("norm").alias("norm_y"))
-    both = pairs.join(left, "x").join(right, "y")
-    return both.where(_dot("v_x", "v_y") / (F.col("norm_x") * F.col("norm_y")) >= least).select("x", "y", "n_x", "n_y")
+    return both.mapInArrow(run, "x long, y long, n_x long, n_y long")
 
 
 def near_duplicates(vectors: DataFrame, least: float = LEAST_COSINE, tables: int = TABLES) -> DataFrame:
     """(vec_id, n_links, component_id, kept), a row a vector."""
-    rows = pick(vectors, vec_id="long", label="long", embedding="array<double>")
-    sound = F.coalesce(
-        F.col("label").isNotNull() & (F.size("embedding") > 0) & F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
-        & F.exists("embedding", lambda v: v != 0), F.lit(False))
-    rows = rows.withColumn("sound", sound)
-    entries = rows.where("sound").groupBy("label", "embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"))
-    entries = materialize(entries.withColumn("gid", F.monotonically_increasing_id()), "entries")
-    pairs = materialize(candidates(encoded(entries, fit(entries)), tables), "pairs")
-    links = materialize(linked(pairs, entries, least), "links")
-    others = links.select(F.col("x").alias("gid"), F.col("n_y").alias("k")).union(links.select(F.col("y").alias("gid"), F.col("n_x").alias("k")))
-    counts = others.groupBy("gid").agg(F.sum("k").alias("k"))
+    kind = next(f.dataType.simpleString() for f in vectors.schema if f.name == "embedding")
+    kind = kind if kind in ("array<float>", "array<double>") else "array<double>"
+    rows = pick(vectors, vec_id="long", label="long", embedding=kind)
+    models = fit(rows.where("label is not null"))
+    coded = materialize(encoded(rows.withColumn("row", F.monotonically_increasing_id()), models), "coded")
+    sound = coded.where("code is not null")
+    entries = sound.groupBy("label", "digest").agg(F.min("row").alias("gid"), F.min("vec_id").alias("least"), F.count("*").alias("n"), F.first("d").alias("d"), F.first("code").alias("code"))
+    entries = materialize(entries, "entries")
+    firsts = sound.select(F.col("row").alias("gid"), "vector").join(entries.select("gid", "n"), "gid")
+    links = materialize(linked(candidates(entries, tables), firsts, least), "links")
+    others = links.select(F.explode(F.array(F.struct(F.col("x").alias("gid"), F.col("n_y").alias("k")), F.struct(F.col("y").alias("gid"), F.col("n_x").alias("k")))).alias("o"))
+    counts = others.groupBy("o.gid").agg(F.sum("o.k").alias("k"))
     roots = components(links, "x", "y").withColumnRenamed("id", "gid")
-    named = entries.select("label", "embedding", "gid", "least", "n").join(roots, "gid", "left").withColumn("component", F.coalesce("component", "gid"))
-    ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = named.join(ids, "component").join(counts, "gid", "left").select("label", "embedding", (F.col("n") - 1 + F.coalesce("k", F.lit(0))).alias("n_links"), "component_id")
-    found = rows.where("sound").join(named, ["label", "embedding"]).select("vec_id", "n_links", "component_id")
-    alone = rows.where("not sound").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    named = entries.select("label", "digest", "gid", "least", "n").join(roots, "gid", "left").withColumn("component", F.coalesce("component", "gid"))
+    ids = materialize(named.groupBy("component").agg(F.min("least").alias("component_id")), "ids")
+    named = named.join(ids, "component").join(counts, "gid", "left")
+    named = materialize(named.select("label", "digest", (F.col("n") - 1 + F.coalesce("k", F.lit(0))).alias("n_links"), "component_id"), "named")
+    found = sound.select("vec_id", "label", "digest").join(named, ["label", "digest"]).select("vec_id", "n_links", "component_id")
+    alone = coded.where("code is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return found.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

@@ -4,10 +4,11 @@ Texts are compared by line and by paragraph (lines up to an empty one, if there
 are several). A unit is normalised: ASCII lower case, anything but letters and
 digits becomes a space. Its word bigrams, repeats included, are compared with
 each licence template's. A Dice coefficient of t or more needs t/(2-t) to (2-t)/t as many
-bigrams as the template has, so each template is listed under every size that
-it can match, and units meet templates by an equality join on their size:
-no unit meets a template that the size bounds exclude. Units too short or with
-too few or many words for any template go before bigrams are made.
+bigrams as the template has, so each template's number is listed under every
+size that it can match, and units meet templates by equality joins on their
+size and the number: no unit meets a template that the size bounds exclude.
+Units too short or with too few or many words for any template go before
+bigrams are made.
 
 Texts are first searched for a few bigrams of each template by one pattern. A
 unit within t shares t/(2-t) of a template's bigrams or more, so it has at least
@@ -22,12 +23,14 @@ Runs that touch a line or paragraph already given for the same licence are left
 out. Only texts with a needed bigram are written and cut into words, and only
 places of template bigrams shuffle.
 
-Lines and paragraphs alone are one scan without a shuffle. Templates are a parameter; their list, by size, is
-broadcast up to a checked number of rows, beyond which the join is salted.
+Lines and paragraphs alone are one scan; only matches shuffle. Templates are a
+parameter; numbers by size and bigrams by number are broadcast up to a checked
+number of rows and bytes each, beyond which the joins are salted.
 
 Null texts have no units. Texts of a single word or none have no bigrams and
-match nothing. Ties go to the licence first by name. Repeated rows give repeated
-results. An empty table gives no rows.
+match nothing. Very long texts are searched and cut whole. Ties go to the
+licence first by name. Repeated rows give repeated results. Other columns,
+whatever their names, are not read. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -51,10 +54,13 @@ TEMPLATES = (
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("BSD-3-Clause", 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("ISC", 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'),
+    ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'),
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
     ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:'),
@@ -96,13 +102,13 @@ def pattern(pairs: list[str]) -> str:
     return "(?i)(?<![a-z0-9])(?:" + "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in groups.items()) + ")(?![a-z0-9])"
 
 
-def by_size(templates: DataFrame, least: float = LEAST) -> DataFrame:
-    """(n, wanted: structs of license and bigrams) from (license, wording): the
-    templates that a unit of n bigrams can match with ``least`` or more."""
-    sets = templates.select("license", bigrams(words(F.col("wording"))).alias("bigrams")).withColumn("of", F.size("bigrams")).where("of > 0")
+def bounded(templates: DataFrame, least: float = LEAST) -> DataFrame:
+    """(tid, license, bigrams, of, low, high) from (license, wording): a row for
+    each template, and from how many to how many bigrams a unit can have that
+    matches it with ``least`` or more."""
+    sets = templates.select("license", bigrams(words(F.col("wording"))).alias("bigrams")).withColumn("of", F.size("bigrams")).where("of > 0").distinct()
     low, high = F.ceil(F.col("of") * least / (2 - least) - 1e-9), F.floor(F.col("of") * (2 - least) / least + 1e-9)
-    sets = sets.withColumn("n", F.explode(F.sequence(low.cast("int"), high.cast("int")))).where("n > 0")
-    return sets.groupBy("n").agg(F.collect_list(F.struct("license", "bigrams")).alias("wanted"))
+    return sets.select(F.xxhash64("license", "bigrams").alias("tid"), "license", "bigrams", "of", F.greatest(low.cast("int"), F.lit(1)).alias("low"), high.cast("int").alias("high")).where("low <= high")
 
 
 def units(text: Column) -> Column:
@@ -178,10 +184,12 @@ def license_scan(docs: DataFrame, templates: DataFrame | None = None, least: flo
     spark: SparkSession = docs.sparkSession
     if templates is None:
         templates = spark.createDataFrame(list(TEMPLATES), "license string, wording string").coalesce(1)
-    sized = materialize(by_size(templates, least), "templates")
-    shortest, longest = sized.agg(F.min("n"), F.max("n")).first()
+    sets = materialize(bounded(templates, least), "templates")
+    shortest, longest = sets.agg(F.min("low"), F.max("high")).first()
     if shortest is None:
         return spark.createDataFrame([], "doc_id long, paragraph int, position int, license string, dice double")
+    sized = sets.select(F.explode(F.sequence("low", "high")).alias("n"), "tid").groupBy("n").agg(F.collect_list("tid").alias("tids"))
+    sized = materialize(sized, "sizes")
     ready = pick(docs, doc_id="long", text="string")
     pairs = [r.bigram for r in needed(templates, least).limit(MOST_PAIRS + 1).collect()]
     has = F.col("text").rlike(pattern(pairs)) if len(pairs) <= MOST_PAIRS else F.lit(True)
@@ -189,13 +197,18 @@ def license_scan(docs: DataFrame, templates: DataFrame | None = None, least: flo
     if anywhere:
         ready = materialize(ready, "texts")
     # n bigrams have n + 1 words, each of a byte or more and a byte apart.
-    found = ready.select("rid", "doc_id", F.explode(F.filter(units(F.col("text")), lambda s: F.octet_length(s["unit"]) > 2 * shortest)).alias("u"))
-    found = found.select("rid", "doc_id", "u.paragraph", "u.position", words(F.col("u.unit")).alias("words")).withColumn("n", F.size("words") - 1)
+    found = ready.select("rid", "doc_id", F.monotonically_increasing_id().alias("row"), F.explode(F.filter(units(F.col("text")), lambda s: F.octet_length(s["unit"]) > 2 * shortest)).alias("u"))
+    found = found.select("rid", "doc_id", "row", "u.paragraph", "u.position", words(F.col("u.unit")).alias("words")).withColumn("n", F.size("words") - 1)
     found = found.where(F.col("n").between(shortest, longest))
-    met = sized_join(found, sized, ["n"]).withColumn("own", bigrams(F.col("words")))
-    dice = lambda t: F.round(2.0 * common(F.col("own"), t["bigrams"]) / (F.size("own") + F.size(t["bigrams"])), 6)
-    best = F.array_min(F.transform("wanted", lambda t: F.struct((-dice(t)).alias("d"), t["license"].alias("license"))))
-    out = met.select("rid", "doc_id", "paragraph", "position", best.alias("b")).where(F.col("b.d") <= -least).select("rid", "doc_id", "paragraph", "position", "b.license", (-F.col("b.d")).alias("dice"))
+    # Numbers of templates by size, then the templates: bigrams are broadcast once each, up to a checked number of bytes.
+    met = sized_join(found.withColumn("own", bigrams(F.col("words"))).drop("words"), sized, ["n"], weight=F.size("tids") * 8)
+    met = met.withColumn("tid", F.explode("tids")).drop("tids")
+    weight = F.aggregate("bigrams", F.lit(0), lambda a, g: a + F.octet_length(g) + 16)
+    met = sized_join(met, sets.select("tid", "license", "bigrams"), ["tid"], weight=weight)
+    dice = F.round(2.0 * common(F.col("own"), F.col("bigrams")) / (F.size("own") + F.size("bigrams")), 6)
+    met = met.withColumn("dice", dice).where(F.col("dice") >= least)
+    best = met.groupBy("rid", "doc_id", "paragraph", "position", "row").agg(F.min(F.struct((-F.col("dice")).alias("d"), "license")).alias("b"))
+    out = best.select("rid", "doc_id", "paragraph", "position", "b.license", (-F.col("b.d")).alias("dice"))
     if not anywhere:
         return out.drop("rid")
     out = materialize(out, "found")

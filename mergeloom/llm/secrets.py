@@ -4,9 +4,11 @@ Every text is scanned for credentials by fixed patterns (``assign``,
 ``access``, ``hex``, the base) and for further shapes (``token``: prefixed
 tokens, signed web tokens, private key blocks). All candidates of the corpus
 are then counted by value hash: in how many distinct repositories and owners
-does this value stand? A value of more than ``MOST_OWNERS`` owners is a widely
-copied example, others look live. Base spans are reported whatever their
-value; ``token`` spans are added only if they look live.
+does this value stand? A value of more than ``MOST_OWNERS`` owners, or one that
+is pasted into more than ``MOST_REPOS`` repositories even of few owners, is a
+widely copied example; others look live. Base spans are reported whatever their
+value; ``token`` spans are added only if they look live. Each row also says how
+many owners and repositories its most copied value has.
 
 Spans are code points, end exclusive. There is no native function for match
 positions, so a text is split by the pattern: gaps and matches alternate, and
@@ -20,7 +22,9 @@ the join back by hash carries candidates only and may be split by adaptive
 execution.
 
 Null texts count as empty. Null owners are one owner, null repositories one of
-its repositories. Repeated rows are scanned alike. An empty table gives no rows.
+its repositories. Very long texts are scanned whole. Repeated rows are scanned
+alike and are one repository. Other columns, whatever their names, are not read,
+and stay where rows are kept. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -32,7 +36,7 @@ from pyspark.sql import functions as F
 
 from mergeloom.llm.common import flattened, materialize, pick
 
-MOST_OWNERS = 2
+MOST_OWNERS, MOST_REPOS = 2, 100
 STEP = 128
 KINDS = ("assign", "access", "hex", "token")
 LEAST_VALUE, LEAST_ACCESS, LEAST_HEX = 12, 18, 16
@@ -105,13 +109,13 @@ def scanned(docs: DataFrame) -> DataFrame:
     return out.drop(*[f"_{x}_{k}" for x in "mgb" for k in KINDS])
 
 
-def ownership(found: DataFrame, most_owners: int = MOST_OWNERS) -> DataFrame:
+def ownership(found: DataFrame, most_owners: int = MOST_OWNERS, most_repos: int = MOST_REPOS) -> DataFrame:
     """(hash, n_repos, n_owners, live) of ``found`` (owner, repo, spans)."""
     each = found.where("size(spans) > 0").select("owner", "repo", F.explode("spans.hash").alias("hash"))
     by_repo = each.groupBy("hash", "owner", "repo").agg(F.lit(1).alias("one"))
     by_owner = by_repo.groupBy("hash", "owner").agg(F.count("*").alias("n"))
     by_hash = by_owner.groupBy("hash").agg(F.sum("n").alias("n_repos"), F.count("*").alias("n_owners"))
-    return by_hash.withColumn("live", F.col("n_owners") <= most_owners)
+    return by_hash.withColumn("live", (F.col("n_owners") <= most_owners) & (F.col("n_repos") <= most_repos))
 
 
 def _text(spans: Column) -> Column:
@@ -119,38 +123,42 @@ def _text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["rank"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def judged(found: DataFrame, most_owners: int = MOST_OWNERS) -> DataFrame:
+def judged(found: DataFrame, most_owners: int = MOST_OWNERS, most_repos: int = MOST_REPOS) -> DataFrame:
     """``found`` (materialized, with ``row``, owner, repo, spans) and
-    ``reported`` (base spans and live others), ``n_live`` and ``n_example``."""
+    ``reported`` (base spans and live others), ``n_live``, ``n_example``, and
+    ``most_owners`` and ``most_repos`` of a value in the row (none: 0)."""
     each = found.where("size(spans) > 0").select("row", F.explode("spans").alias("s"))
-    values = ownership(found, most_owners).select("hash", "live")
+    values = ownership(found, most_owners, most_repos)
     marked = each.withColumn("hash", F.col("s.hash")).join(values, "hash")
     by_row = marked.groupBy("row").agg(
         F.sort_array(F.collect_list(F.when(F.col("live") | (F.col("s.rank") < 3), F.col("s")))).alias("reported"),
         F.count_if("live").alias("n_live"),
         F.count_if(~F.col("live")).alias("n_example"),
+        F.max("n_owners").alias("most_owners"),
+        F.max("n_repos").alias("most_repos"),
     )
     out = found.where("size(spans) > 0").join(by_row, "row")
-    rest = found.where("size(spans) = 0").select("*", F.col("spans").alias("reported"), F.lit(0).cast("long").alias("n_live"), F.lit(0).cast("long").alias("n_example"))
+    none = [F.lit(0).cast("long").alias(c) for c in ("n_live", "n_example", "most_owners", "most_repos")]
+    rest = found.where("size(spans) = 0").select("*", F.col("spans").alias("reported"), *none)
     return out.unionByName(rest)
 
 
-def secret_scan(docs: DataFrame, owner: str = "source", repo: str = "doc_id", most_owners: int = MOST_OWNERS) -> DataFrame:
-    """(doc_id, n_assign, n_access, n_hex, base_spans, spans, n_live,
-    n_example), a row a document; span lists as kind:start:end, by start."""
+def secret_scan(docs: DataFrame, owner: str = "source", repo: str = "doc_id", most_owners: int = MOST_OWNERS, most_repos: int = MOST_REPOS) -> DataFrame:
+    """(doc_id, n_assign, n_access, n_hex, base_spans, spans, n_live, n_example,
+    most_owners, most_repos), a row a document; span lists as kind:start:end, by start."""
     ready = pick(docs, **{owner: "string", repo: "string", "doc_id": "long", "text": "string"})
     ready = ready.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col(owner).alias("owner"), F.col(repo).cast("string").alias("repo"))
     found = scanned(ready.withColumn("row", F.monotonically_increasing_id())).drop("text")
-    out = judged(materialize(found, "found"), most_owners)
+    out = judged(materialize(found, "found"), most_owners, most_repos)
     count = lambda k: F.size(F.filter("spans", lambda s: s["rank"] == KINDS.index(k))).cast("long").alias(f"n_{k}")
     base = F.filter("spans", lambda s: s["rank"] < 3)
-    return out.select("doc_id", count("assign"), count("access"), count("hex"), _text(base).alias("base_spans"), _text(F.col("reported")).alias("spans"), "n_live", "n_example")
+    return out.select("doc_id", count("assign"), count("access"), count("hex"), _text(base).alias("base_spans"), _text(F.col("reported")).alias("spans"), "n_live", "n_example", "most_owners", "most_repos")
 
 
 PLACEHOLDER = {True: "<secret>", False: "<example-secret>"}
 
 
-def redact(docs: DataFrame, owner: str = "source", repo: str = "doc_id", most_owners: int = MOST_OWNERS) -> DataFrame:
+def redact(docs: DataFrame, owner: str = "source", repo: str = "doc_id", most_owners: int = MOST_OWNERS, most_repos: int = MOST_REPOS) -> DataFrame:
     """``docs`` with its own columns; in ``text`` each base secret and each live
     other one gives way to a placeholder, which says whether its value is
     widely copied. ``n_chars``, if there, is counted anew. Rows without a
@@ -159,7 +167,7 @@ def redact(docs: DataFrame, owner: str = "source", repo: str = "doc_id", most_ow
     own = F.col(at["text"]).cast("string")
     ready = flat.select("*", F.coalesce(own, F.lit("")).alias("text"), F.col(at[owner]).cast("string").alias("owner"), F.col(at[repo]).cast("string").alias("repo"))
     rows = materialize(scanned(ready.withColumn("row", F.monotonically_increasing_id())).drop("text"), "scanned")
-    values = ownership(rows.select("owner", "repo", "spans"), most_owners)
+    values = ownership(rows.select("owner", "repo", "spans"), most_owners, most_repos)
     each = rows.where("size(spans) > 0").select("row", F.explode("spans.hash").alias("hash")).join(values.where("not live").select("hash"), "hash")
     examples = each.groupBy("row").agg(F.collect_set("hash").alias("examples"))
     hit = rows.where("size(spans) > 0").join(examples, "row", "left").withColumn("examples", F.coalesce("examples", F.array().cast("array<string>")))
@@ -202,14 +210,17 @@ def oracle_sql() -> str:
     return f"""
         with d as materialized (select row_number() over () as r, doc_id, source, coalesce(text, '') as t from documents),
         s as materialized ({union}),
-        owned as (select hash, count(distinct coalesce(source, chr(1))) as owners from s join d using (r) group by hash),
-        marked as (select s.*, owners <= {MOST_OWNERS} as live from s join owned using (hash)),
+        owned as (select hash, count(distinct coalesce(source, chr(1))) as owners,
+            count(distinct coalesce(source, chr(1)) || chr(2) || coalesce(doc_id::varchar, '')) as repos from s join d using (r) group by hash),
+        marked as (select s.*, owners, repos, owners <= {MOST_OWNERS} and repos <= {MOST_REPOS} as live from s join owned using (hash)),
         lists as (select r, count(*) filter (kind = 'assign') as n_assign, count(*) filter (kind = 'access') as n_access,
             count(*) filter (kind = 'hex') as n_hex,
             coalesce(string_agg(kind || ':' || start || ':' || stop, ',' order by start, rank) filter (rank < 3), '') as base,
             coalesce(string_agg(kind || ':' || start || ':' || stop, ',' order by start, rank) filter (rank < 3 or live), '') as spans,
-            count(*) filter (live) as n_live, count(*) filter (not live) as n_example from marked group by r)
+            count(*) filter (live) as n_live, count(*) filter (not live) as n_example, max(owners) as most_owners, max(repos) as most_repos
+            from marked group by r)
         select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex,
             sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans,
-            coalesce(n_live, 0) as n_live, coalesce(n_example, 0) as n_example
+            coalesce(n_live, 0) as n_live, coalesce(n_example, 0) as n_example,
+            coalesce(most_owners, 0) as most_owners, coalesce(most_repos, 0) as most_repos
         from d left join lists using (r)"""

@@ -82,3 +82,35 @@ def test_empty_table(spark):
     assert rows_of(embeddings.near_duplicates(spark.createDataFrame([], SCHEMA))) == []
     only = spark.createDataFrame([(1, None, 1), (2, [0.0], 1)], SCHEMA)
     assert rows_of(embeddings.near_duplicates(only)) == ["(1, 0, 1, True)", "(2, 0, 2, True)"]
+
+
+def test_units():
+    import pyarrow as pa
+
+    rows = [[3.0, 4.0], None, [], [1e308, 0.0], [None, 1.0], [float("inf"), 1.0], [0.0, -0.0], [5e-324], [1.0, 2.0, 2.0]]
+    found = {int(i): x for at, _, xs in embeddings.units(pa.array(rows, pa.list_(pa.float64())).slice(0)) for i, x in zip(at, xs, strict=True)}
+    assert sorted(found) == [0, 3, 7, 8] and np.allclose(found[0], [0.6, 0.8]) and np.allclose(found[8], [1 / 3, 2 / 3, 2 / 3])
+    later = {int(i) for at, _, _ in embeddings.units(pa.array(rows, pa.list_(pa.float64())).slice(3)) for i in at}
+    assert later == {0, 4, 5}
+
+
+def test_recall_on_the_drivers_table(spark):
+    """All links of a table with groups of near copies, against brute force."""
+    vectors = spark.read.parquet("/root/testdata/check_h/embeddings.parquet")
+    want = {}
+    for label in range(10):
+        own = vectors.where(f"label = {label}").collect()
+        x = np.array([r.embedding for r in own], np.float64)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        n = (x @ x.T >= 0.98).sum(1) - 1
+        want |= {r.vec_id: int(k) for r, k in zip(own, n, strict=True)}
+    got = {r.vec_id: r.n_links for r in embeddings.near_duplicates(vectors).collect()}
+    assert set(got) == set(want) and all(got[k] <= want[k] for k in got)
+    assert sum(got.values()) >= 0.99 * sum(want.values()) > 500_000
+
+
+def test_one_very_long_vector_does_not_spoil_the_sample(spark):
+    rng = np.random.default_rng(0)
+    rows = [(rng.normal(size=8).tolist(),) for _ in range(400)] + [(rng.normal(size=5000).tolist(),)]
+    models = embeddings.fit(spark.createDataFrame(rows, "embedding array<double>"), 300)
+    assert 8 in models and models[8][1].shape == (8, 64)

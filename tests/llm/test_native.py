@@ -48,26 +48,32 @@ def named(spans):
     return ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b, _ in spans)
 
 
-def brute_secrets(rows):
-    owners = defaultdict(set)
-    for _, t, _, source, _ in rows:
+def brute_secrets(rows, most_repos=secrets.MOST_REPOS):
+    owners, repos = defaultdict(set), defaultdict(set)
+    for d, t, _, source, _ in rows:
         for *_, v in plain_spans(t):
             owners[v].add(source)
+            repos[v].add((source, d))
     out = []
     for d, t, *_ in rows:
         spans = plain_spans(t)
-        live = [s for s in spans if len(owners[s[3]]) <= secrets.MOST_OWNERS]
+        live = [s for s in spans if len(owners[s[3]]) <= secrets.MOST_OWNERS and len(repos[s[3]]) <= most_repos]
         base = [s for s in spans if s[1] < 3]
         n = Counter(s[1] for s in spans)
-        out.append((d, n[0], n[1], n[2], named(base), named([s for s in spans if s[1] < 3 or s in live]), len(live), len(spans) - len(live)))
+        most = [max((len(x[s[3]]) for s in spans), default=0) for x in (owners, repos)]
+        out.append((d, n[0], n[1], n[2], named(base), named([s for s in spans if s[1] < 3 or s in live]), len(live), len(spans) - len(live), *most))
     return sorted(map(repr, out))
 
 
 def test_secrets_as_brute_force(spark):
     rows = secret_texts()
+    rows += [(900 + i, "this ghp_" + "Ww3" * 13, "a", "s1", 0) for i in range(4)]
+    rows += [(950, "é filler " * 200_000 + "password=" + "Zz9" * 9, "a", "s1", 0)]  # a text of megabytes
     df = spark.createDataFrame(rows, SCHEMA).repartition(4)
     assert rows_of(secrets.secret_scan(df)) == brute_secrets(rows)
-    odd = df.select("*", *[F.lit("x").alias(c) for c in ("spans", "row", "owner", "repo", "TEXT", "hash", "_m_hex")])
+    few = secrets.secret_scan(df, most_repos=3)
+    assert rows_of(few) == brute_secrets(rows, 3) != brute_secrets(rows)
+    odd = df.select("*", *[F.lit("x").alias(c) for c in ("spans", "row", "owner", "repo", "TEXT", "hash", "_m_hex", "live", "n_repos")])
     assert rows_of(secrets.secret_scan(odd)) == brute_secrets(rows)
 
 
@@ -173,11 +179,13 @@ def test_notices_among_other_words(spark):
         "Copyright 2020 Ada. Released under the MIT License.", "He said: " + mit + " and so on, and so on, for many more words than those of the notice itself " * 3, commented, gpl * 3,
         "a b c\n\nLicensed under the really Apache License, Version 2.0 x y", "no notice", "", None, "word", gpl, "x\n" + gpl + "\ny", "# Released under\n# the MIT License. # end of it\nand more",
     ]
+    full = next(w for _, w in licenses.TEMPLATES if w.startswith("Permission is hereby") and "AS IS" in w).split()
+    texts.append("/*\n" + "\n *\n".join("\n".join(" * " + " ".join(part[i : i + 9]) for i in range(0, len(part), 9)) for part in (full[:70], full[70:95], full[95:])) + "\n */\n\nint x;")
     rows = [(i, t, "a", None, 0) for i, t in enumerate(texts)] + [(0, texts[0], "a", None, 0)]
     units = brute_licenses(rows)
-    want = sorted(units + [repr((d, 2, i, name, x)) for d, t, *_ in rows if d not in (9, 10) for i, _, name, x in brute_runs(t)])
+    want = sorted(units + [repr((d, 2, i, name, x)) for d, t, *_ in rows if d not in (9, 10, 12) for i, _, name, x in brute_runs(t)])
     got = rows_of(licenses.license_scan(spark.createDataFrame(rows, SCHEMA).repartition(3), anywhere=True))
-    assert got == want and {eval(r)[0] for r in want} >= {0, 1, 2, 3, 4, 9, 10, 11}
+    assert got == want and {eval(r)[0] for r in want} >= {0, 1, 2, 3, 4, 9, 10, 11, 12}
     rng = random.Random(6)
     own = [(f"L{i}", " ".join(rng.choice("abc") for _ in range(rng.randrange(1, 8)))) for i in range(6)]
     rows = [(i, " ".join(rng.choice("abcd") for _ in range(rng.randrange(1, 40))) + " d d d d d d d d d d d d d d d d d d", None, None, None) for i in range(60)]

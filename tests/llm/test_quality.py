@@ -122,7 +122,8 @@ def test_statistics_are_finite(text):
 def test_scores_are_the_textbooks(spark):
     rng = np.random.default_rng(1)
     a, b = rng.normal(size=(200, classifier.D)), rng.normal(1.0, 2.0, size=(100, classifier.D))
-    sums = [np.array([f(a), f(b)]) for f in (lambda x: float(len(x)), lambda x: x.sum(0), lambda x: x.T @ x)]
+    c = classifier.CENTER
+    sums = [np.array([f(a - c), f(b - c)]) for f in (lambda x: float(len(x)), lambda x: x.sum(0), lambda x: x.T @ x)]
     m = classifier.discriminant(*sums, shrink=0.0, ridge=0.0)
 
     def density(x, own, share):
@@ -135,6 +136,30 @@ def test_scores_are_the_textbooks(spark):
     assert np.allclose(m.scores(x), want)
 
 
+def test_statistics_and_sums_by_partition(spark, docs):
+    """A text's statistics by their definitions, and the model from rows in any
+    number of partitions, as from one array."""
+    text = "Ab cd. Ab cd! x1\n\nAb cd. Ab cd! x1\nLast #line"
+    words = text.split()
+    x = classifier.statistics(text.encode())
+    sizes, chars = [len(w) for w in words], sum(map(len, words))
+    share = lambda part, whole: np.log(part / whole + 1e-3)
+    letters = sum(c.isalpha() for c in text)
+    want = [
+        np.log1p(12), np.mean(sizes), np.log1p(np.std(sizes)), share(1, chars), share(4, chars), share(2, chars), share(5, chars), share(chars - letters, chars),
+        6 / 12**0.85, np.sqrt(10 / 12), np.sqrt(1 / 3), np.log1p(12 / 3), share(4, 12),
+    ]
+    assert np.allclose(x, want)
+    rng = np.random.default_rng(4)
+    rows = [(int(i % 3 == 0), rng.normal(2.0 * (i % 3), 1.0, classifier.D).tolist()) for i in range(300)]
+    table = spark.createDataFrame(rows, "label int, x array<double>")
+    a, b = (np.array([v for k, v in rows if k == c]) for c in (0, 1))
+    sums = [np.array([f(a - classifier.CENTER), f(b - classifier.CENTER)]) for f in (lambda x: float(len(x)), lambda x: x.sum(0), lambda x: x.T @ x)]
+    want, points = classifier.discriminant(*sums), rng.normal(2.0, 2.0, (40, classifier.D))
+    for n in (1, 7):
+        assert np.allclose(classifier.fit(table.repartition(n)).scores(points), want.scores(points), atol=1e-9)
+
+
 def test_learns_and_scores(spark, docs, odd):
     junk = [(1000 + i, " ".join(w + "$$$" for w in r.text.split()), "a", "s1", 0) for i, r in enumerate(docs.collect()) if r.text]
     table = docs.unionByName(spark.createDataFrame(junk, docs.schema))
