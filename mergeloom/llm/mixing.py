@@ -47,7 +47,7 @@ from mergeloom.llm.common import batches, byte_texts, flattened, materialize, nu
 
 BLOCK = 128
 SHARDS = 256
-ROWS_A_CHUNK = 20_000
+ROWS_A_CHUNK = 2_000
 MOST_TIMES = 3
 MOST_DRAWS = 4_000_000
 SLOTS_A_ROW, SLOTS_A_TASK = 1 << 14, 1 << 18

@@ -193,11 +193,11 @@ def marks(hashes: np.ndarray, chunk: int = 1 << 12) -> tuple[bytes, int, list[in
 def _marked(rows: DataFrame, width: int) -> DataFrame:
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(found):
-            digest, fp, bands = zip(*(marks(shingles(t, width)) for t in byte_texts(b.column(1))), strict=True)
-            columns = [pa.array(digest, pa.binary()), pa.array(fp, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([b.column(0), *columns], ["_row", "digest", "fp", "bands"])
+            digest, fp, bands, n = zip(*((*marks(h), len(h)) for h in (shingles(t, width) for t in byte_texts(b.column(1)))), strict=True)
+            columns = [pa.array(digest, pa.binary()), pa.array(fp, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(n, pa.int64())]
+            yield pa.RecordBatch.from_arrays([b.column(0), *columns], ["_row", "digest", "fp", "bands", "n"])
 
-    return rows.select("_row", F.col("text").cast("string")).mapInArrow(run, "_row long, digest binary, fp long, bands array<long>")
+    return rows.select("_row", F.col("text").cast("string")).mapInArrow(run, "_row long, digest binary, fp long, bands array<long>, n long")
 
 
 def _set_keys(sets: DataFrame) -> DataFrame:
@@ -233,32 +233,52 @@ def similar(rows: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
     marked = materialize(_marked(rows, width), "marks")
     same = materialize(marked.groupBy("digest").agg(F.min("_row").alias("v")), "same")
     tasks = -(-same.count() // KEYED_A_TASK) or 1
-    bucket = Window.partitionBy("key").orderBy("v")
-    whole = bucket.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    by_key = Window.partitionBy("key")
     keyed = _set_keys(marked.repartition(tasks, "_row").join(same.select("v").repartition(tasks, "v"), F.col("_row") == F.col("v")))
-    shared = keyed.select(
-        "key", "v", F.lag("v").over(bucket).alias("before"), F.first("v").over(whole).alias("low"), F.last("v").over(whole).alias("high")
-    ).where("low != high")
+    shared = keyed.select("key", "v", F.min("v").over(by_key).alias("low"), F.max("v").over(by_key).alias("high")).where("low != high").drop("high")
     shared = materialize(shared, "shared")
     wanted = shared.select(F.col("v").alias("_row")).distinct()
     sets = materialize(_sets(by_number(rows, wanted), width), "sets")
 
-    def verified(pairs: DataFrame) -> DataFrame:
+    def roots(pairs: DataFrame) -> DataFrame:
+        """(c, root): components ``ca`` and ``cb`` joined by those of the pairs a, b
+        that are similar. Sizes go first: sets whose sizes differ by more than a
+        similarity of ``least`` allows stay away."""
+        for k in "ab":
+            pairs = pairs.join(marked.select(F.col("_row").alias(k), F.col("n").alias(f"n{k}")), k)
+        pairs = pairs.where(F.least("na", "nb") >= least * F.greatest("na", "nb") - 1e-9)
         x, y = (sets.select(F.col("v").alias(k), F.col("s").alias(f"s{k}")) for k in "ab")
         both = F.size(F.array_intersect("sa", "sb"))
-        return pairs.join(x, "a").join(y, "b").where(both / (F.size("sa") + F.size("sb") - both) >= least).drop("sa", "sb")
+        links = pairs.join(x, "a").join(y, "b").where(both / (F.col("na") + F.col("nb") - both) >= least)
+        return components(links.select("ca", "cb"), "ca", "cb").withColumnsRenamed({"id": "c", "component": "root"})
+
+    def moved(named: DataFrame, to: DataFrame) -> DataFrame:
+        """``named`` with the components ``c`` that ``to`` joins."""
+        return named.join(to, "c", "left").withColumn("c", F.coalesce("root", "c")).drop("root")
+
+    # Each member with its bucket's first one; then, in buckets of several components, one member of each component with
+    # those of the first and the one before; then whatever pairs of members the components of a bucket still have.
+    stars = shared.select(F.col("v").alias("a"), F.col("low").alias("b")).where("a != b").distinct()
+    first = roots(stars.select("*", F.col("a").alias("ca"), F.col("b").alias("cb")))
+    named = materialize(_mixed(moved(shared.select("key", "v", F.col("v").alias("c")), first)), "mixed")
+    order, head = by_key.orderBy("c"), F.struct("v", "c")
+    heads = named.groupBy("key", "c").agg(F.min("v").alias("v"))
+    heads = heads.select(head.alias("x"), F.first(head).over(order).alias("low"), F.lag(head).over(order).alias("before"))
+    heads = heads.select("x", F.explode(F.array("low", "before")).alias("y")).where("y.c != x.c")
+    second = roots(heads.select(F.col("x.v").alias("a"), F.col("y.v").alias("b"), F.col("x.c").alias("ca"), F.col("y.c").alias("cb")).distinct())
+    named = materialize(_mixed(moved(named, second)), "mixed")
+    pairs = named.alias("x").join(named.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.c") < F.col("y.c")))
+    third = roots(pairs.select(F.col("x.v").alias("a"), F.col("y.v").alias("b"), F.col("x.c").alias("ca"), F.col("y.c").alias("cb")).distinct())
+    out = moved(moved(moved(same.select("digest", F.col("v").alias("c")), first), second), third)
+    out = materialize(out.select("digest", F.col("c").alias("component")), "roots")
+    return marked.select("_row", "digest").join(out, "digest").select("_row", "component")
 
-    stars = shared.select(F.col("v").alias("a"), F.explode(F.array("before", "low")).alias("b")).where("a != b").distinct()
-    first = components(verified(stars), "a", "b")
-    named = shared.select("key", "v").join(first, F.col("v") == F.col("id"), "left").select("key", "v", F.coalesce("component", "v").alias("c"))
+
+def _mixed(named: DataFrame) -> DataFrame:
+    """The rows (key, v, c) of keys with several components."""
     by_key = Window.partitionBy("key")
-    mixed = named.select("*", F.min("c").over(by_key).alias("c0"), F.max("c").over(by_key).alias("c1")).where("c0 != c1").select("key", "v", "c")
-    pairs = mixed.alias("x").join(mixed.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.c") < F.col("y.c")))
-    pairs = pairs.select(F.col("x.v").alias("a"), F.col("y.v").alias("b"), F.col("x.c").alias("ca"), F.col("y.c").alias("cb")).distinct()
-    second = components(verified(pairs), "ca", "cb").withColumnsRenamed({"id": "c", "component": "root"})
-    out = same.join(first, F.col("v") == F.col("id"), "left").select("digest", F.coalesce("component", "v").alias("c"))
-    out = materialize(out.join(second, "c", "left").select("digest", F.coalesce("root", "c").alias("component")), "roots")
-    return marked.select("_row", "digest").join(out, "digest").select("_row", "component")
+    out = named.select("key", "v", "c", F.min("c").over(by_key).alias("c0"), F.max("c").over(by_key).alias("c1"))
+    return out.where("c0 != c1").select("key", "v", "c")
 
 
 def deduplicated(docs: DataFrame, width: int = 4, most: int = MOST_BITS) -> DataFrame:
