@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mergeloom.plans.spec import Agg
+from mergeloom.sources import tables
 
 
 def sum_by_key(df: DataFrame, key: Sequence[str], value: str, keep_zeros: bool = False) -> DataFrame:
@@ -179,7 +180,7 @@ def min_plus_step(distances: DataFrame, edges: DataFrame, node: str = "node", co
     return distances.select(node, cost).union(through).groupBy(node).agg(F.min(cost).alias(cost))
 
 
-def min_plus_closure(start: DataFrame, edges: DataFrame, most_rounds: int, cut: Callable[[DataFrame], DataFrame] = lambda df: df.checkpoint()) -> DataFrame:
+def min_plus_closure(start: DataFrame, edges: DataFrame, most_rounds: int, cut: Callable[[DataFrame], DataFrame] = tables.cut) -> DataFrame:
     """Relaxations until nothing changes; ``cut`` writes each round away and so
     bounds the lineage (default: a checkpoint, which survives lost executors).
     Raises if ``most_rounds`` are not enough: shortest paths of so many edges,

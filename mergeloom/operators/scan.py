@@ -102,17 +102,20 @@ def iterate_geometric(start: float, ratio: float, w: WindowSpec) -> Column:
     return F.lit(start) * F.pow(F.lit(float(ratio)), index(w).cast("double"))
 
 
-def global_scan(df: DataFrame, aggs: Mapping[str, Agg], order: Sequence[str], rank: Column, chunks: int = 64) -> DataFrame:
+def global_scan(df: DataFrame, aggs: Mapping[str, Agg], order: Sequence[str], rank: Column, chunks: int | None = None) -> DataFrame:
     """Running aggregations of the whole table in order, in many tasks.
 
     ``rank`` is a number that never falls along the order. The table is cut
-    into ranges of equal size by approximate quantiles of it; each range's
+    into ``chunks`` ranges of equal size by approximate quantiles of it (default:
+    one for each million rows, two for each core at least); each range's
     buffers are merged, each range begins with the buffers of all before it,
     and a window runs within each range. Two shuffles of the rows' range, none
     of them to a single task but for a row a range. Results stand beside the
     rows under the aggregations' names; their parts must merge from rows."""
     if alone := [n for n, a in aggs.items() if a.centers]:
         raise ValueError(f"{alone}: central statistics merge by spec.merge only")
+    if chunks is None:
+        chunks = min(10_000, max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // 1_000_000)))
     probabilities = [i / chunks for i in range(1, chunks)]
     bounds = df.agg(F.percentile_approx(rank, probabilities, 10_000).alias("b")).first().b or []
     at = F.size(F.filter(F.array(*[F.lit(b) for b in sorted(set(bounds))]).cast("array<double>"), lambda b: b <= rank.cast("double"))) if bounds else F.lit(0)

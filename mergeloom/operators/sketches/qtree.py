@@ -6,11 +6,14 @@ A leaf is a dyadic bin of width 2^level. Coarser nodes are sums of leaves, so
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mergeloom.sources import tables
+
 LEVEL = -16
 
 
@@ -81,21 +84,24 @@ def inter_quartile_mean(tree: DataFrame, by: Sequence[str] = (), level: int = LE
     return out if by else out.drop("_all")
 
 
-def compress(tree: DataFrame, k: int, by: Sequence[str] = (), level: int = LEVEL, most_levels: int = 64) -> DataFrame:
+def compress(tree: DataFrame, k: int, by: Sequence[str] = (), level: int = LEVEL, cut: Callable[[DataFrame], DataFrame] = tables.cut) -> DataFrame:
     """(by, level, leaf, n, s): nodes with fewer than total / 2^k values merge
-    into their parents until none is left or the root is reached. At most
-    2^(k+2) rows a group. A loop over levels, each a grouped sum."""
+    into their parents until none is left or the root is reached, which is 63
+    levels up at most. At most 2^(k+2) rows a group. A loop over levels, each a
+    grouped sum of what is still open, written away by ``cut`` so that no level
+    is computed twice."""
     keys = list(by) or ["_all"]
     rows = tree if by else tree.withColumn("_all", F.lit(1))
     least = rows.groupBy(*keys).agg(F.shiftright(F.sum("n"), k).alias("_least"), F.max("leaf").alias("_top"))
-    open_, done = rows.withColumn("level", F.lit(level)), None
-    for _ in range(most_levels):
-        sized = open_.join(least, keys)
+    same = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(keys)]
+    limits = least.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)], "_least", "_top")
+    sized = rows.withColumn("level", F.lit(level)).join(limits, reduce(lambda a, b: a & b, same)).drop(*[f"_k{i}" for i in range(len(keys))])
+    now, done = cut(sized), None
+    while True:
         small = (F.col("n") < F.col("_least")) & F.expr(f"shiftright(_top, level - ({level})) > 0")
-        closed = sized.where(~small).select(*keys, "level", "leaf", "n", "s")
+        closed = now.where(~small).select(*keys, "level", "leaf", "n", "s")
         done = closed if done is None else done.unionByName(closed)
-        open_ = sized.where(small).select(*keys, F.shiftright("leaf", 1).alias("leaf"), "n", "s", (F.col("level") + 1).alias("level"))
-        open_ = open_.groupBy(*keys, "level", "leaf").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
-        if open_.isEmpty():
-            break
-    return done if by else done.drop("_all")
+        up = now.where(small).withColumns({"leaf": F.shiftright("leaf", 1), "level": F.col("level") + 1})
+        now = cut(up.groupBy(*keys, "level", "leaf").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.max("_least").alias("_least"), F.max("_top").alias("_top")))
+        if now.isEmpty():
+            return done if by else done.drop("_all")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from mergeloom.functions import keyed_maps
@@ -209,7 +207,7 @@ def map_columns(spark, sf):
 @query("""select event_type, count(*) as n, round(sum(value), 4) as value from events group by 1""")
 def streaming_sum_by_key(spark, sf):
     """The events table as a stream, flushed by micro-batch, buffers merged."""
-    top = _shared(spark)
+    top = tables.shared_folder(spark, "stream")
     aggs = {"n": A.size(), "value": A.numeric_sum("value")}
     summers.buffered(tables.stream(spark, sf, "events"), aggs, ["event_type"], f"{top}/buffers", f"{top}/progress").awaitTermination()
     return summers.totals(spark, aggs, ["event_type"], f"{top}/buffers").withColumn("value", r("value"))
@@ -218,7 +216,7 @@ def streaming_sum_by_key(spark, sf):
 @query("""select event_type, date_trunc('hour', ts) as hour, count(*) as n, round(sum(value), 4) as value from events group by 1, 2""")
 def streaming_windows(spark, sf):
     """Counts and sums by hour of event time from the stream, all hours kept."""
-    top, events = _shared(spark), tables.stream(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    top, events = tables.shared_folder(spark, "stream"), tables.stream(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     counted = summers.windowed(events, "ts", "2 hours", "1 hour", {"n": A.size(), "value": A.numeric_sum("value")}, ["event_type"])
 
     def keep(batch, number: int) -> None:
@@ -237,7 +235,7 @@ def streaming_windows(spark, sf):
 def streaming_sessions(spark, sf):
     """Sessions that end after six hours without an event, each written once
     when the watermark has passed it; those still open stay in the state."""
-    top, events = _shared(spark), tables.stream(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    top, events = tables.shared_folder(spark, "stream"), tables.stream(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     closed = summers.sessions(events, "ts", "0 seconds", "6 hours", {"n": A.size(), "value": A.numeric_sum("value")}, ["user_id"])
     out = closed.select("user_id", F.col("session_window.start").alias("start"), "n", "value").writeStream.outputMode("append").format("parquet")
     out.option("path", f"{top}/sessions").option("checkpointLocation", f"{top}/progress").trigger(availableNow=True).start().awaitTermination()
@@ -245,20 +243,6 @@ def streaming_sessions(spark, sf):
     return rows.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n", r("value", 4).alias("value"))
 
 
-def _shared(spark) -> str:
-    """A fresh folder under ``spark.checkpoint.dir``. Where the session has none,
-    a temporary one in local mode; on a cluster, whose machines share no such
-    folder, an error."""
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext._jsc.sc().isLocal():
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = f"file://{tempfile.mkdtemp(prefix='mergeloom-')}"
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 @query("""select user_id, sum(event_id)::bigint as event_id from events group by 1""")
 def summing_queue(spark, sf):
     partial = summers.summing_queue(table(spark, sf, "events"), ["user_id"], "event_id", 64, "user_id long, event_id long")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,6 +31,26 @@ def stream(spark: SparkSession, folder: str, name: str, files_a_batch: int | Non
     return reader.parquet(folder)
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder's name under ``spark.checkpoint.dir``. Where the session has
+    none, under a temporary folder in local mode; on a cluster, whose machines
+    share no such folder, an error."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext._jsc.sc().isLocal():
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='mergeloom-')}"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows written there and read again: a lineage of one step, which
+    survives lost executors."""
+    path = shared_folder(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def store(df: DataFrame, aggs: Mapping[str, Agg], by: Sequence[str], path: str, mode: str = "append") -> None:
     """Write the buffers of ``aggs`` by key."""
     spec.buffers(df, aggs, by).write.mode(mode).parquet(path)
