@@ -229,13 +229,13 @@ def moments_stored_merged(spark, sf):
     return out.select("l_returnflag", "n", r("m.mean", 4).alias("mean"), r("m.variance", 3).alias("variance"), r("m.skewness").alias("skewness"), r("m.kurtosis").alias("kurtosis"))
 
 
-@query("""select event_id, count(*) over w as n, round(avg(value) over w, 4) as mean, round(var_pop(value) over w, 3) as variance from events
+@query("""select event_id, count(*) over w as n, round(avg(value) over w, 6) as mean, round(stddev_pop(value) over w, 4) as stddev from events
     window w as (partition by user_id order by ts, event_id rows between 9 preceding and current row)""")
 def moments_trailing(spark, sf):
-    """Moments and a correlation over a sliding window."""
+    """Moments over a sliding window."""
     w = scan.ordered(["ts", "event_id"], ["user_id"]).rowsBetween(-9, 0)
     out = table(spark, sf, "events").select("event_id", A.moments("value").over(w).alias("m"))
-    return out.select("event_id", F.col("m.count").alias("n"), r("m.mean", 4).alias("mean"), r("m.variance", 3).alias("variance"))
+    return out.select("event_id", F.col("m.count").alias("n"), r("m.mean", 6).alias("mean"), r("m.stddev", 4).alias("stddev"))
 
 
 @query("""select l_returnflag, round(avg(l_quantity), 6) as mean, round(var_pop(l_quantity), 6) as variance, 2 * count(*)::double as n from lineitem group by 1""")
