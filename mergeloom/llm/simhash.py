@@ -55,6 +55,8 @@ from mergeloom.llm.components import components
 SEED = 42
 MOST_BITS = 4
 BANDS, BAND_ROWS = 40, 6
+#: Members of a bucket in a slice; a block holds two slices' sets.
+BLOCK_MEMBERS = 128
 #: Fingerprints whose keys, up to 150 each, one task makes.
 KEYED_A_TASK = 10_000
 #: (shift, bits) of the segments and of each segment's two halves.
@@ -257,7 +259,7 @@ def similar(rows: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
         return named.join(to, "c", "left").withColumn("c", F.coalesce("root", "c")).drop("root")
 
     # Each member with its bucket's first one; then, in buckets of several components, one member of each component with
-    # those of the first and the one before; then whatever pairs of members the components of a bucket still have.
+    # those of the first and the one before; then all members of buckets that still have several, in blocks.
     stars = shared.select(F.col("v").alias("a"), F.col("low").alias("b")).where("a != b").distinct()
     first = roots(stars.select("*", F.col("a").alias("ca"), F.col("b").alias("cb")))
     named = materialize(_mixed(moved(shared.select("key", "v", F.col("v").alias("c")), first)), "mixed")
@@ -267,8 +269,7 @@ def similar(rows: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
     heads = heads.select("x", F.explode(F.array("low", "before")).alias("y")).where("y.c != x.c")
     second = roots(heads.select(F.col("x.v").alias("a"), F.col("y.v").alias("b"), F.col("x.c").alias("ca"), F.col("y.c").alias("cb")).distinct())
     named = materialize(_mixed(moved(named, second)), "mixed")
-    pairs = named.alias("x").join(named.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.c") < F.col("y.c")))
-    third = roots(pairs.select(F.col("x.v").alias("a"), F.col("y.v").alias("b"), F.col("x.c").alias("ca"), F.col("y.c").alias("cb")).distinct())
+    third = components(_linked_in_blocks(named, sets, least), "ca", "cb").withColumnsRenamed({"id": "c", "component": "root"})
     out = moved(moved(moved(same.select("digest", F.col("v").alias("c")), first), second), third)
     out = materialize(out.select("digest", F.col("c").alias("component")), "roots")
     return marked.select("_row", "digest").join(out, "digest").select("_row", "component")
@@ -281,6 +282,52 @@ def _mixed(named: DataFrame) -> DataFrame:
     return out.where("c0 != c1").select("key", "v", "c")
 
 
+def _linked_in_blocks(named: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """(ca, cb): the components of a bucket (key, v, c) that some pair of members
+    links. A bucket's members are dealt into slices of about ``BLOCK_MEMBERS``;
+    each pair of slices is a block, whose sets a task compares all at once. No
+    pair is a row, and a bucket of any size is as many blocks as it needs."""
+    slices = F.ceil(F.count("*").over(Window.partitionBy("key")) / BLOCK_MEMBERS).cast("int")
+    dealt = named.withColumn("k", slices).withColumn("own", F.pmod(F.xxhash64("v"), F.col("k")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "v", "c").join(sets, "v")
+    blocks = dealt.groupBy("key", "i", "j").agg(F.collect_list(F.struct("own", "c", "s")).alias("m"))
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in rows:
+            for i, j, members in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                own, c, s = members.values.flatten()
+                near = close_sets(s, least)
+                if i != j:
+                    near &= np.not_equal.outer(own.to_numpy(), own.to_numpy())
+                c = c.to_numpy()
+                x, y = np.nonzero(np.triu(near & np.not_equal.outer(c, c)))
+                found = np.unique(np.stack([np.minimum(c[x], c[y]), np.maximum(c[x], c[y])], 1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["ca", "cb"])
+
+    return blocks.select("i", "j", "m").mapInArrow(run, "ca long, cb long")
+
+
+def close_sets(sets: pa.ListArray, least: float, chunk: int = 1 << 12) -> np.ndarray:
+    """A matrix: which of the sets of longs are similar? Only what stands in two
+    sets or more is counted, in blocks of columns."""
+    sizes = np.asarray(sets.value_lengths())
+    n, at = len(sizes), np.repeat(np.arange(len(sizes)), sizes)
+    _, token, times = np.unique(sets.flatten().to_numpy(), return_inverse=True, return_counts=True)
+    number = np.cumsum(times > 1) - 1
+    kept = times[token] > 1
+    at, token = at[kept], number[token[kept]]
+    order = np.argsort(token, kind="stable")
+    at, token, both = at[order], token[order], np.zeros((n, n))
+    for low in range(0, int(token[-1]) + 1 if len(token) else 0, chunk):
+        i, j = np.searchsorted(token, [low, low + chunk])
+        there = np.zeros((n, min(chunk, int(token[-1]) + 1 - low)), np.float32)
+        there[at[i:j], token[i:j] - low] = 1
+        both += there @ there.T
+    np.fill_diagonal(both, sizes)
+    return both / np.maximum(np.add.outer(sizes, sizes) - both, 1) >= least
+
+
 def deduplicated(docs: DataFrame, width: int = 4, most: int = MOST_BITS) -> DataFrame:
     """``docs`` with one row of each component, that with the smallest doc_id
     (null last)."""

@@ -30,6 +30,21 @@ def test_run(spark, docs, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(out)
 
 
+def test_each_stage_takes_nulls_and_other_columns(spark, odd, tmp_path):
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, odd, f"{tmp_path}/{name}")
+        assert name == "packing" or out.columns == odd.columns
+        assert out.count() > 0
+
+
+def test_runs_do_not_remove_each_others_tables(spark, docs, tmp_path):
+    stages = dict(corpus_pipeline.STAGES)
+    first = stages["SimHash near-dedup"](spark, docs, "one")  # not written yet
+    other = stages["quality rules"](spark, docs, "two")
+    stages["SimHash near-dedup"](spark, other, "two")  # reads what "two" has left, though that is not written
+    assert stages["secret scans"](spark, first, "one").count() == first.count()
+
+
 def test_no_documents(spark, none, tmp_path):
     none.write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []

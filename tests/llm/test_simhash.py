@@ -152,5 +152,27 @@ def test_pipeline_keeps_one_of_edited_copies(spark, docs, odd):
     assert stage(spark, odd, "").columns == odd.columns
 
 
+def test_sets_compared_at_once():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    base = rng.integers(-(2**62), 2**62, 300)
+    sets = [set(rng.choice(base, rng.integers(200, 300), replace=False).tolist()) for _ in range(40)] + [set(), {5}, {5}, {5, 6}]
+    found = simhash.close_sets(pa.array([sorted(x) for x in sets], pa.list_(pa.int64())), 0.8, 64)
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            assert found[i, j] == (len(a & b) / max(len(a | b), 1) >= 0.8), (i, j)
+    assert 40 < found[:40, :40].sum() < 1600
+
+
+def test_a_bucket_of_many_slices(spark, monkeypatch):
+    """Members of one bucket that only some pairs link, over many blocks."""
+    monkeypatch.setattr(simhash, "BLOCK_MEMBERS", 3)
+    sets = {i: list(range(20 * i, 20 * i + 20)) for i in range(17)} | {100 + i: [*range(20 * i, 20 * i + 18), 9000, 9001] for i in range(5)}
+    named = spark.createDataFrame([(7, v, v) for v in sets] + [(8, 1, 1), (8, 3, 3)], "key long, v long, c long")
+    table = spark.createDataFrame(list(sets.items()), "v long, s array<long>")
+    assert sorted(map(tuple, simhash._linked_in_blocks(named, table, 0.8).distinct().collect())) == [(i, 100 + i) for i in range(5)]
+
+
 def test_no_documents_without_copies(none):
     assert rows_of(simhash.without_copies(none)) == []
