@@ -37,16 +37,30 @@ def coarsened(tree: DataFrame, levels: int, by: Sequence[str] = ()) -> DataFrame
     return merge(tree.withColumn("leaf", F.shiftright("leaf", levels)), by)
 
 
+#: Leaves (as a power of two) that one window orders for a quantile.
+BLOCK_BITS = 16
+
+
 def quantile_bounds(tree: DataFrame, p: float, by: Sequence[str] = (), level: int = LEVEL) -> DataFrame:
-    """(by, lower, upper): the bin of rank min(floor(n p), n - 1), from 0."""
+    """(by, lower, upper): the bin of rank min(floor(n p), n - 1), from 0.
+
+    Blocks of 2^``BLOCK_BITS`` neighbouring leaves are ranked first, then the
+    leaves of the block that holds the rank: no window orders all leaves of a
+    group, only as many blocks as its range has and the leaves of one."""
     if not 0 <= p <= 1:
         raise ValueError("p must lie between 0 and 1")
-    w = Window.partitionBy(*by).orderBy("leaf")
-    whole = Window.partitionBy(*by)
-    rows = tree.select(*by, "leaf", F.sum("n").over(w).alias("_to"), F.sum("n").over(whole).alias("_whole"), "n")
+    keys = [f"_k{i}" for i in range(len(by))]
+    rows = tree.select(*[F.col(c).alias(k) for c, k in zip(by, keys, strict=True)], F.shiftright("leaf", BLOCK_BITS).alias("_block"), "leaf", "n")
+    order, whole = Window.partitionBy(*keys).orderBy("_block"), Window.partitionBy(*keys)
+    blocks = rows.groupBy(*keys, "_block").agg(F.sum("n").alias("n"))
+    blocks = blocks.select(*keys, "_block", "n", F.sum("n").over(order).alias("_to"), F.sum("n").over(whole).alias("_whole"))
     rank = F.least(F.floor(F.col("_whole") * p), F.col("_whole") - 1)
-    hit = rows.where((F.col("_to") > rank) & (F.col("_to") - F.col("n") <= rank))
-    return hit.select(*by, (F.col("leaf") * 2.0**level).alias("lower"), ((F.col("leaf") + 1) * 2.0**level).alias("upper"))
+    hit = blocks.where((F.col("_to") > rank) & (F.col("_to") - F.col("n") <= rank))
+    hit = hit.select(*[F.col(k).alias(f"_h{k}") for k in keys], F.col("_block").alias("_hit"), (rank - F.col("_to") + F.col("n")).alias("_rank"))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_h{k}")) for k in keys], F.col("_block") == F.col("_hit"))
+    own = rows.join(hit, same).withColumn("_to", F.sum("n").over(Window.partitionBy(*keys).orderBy("leaf")))
+    found = own.where((F.col("_to") > F.col("_rank")) & (F.col("_to") - F.col("n") <= F.col("_rank")))
+    return found.select(*[F.col(k).alias(c) for c, k in zip(by, keys, strict=True)], (F.col("leaf") * 2.0**level).alias("lower"), ((F.col("leaf") + 1) * 2.0**level).alias("upper"))
 
 
 def approximate_percentile(df: DataFrame, x: str, p: float, by: Sequence[str] = (), level: int = LEVEL) -> DataFrame:

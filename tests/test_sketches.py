@@ -89,6 +89,10 @@ def test_qtree_bounds_hold(spark):
     for p in (0, 0.05, 0.5, 0.777777777, 0.95, 1):
         b = qtree.quantile_bounds(tree, p, level=-2).first()
         assert b.lower <= xs[min(int(len(xs) * p), len(xs) - 1)] < b.upper
+    fine = qtree.leaves(items(spark, xs, "double"), "x", level=-20).withColumn("g", F.lit(None).cast("string"))
+    for p in (0, 0.31, 0.5, 1):  # many blocks of leaves, and a null group
+        b = qtree.quantile_bounds(fine, p, ["g"], level=-20).first()
+        assert b.g is None and b.lower <= xs[min(int(len(xs) * p), len(xs) - 1)] < b.upper
     small = qtree.compress(tree, 4, level=-2)
     assert small.agg(F.sum("n")).first()[0] == 2000 and small.count() <= 2**6
     mean = qtree.inter_quartile_mean(tree, level=-2).first()
@@ -108,6 +112,16 @@ def test_minhash(spark):
     assert hashes % bands == 0 and abs(minhash.estimated_threshold(bands, hashes // bands) - 0.5) < 0.2
 
 
+def test_similar_pairs_and_copies(spark):
+    rng = random.Random(7)
+    sets = {i: set(rng.sample(range(400), 60)) for i in range(6)}
+    sets |= {10 + i: sets[i % 3] for i in range(7)} | {30: sets[1] | {500}}
+    df = spark.createDataFrame([(k, x) for k, xs in sets.items() for x in xs], "k int, x int")
+    got = {(r.a, r.b): r.similarity for r in minhash.similar_pairs(minhash.signatures(df, "x", 64, ["k"]), 64, 16, "k", 0.8).collect()}
+    true = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b}
+    assert set(got) == {p for p, s in true.items() if s > 0.8} and all(abs(got[p] - true[p]) < 0.15 for p in got)
+
+
 def test_space_saver_bounds(spark):
     rows = [(str(i),) for i in range(1, 101) for _ in range(i * i // 10)]
     random.Random(4).shuffle(rows)
