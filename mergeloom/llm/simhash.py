@@ -55,8 +55,9 @@ from mergeloom.llm.components import components
 SEED = 42
 MOST_BITS = 4
 BANDS, BAND_ROWS = 40, 6
-#: Members of a bucket in a slice; a block holds two slices' sets.
-BLOCK_MEMBERS = 128
+#: Members of a bucket in a slice, and shingles in all of them, about; a block
+#: holds two slices' sets.
+BLOCK_MEMBERS, BLOCK_SHINGLES = 512, 1 << 18
 #: Fingerprints whose keys, up to 150 each, one task makes.
 KEYED_A_TASK = 10_000
 #: (shift, bits) of the segments and of each segment's two halves.
@@ -284,13 +285,15 @@ def _mixed(named: DataFrame) -> DataFrame:
 
 def _linked_in_blocks(named: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """(ca, cb): the components of a bucket (key, v, c) that some pair of members
-    links. A bucket's members are dealt into slices of about ``BLOCK_MEMBERS``;
-    each pair of slices is a block, whose sets a task compares all at once. No
-    pair is a row, and a bucket of any size is as many blocks as it needs."""
-    slices = F.ceil(F.count("*").over(Window.partitionBy("key")) / BLOCK_MEMBERS).cast("int")
-    dealt = named.withColumn("k", slices).withColumn("own", F.pmod(F.xxhash64("v"), F.col("k")).cast("int"))
+    links. A bucket's members are dealt into slices of about ``BLOCK_MEMBERS`` and
+    ``BLOCK_SHINGLES``; each pair of slices is a block, whose sets a task compares
+    all at once. No pair is a row, and a bucket of any size is as many blocks as
+    it needs."""
+    bucket = Window.partitionBy("key")
+    slices = F.ceil(F.greatest(F.count("*").over(bucket) / BLOCK_MEMBERS, F.sum("n").over(bucket) / BLOCK_SHINGLES)).cast("int")
+    dealt = named.join(sets.select("v", F.size("s").alias("n")), "v").withColumn("k", F.greatest(slices, F.lit(1))).withColumn("own", F.pmod(F.xxhash64("v"), F.col("k")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "v", "c").join(sets, "v")
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "v", "c").join(sets, "v")  # once for each slice of the bucket
     blocks = dealt.groupBy("key", "i", "j").agg(F.collect_list(F.struct("own", "c", "s")).alias("m"))
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
