@@ -43,7 +43,7 @@ PLAIN = re.compile(r"[\t\n\r\x20-\x7EÀ-ÖØ-öø-ÿ]*")
 #: The pre-tokenizer's pattern over lower-cased plain texts.
 WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
 #: Words of a generation whose ids a worker keeps; there are two generations.
-KEPT_WORDS, LONGEST_KEPT = 40_000, 64
+KEPT_WORDS, LONGEST_KEPT = 150_000, 64
 #: The pre-tokenizer and normalizer that PLAIN and WORDS stand for.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Ids in a batch of sequences of one length.
