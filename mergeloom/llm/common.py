@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from mergeloom.session import ship
 
@@ -129,6 +133,16 @@ def pick(df: DataFrame, **types: str) -> DataFrame:
     return flat.select(*[F.col(f"_c{names.index(n)}").cast(t).alias(n) for n, t in types.items()])
 
 
+def table_of(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table of the driver's, by way of Arrow: rows of Python objects
+    would start Python workers of their own on the executors, which stay."""
+    kind = StructType.fromDDL(schema)
+    columns = zip(*rows, strict=True) if rows else [[] for _ in kind]
+    made = to_arrow_schema(kind)
+    arrays = [pa.array(list(x), f.type) for x, f in zip(columns, made, strict=True)]
+    return spark.createDataFrame(pa.Table.from_arrays(arrays, schema=made), kind)
+
+
 def sized_join(
     big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", limit: int = 50_000, salts: int = 64,
     weight: Column | None = None, most_bytes: int = 64 << 20,
@@ -173,12 +187,38 @@ def byte_texts(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(kind).to_pylist()]
 
 
-def batches(rows: Iterable[pa.RecordBatch], most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+#: What ``worker_cache`` made in this process.
+_caches: list[Callable] = []
+
+
+def worker_cache(make: Callable) -> Callable:
+    """``functools.cache`` for what an operator's tasks share in a worker. It is
+    cleared when a task of another operator begins there (``batches``)."""
+    kept = cache(make)
+    _caches.append(kept)
+    return kept
+
+
+def give_back() -> None:
+    """Return to the system what Arrow's pool and the C library hold unused:
+    workers live on idle beside the tasks of other stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
+def batches(rows: Iterable[pa.RecordBatch], most_bytes: int = 8 << 20, keep: Callable | None = None) -> Iterator[pa.RecordBatch]:
     """The same rows in slices of about ``most_bytes``, so that long texts do
-    not pile up in a worker."""
+    not pile up in a worker. Caches of the worker but ``keep`` go first; at the
+    end unused memory does."""
+    for kept in _caches:
+        if kept is not keep:
+            kept.cache_clear()
     for batch in rows:
         if not batch.num_rows:
             continue
         step = max(1, int(batch.num_rows * most_bytes / max(batch.nbytes, 1)))
         for i in range(0, batch.num_rows, step):
             yield batch.slice(i, step)
+    give_back()

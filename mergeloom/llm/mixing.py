@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mergeloom.llm.common import batches, byte_texts, flattened, materialize, numbered, pick, sized_join
+from mergeloom.llm.common import batches, byte_texts, flattened, materialize, numbered, pick, sized_join, table_of
 
 BLOCK = 128
 SHARDS = 256
@@ -149,7 +149,7 @@ class Mix:
         wanted = apportion([t * n / s if s else 0.0 for t, n, s in zip(goals, counts, sizes, strict=True)])
         self.drawn = draws(wanted, self.shards, seed)
         table = [(r.source, i, s, t, n, -(-r.docs // ROWS_A_CHUNK)) for i, (r, s, t, n) in enumerate(zip(rows, sizes, goals, counts, strict=True))]
-        self.sources = materialize(self.spark.createDataFrame(table, "source string, sid int, source_size long, target double, n_blocks long, n_chunks long").coalesce(1), "sources")
+        self.sources = materialize(table_of(self.spark, table, "source string, sid int, source_size long, target double, n_blocks long, n_chunks long").coalesce(1), "sources")
         self.placed = self._placed(sized)
 
     def _placed(self, sized: DataFrame) -> DataFrame:
@@ -168,7 +168,7 @@ class Mix:
         at = np.cumsum(self.drawn, axis=1) - self.drawn
         k, s = np.nonzero(self.drawn)
         table = list(zip(k.tolist(), s.tolist(), self.drawn[k, s].tolist(), first[k, s].tolist(), at[k, s].tolist(), strict=True))
-        plan = self.spark.createDataFrame(table, "shard int, sid int, n long, first long, at long")
+        plan = table_of(self.spark, table, "shard int, sid int, n long, first long, at long")
         plan = plan.join(self.sources.select("sid", "n_blocks"), "sid")
         pieces = plan.withColumn("skip", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(SLOTS_A_ROW).cast("long"))))
         pieces = pieces.repartition(-(-int(self.drawn.sum()) // SLOTS_A_TASK) or 1, "shard", "sid", "skip")

@@ -13,7 +13,8 @@ and batch ids are the partition's number and a running count in it, so a lost
 task gives the same ids when it runs again on the same partition.
 
 A worker loads a tokenizer once and keeps the ids of at most two generations of
-``KEPT_WORDS`` words of up to ``LONGEST_KEPT`` letters.
+``KEPT_WORDS`` words of up to ``LONGEST_KEPT`` letters, until a task of another
+operator begins in it.
 
 Null text counts as empty: its only id is the end mark, one piece of length 1.
 Repeated rows and null doc_ids are packed like any other row. An empty table
@@ -26,14 +27,13 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from mergeloom.llm.common import batches, pick, texts
+from mergeloom.llm.common import batches, pick, texts, worker_cache
 
 MOST = 4096
 END = 2
@@ -123,7 +123,7 @@ def word_bpe_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-@cache
+@worker_cache
 def word_ids(path: str | None = None) -> WordIds:
     """The tokenizer of a file, loaded once a worker."""
     return WordIds(path or word_bpe_path())
@@ -146,7 +146,7 @@ def pack(docs: DataFrame, most: int = MOST, end: int = END, tokenizer_path: str
         filled = np.zeros(64, np.int64)  # sequences of each bucket so far
         sequence = TaskContext.get().partitionId() << 40
         tail = np.array([end], "<u4").tobytes()
-        for b in batches(rows, 4 << 20):
+        for b in batches(rows, 4 << 20, word_ids):
             flat, doc, start, length, total = [], [], [], [], []
             for doc_id, text in zip(b.column(0).to_pylist(), texts(b.column(1)), strict=True):
                 ids = encode(text) + tail

@@ -49,7 +49,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mergeloom.llm import golay
-from mergeloom.llm.common import batches, by_number, byte_texts, flattened, materialize, numbered, pick
+from mergeloom.llm.common import batches, by_number, byte_texts, flattened, give_back, materialize, numbered, pick
 from mergeloom.llm.components import components
 
 SEED = 42
@@ -294,21 +294,37 @@ def _linked_in_blocks(named: DataFrame, sets: DataFrame, least: float) -> DataFr
     dealt = named.join(sets.select("v", F.size("s").alias("n")), "v").withColumn("k", F.greatest(slices, F.lit(1))).withColumn("own", F.pmod(F.xxhash64("v"), F.col("k")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "v", "c").join(sets, "v")  # once for each slice of the bucket
-    blocks = dealt.groupBy("key", "i", "j").agg(F.collect_list(F.struct("own", "c", "s")).alias("m"))
+    # Blocks come as sorted rows, one after another: collected lists of sets would fill the JVM's heap.
+    blocks = dealt.select("key", "i", "j", "own", "c", "s").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+    def linked(block: pa.Table) -> pa.RecordBatch:
+        own, c = block["own"].to_numpy(), block["c"].to_numpy()
+        near = close_sets(block["s"].combine_chunks(), least)
+        if block["i"][0] != block["j"][0]:
+            near &= np.not_equal.outer(own, own)
+        x, y = np.nonzero(np.triu(near & np.not_equal.outer(c, c)))
+        found = np.unique(np.stack([np.minimum(c[x], c[y]), np.maximum(c[x], c[y])], 1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["ca", "cb"])
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last = [], None
         for b in rows:
-            for i, j, members in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                own, c, s = members.values.flatten()
-                near = close_sets(s, least)
-                if i != j:
-                    near &= np.not_equal.outer(own.to_numpy(), own.to_numpy())
-                c = c.to_numpy()
-                x, y = np.nonzero(np.triu(near & np.not_equal.outer(c, c)))
-                found = np.unique(np.stack([np.minimum(c[x], c[y]), np.maximum(c[x], c[y])], 1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["ca", "cb"])
-
-    return blocks.select("i", "j", "m").mapInArrow(run, "ca long, cb long")
+            if not b.num_rows:
+                continue
+            ids = np.stack([b.column(k).to_numpy() for k in range(3)], 1)
+            cuts = [0, *(np.flatnonzero((ids[1:] != ids[:-1]).any(1)) + 1).tolist(), b.num_rows]
+            for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+                if held and tuple(ids[low]) != last:
+                    yield linked(pa.Table.from_batches(held))
+                    held = []
+                held.append(b.slice(low, high - low))
+                last = tuple(ids[low])
+        if held:
+            yield linked(pa.Table.from_batches(held))
+        held = []
+        give_back()
+
+    return blocks.mapInArrow(run, "ca long, cb long")
 
 
 def close_sets(sets: pa.ListArray, least: float, chunk: int = 1 << 12) -> np.ndarray:

@@ -96,7 +96,9 @@ def counted(docs: DataFrame, versions: Sequence[str], text: str = "text") -> Dat
         return native.drop("text").toDF(*shown)
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches(rows):
+        from mergeloom.llm.packing import word_ids
+
+        for b in batches(rows, keep=word_ids):
             i = b.schema.get_field_index("text")
             found = texts(b.column(i))
             counts = [pa.array([_counter(v)(t) for t in found], pa.int64()) for v in by_file]

@@ -114,3 +114,9 @@ def test_mixed_documents_come_in_slot_order(docs):
 def rows_twice(docs):
     """A doc_id that comes several times."""
     return docs.groupBy("doc_id").count().where("count > 1 and doc_id != 5").first().doc_id
+
+
+def test_plans_start_no_other_python_workers(spark, docs, monkeypatch):
+    """Small tables of the driver's come as Arrow, not as rows of Python objects."""
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", lambda *_: pytest.fail("rows of Python objects"))
+    assert mixing.mix_documents(docs).count() > 0

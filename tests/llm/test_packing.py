@@ -79,3 +79,14 @@ def test_empty_table_and_buckets(none, docs, spark, tmp_path):
     assert rows_of(packing.pack(none)) == [] and rows_of(packing.digests(packing.pack(none))) == []
     packing.write_buckets(packing.pack(docs), f"{tmp_path}/b")
     assert spark.read.parquet(f"{tmp_path}/b/bucket=12").where("length != 4096").count() == 0
+
+
+def test_workers_let_go_of_the_tokenizer():
+    """It stays for packing's next task in a worker, not beside other operators' tasks."""
+    from mergeloom.llm import common
+
+    kept = packing.word_ids()
+    list(common.batches([], keep=packing.word_ids))
+    assert packing.word_ids() is kept
+    list(common.batches([]))
+    assert packing.word_ids() is not kept

@@ -174,5 +174,20 @@ def test_a_bucket_of_many_slices(spark, monkeypatch):
     assert sorted(map(tuple, simhash._linked_in_blocks(named, table, 0.8).distinct().collect())) == [(i, 100 + i) for i in range(5)]
 
 
+def test_blocks_are_not_collected_in_the_heap(spark):
+    """A block's sets come to Python as sorted rows, whole and in any batches."""
+    sets = {i: list(range(20 * i, 20 * i + 20)) for i in range(17)} | {100 + i: [*range(20 * i, 20 * i + 18), 9000, 9001] for i in range(5)}
+    named = spark.createDataFrame([(k, v, v) for k in range(30) for v in sets], "key long, v long, c long")
+    found = simhash._linked_in_blocks(named, spark.createDataFrame(list(sets.items()), "v long, s array<long>"), 0.8)
+    assert "collect_list" not in found._jdf.queryExecution().optimizedPlan().toString()
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for rows in ("7", "1000"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+            assert sorted(map(tuple, found.collect())) == sorted([(i, 100 + i) for i in range(5)] * 30)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
 def test_no_documents_without_copies(none):
     assert rows_of(simhash.without_copies(none)) == []
