@@ -162,12 +162,20 @@ def sized_join(
     if counted[0] <= limit and counted[1] <= most_bytes:
         out = left.join(F.broadcast(right), cond(left, right), how)
     else:
-        left = left.withColumn("_salt", (F.rand(7) * salts).cast("int"))
+        # By what the row says, so that a task that runs again deals its rows alike.
+        own = [F.col(f"`{f.name}`") for f in big.schema if "map<" not in f.dataType.simpleString()]
+        left = left.withColumn("_salt", F.pmod(F.xxhash64(*own), F.lit(salts)).cast("int"))
         right = right.withColumn("_rsalt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         out = left.join(right, [F.col("_salt") == F.col("_rsalt"), *cond(left, right)], how).drop("_salt", "_rsalt")
     return out.drop(*[f"_l_{k}" for k in keys], *[f"_r_{k}" for k in keys])
 
 
+def keyed_stream(rows: DataFrame, keys: list[str], order: list[str], run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``run`` over the rows as Arrow batches, those of a key in one task, one
+    key after the other, each in ``order``."""
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+
+
 def flattened(docs: DataFrame) -> tuple[DataFrame, list[str], dict[str, str]]:
     """All columns under position names ``_c0``, ``_c1`` ..., the own names, and
     for each own name the position name of its first bearer."""

@@ -1,4 +1,4 @@
-"""The ten operators as registered queries, and their SQL where it exists.
+"""The operators as registered queries, and their SQL where it exists.
 
 Each query applies its operator with production parameters to the whole table
 and derives the digest columns from the operator's own output.
@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mergeloom.llm import classifier, embeddings, licenses, mixing, packing, quality_rules, secrets, simhash, token_counts, warc
+from mergeloom.llm import classifier, divergence, embeddings, licenses, mixing, packing, quality_rules, secrets, simhash, token_counts, warc
 from mergeloom.llm.common import scratch_path
 
 
@@ -66,6 +66,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *quality_rules.COUNTS, "base_failed", "kept", "lang", "source")
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_packing_binary": op2_packing_binary,
@@ -77,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_secret_scan": op9_secret_scan,
     "op10_quality_rules": op10_quality_rules,
+    "op13_source_divergence": op13_source_divergence,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -84,4 +89,5 @@ ORACLE_SQL: dict[str, str] = {
     "op6_warc_segments": warc.oracle_sql(),
     "op8_license_scan": licenses.oracle_sql(),
     "op9_secret_scan": secrets.oracle_sql(),
+    "op13_source_divergence": divergence.oracle_sql(),
 }
