@@ -98,11 +98,11 @@ def units(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray
         yield at[sound], own[sound], x / np.sqrt((x * x).sum(1))[:, None]
 
 
-def fit(rows: DataFrame, sample: int = SAMPLE) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """A model for each of the commonest lengths of ``rows`` (embedding)."""
+def samples(rows: DataFrame, sample: int = SAMPLE) -> Iterator[tuple[int, int, list[list[float]]]]:
+    """(length, rows of it, a bounded sample of its distinct vectors) for each of
+    the commonest lengths of ``rows`` (embedding)."""
     sized = rows.select("embedding", F.size("embedding").alias("d"), F.xxhash64("embedding").alias("h")).where("d > 0")
     common = sized.groupBy("d").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "d").limit(FITTED_LENGTHS).collect()
-    models = {}
     for d, n in map(tuple, common):
         most = min(sample, SAMPLE_VALUES // d)
         if most < 2:
@@ -111,7 +111,13 @@ def fit(rows: DataFrame, sample: int = SAMPLE) -> dict[int, tuple[np.ndarray, np
         share = min(1.0, (4 * most + 1000) / n)
         low = F.col("h") <= int(-(2**63) + share * (2**64 - 1)) if share < 1 else F.lit(True)
         one = sized.where((F.col("d") == d) & low).groupBy("h").agg(F.first("embedding").alias("embedding"))
-        found = [r[0] for r in one.orderBy("h").limit(most).select("embedding").collect()]
+        yield d, n, [r[0] for r in one.orderBy("h").limit(most).select("embedding").collect()]
+
+
+def fit(rows: DataFrame, sample: int = SAMPLE) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """A model for each of the commonest lengths of ``rows`` (embedding)."""
+    models = {}
+    for d, _, found in samples(rows, sample):
         for _, _, x in units(pa.array(found, pa.list_(pa.float64()))):
             if len(x) > 1:
                 models[d] = itq(x)

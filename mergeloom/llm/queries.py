@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mergeloom.llm import classifier, divergence, embeddings, licenses, mixing, packing, prefix_trie, quality_rules, secrets, simhash, token_counts, warc
+from mergeloom.llm import classifier, divergence, embeddings, licenses, mixing, packing, prefix_trie, quality_rules, secrets, simhash, token_counts, topk, warc
 from mergeloom.llm.common import scratch_path
 
 
@@ -66,6 +66,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *quality_rules.COUNTS, "base_failed", "kept", "lang", "source")
 
 
+def op11_balltree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = prefix_trie.ordered_turns(_table(spark, sf_dir, "conversations"))
     return prefix_trie.trie(*prefix_trie.rebuilt(turns)).drop("node")
@@ -86,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_secret_scan": op9_secret_scan,
     "op10_quality_rules": op10_quality_rules,
+    "op11_balltree_topk": op11_balltree_topk,
     "op12_prefix_trie": op12_prefix_trie,
     "op13_source_divergence": op13_source_divergence,
 }
@@ -95,6 +100,7 @@ ORACLE_SQL: dict[str, str] = {
     "op6_warc_segments": warc.oracle_sql(),
     "op8_license_scan": licenses.oracle_sql(),
     "op9_secret_scan": secrets.oracle_sql(),
+    "op11_balltree_topk": topk.oracle_sql(),
     "op12_prefix_trie": prefix_trie.oracle_sql(),
     "op13_source_divergence": divergence.oracle_sql(),
 }
