@@ -93,9 +93,10 @@ def test_bounds_hold_and_prune(monkeypatch):
         s = x @ q[i]
         s[40 * i] = -np.inf
         assert [-b[0] for b in best] == sorted(s.tolist())[:-6:-1]
-    assert sum(looked) < 0.35 * len(q) * len(x)
+    first = sum(looked)
+    assert first < 0.35 * len(q) * len(x)
     # With the scores shared from elsewhere hardly anything is left to look at.
     looked.clear()
     least = np.array([-b[-1][0] for b in found], float) + 1e7
     assert not any(len(b) == 5 for b in tree.search(q, np.arange(0, 4000, 40), False, least, 5))
-    assert sum(looked) < 0.1 * len(q) * len(x)
+    assert sum(looked) < 0.5 * first
