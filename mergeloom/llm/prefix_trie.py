@@ -177,21 +177,25 @@ def _chained(rows: DataFrame, block: int) -> DataFrame:
 
 def rolled_up(nodes: DataFrame, deepest: int) -> DataFrame:
     """(node, n_leaves, saved_tokens): sums over the subtree of each of (node,
-    parent, depth, leaf, saved)."""
-    state = nodes.select("node", "depth", F.col("parent").alias("above"), F.col("leaf").alias("n_leaves"), F.col("saved").alias("saved_tokens"))
+    parent, depth, leaf, saved). A round goes through the nodes that have an
+    ancestor that far above, as none of the others adds to one any more."""
+    sums = ("n_leaves", "saved_tokens")
+    own = nodes.select("node", F.col("leaf").alias("n_leaves"), F.col("saved").alias("saved_tokens"))
+    state = nodes.select("node", "depth", F.col("parent").alias("above"), F.col("leaf").alias("n_leaves"), F.col("saved").alias("saved_tokens")).where("depth >= 1")
     jump = 1
     while jump <= deepest:
-        active = state.where(F.col("depth") >= jump)
-        adds = active.groupBy(F.col("above").alias("node")).agg(F.sum("n_leaves").alias("_leaves"), F.sum("saved_tokens").alias("_saved"))
-        # The root needs no join: those twice as deep as the jump point to it.
-        further = active.where(F.col("depth") > 2 * jump).select(F.col("node").alias("_node"), F.col("above").alias("_above"))
-        further = further.join(state.select(F.col("node").alias("_above"), F.col("above").alias("_next")), "_above").select(F.col("_node").alias("node"), "_next")
-        moved = state.join(adds, "node", "left").join(further, "node", "left")
-        above = F.when(F.col("depth") == 2 * jump, F.lit(ROOT)).otherwise(F.col("_next"))
-        sums = [(F.col(c) + F.coalesce(a, F.lit(0))).alias(c) for c, a in (("n_leaves", "_leaves"), ("saved_tokens", "_saved"))]
-        state = materialize(moved.select("node", "depth", above.alias("above"), *sums), "rollup")
+        adds = materialize(state.groupBy(F.col("above").alias("node")).agg(*[F.sum(c).alias(c) for c in sums]), "adds")
+        own = own.unionByName(adds)
+        if 2 * jump <= deepest:
+            further = state.select(F.col("node").alias("above"), F.col("above").alias("_next"))
+            more = adds.select("node", *[F.col(c).alias(f"_{c}") for c in sums])
+            moved = state.where(F.col("depth") >= 2 * jump).join(more, "node", "left")
+            # The root needs no join: those twice as deep as the jump point to it.
+            far, near = moved.where(F.col("depth") > 2 * jump).join(further, "above"), moved.where(F.col("depth") == 2 * jump).withColumn("_next", F.lit(ROOT))
+            both = far.select("node", "depth", "_next", *sums, *[f"_{c}" for c in sums]).unionByName(near.drop("above"))
+            state = materialize(both.select("node", "depth", F.col("_next").alias("above"), *[(F.col(c) + F.coalesce(f"_{c}", F.lit(0))).alias(c) for c in sums]), "rollup")
         jump *= 2
-    return state.select("node", "n_leaves", "saved_tokens")
+    return own.groupBy("node").agg(*[F.sum(c).alias(c) for c in sums])
 
 
 def ends_of(members: DataFrame, run_ids: int = RUN_IDS) -> DataFrame:
