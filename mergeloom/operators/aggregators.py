@@ -12,7 +12,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mergeloom.plans.spec import Agg, Inputs, Part, buffers, merge
+from mergeloom.plans.spec import Agg, Inputs, Part, buffers, merge, null_safe
 
 ColumnLike = str | Column
 
@@ -44,7 +44,9 @@ def const(value: object) -> Agg:
 
 def from_reduce(x: ColumnLike, combine: Callable[[Column, Column], Column], order: Sequence[ColumnLike] | None = None) -> Agg:
     """Any associative function of two columns, in ``order`` if it matters.
-    For functions that no native aggregate has; collects the group."""
+    For functions that no native aggregate has, within one expression; collects
+    the group. ``monoid.of_reduce`` combines in every task instead, and
+    ``monoid.reduce_ordered`` does so in order."""
     x = _c(x)
     item = F.struct(*([_key(order).alias("o")] if order else []), x.alias("x"))
     fold = lambda rows: F.reduce(F.slice(rows, 2, F.greatest(F.size(rows) - 1, F.lit(0))), F.element_at(rows, 1)["x"], lambda a, b: combine(a, b["x"]))
@@ -53,7 +55,8 @@ def from_reduce(x: ColumnLike, combine: Callable[[Column, Column], Column], orde
 
 
 def fold_left(x: ColumnLike, start: Column, step: Callable[[Column, Column], Column], end: Callable[[Column], Column] | None = None, order: Sequence[ColumnLike] = ()) -> Agg:
-    """A sequential fold in ``order`` over the collected group."""
+    """A sequential fold in ``order`` over the collected group. Steps that are an
+    associative function's take ``monoid.reduce_ordered``, which collects none."""
     item = F.struct(_key(order).alias("o"), _c(x).alias("x"))
     run = lambda rows: F.reduce(rows, start, lambda a, r: step(a, r["x"]), end) if end else F.reduce(rows, start, lambda a, r: step(a, r["x"]))
     return Agg((_c(x),), (Part("rows", lambda xs: F.array_sort(F.collect_list(item)), lambda c: F.array_sort(F.flatten(F.collect_list(c)))),), lambda p: run(p[0]))
@@ -100,7 +103,9 @@ def product_of(x: ColumnLike) -> Agg:
 
 
 def exact_product(x: ColumnLike) -> Agg:
-    """A product of whole numbers without rounding; collects the group."""
+    """A product of whole numbers without rounding, as far as 64 bits reach; beyond
+    them it raises. Collects the group: ``monoid.big_product`` neither collects
+    nor ends anywhere."""
     run = lambda rows: F.reduce(rows, F.lit(1).cast("long"), lambda a, b: a * b)
     return Agg((_c(x).cast("long"),), (Part("rows", lambda xs: F.collect_list(xs[0]), lambda c: F.flatten(F.collect_list(c))),), lambda p: run(p[0]))
 
@@ -166,15 +171,36 @@ def min_of(x: ColumnLike, zero: object = None) -> Agg:
     return simple(x, F.min, F.min, zero)
 
 
+def _first_by(x: ColumnLike, by: ColumnLike, key: Column) -> Agg:
+    """The value with the smallest key; rows without ``by`` do not count."""
+    key = F.when(_c(by).isNotNull(), key)
+    row = lambda xs: F.when(xs[1].isNotNull(), F.struct(xs[1].alias("o"), xs[0].alias("x")))
+    return Agg((_c(x), key), (Part("row", lambda xs: F.min_by(row(xs), xs[1]), lambda c: F.min_by(c, c["o"])),), lambda p: p[0]["x"])
+
+
 def min_by(x: ColumnLike, by: ColumnLike, order: Sequence[ColumnLike] = ()) -> Agg:
     """The value with the smallest ``by``; ties keep the earliest in order."""
-    return head(x, [by, *order])
+    return _first_by(x, by, _key([by, *order]))
 
 
 def max_by(x: ColumnLike, by: ColumnLike, order: Sequence[ColumnLike] = ()) -> Agg:
-    """The value with the largest ``by``; ties keep the earliest in order.
-    ``by`` must be numeric (its negative is what is smallest)."""
-    return head(x, [-_c(by), *order])
+    """The value with the largest ``by``, a number, time, string or binary value;
+    ties keep the earliest in order."""
+    return _first_by(x, by, _key([_turned(_c(by)), *order]))
+
+
+def _turned(x: Column) -> Column:
+    """A value whose order is the reverse, whatever the type: its negative, or
+    its bytes' complements with an end that is above them all. Only the branch of
+    the column's own type is left once Spark has resolved it. NaN is the largest."""
+    kind, text = F.typeof(x), x.cast("string")
+    real, whole, time = kind.isin("float", "double"), kind.isin("tinyint", "smallint", "int", "bigint") | kind.startswith("decimal"), kind.isin("date", "timestamp", "timestamp_ntz")
+    value = text.try_cast("double")
+    digits = "0123456789ABCDEF"
+    return F.struct(
+        F.when(real, F.when(F.isnan(value), 0).otherwise(1)).alias("nan"), F.when(real, -value).alias("real"), F.when(whole, -text.try_cast("decimal(38,10)")).alias("whole"),
+        F.when(time, -F.unix_micros(text.try_cast("timestamp"))).alias("time"), F.when(~(real | whole | time), F.concat(F.translate(F.hex(text), digits, digits[::-1]), F.lit("g"))).alias("text"),
+    )
 
 
 # Collections -----------------------------------------------------------
@@ -475,13 +501,21 @@ def decayed_value(df: DataFrame, x: str, time: str, half_life: float, by: Sequen
     up to the group's latest time. ``time`` is in the half-life's unit. Values
     of at most ``eps`` collapse to 0. The latest time is a window-free first
     aggregate; values are relative to it, so no exponent is large."""
-    names = list(by) or ["_all"]
-    rows = df if by else df.withColumn("_all", F.lit(1))
-    latest = rows.groupBy(*names).agg(F.max(time).alias("_latest"))
+    rows = _with_latest(df, time, by)
     decayed = F.col(x) * F.exp(-(F.col("_latest") - F.col(time)) * (LN2 / half_life))
-    out = rows.join(latest, names).groupBy(*names).agg(F.sum(decayed).alias("value"), F.max("_latest").alias("time"))
-    out = out.withColumn("value", F.when(F.abs("value") > eps, F.col("value")).otherwise(0.0))
-    return out if by else out.drop("_all")
+    out = rows.groupBy(*by) if by else rows.groupBy(F.lit(1).alias("_all"))  # no rows: no value
+    out = out.agg(F.sum(decayed).alias("value"), F.max("_latest").alias("time"))
+    return out.select(*by, F.when(F.abs("value") > eps, F.col("value")).otherwise(0.0).alias("value"), "time")
+
+
+def _with_latest(df: DataFrame, time: str, by: Sequence[str]) -> DataFrame:
+    """The rows with their group's latest time, null keys being a group. One
+    row a group meets the rows, so that adaptive execution can split a hot one."""
+    keys = [f"_k{i}" for i in range(len(by))]
+    if not keys:
+        return df.join(F.broadcast(df.agg(F.max(time).alias("_latest"))))  # one row
+    latest = df.groupBy(*[F.col(c).alias(k) for c, k in zip(by, keys, strict=True)]).agg(F.max(time).alias("_latest"))
+    return df.join(latest, null_safe(by, keys)).drop(*keys)
 
 
 def value_as_of(value: Column, time: Column, half_life: float, at: Column | float) -> Column:
@@ -506,15 +540,14 @@ def decayed_vector(df: DataFrame, key: str, x: str, time: str, half_life: float,
     """(by, key, value, time): a decayed value for each key of the vector, all
     as of the group's latest time. A vector whose norm is at most ``eps``
     collapses to no rows."""
-    names = list(by) or ["_all"]
-    rows = df if by else df.withColumn("_all", F.lit(1))
-    latest = rows.groupBy(*names).agg(F.max(time).alias("_latest"))
     decayed = F.col(x) * F.exp(-(F.col("_latest") - F.col(time)) * (LN2 / half_life))
-    out = rows.join(latest, names).groupBy(*names, key).agg(F.sum(decayed).alias("value"), F.max("_latest").alias("time"))
-    if eps >= 0:
-        norms = out.groupBy(*names).agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("_norm")).where(F.col("_norm") > eps)
-        out = out.join(norms.drop("_norm"), names, "left_semi")
-    return out if by else out.drop("_all")
+    out = _with_latest(df, time, by).groupBy(*by, key).agg(F.sum(decayed).alias("value"), F.max("_latest").alias("time"))
+    if eps < 0:
+        return out
+    keys = [f"_k{i}" for i in range(len(by))] or ["_k"]
+    norms = out.groupBy(*[F.col(c).alias(k) for c, k in zip(by, keys, strict=False)] if by else [F.lit(1).alias("_k")])
+    large = norms.agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("_norm")).where(F.col("_norm") > eps)
+    return out.join(large, null_safe(by, keys) if by else F.lit(True), "left_semi")
 
 
 # Either, map-like, conditional -----------------------------------------

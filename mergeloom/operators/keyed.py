@@ -12,7 +12,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mergeloom.plans.spec import Agg
+from mergeloom.plans.spec import Agg, null_safe
 from mergeloom.sources import tables
 
 
@@ -168,9 +168,12 @@ def set_diff_invert(diff: DataFrame) -> DataFrame:
 
 def reset_sum(df: DataFrame, value: str, is_reset: Column, order: Sequence[str], by: Sequence[str]) -> DataFrame:
     """(by, value): the sum of the values from the last reset on."""
-    last = df.groupBy(*by).agg(F.max(F.when(is_reset, F.struct(*order))).alias("_reset"))
-    rows = df.join(last, list(by)).where(F.col("_reset").isNull() | (F.struct(*order) >= F.col("_reset")))
-    return rows.groupBy(*by).agg(F.sum(value).alias(value))
+    keys = [f"_k{i}" for i in range(len(by))]
+    groups = df.groupBy(*[F.col(c).alias(k) for c, k in zip(by, keys, strict=True)]) if by else df.groupBy()
+    last = groups.agg(F.max(F.when(is_reset, F.struct(*order))).alias("_reset"))
+    both = df.join(last, null_safe(by, keys)) if by else df.join(F.broadcast(last))  # null keys are a group
+    rows = both.where(F.col("_reset").isNull() | (F.struct(*order) >= F.col("_reset")))
+    return (rows.groupBy(*by) if by else rows.groupBy()).agg(F.sum(value).alias(value))
 
 
 def min_plus_step(distances: DataFrame, edges: DataFrame, node: str = "node", cost: str = "cost") -> DataFrame:

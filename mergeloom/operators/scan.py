@@ -6,12 +6,13 @@ specification, so Spark sorts once. Any ``Agg`` can run as a scan.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from mergeloom.plans.spec import Agg
+from mergeloom.sources import tables
 
 
 def ordered(order: Sequence[str | Column], by: Sequence[str] = ()) -> WindowSpec:
@@ -131,3 +132,46 @@ def global_scan(df: DataFrame, aggs: Mapping[str, Agg], order: Sequence[str], ra
     running = Window.partitionBy("_chunk").orderBy("_real", *order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     merged = both.select(*names, "_real", *[p.value(p.merge(F.col(c)).over(running)).alias(c) for c, (_, p) in parts.items()]).where("_real = 1")
     return merged.select(*names, *[a.present([F.col(f"_{n}__{p.name}") for p in a.parts]).alias(n) for n, a in aggs.items()])
+
+
+# Windows of the whole table, in many tasks ----------------------------------
+
+
+def global_index(df: DataFrame, order: Sequence[str], name: str = "index", cut: Callable[[DataFrame], DataFrame] = tables.cut) -> DataFrame:
+    """The rows with their number from 0 in a total order of the whole table.
+
+    Rows are ranged by the order and written once (``cut``) with their places in
+    the range; what lies before a range is a sum of counts, of which the driver
+    holds one a range."""
+    at, ranges = F.col("_at"), F.shiftright("_at", 33)  # how Spark numbers rows: task, then row
+    placed = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    before, rows = 0, []
+    for r, n in sorted(map(tuple, placed.groupBy(ranges.alias("_range")).agg(F.count("*").alias("_n")).collect())):
+        rows.append((r, before))
+        before += n
+    starts = df.sparkSession.createDataFrame(rows, "_range long, _before long")
+    return placed.join(F.broadcast(starts), ranges == F.col("_range")).withColumn(name, at.bitwiseAND((1 << 33) - 1) + F.col("_before")).drop("_at", "_range", "_before")
+
+
+def global_zip(left: DataFrame, right: DataFrame, order_left: Sequence[str], order_right: Sequence[str], cut: Callable[[DataFrame], DataFrame] = tables.cut) -> DataFrame:
+    """Two whole tables side by side, by their rows' numbers; columns must bear
+    different names. The longer one's rest is left out."""
+    return global_index(left, order_left, cut=cut).join(global_index(right, order_right, cut=cut), "index")
+
+
+def global_trailing(df: DataFrame, aggs: Mapping[str, Agg], n: int, order: Sequence[str], block: int = 1_000_000, cut: Callable[[DataFrame], DataFrame] = tables.cut) -> DataFrame:
+    """The rows with aggregations of the last n rows of the whole table, each
+    row's own included.
+
+    Numbered rows are cut into blocks of ``block`` rows (n at least); a block's
+    last n - 1 rows also go to the next one, where they are counted but give no
+    result. A window runs within each block."""
+    if n < 1:
+        raise ValueError("a window holds one row at least")
+    size = max(n, block)
+    rows = global_index(df, order, "_index", cut)
+    own, place = F.floor(F.col("_index") / size), F.col("_index") % size
+    dealt = rows.withColumn("_own", own).withColumn("_block", F.explode(F.when(place > size - n, F.array(own, own + 1)).otherwise(F.array(own))))
+    w = Window.partitionBy("_block").orderBy("_index").rowsBetween(-(n - 1), 0)
+    out = dealt.select(*df.columns, "_own", "_block", *[a.over(w).alias(k) for k, a in aggs.items()])
+    return out.where("_own = _block").drop("_own", "_block")

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from mergeloom.functions import hashing
 from mergeloom.operators.aggregators import LN2
+from mergeloom.plans.spec import null_safe
 
 SEED = 1
 #: Cells, 8 bytes each, of a sketch that is broadcast.
@@ -40,10 +41,14 @@ def delta_of(depth: int) -> float:
     return math.exp(-depth)
 
 
-def _cells(items: DataFrame, x: str, depth: int, width: int, seed: int) -> DataFrame:
+def columns_of(df: DataFrame, x: str, depth: int, width: int, seed: int, family: str = "md5") -> Column:
+    """The array of an item's columns, one a row: the item is hashed once."""
+    return hashing.linear(hashing.fingerprint(x, df.schema[x].dataType, family), depth, width, seed)
+
+
+def _cells(items: DataFrame, x: str, depth: int, width: int, seed: int, family: str) -> DataFrame:
     """Each item with its column in each row: columns row, col."""
-    rows = items.withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(depth - 1))))
-    return rows.withColumn("col", hashing.bucket(width, F.concat_ws("/", F.lit(str(seed)), F.col("row")), x).cast("int"))
+    return items.select("*", F.posexplode(columns_of(items, x, depth, width, seed, family)).alias("row", "col"))
 
 
 def counts(df: DataFrame, x: str, by: Sequence[str] = (), n: Column | None = None) -> DataFrame:
@@ -51,14 +56,14 @@ def counts(df: DataFrame, x: str, by: Sequence[str] = (), n: Column | None = Non
     return df.where(F.col(x).isNotNull()).groupBy(*by, x).agg((F.count("*") if n is None else F.sum(n)).alias("n"))
 
 
-def sketch(df: DataFrame, x: str, depth: int, width: int, by: Sequence[str] = (), n: Column | None = None, seed: int = SEED) -> DataFrame:
+def sketch(df: DataFrame, x: str, depth: int, width: int, by: Sequence[str] = (), n: Column | None = None, seed: int = SEED, family: str = "md5") -> DataFrame:
     """(by, row, col, n): the cells that are not empty."""
     rows = df.where(F.col(x).isNotNull()).select(*by, F.col(x).alias("_x"), *([] if n is None else [n.alias("_n")]))
-    cells = _cells(rows, "_x", depth, width, seed)
+    cells = _cells(rows, "_x", depth, width, seed, family)
     return cells.groupBy(*by, "row", "col").agg((F.count("*") if n is None else F.sum("_n")).alias("n"))
 
 
-def estimated(df: DataFrame, cells: DataFrame, x: str, depth: int, width: int, seed: int = SEED) -> DataFrame:
+def estimated(df: DataFrame, cells: DataFrame, x: str, depth: int, width: int, seed: int = SEED, family: str = "md5") -> DataFrame:
     """Every row of ``df`` with a non-null item, its ``estimate`` and the
     sketch's ``total`` beside it, from one broadcast row."""
     if depth * width > MOST_CELLS:
@@ -67,10 +72,9 @@ def estimated(df: DataFrame, cells: DataFrame, x: str, depth: int, width: int, s
     filled = places.join(cells.select((F.col("row") * width + F.col("col")).cast("long").alias("_k"), "n"), "_k", "left")
     row = F.struct("_k", F.coalesce("n", F.lit(0)).alias("n"))
     dense = filled.agg(F.transform(F.array_sort(F.collect_list(row)), lambda c: c["n"]).alias("_cells"), F.coalesce(F.sum(F.when(F.col("_k") < width, F.col("n"))), F.lit(0)).alias("total"))
-    col = lambda r: hashing.bucket(width, F.concat_ws("/", F.lit(str(seed)), F.lit(r)), x).cast("int")
-    each = [F.get("_cells", r * width + col(r)) for r in range(depth)]
-    rows = df.where(F.col(x).isNotNull()).crossJoin(F.broadcast(dense))
-    return rows.withColumn("estimate", F.least(*each) if depth > 1 else each[0]).drop("_cells")
+    rows = df.where(F.col(x).isNotNull()).withColumn("_cols", columns_of(df, x, depth, width, seed, family)).crossJoin(F.broadcast(dense))  # one row
+    each = [F.get("_cells", r * width + F.get("_cols", F.lit(r))) for r in range(depth)]
+    return rows.withColumn("estimate", F.least(*each) if depth > 1 else each[0]).drop("_cells", "_cols")
 
 
 def merge(cells: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -83,11 +87,16 @@ def total(cells: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return (rows.groupBy(*by) if by else rows.groupBy()).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
 
 
-def frequency(cells: DataFrame, items: DataFrame, x: str, depth: int, width: int, by: Sequence[str] = (), seed: int = SEED) -> DataFrame:
+def frequency(cells: DataFrame, items: DataFrame, x: str, depth: int, width: int, by: Sequence[str] = (), seed: int = SEED, family: str = "md5") -> DataFrame:
     """(by, x, estimate) for each row of ``items`` (by, x), distinct: the least
-    cell; an empty cell makes it 0."""
-    asked = _cells(items.select(*by, x).distinct(), x, depth, width, seed)
-    found = asked.join(cells, [*by, "row", "col"], "left")
+    cell; an empty cell makes it 0. Without groups small sketches are broadcast;
+    others meet their cells, null keys being a group."""
+    items = items.select(*by, x).distinct()
+    if not by and depth * width <= MOST_CELLS:
+        return estimated(items, cells, x, depth, width, seed, family).select(x, "estimate")
+    keys = [f"_k{i}" for i in range(len(by))]
+    own = cells.select(*[F.col(c).alias(k) for c, k in zip(by, keys, strict=True)], F.col("row").alias("_row"), F.col("col").alias("_col"), "n")
+    found = _cells(items, x, depth, width, seed, family).join(own, null_safe([*by, "row", "col"], [*keys, "_row", "_col"]), "left")
     return found.groupBy(*by, x).agg(F.min(F.coalesce("n", F.lit(0))).alias("estimate"))
 
 
@@ -109,31 +118,31 @@ def second_moment(a: DataFrame, depth: int) -> DataFrame:
     return inner_product(a, a, depth)
 
 
-def top_pct(df: DataFrame, x: str, depth: int, width: int, pct: float, seed: int = SEED) -> DataFrame:
+def top_pct(df: DataFrame, x: str, depth: int, width: int, pct: float, seed: int = SEED, family: str = "md5") -> DataFrame:
     """(x, estimate): items whose estimate is at least ``pct`` of the total."""
-    cells = sketch(df, x, depth, width, seed=seed)
+    cells = sketch(df, x, depth, width, seed=seed, family=family)
     if depth * width <= MOST_CELLS:
-        rows = estimated(df.select(x), cells, x, depth, width, seed)
+        rows = estimated(df.select(x), cells, x, depth, width, seed, family)
         return rows.where(F.col("estimate") >= pct * F.col("total")).select(x, "estimate").distinct()
-    estimates = frequency(cells, df.where(F.col(x).isNotNull()), x, depth, width, seed=seed)
+    estimates = frequency(cells, df.where(F.col(x).isNotNull()), x, depth, width, seed=seed, family=family)
     return estimates.join(F.broadcast(total(cells))).where(F.col("estimate") >= pct * F.col("total")).drop("total")
 
 
-def top_n(df: DataFrame, x: str, depth: int, width: int, n: int, by: Sequence[str] = (), seed: int = SEED) -> DataFrame:
+def top_n(df: DataFrame, x: str, depth: int, width: int, n: int, by: Sequence[str] = (), seed: int = SEED, family: str = "md5") -> DataFrame:
     """(by, x, estimate): the n largest estimates, of each scope if ``by`` is
     given; ties by item. The same whatever the order of merging. Over
     everything, any n items bound the least estimate that can be among them; the
     native sketch of frequent items names good ones, and only items from there
     on shuffle. Scopes estimate each of their distinct items."""
     order = [F.col("estimate").desc(), F.col(x)]
-    cells = sketch(df, x, depth, width, by, seed=seed)
+    cells = sketch(df, x, depth, width, by, seed=seed, family=family)
     if not by and depth * width <= MOST_CELLS:
         tracked = max(1000, 4 * n)
         some = df.where(F.col(x).isNotNull()).agg(F.call_function("approx_top_k", F.col(x), F.lit(n), F.lit(tracked)).alias("t")).select(F.explode("t.item").alias(x))
-        kth = estimated(some, cells, x, depth, width, seed).agg(F.when(F.count("*") >= n, F.min("estimate")).otherwise(0).alias("_least"))
-        rows = estimated(df.select(x), cells, x, depth, width, seed).crossJoin(F.broadcast(kth)).where(F.col("estimate") >= F.col("_least"))
+        kth = estimated(some, cells, x, depth, width, seed, family).agg(F.when(F.count("*") >= n, F.min("estimate")).otherwise(0).alias("_least"))
+        rows = estimated(df.select(x), cells, x, depth, width, seed, family).crossJoin(F.broadcast(kth)).where(F.col("estimate") >= F.col("_least"))
         return rows.select(x, "estimate").distinct().orderBy(*order).limit(n)
-    estimates = frequency(cells, df.where(F.col(x).isNotNull()), x, depth, width, by, seed)
+    estimates = frequency(cells, df.where(F.col(x).isNotNull()), x, depth, width, by, seed, family)
     if not by:
         return estimates.orderBy(*order).limit(n)
     w = Window.partitionBy(*by).orderBy(*order)
@@ -143,27 +152,27 @@ def top_n(df: DataFrame, x: str, depth: int, width: int, n: int, by: Sequence[st
 # Sketch map: cells of any mergeable value --------------------------------
 
 
-def sketch_map(df: DataFrame, x: str, value: Column, depth: int, width: int, by: Sequence[str] = (), seed: int = SEED) -> DataFrame:
+def sketch_map(df: DataFrame, x: str, value: Column, depth: int, width: int, by: Sequence[str] = (), seed: int = SEED, family: str = "md5") -> DataFrame:
     """(by, row, col, n): cells sum a value by key; keys merge in them."""
-    return sketch(df, x, depth, width, by, value, seed)
+    return sketch(df, x, depth, width, by, value, seed, family)
 
 
-def heavy_hitters(df: DataFrame, x: str, value: Column, depth: int, width: int, k: int, seed: int = SEED) -> DataFrame:
+def heavy_hitters(df: DataFrame, x: str, value: Column, depth: int, width: int, k: int, seed: int = SEED, family: str = "md5") -> DataFrame:
     """(x, estimate): the k keys with the largest estimated sums."""
-    cells = sketch(df, x, depth, width, (), value, seed)
-    return frequency(cells, df.where(F.col(x).isNotNull()), x, depth, width, seed=seed).orderBy(F.col("estimate").desc(), F.col(x)).limit(k)
+    cells = sketch(df, x, depth, width, (), value, seed, family)
+    return frequency(cells, df.where(F.col(x).isNotNull()), x, depth, width, seed=seed, family=family).orderBy(F.col("estimate").desc(), F.col(x)).limit(k)
 
 
 # Decaying counts ---------------------------------------------------------
 
 
-def decaying(df: DataFrame, x: str, time: str, half_life: float, depth: int, width: int, n: Column | None = None, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+def decaying(df: DataFrame, x: str, time: str, half_life: float, depth: int, width: int, n: Column | None = None, seed: int = SEED, family: str = "md5") -> tuple[DataFrame, DataFrame]:
     """(cells, latest): cells whose counts halve once a half-life, all as of
     the latest time, a table of one row (ts)."""
     latest = df.agg(F.max(time).alias("ts"))
     rows = df.where(F.col(x).isNotNull()).join(F.broadcast(latest))
     amount = (F.lit(1.0) if n is None else n) * F.exp(-(F.col("ts") - F.col(time)) * (LN2 / half_life))
-    return sketch(rows, x, depth, width, (), amount, seed), latest
+    return sketch(rows, x, depth, width, (), amount, seed, family), latest
 
 
 def rescaled(cells: DataFrame, latest: DataFrame, half_life: float, at: float) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from mergeloom.functions import hashing
 from mergeloom.functions.approximate import approximate
+from mergeloom.plans.spec import null_safe
 
 SEED = 12345678
 
@@ -102,7 +103,11 @@ def set_size(df: DataFrame, x: str, bits: int, most: int = 10, by: Sequence[str]
     values = df.where(F.col(x).isNotNull()).select(*by, x).distinct()
     exact = (values.groupBy(*by) if by else values.groupBy()).agg(F.count("*").alias("_exact"))
     est = estimate(registers(values, x, bits, by), bits, by)
-    both = exact.join(est, list(by)) if by else exact.join(F.broadcast(est))
+    if by:  # null keys are a group
+        keys = [f"_k{i}" for i in range(len(by))]
+        both = exact.join(est.withColumnsRenamed(dict(zip(by, keys, strict=True))), null_safe(by, keys)).drop(*keys)
+    else:
+        both = exact.join(F.broadcast(est))
     return both.select(*by, F.when(F.col("_exact") <= most, F.col("_exact")).otherwise(F.floor("estimate")).cast("long").alias("size"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -15,11 +16,9 @@ def hashes_for(bytes_: int, hash_bytes: int = 4) -> int:
 
 
 def pick_bands(threshold: float, hashes: int) -> int:
-    """The number of bands whose threshold comes closest from below."""
-    rows = 1
-    while rows < hashes and estimated_threshold(hashes // (rows + 1), rows + 1) <= threshold:
-        rows += 1
-    return hashes // rows
+    """The fewest bands whose threshold is at most ``threshold``, rows a band
+    being hashes / bands without rounding."""
+    return next(b for b in itertools.count(1) if estimated_threshold(b, hashes / b) <= threshold)
 
 
 def pick_hashes_and_bands(threshold: float, most_hashes: int) -> tuple[int, int]:
@@ -27,7 +26,7 @@ def pick_hashes_and_bands(threshold: float, most_hashes: int) -> tuple[int, int]
     return most_hashes // bands * bands, bands
 
 
-def estimated_threshold(bands: int, rows: int) -> float:
+def estimated_threshold(bands: int, rows: float) -> float:
     """The similarity at which a pair becomes a candidate about every other time."""
     return (1.0 / bands) ** (1.0 / rows)
 

@@ -2,6 +2,7 @@
 
 A leaf is a dyadic bin of width 2^level. Coarser nodes are sums of leaves, so
 ``compress`` may move rare leaves up to a wider bin: then rows carry a level.
+``bounded`` builds such a tree with that bound in every task already.
 """
 
 from __future__ import annotations
@@ -9,9 +10,12 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mergeloom.operators import monoid
+from mergeloom.plans.spec import null_safe
 from mergeloom.sources import tables
 
 LEVEL = -16
@@ -63,10 +67,114 @@ def quantile_bounds(tree: DataFrame, p: float, by: Sequence[str] = (), level: in
     return found.select(*[F.col(k).alias(c) for c, k in zip(by, keys, strict=True)], (F.col("leaf") * 2.0**level).alias("lower"), ((F.col("leaf") + 1) * 2.0**level).alias("upper"))
 
 
-def approximate_percentile(df: DataFrame, x: str, p: float, by: Sequence[str] = (), level: int = LEVEL) -> DataFrame:
-    """(by, percentile): the lower end of the quantile's bin."""
-    bounds = quantile_bounds(leaves(df, x, by, level), p, by, level)
-    return bounds.select(*by, F.col("lower").alias("percentile"))
+# Trees of bounded size -------------------------------------------------------
+
+
+def most_nodes(k: int) -> int:
+    """The nodes of a bounded tree at most."""
+    return 2 ** (k + 2)
+
+
+class Nodes:
+    """A tree of at most ``most_nodes`` nodes: (level, place) with counts and
+    sums, and values that are still to be binned."""
+
+    WAITING = 4096
+
+    def __init__(self, level: int, k: int) -> None:
+        self.level, self.k, self.values = level, k, []
+        self.at, self.n, self.s = np.zeros((0, 2), np.int64), np.zeros(0, np.int64), np.zeros(0)
+
+    def take(self, value: float | None) -> Nodes:
+        if value is not None and value == value:
+            if value < 0:
+                raise ValueError("quantile trees take no negative values")
+            self.values.append(value)
+            if len(self.values) >= self.WAITING:
+                self._settle()
+        return self
+
+    def _settle(self) -> None:
+        """Bins what waits, and compresses a tree that has become too large."""
+        if self.values:
+            v = np.array(self.values, np.float64)
+            place = np.floor(v / 2.0**self.level).astype(np.int64)
+            self._add(np.stack([np.full(len(v), self.level), place], 1), np.ones(len(v), np.int64), v)
+            self.values = []
+        if len(self.n) > most_nodes(self.k):
+            self._compress()
+
+    def _add(self, at: np.ndarray, n: np.ndarray, s: np.ndarray) -> None:
+        nodes, own = np.unique(np.concatenate([self.at, at]), axis=0, return_inverse=True)
+        own = own.reshape(-1)
+        counts = np.zeros(len(nodes), np.int64)
+        np.add.at(counts, own, np.concatenate([self.n, n]))
+        self.at, self.n, self.s = nodes, counts, np.bincount(own, np.concatenate([self.s, s]), len(nodes))
+
+    def _compress(self) -> None:
+        """Nodes of fewer than a 2^k-th of all values go to their parents, from
+        the lowest level up, as far as one node is above all others."""
+        least, level = int(self.n.sum()) >> self.k, int(self.at[:, 0].min())
+        while True:
+            top = self.at[:, 1] >> np.maximum(0, level - self.at[:, 0])
+            if len(np.unique(np.where(self.at[:, 0] <= level, top, -1 - self.at[:, 1]))) <= 1:
+                return
+            small = (self.at[:, 0] == level) & (self.n < least)
+            if small.any():
+                at, n, s = self.at[small], self.n[small], self.s[small]
+                self.at, self.n, self.s = self.at[~small], self.n[~small], self.s[~small]
+                self._add(np.stack([at[:, 0] + 1, at[:, 1] >> 1], 1), n, s)
+            level += 1
+            if level > 63:
+                return
+
+    def __add__(self, other: Nodes) -> Nodes:
+        self._settle()
+        other._settle()
+        self._add(other.at, other.n, other.s)
+        self._settle()
+        return self
+
+    def rows(self) -> list[tuple]:
+        self._settle()
+        return [(int(a), int(b), int(n), float(s)) for (a, b), n, s in zip(self.at, self.n, self.s, strict=True)]
+
+
+def bounded(df: DataFrame, x: str, k: int = 9, by: Sequence[str] = (), level: int = LEVEL) -> DataFrame:
+    """(by, level, leaf, n, s): a tree of at most ``most_nodes(k)`` nodes a group.
+    Tasks keep trees of that size and merge them, so neither rows nor leaves
+    shuffle. While a group has no more leaves than that its tree is exact."""
+    tree = monoid.Monoid(lambda v: Nodes(level, k).take(v), lambda a, b: a + b, lambda t: (t.rows(),), append=lambda t, v: t.take(v))
+    value = F.col(x).cast("double")
+    rows = df.where(value.isNotNull() & ~F.isnan(value)).select(*by, value.alias("_x"))
+    # A state is some hundred kilobytes at most.
+    out = monoid.aggregate(rows, tree, ["_x"], "nodes array<struct<level:int,leaf:long,n:long,s:double>>", by, held=200)
+    return out.select(*by, F.inline("nodes"))
+
+
+def node_bounds(nodes: DataFrame, p: float, by: Sequence[str] = ()) -> DataFrame:
+    """(by, lower, upper): bounds of the value of rank min(floor(n p), n - 1),
+    from 0, in a tree of nodes of any levels. Were every value at its node's
+    lower end, the value of that rank would be lower, and higher at the upper
+    ends. Windows over the nodes of a group, which are few."""
+    if not 0 <= p <= 1:
+        raise ValueError("p must lie between 0 and 1")
+    width = F.pow(F.lit(2.0), F.col("level"))
+    ends = nodes.select(*by, "n", F.explode(F.array(F.struct(F.lit(0).alias("side"), (F.col("leaf") * width).alias("at")), F.struct(F.lit(1).alias("side"), ((F.col("leaf") + 1) * width).alias("at")))).alias("e"))
+    side = Window.partitionBy(*by, "e.side")
+    ranked = ends.withColumns({"_to": F.sum("n").over(side.orderBy("e.at")), "_all": F.sum("n").over(side)})
+    rank = F.least(F.floor(F.col("_all") * p), F.col("_all") - 1)
+    least = lambda which: F.min(F.when((F.col("e.side") == which) & (F.col("_to") > rank), F.col("e.at")))
+    grouped = ranked.groupBy(*by) if by else ranked.groupBy()
+    return grouped.agg(least(0).alias("lower"), least(1).alias("upper"))
+
+
+def approximate_percentile(df: DataFrame, x: str, p: float, by: Sequence[str] = (), level: int = LEVEL, k: int = 9) -> DataFrame:
+    """(by, percentile): the lower bound of the quantile, by a bounded tree."""
+    return node_bounds(bounded(df, x, k, by, level), p, by).select(*by, F.col("lower").alias("percentile"))
+
+
+# Sums over trees ---------------------------------------------------------------
 
 
 def range_bounds(tree: DataFrame, start: Column | float, end: Column | float, by: Sequence[str] = (), level: int = LEVEL) -> DataFrame:
@@ -86,16 +194,31 @@ def total(tree: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def inter_quartile_mean(tree: DataFrame, by: Sequence[str] = (), level: int = LEVEL) -> DataFrame:
-    """(by, lower, upper): bounds of the mean between the quartiles."""
-    keys = list(by) or ["_all"]
-    rows = tree if by else tree.withColumn("_all", F.lit(1))
-    q1 = quantile_bounds(rows, 0.25, keys, level).withColumnsRenamed({"lower": "l25", "upper": "u25"})
-    q3 = quantile_bounds(rows, 0.75, keys, level).withColumnsRenamed({"lower": "l75", "upper": "u75"})
-    joined = rows.join(q1.join(q3, keys), keys)
-    outer = range_bounds(joined, F.col("l25"), F.col("l75"), keys, level).select(*keys, F.col("sum_low").alias("ll"), F.col("count_high").alias("luc"))
-    inner = range_bounds(joined, F.col("u25"), F.col("u75"), keys, level).select(*keys, F.col("sum_high").alias("uu"), F.col("count_low").alias("ulc"))
-    out = outer.join(inner, keys).select(*keys, F.try_divide("ll", "luc").alias("lower"), F.try_divide("uu", "ulc").alias("upper"))
-    return out if by else out.drop("_all")
+    """(by, lower, upper): bounds of the mean between the quartiles.
+
+    Either quartile lies somewhere in its bin. With both at their bins' lower
+    ends, bins that lie wholly between them have the least sum and bins that touch
+    the stretch the most values: their ratio is the lower bound. With both at the
+    upper ends, the sum of those that touch over the count of those wholly between
+    is the upper one. One pass over the leaves, with the quartiles beside them."""
+    width = 2.0**level
+    keys = [f"_q{i}" for i in range(len(by))]
+    quartiles = None
+    for name, p in (("first", 0.25), ("third", 0.75)):
+        found = quantile_bounds(tree, p, by, level).select(*[F.col(c).alias(f"{k}{name}") for c, k in zip(by, keys, strict=True)], F.struct("lower", "upper").alias(name))
+        if quartiles is None:
+            quartiles = found
+        else:
+            quartiles = quartiles.join(found, null_safe([f"{k}first" for k in keys], [f"{k}third" for k in keys]) if by else F.lit(True))
+    beside = tree.join(quartiles, null_safe(by, [f"{k}first" for k in keys])) if by else tree.join(F.broadcast(quartiles))
+    left, right = F.col("leaf") * width, (F.col("leaf") + 1) * width
+    sums = {}
+    for end in ("lower", "upper"):
+        start, stop = F.col(f"first.{end}"), F.col(f"third.{end}")
+        between, touching = (left >= start) & (right <= stop), (left <= stop) & (right > start)
+        sums[end] = [F.sum(F.when(between if (c == "s") == (end == "lower") else touching, F.col(c))) for c in ("s", "n")]
+    grouped = beside.groupBy(*by) if by else beside.groupBy()
+    return grouped.agg(*[F.try_divide(F.coalesce(total, F.lit(0)), F.coalesce(count, F.lit(0))).alias(end) for end, (total, count) in sums.items()])
 
 
 def compress(tree: DataFrame, k: int, by: Sequence[str] = (), level: int = LEVEL, cut: Callable[[DataFrame], DataFrame] = tables.cut) -> DataFrame:

@@ -27,6 +27,6 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def load() -> tuple[dict[str, Query], dict[str, str]]:
-    from mergeloom.plans import queries_aggregate, queries_keyed, queries_sketch, queries_value  # noqa: F401
+    from mergeloom.plans import queries_aggregate, queries_keyed, queries_monoid, queries_sketch, queries_value  # noqa: F401
 
     return QUERIES, ORACLE

@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
+from mergeloom.functions import hashing
 from mergeloom.operators import ordered
 from mergeloom.operators.sketches import bloom, cms, exphist, hll, minhash, qtree
 from mergeloom.plans.catalog import query
@@ -104,13 +105,17 @@ def hll_series_since(spark, sf):
 D, W = cms.depth_for(0.01), cms.width_for(0.02)
 
 
-def cells_sql(x: str, t: str, n: str = "count(*)", d: int = D, w: int = W) -> str:
-    return f"""select row, ('0x' || substr(md5('1/' || row || ':' || x), 1, 8))::bigint % {w} as col, sum(n) as n, x
+def cells_sql(x: str, t: str, n: str = "count(*)", d: int = D, w: int = W, key: str = "x::bigint") -> str:
+    """The cells of the linear family; ``key`` is the item's 64-bit number."""
+    return f"""select row, {hashing.linear_sql(key, "row", d, w, cms.SEED)} as col, sum(n) as n, x
         from (select {x} as x, {n} as n from {t} where {x} is not null group by 1), range({d}) t(row) group by row, col, x"""
 
 
-def frequency_sql(x: str, t: str, n: str = "count(*)", d: int = D, w: int = W) -> str:
-    return f"""select x, min(s) as estimate from (select x, sum(n) over (partition by row, col) as s from ({cells_sql(x, t, n, d, w)})) group by x"""
+TEXT_KEY = "('0x' || substr(md5(x), 1, 15))::bigint"
+
+
+def frequency_sql(x: str, t: str, n: str = "count(*)", d: int = D, w: int = W, key: str = "x::bigint") -> str:
+    return f"""select x, min(s) as estimate from (select x, sum(n) over (partition by row, col) as s from ({cells_sql(x, t, n, d, w, key)})) group by x"""
 
 
 @query(f"select x as l_partkey, estimate::bigint as estimate from ({frequency_sql('l_partkey', 'lineitem')})")
@@ -119,7 +124,7 @@ def cms_frequency(spark, sf):
     return cms.frequency(cms.sketch(rows, "l_partkey", D, W), rows.select("l_partkey"), "l_partkey", D, W)
 
 
-@query(f"""select x as event_type, estimate::bigint as estimate, greatest(0, trunc(estimate - {math.e / W!r} * n))::bigint as low from ({frequency_sql('event_type', 'events')}), (select count(*) as n from events)""")
+@query(f"""select x as event_type, estimate::bigint as estimate, greatest(0, trunc(estimate - {math.e / W!r} * n))::bigint as low from ({frequency_sql('event_type', 'events', key=TEXT_KEY)}), (select count(*) as n from events)""")
 def cms_bounds(spark, sf):
     rows = table(spark, sf, "events")
     cells = cms.sketch(rows, "event_type", D, W)
@@ -149,7 +154,7 @@ def top_n_cms(spark, sf):
     return cms.top_n(table(spark, sf, "events"), "user_id", D, W, 10)
 
 
-@query(f"""with c as (select event_type, user_id, row, n, ('0x' || substr(md5('1/' || row || ':' || user_id), 1, 8))::bigint % {W} as col
+@query(f"""with c as (select event_type, user_id, row, n, {hashing.linear_sql("user_id::bigint", "row", D, W, cms.SEED)} as col
         from (select event_type, user_id, count(*) as n from events group by 1, 2), range({D}) t(row)),
     f as (select event_type, user_id, min(s)::bigint as estimate from (select *, sum(n) over (partition by event_type, row, col) as s from c) group by 1, 2)
     select event_type, user_id, estimate from f qualify row_number() over (partition by event_type order by estimate desc, user_id) <= 3""")
@@ -255,6 +260,35 @@ def qtree_compressed_total(spark, sf):
     return t.groupBy("event_type").agg(F.sum("n").alias("n"), r(F.sum("s"), 3).alias("s"))
 
 
+def _compressed_sql(t: str, x: str, level: int, k: int, levels: int) -> str:
+    """The nodes level by level, as ``compress`` says: fewer than a 2^k-th of the
+    group's values go up, as long as the group's top place has not become 0."""
+    steps = [f"c0 as (select event_type, floor({x} / {2.0**level!r})::bigint as leaf, count(*) as n from {t} group by 1, 2)", f"g as (select event_type, sum(n)::bigint >> {k} as least, max(leaf) as top from c0 group by 1)"]
+    for i in range(levels):
+        small = f"n < least and (top >> {i}) > 0"
+        steps += [f"d{i} as (select event_type, {level + i} as level, leaf, n from c{i} join g using (event_type) where not ({small}))", f"c{i + 1} as (select event_type, leaf >> 1 as leaf, sum(n)::bigint as n from c{i} join g using (event_type) where {small} group by 1, 2)"]
+    return "with " + ", ".join(steps) + " " + " union all ".join(f"select event_type, level, leaf, n from d{i}" for i in range(levels))
+
+
+@query(_compressed_sql("events", "value", -4, 6, 30))
+def qtree_compress(spark, sf):
+    t = qtree.compress(qtree.leaves(table(spark, sf, "events"), "value", ["event_type"], -4), 6, ["event_type"], -4)
+    return t.select("event_type", "level", "leaf", "n")
+
+
+@query("select event_type, count(*) as n, true as small, true as lower_holds, true as upper_holds from events group by 1")
+def qtree_bounded(spark, sf):
+    """A tree of 4 levels of branching: few nodes, and bounds that hold."""
+    rows = table(spark, sf, "events").select("event_type", "value")
+    nodes = qtree.bounded(rows, "value", 4, ["event_type"])
+    sizes = nodes.groupBy("event_type").agg(F.sum("n").alias("n"), (F.count("*") <= qtree.most_nodes(4)).alias("small"))
+    bounds = qtree.node_bounds(nodes, 0.75, ["event_type"])
+    both = rows.join(F.broadcast(bounds), "event_type")  # a row an event type
+    ranks = both.groupBy("event_type").agg(F.count_if(F.col("value") < F.col("lower")).alias("below"), F.count_if(F.col("value") < F.col("upper")).alias("upto"))
+    rank = F.floor(F.col("n") * 0.75)
+    return sizes.join(ranks, "event_type").select("event_type", "n", "small", (F.col("below") <= rank).alias("lower_holds"), (F.col("upto") > rank).alias("upper_holds"))
+
+
 # MinHash ------------------------------------------------------------------------
 
 HASHES_MH = 64

@@ -166,6 +166,11 @@ def _all(columns: Sequence[Column]) -> Column:
 # Plans -----------------------------------------------------------------
 
 
+def null_safe(left: Sequence[str], right: Sequence[str]) -> Column:
+    """Equality of keys by which nulls are equal, as they are in a grouping."""
+    return reduce(lambda a, b: a & b, [F.col(x).eqNullSafe(F.col(y)) for x, y in zip(left, right, strict=True)])
+
+
 def aggregate(df: DataFrame, aggs: Mapping[str, Agg], by: Sequence[str | Column] = ()) -> DataFrame:
     """All aggregations in one pass, grouped by ``by`` or over everything."""
     grouped = df.groupBy(*by) if by else df.groupBy()
@@ -196,7 +201,7 @@ def merge(stored: DataFrame, aggs: Mapping[str, Agg], by: Sequence[str] = ()) ->
     rows = stored
     if centers and by:
         about = stored.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(by)]).agg(*centers)
-        rows = stored.join(about, reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(by)]))
+        rows = stored.join(about, null_safe(by, [f"_k{i}" for i in range(len(by))]))
     elif centers:
         rows = stored.crossJoin(F.broadcast(stored.agg(*centers)))  # one row
     out = []

@@ -7,13 +7,16 @@ buffers. Partial sums may repeat keys; merging makes that invisible.
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Iterator, Mapping, Sequence
 from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from mergeloom.operators import monoid
 from mergeloom.operators.sketches.exphist import ExpHist
 from mergeloom.plans import spec
 from mergeloom.plans.spec import Agg
@@ -59,17 +62,13 @@ def null_summer(df: DataFrame, key: Sequence[str], value: str) -> DataFrame:
 
 
 def summing_queue(df: DataFrame, key: Sequence[str], value: str, capacity: int, schema: str) -> DataFrame:
-    """Each task adds up by key in a buffer of at most ``capacity`` rows before
-    it lets sums go; a final sum by key is the same as without."""
-    ship(df.sparkSession)
-    names = [*key, value]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for i in range(0, len(b), capacity):
-                yield b.iloc[i : i + capacity].groupby(list(key), dropna=False, as_index=False)[value].sum()[names]
-
-    return df.select(*names).mapInPandas(run, schema)
+    """Each task adds up by key, for ``capacity`` keys at most, before it lets
+    sums go; a final sum by key is the same as without. Nulls do not count,
+    whole numbers stay exact."""
+    added = monoid.of_reduce(operator.add)
+    sums = monoid.partials(df, added, [value], key, capacity)
+    own = StructType.fromDDL(schema)
+    return monoid.present(sums, added, f"{value} {own[value].dataType.simpleString()}", key).select(*own.names)
 
 
 def salted_sum_by_key(df: DataFrame, key: Sequence[str], value: str, salts: int = 64) -> DataFrame:
@@ -106,6 +105,7 @@ def exp_hist_stream(stream: DataFrame, key: str, time: str, n: str, epsilon: flo
     bounded exponential histogram as state. ``time`` is a whole number; rows
     are sorted within a batch, and time never goes back."""
     ship(stream.sparkSession)
+    stream = stream.withColumn(n, F.coalesce(n, F.lit(0)))  # beside a null, numbers would become doubles
 
     def update(k: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         hist = ExpHist.of_state(epsilon, window, *state.get) if state.exists else ExpHist(epsilon, window)

@@ -169,3 +169,98 @@ def test_stored_buffers(spark, tmp_path):
     for xs in ([1, 5], [3]):
         tables.store(items(spark, xs).withColumn("k", F.lit("a")), aggs, ["k"], f"{tmp_path}/b")
     assert [tuple(r) for r in tables.load(spark, aggs, ["k"], f"{tmp_path}/b").collect()] == [("a", 3, 5)]
+
+
+# Hashing once, bounded trees ------------------------------------------------------
+
+
+def test_xxhash_is_the_published_one(spark):
+    import xxhash
+
+    from mergeloom.functions import hashing
+
+    texts = ["", "a", "abc", "as the test text of a hash", "é漢" * 40]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", hashing.hash128("t").alias("h")).collect()
+    for r in got:
+        assert r.h.high & (2**64 - 1) == xxhash.xxh64_intdigest(r.t.encode(), 42)
+    # The published vector of XXH64 of no input, seed 0, by the same library.
+    assert xxhash.xxh64_intdigest(b"", 0) == 0xEF46DB3751D8E999
+    assert len({(r.h.high, r.h.low) for r in got}) == len(texts) and all(r.h.high != r.h.low for r in got)
+
+
+def test_linear_family(spark):
+    from mergeloom.functions import hashing
+
+    xs = [0, 1, -1, 2**63 - 1, -(2**63), 2**31 - 1, 2**40 + 5, 123456789]
+    df = spark.createDataFrame([(x,) for x in xs], "x long")
+    got = {r.x: r.c for r in df.select("x", hashing.linear(F.col("x"), 4, 1000, 7).alias("c")).collect()}
+    for x in xs:
+        u, out = x & (2**64 - 1), []
+        for row in range(4):
+            a, b, c, d = hashing.coefficients(7, row)
+            out.append(((u & (2**30 - 1)) * a + (u >> 30 & (2**30 - 1)) * b + (u >> 60) * c + d) % (2**31 - 1) % 1000)
+        assert got[x] == out
+    # Two items meet in a row about as often as chance says.
+    cols = spark.range(2000).select(hashing.linear(F.col("id"), 3, 64, 1).alias("c"))
+    for r in range(3):
+        loads = [x.n for x in cols.groupBy(F.get("c", F.lit(r)).alias("k")).agg(F.count("*").alias("n")).collect()]
+        assert len(loads) == 64 and sum(n * n for n in loads) < 1.3 * 2000 * 2000 / 64
+
+
+def test_items_of_one_value_meet_whatever_their_width(spark):
+    """Short, int and long columns are one family; text has its own two."""
+    for kind in ("smallint", "int", "long"):
+        df = spark.createDataFrame([(i % 50,) for i in range(3000)], "x int").select(F.col("x").cast(kind).alias("x"))
+        cells = cms.sketch(df, "x", 4, 200)
+        got = {(r.row, r.col): r.n for r in cells.collect()}
+        first = got if kind == "smallint" else first  # noqa: F821
+        assert got == first
+    text = spark.createDataFrame([(f"k{i % 40}",) for i in range(2000)], "x string")
+    for family in ("md5", "xxhash64"):
+        cells = cms.sketch(text, "x", 5, 400, family=family)
+        assert all(r.estimate >= 50 for r in cms.frequency(cells, text, "x", 5, 400, family=family).collect())
+        grouped = cms.sketch(text.withColumn("g", F.lit(None).cast("int")), "x", 5, 400, ["g"], family=family)
+        asked = text.withColumn("g", F.lit(None).cast("int"))
+        assert all(r.estimate >= 50 for r in cms.frequency(grouped, asked, "x", 5, 400, ["g"], family=family).collect())
+
+
+def test_bounded_tree(spark):
+    rng = random.Random(5)
+    values = [rng.expovariate(0.001) for _ in range(30_000)] + [0.0] * 500 + [1e6]
+    df = spark.createDataFrame([(i % 2, v) for i, v in enumerate(values)] + [(1, None), (0, float("nan"))], "g int, v double").repartition(6)
+    for k in (3, 6):
+        nodes = qtree.bounded(df, "v", k, ["g"]).cache()
+        partial_nodes = {r.g: r.n for r in nodes.groupBy("g").agg(F.count("*").alias("n")).collect()}
+        assert all(n <= qtree.most_nodes(k) for n in partial_nodes.values())
+        sums = {r.g: (r.n, r.s) for r in nodes.groupBy("g").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).collect()}
+        for g in (0, 1):
+            own = sorted(v for i, v in enumerate(values) if i % 2 == g)
+            assert sums[g][0] == len(own) and sums[g][1] == pytest.approx(sum(own))
+        for p in (0.0, 0.01, 0.5, 0.9, 0.999, 1.0):
+            for r in qtree.node_bounds(nodes, p, ["g"]).collect():
+                own = sorted(v for i, v in enumerate(values) if i % 2 == r.g)
+                value = own[min(int(len(own) * p), len(own) - 1)]
+                assert r.lower <= value < r.upper
+                if k == 6 and 0.01 < p < 0.99:  # ranks off by a few 2^-k of all at most
+                    off = 6 * len(own) / 2**k
+                    assert sum(v < r.lower for v in own) >= len(own) * p - off and sum(v < r.upper for v in own) <= len(own) * p + off
+        nodes.unpersist()
+
+
+def test_small_trees_are_exact(spark):
+    df = spark.createDataFrame([(float(i % 40),) for i in range(1000)], "v double").repartition(3)
+    assert qtree.approximate_percentile(df, "v", 0.25).first().percentile == 10.0
+    assert {(r.leaf, r.n) for r in qtree.bounded(df, "v", 9, level=0).collect()} == {(i, 25) for i in range(40)}
+    with pytest.raises(Exception, match="negative"):
+        qtree.bounded(spark.createDataFrame([(-1.0,)], "v double"), "v").collect()
+
+
+def test_bands_by_their_threshold():
+    assert minhash.pick_bands(0.5, 100) == 23 and minhash.pick_bands(0.3, 256) == 73
+
+
+def test_bloom_size_bounds(spark):
+    for n in (1, 50, 900):
+        df = spark.range(n).withColumnRenamed("id", "x")
+        size = bloom.size(bloom.create(df, "x", 5, 9000), 5, 9000).first()["size"]
+        assert size.min <= n <= size.max and size.min <= size.estimate <= size.max and 0 <= size.prob <= 1
