@@ -102,13 +102,18 @@ def coefficients(seed: int, row: int) -> tuple[int, int, int, int]:
     return tuple(int.from_bytes(digest[8 * i : 8 * i + 8], "big") % PRIME for i in range(4))
 
 
-def linear(key: Column, rows: int, width: int, seed: int) -> Column:
-    """An array of ``rows`` numbers in [0, width) from a 64-bit key. Two keys meet
-    in a row with chance about 1 / width, whatever they are; no step overflows."""
+def linear_rows(key: Column, rows: int, width: int, seed: int) -> list[Column]:
+    """``rows`` numbers in [0, width) from a 64-bit key. Two keys meet in a row
+    with chance about 1 / width, whatever they are; no step overflows."""
     low, mid, high = key.bitwiseAND((1 << PIECE) - 1), F.shiftright(key, PIECE).bitwiseAND((1 << PIECE) - 1), F.shiftright(key, 2 * PIECE).bitwiseAND(15)
     long = lambda n: F.lit(n).cast("long")
     each = [(low * long(a) + mid * long(b) + high * long(c) + long(d)) % PRIME % width for a, b, c, d in (coefficients(seed, r) for r in range(rows))]
-    return F.array(*[e.cast("int") for e in each])
+    return [e.cast("int") for e in each]
+
+
+def linear(key: Column, rows: int, width: int, seed: int) -> Column:
+    """The same as an array."""
+    return F.array(*linear_rows(key, rows, width, seed))
 
 
 def linear_sql(key: str, row: str, rows: int, width: int, seed: int) -> str:

@@ -41,14 +41,14 @@ def delta_of(depth: int) -> float:
     return math.exp(-depth)
 
 
-def columns_of(df: DataFrame, x: str, depth: int, width: int, seed: int, family: str = "md5") -> Column:
-    """The array of an item's columns, one a row: the item is hashed once."""
-    return hashing.linear(hashing.fingerprint(x, df.schema[x].dataType, family), depth, width, seed)
+def columns_of(df: DataFrame, x: str, depth: int, width: int, seed: int, family: str = "md5") -> list[Column]:
+    """An item's columns, one a row of the sketch: the item is hashed once."""
+    return hashing.linear_rows(hashing.fingerprint(x, df.schema[x].dataType, family), depth, width, seed)
 
 
 def _cells(items: DataFrame, x: str, depth: int, width: int, seed: int, family: str) -> DataFrame:
     """Each item with its column in each row: columns row, col."""
-    return items.select("*", F.posexplode(columns_of(items, x, depth, width, seed, family)).alias("row", "col"))
+    return items.select("*", F.posexplode(F.array(*columns_of(items, x, depth, width, seed, family))).alias("row", "col"))
 
 
 def counts(df: DataFrame, x: str, by: Sequence[str] = (), n: Column | None = None) -> DataFrame:
@@ -59,8 +59,11 @@ def counts(df: DataFrame, x: str, by: Sequence[str] = (), n: Column | None = Non
 def sketch(df: DataFrame, x: str, depth: int, width: int, by: Sequence[str] = (), n: Column | None = None, seed: int = SEED, family: str = "md5") -> DataFrame:
     """(by, row, col, n): the cells that are not empty."""
     rows = df.where(F.col(x).isNotNull()).select(*by, F.col(x).alias("_x"), *([] if n is None else [n.alias("_n")]))
-    cells = _cells(rows, "_x", depth, width, seed, family)
-    return cells.groupBy(*by, "row", "col").agg((F.count("*") if n is None else F.sum("_n")).alias("n"))
+    # One number a cell is less to group by.
+    places = F.array(*[F.lit(r * width) + c for r, c in enumerate(columns_of(rows, "_x", depth, width, seed, family))])
+    cells = rows.select(*by, F.explode(places).alias("_at"), *([] if n is None else ["_n"]))
+    cells = cells.groupBy(*by, "_at").agg((F.count("*") if n is None else F.sum("_n")).alias("n"))
+    return cells.select(*by, F.floor(F.col("_at") / width).cast("int").alias("row"), (F.col("_at") % width).alias("col"), "n")
 
 
 def estimated(df: DataFrame, cells: DataFrame, x: str, depth: int, width: int, seed: int = SEED, family: str = "md5") -> DataFrame:
@@ -68,13 +71,15 @@ def estimated(df: DataFrame, cells: DataFrame, x: str, depth: int, width: int, s
     sketch's ``total`` beside it, from one broadcast row."""
     if depth * width > MOST_CELLS:
         raise ValueError(f"a sketch of {depth * width} cells is not broadcast")
-    places = cells.sparkSession.range(0, depth * width, 1, 1).withColumnRenamed("id", "_k")
-    filled = places.join(cells.select((F.col("row") * width + F.col("col")).cast("long").alias("_k"), "n"), "_k", "left")
-    row = F.struct("_k", F.coalesce("n", F.lit(0)).alias("n"))
-    dense = filled.agg(F.transform(F.array_sort(F.collect_list(row)), lambda c: c["n"]).alias("_cells"), F.coalesce(F.sum(F.when(F.col("_k") < width, F.col("n"))), F.lit(0)).alias("total"))
-    rows = df.where(F.col(x).isNotNull()).withColumn("_cols", columns_of(df, x, depth, width, seed, family)).crossJoin(F.broadcast(dense))  # one row
-    each = [F.get("_cells", r * width + F.get("_cols", F.lit(r))) for r in range(depth)]
-    return rows.withColumn("estimate", F.least(*each) if depth > 1 else each[0]).drop("_cells", "_cols")
+    # Each place's zero comes before its count, if it has one; the last of a place is its cell.
+    zeros = cells.sparkSession.range(0, depth * width, 1, 1).select(F.col("id").alias("k"), F.lit(0).alias("own"), F.lit(0).cast(cells.schema["n"].dataType).alias("n"))
+    counted = cells.select((F.col("row") * width + F.col("col")).cast("long").alias("k"), F.lit(1).alias("own"), "n")
+    both = counted.unionByName(zeros).agg(F.array_sort(F.collect_list(F.struct("k", "own", "n"))).alias("c"), F.coalesce(F.sum(F.when(F.col("k") < width, F.col("n"))), F.lit(0)).alias("total"))
+    following = F.concat(F.slice("c", 2, depth * width * 2), F.array(F.lit(None).cast(both.schema["c"].dataType.elementType)))
+    dense = both.select(F.transform(F.filter(F.arrays_zip(F.col("c").alias("c"), following.alias("next")), lambda z: z["next"].isNull() | (z["next"]["k"] != z["c"]["k"])), lambda z: z["c"]["n"]).alias("_cells"), "total")
+    rows = df.where(F.col(x).isNotNull()).crossJoin(F.broadcast(dense))  # one row
+    each = [F.get("_cells", r * width + c) for r, c in enumerate(columns_of(df, x, depth, width, seed, family))]
+    return rows.withColumn("estimate", F.least(*each) if depth > 1 else each[0]).drop("_cells")
 
 
 def merge(cells: DataFrame, by: Sequence[str] = ()) -> DataFrame:
