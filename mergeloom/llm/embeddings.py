@@ -1,32 +1,38 @@
 """Embedding near-duplicates by iterative quantisation.
 
-Vectors are scaled to unit length. On a bounded sample a rotation of their
-principal components is learned such that signs lose as little as possible
-(ITQ), which gives balanced binary codes of ``BITS`` bits; dimensions below
-that are filled up with signs of random projections, and so are vectors of a
-length that no model is fitted for.
-
-Retrieval is multi-index hashing: a code is cut into ``TABLES`` substrings, and
-two codes meet if a substring differs in at most one bit, which includes every
-pair of codes within 2 * TABLES - 1 bits. Every code is indexed under its own
-substrings and probes with each one-bit change. A pair is taken in the first
-table where it meets, if the whole codes differ in at most ``MOST_BITS`` bits,
-and then compared by the cosine of the original vectors in double precision, in
-Arrow batches. Vectors only meet within their label; labels are part of the key.
-
-Each vector is read and written once, with a number, its code and a digest of
+Vectors are scaled to unit length. On a bounded sample rotations of their
+principal components are learned such that signs lose as little as possible
+(ITQ), each from another start: balanced binary codes of ``BITS`` bits a rotation.
+Dimensions below that are filled up with signs of random projections.
+
+Retrieval is multi-index hashing: codes are cut into substrings of ``width`` bits,
+each is a table, and two vectors meet if they are equal in some table. Width and
+number of tables come from the sample. The width begins at that of the largest
+label's number of vectors, so that few meet by chance. The tables are as many as
+bring pairs of a cosine of just ``least`` together with a chance of
+``AIM`` at least: pairs made of sample vectors, moved in any direction and along
+differences of the data, of which the worse counts. If all ``ROTATIONS`` together
+do not reach that, as with vectors that all lie close to a common mean, the width
+shrinks until they do; there is no cap on tables, bits or candidates beside it.
+A pair is taken in the first table where it meets and compared by the cosine of
+the original vectors in double precision, in Arrow batches. Vectors only meet
+within their label; labels are part of the key.
+
+Models are fitted for the ``FITTED_LENGTHS`` commonest lengths, each on its own
+sample of distinct vectors: those with the smallest hashes, at most ``SAMPLE``
+and at most ``SAMPLE_VALUES`` components in all, as the driver holds them. Vectors
+of other lengths take signs of random projections about the origin, which part
+two vectors by their angle alone, whatever the data: their number of tables
+follows from the cosine.
+
+Each vector is read and written once, with a number, its keys and a digest of
 its components; equal vectors of a label are one entry with a count, so groups
 of copies are not expanded, and what returns to the rows goes by number. Of a
 pair only numbers and counts are written, and only if it links: vectors travel
 to the comparison in their own element type and end there. Buckets have no cap; a
 hot bucket is a skewed join that adaptive execution splits. n_links needs every
 link between different vectors, so the work grows with the square of a group of
-near copies. For a label of many millions of vectors take fewer tables, so that
-substrings have about as many values as the label has vectors.
-
-Models are fitted for the ``FITTED_LENGTHS`` commonest lengths, each on its own
-sample of distinct vectors: those with the smallest hashes, at most ``SAMPLE``
-and at most ``SAMPLE_VALUES`` components in all, as the driver holds them.
+near copies.
 
 Vectors that are null, empty, zero or hold null or non-finite components, and
 vectors with a null label, link with nothing. Vectors of unequal length do not
@@ -39,6 +45,7 @@ whatever their names, are not read. An empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -49,12 +56,34 @@ from pyspark.sql import functions as F
 from mergeloom.llm.common import batches, materialize, pick
 from mergeloom.llm.components import components
 
-BITS = 64
-TABLES = 4
-MOST_BITS = 16
+BITS, ROTATIONS = 64, 12
+WIDEST, NARROWEST = 24, 4
+AIM = 0.998
 SAMPLE, SAMPLE_VALUES = 20_000, 4_000_000
 LEAST_COSINE = 0.98
 FITTED_LENGTHS = 8
+#: Sample vectors that the tables are tried on.
+TRIED = 2000
+
+
+@dataclass(frozen=True)
+class Model:
+    """Signs of (x - mean) @ projections, in ``tables`` keys of ``width`` bits."""
+
+    mean: np.ndarray
+    projections: tuple[np.ndarray, ...]
+    width: int
+    tables: int
+
+    def keys(self, x: np.ndarray) -> np.ndarray:
+        """(vectors, tables): the keys of unit vectors of the model's length."""
+        return np.hstack([sliced((x - self.mean) @ p >= 0, self.width) for p in self.projections])[:, : self.tables]
+
+
+def sliced(signs: np.ndarray, width: int) -> np.ndarray:
+    """The numbers that consecutive ``width`` signs spell, the rest left out."""
+    whole = signs.shape[1] // width * width
+    return signs[:, :whole].reshape(len(signs), -1, width) @ (1 << np.arange(width, dtype=np.int64))
 
 
 def itq(sample: np.ndarray, bits: int = BITS, rounds: int = 30, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -72,11 +101,47 @@ def itq(sample: np.ndarray, bits: int = BITS, rounds: int = 30, seed: int = 0) -
     return mean, np.hstack([own @ turn, rest])
 
 
-def codes(x: np.ndarray, models: dict[int, tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """Signed 64-bit codes of unit vectors of one length."""
-    d = x.shape[1]
-    mean, projection = models.get(d) or (np.zeros(d), np.random.default_rng(d).normal(size=(d, BITS)))
-    return np.packbits((x - mean) @ projection >= 0, axis=1, bitorder="little").view(np.int64)[:, 0]
+def moved(x: np.ndarray, cosine: float, rng: np.random.Generator) -> list[np.ndarray]:
+    """Two sets of partners at just that cosine of unit vectors: moved in any
+    direction, and along the differences between vectors of the data."""
+    out = []
+    for step in (rng.normal(size=x.shape), x[rng.permutation(len(x))] - x[rng.permutation(len(x))] + 1e-9 * rng.normal(size=x.shape)):
+        step = step - (step * x).sum(1)[:, None] * x
+        size = np.sqrt((step * step).sum(1))[:, None]
+        out.append(cosine * x + np.sqrt(1 - cosine * cosine) * step / np.where(size > 0, size, 1))
+    return out
+
+
+def modelled(sample: np.ndarray, most: int, least: float = LEAST_COSINE) -> Model:
+    """The model of a sample of unit vectors, for labels of at most ``most``."""
+    tried = sample[np.linspace(0, len(sample) - 1, min(TRIED, len(sample))).astype(int)]
+    partners = moved(tried, least, np.random.default_rng(1))
+    projections, signs, mean = [], [], sample.mean(0)
+    width = min(WIDEST, max(NARROWEST, most.bit_length() + 2))
+    while True:
+        per, meet, need = BITS // width, [np.zeros(len(tried), bool) for _ in partners], 0
+        for r in range(ROTATIONS):
+            if r == len(projections):
+                projections.append(itq(sample, BITS, 30 if r == 0 else 8, r)[1])
+                signs.append([(y - mean) @ projections[r] >= 0 for y in (tried, *partners)])
+            own, *others = (sliced(y, width) for y in signs[r])
+            for t in range(per):
+                need += 1
+                meet = [m | (own[:, t] == y[:, t]) for m, y in zip(meet, others, strict=True)]
+                if min(m.mean() for m in meet) >= AIM:
+                    return Model(mean, tuple(projections[: r + 1]), width, need)
+        if width == NARROWEST:
+            return Model(mean, tuple(projections), width, need)
+        width = max(NARROWEST, width - 2)
+
+
+def about_origin(d: int, most: int, least: float = LEAST_COSINE) -> Model:
+    """Random projections: two vectors agree in a sign with chance 1 - angle / pi."""
+    width = min(16, max(NARROWEST, most.bit_length() + 2))
+    equal = (1 - np.arccos(least) / np.pi) ** width
+    tables = int(np.ceil(np.log(1 - AIM) / np.log(1 - equal)))
+    rng = np.random.default_rng(d)
+    return Model(np.zeros(d), tuple(rng.normal(size=(d, BITS)) for _ in range(-(-tables // (BITS // width)))), width, tables)
 
 
 def units(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -114,23 +179,25 @@ def samples(rows: DataFrame, sample: int = SAMPLE) -> Iterator[tuple[int, int, l
         yield d, n, [r[0] for r in one.orderBy("h").limit(most).select("embedding").collect()]
 
 
-def fit(rows: DataFrame, sample: int = SAMPLE) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+def fit(rows: DataFrame, most: int, sample: int = SAMPLE, least: float = LEAST_COSINE) -> dict[int, Model]:
     """A model for each of the commonest lengths of ``rows`` (embedding)."""
     models = {}
     for d, _, found in samples(rows, sample):
         for _, _, x in units(pa.array(found, pa.list_(pa.float64()))):
             if len(x) > 1:
-                models[d] = itq(x)
+                models[d] = modelled(x, most, least)
     return models
 
 
-def encoded(rows: DataFrame, models: dict[int, tuple[np.ndarray, np.ndarray]]) -> DataFrame:
-    """(row, vec_id, label, d, code, digest, vector) of (row, vec_id, label,
+def encoded(rows: DataFrame, models: dict[int, Model], most: int, least: float = LEAST_COSINE) -> DataFrame:
+    """(row, vec_id, label, d, keys, digest, vector) of (row, vec_id, label,
     embedding); of vectors that link with nothing d and what follows is null."""
     kind = rows.schema["embedding"].dataType.simpleString()
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["row", "vec_id", "label", "d", "code", "digest", "vector"]
+        names = ["row", "vec_id", "label", "d", "keys", "digest", "vector"]
+        made = dict(models)
+        lists = lambda x, t: pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], np.int32)), pa.array(x.ravel(), t))
         for b in batches(found):
             labelled, alone = np.asarray(b.column(2).is_valid()), np.ones(b.num_rows, bool)
             element = b.column(3).type.value_type
@@ -140,33 +207,30 @@ def encoded(rows: DataFrame, models: dict[int, tuple[np.ndarray, np.ndarray]]) -
                 if not len(at):
                     continue
                 alone[at], d = False, own.shape[1]
+                model = made.get(d) or about_origin(d, most, least)
+                if len(made) < 64:
+                    made[d] = model
                 digests = [xxhash.xxh3_128_digest(v.tobytes()) for v in own]
-                vectors = pa.ListArray.from_arrays(pa.array(np.arange(0, own.size + 1, d, np.int32)), pa.array(own.ravel(), element))
                 heads = [c.take(pa.array(at)) for c in b.columns[:3]]
-                yield pa.RecordBatch.from_arrays([*heads, pa.array(np.full(len(at), d, np.int32)), pa.array(codes(x, models)), pa.array(digests, pa.binary()), vectors], names)
+                yield pa.RecordBatch.from_arrays([*heads, pa.array(np.full(len(at), d, np.int32)), lists(model.keys(x), pa.int32()), pa.array(digests, pa.binary()), lists(own, element)], names)
             at = pa.array(np.nonzero(alone)[0])
-            nulls = [pa.nulls(len(at), t) for t in (pa.int32(), pa.int64(), pa.binary(), pa.list_(element))]
+            nulls = [pa.nulls(len(at), t) for t in (pa.int32(), pa.list_(pa.int32()), pa.binary(), pa.list_(element))]
             yield pa.RecordBatch.from_arrays([*(c.take(at) for c in b.columns[:3]), *nulls], names)
 
-    return rows.select("row", "vec_id", "label", "embedding").mapInArrow(run, f"row long, vec_id long, label long, d int, code long, digest binary, vector {kind}")
+    return rows.select("row", "vec_id", "label", "embedding").mapInArrow(run, f"row long, vec_id long, label long, d int, keys array<int>, digest binary, vector {kind}")
 
 
-def candidates(coded: DataFrame, tables: int = TABLES, most_bits: int = MOST_BITS) -> DataFrame:
-    """(x, y), x < y: pairs of gids whose codes meet in some table."""
-    width = BITS // tables
-    mask = (1 << width) - 1
-    part = lambda t: f"(shiftrightunsigned(code, {width * t}) & {mask}L)"
-    index = coded.select("gid", "label", "d", "code", F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.expr(part(t)).alias("key")) for t in range(tables)])).alias("b"))
-    index = index.select("gid", "label", "d", "code", "b.t", "b.key")
-    flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << i).cast("long") for i in range(width)])
-    probe = index.select("gid", "label", "d", "code", "t", F.explode(F.transform(flips, lambda m: F.col("key").bitwiseXOR(m))).alias("key"))
-    met = probe.alias("x").join(
-        index.alias("y"),
-        (F.col("x.key") == F.col("y.key")) & (F.col("x.label") == F.col("y.label")) & (F.col("x.d") == F.col("y.d")) & (F.col("x.t") == F.col("y.t"))
-        & (F.col("x.gid") < F.col("y.gid")) & F.expr(f"bit_count(x.code ^ y.code) <= {most_bits}")
-        & F.expr(" and ".join(f"(x.t <= {t} or bit_count(shiftrightunsigned(x.code ^ y.code, {width * t}) & {mask}L) > 1)" for t in range(tables - 1)) or "true"),
-    )
-    return met.select(F.col("x.gid").alias("x"), F.col("y.gid").alias("y"))
+def candidates(coded: DataFrame) -> DataFrame:
+    """(x, y), x < y: pairs of gids whose keys are equal in some table, once."""
+    tables = coded.agg(F.max(F.size("keys"))).first()[0] or 0
+    index = coded.select("gid", "label", "d", "keys", F.posexplode("keys").alias("t", "key"))
+    # Entries that are alone in their bucket go before the join.
+    shared = index.groupBy("label", "d", "t", "key").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    index = index.join(shared, ["label", "d", "t", "key"])
+    x, y = index.alias("x"), index.alias("y")
+    same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("label", "d", "t", "key")]
+    first = F.expr(" and ".join(f"(x.t <= {t} or get(x.keys, {t}) <> get(y.keys, {t}))" for t in range(tables - 1)) or "true")
+    return x.join(y, [*same, F.col("x.gid") < F.col("y.gid"), first]).select(F.col("x.gid").alias("x"), F.col("y.gid").alias("y"))
 
 
 def linked(pairs: DataFrame, vectors: DataFrame, least: float = LEAST_COSINE) -> DataFrame:
@@ -184,18 +248,20 @@ def linked(pairs: DataFrame, vectors: DataFrame, least: float = LEAST_COSINE) ->
     return both.mapInArrow(run, "x long, y long, n_x long, n_y long")
 
 
-def near_duplicates(vectors: DataFrame, least: float = LEAST_COSINE, tables: int = TABLES) -> DataFrame:
+def near_duplicates(vectors: DataFrame, least: float = LEAST_COSINE) -> DataFrame:
     """(vec_id, n_links, component_id, kept), a row a vector."""
     kind = next(f.dataType.simpleString() for f in vectors.schema if f.name == "embedding")
     kind = kind if kind in ("array<float>", "array<double>") else "array<double>"
     rows = pick(vectors, vec_id="long", label="long", embedding=kind)
-    models = fit(rows.where("label is not null"))
-    coded = materialize(encoded(rows.withColumn("row", F.monotonically_increasing_id()), models), "coded")
-    sound = coded.where("code is not null")
-    entries = sound.groupBy("label", "digest").agg(F.min("row").alias("gid"), F.min("vec_id").alias("least"), F.count("*").alias("n"), F.first("d").alias("d"), F.first("code").alias("code"))
+    labelled = rows.where("label is not null and size(embedding) > 0")
+    most = labelled.groupBy("label").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 1
+    models = fit(labelled, most, least=least)
+    coded = materialize(encoded(rows.withColumn("row", F.monotonically_increasing_id()), models, most, least), "coded")
+    sound = coded.where("keys is not null")
+    entries = sound.groupBy("label", "digest").agg(F.min("row").alias("gid"), F.min("vec_id").alias("least"), F.count("*").alias("n"), F.first("d").alias("d"), F.first("keys").alias("keys"))
     entries = materialize(entries, "entries")
     firsts = sound.select(F.col("row").alias("gid"), "vector").join(entries.select("gid", "n"), "gid")
-    links = materialize(linked(candidates(entries, tables), firsts, least), "links")
+    links = materialize(linked(candidates(entries), firsts, least), "links")
     others = links.select(F.explode(F.array(F.struct(F.col("x").alias("gid"), F.col("n_y").alias("k")), F.struct(F.col("y").alias("gid"), F.col("n_x").alias("k")))).alias("o"))
     counts = others.groupBy("o.gid").agg(F.sum("o.k").alias("k"))
     roots = components(links, "x", "y").withColumnRenamed("id", "gid")
@@ -204,5 +270,5 @@ def near_duplicates(vectors: DataFrame, least: float = LEAST_COSINE, tables: int
     named = named.join(ids, "component").join(counts, "gid", "left")
     named = materialize(named.select("label", "digest", (F.col("n") - 1 + F.coalesce("k", F.lit(0))).alias("n_links"), "component_id"), "named")
     found = sound.select("vec_id", "label", "digest").join(named, ["label", "digest"]).select("vec_id", "n_links", "component_id")
-    alone = coded.where("code is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    alone = coded.where("keys is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return found.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
