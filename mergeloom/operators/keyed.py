@@ -184,14 +184,21 @@ def min_plus_step(distances: DataFrame, edges: DataFrame, node: str = "node", co
 
 
 def min_plus_closure(start: DataFrame, edges: DataFrame, most_rounds: int, cut: Callable[[DataFrame], DataFrame] = tables.cut) -> DataFrame:
-    """Relaxations until nothing changes; ``cut`` writes each round away and so
-    bounds the lineage (default: a checkpoint, which survives lost executors).
-    Raises if ``most_rounds`` are not enough: shortest paths of so many edges,
-    or a cycle of negative weight."""
-    distances = cut(start.select("node", "cost"))
+    """(node, cost): the least cost of each node that paths from ``start`` reach.
+
+    A round goes on from the nodes whose cost the one before has lowered, and no
+    others. What it lowers is written by itself (``cut``); of what was written
+    before it reads the nodes that it meets. Raises if ``most_rounds`` are not
+    enough: shortest paths of so many edges, or a cycle of negative weight."""
+    least = lambda rows: rows.groupBy("node").agg(F.min("cost").alias("cost"))
+    lowered = cut(least(start.where("node is not null").select("node", "cost")))
+    written = lowered
     for _ in range(most_rounds):
-        nearer = cut(min_plus_step(distances, edges))
-        if nearer.exceptAll(distances).isEmpty():
-            return nearer
-        distances = nearer
+        met = lowered.join(edges, F.col("node") == F.col("source")).select(F.col("target").alias("node"), (F.col("cost") + F.col("weight")).alias("cost"))
+        met = least(met.where("node is not null"))
+        known = least(written.join(met.select("node"), "node", "left_semi")).withColumnRenamed("cost", "_known")
+        lowered = cut(met.join(known, "node", "left").where("_known is null or cost < _known").select("node", "cost"))
+        if lowered.isEmpty():
+            return least(written)
+        written = written.unionByName(lowered)
     raise RuntimeError(f"distances still change after {most_rounds} rounds")

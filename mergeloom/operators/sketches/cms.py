@@ -11,14 +11,16 @@ hitter; larger sketches join their cells.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mergeloom.functions import hashing
 from mergeloom.operators.aggregators import LN2
-from mergeloom.plans.spec import null_safe
+from mergeloom.plans.spec import Agg, buffers, null_safe, present_buffers
+from mergeloom.plans.spec import merge as merge_buffers
+from mergeloom.sources import tables
 
 SEED = 1
 #: Cells, 8 bytes each, of a sketch that is broadcast.
@@ -66,20 +68,41 @@ def sketch(df: DataFrame, x: str, depth: int, width: int, by: Sequence[str] = ()
     return cells.select(*by, F.floor(F.col("_at") / width).cast("int").alias("row"), (F.col("_at") % width).alias("col"), "n")
 
 
-def estimated(df: DataFrame, cells: DataFrame, x: str, depth: int, width: int, seed: int = SEED, family: str = "md5") -> DataFrame:
+def dense(cells: DataFrame, depth: int, width: int, by: Sequence[str] = (), of: str = "n", empty: object = 0) -> DataFrame:
+    """(by, _cells, total): all cells of a group as one array, row after row, and
+    the sum of the first row. Each place's ``empty`` comes before its value, if it
+    has one; the last of a place is its cell."""
+    kind = cells.schema[of].dataType
+    zero = F.lit(empty).cast(kind)
+    if by:
+        places = cells.select(*by).distinct().select(*by, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(depth * width - 1).cast("long"))).alias("k"))
+    else:
+        places = cells.sparkSession.range(0, depth * width, 1, 1).select(F.col("id").alias("k"))
+    counted = cells.select(*by, (F.col("row") * width + F.col("col")).cast("long").alias("k"), F.lit(1).alias("own"), F.col(of).alias("n"))
+    both = counted.unionByName(places.select(*by, "k", F.lit(0).alias("own"), zero.alias("n")))
+    first = F.sum(F.when(F.col("k") < width, F.col("n"))) if of == "n" else F.lit(None)
+    both = (both.groupBy(*by) if by else both.groupBy()).agg(F.array_sort(F.collect_list(F.struct("k", "own", "n"))).alias("c"), F.coalesce(first, zero).alias("total"))
+    following = F.concat(F.slice("c", 2, depth * width * 2), F.array(F.lit(None).cast(both.schema["c"].dataType.elementType)))
+    last = F.filter(F.arrays_zip(F.col("c").alias("c"), following.alias("next")), lambda z: z["next"].isNull() | (z["next"]["k"] != z["c"]["k"]))
+    return both.select(*by, F.transform(last, lambda z: z["c"]["n"]).alias("_cells"), "total")
+
+
+def _least(cells: Column, columns: list[Column], width: int) -> Column:
+    each = [F.get(cells, r * width + c) for r, c in enumerate(columns)]
+    return F.least(*each) if len(each) > 1 else each[0]
+
+
+def estimated(df: DataFrame, cells: DataFrame, x: str, depth: int, width: int, seed: int = SEED, family: str = "md5", by: Sequence[str] = ()) -> DataFrame:
     """Every row of ``df`` with a non-null item, its ``estimate`` and the
-    sketch's ``total`` beside it, from one broadcast row."""
+    sketch's ``total`` beside it, from one broadcast row a group. The caller has
+    counted the groups: their cells together are at most ``MOST_CELLS``."""
     if depth * width > MOST_CELLS:
         raise ValueError(f"a sketch of {depth * width} cells is not broadcast")
-    # Each place's zero comes before its count, if it has one; the last of a place is its cell.
-    zeros = cells.sparkSession.range(0, depth * width, 1, 1).select(F.col("id").alias("k"), F.lit(0).alias("own"), F.lit(0).cast(cells.schema["n"].dataType).alias("n"))
-    counted = cells.select((F.col("row") * width + F.col("col")).cast("long").alias("k"), F.lit(1).alias("own"), "n")
-    both = counted.unionByName(zeros).agg(F.array_sort(F.collect_list(F.struct("k", "own", "n"))).alias("c"), F.coalesce(F.sum(F.when(F.col("k") < width, F.col("n"))), F.lit(0)).alias("total"))
-    following = F.concat(F.slice("c", 2, depth * width * 2), F.array(F.lit(None).cast(both.schema["c"].dataType.elementType)))
-    dense = both.select(F.transform(F.filter(F.arrays_zip(F.col("c").alias("c"), following.alias("next")), lambda z: z["next"].isNull() | (z["next"]["k"] != z["c"]["k"])), lambda z: z["c"]["n"]).alias("_cells"), "total")
-    rows = df.where(F.col(x).isNotNull()).crossJoin(F.broadcast(dense))  # one row
-    each = [F.get("_cells", r * width + c) for r, c in enumerate(columns_of(df, x, depth, width, seed, family))]
-    return rows.withColumn("estimate", F.least(*each) if depth > 1 else each[0]).drop("_cells")
+    keys = [f"_g{i}" for i in range(len(by))]
+    whole = F.broadcast(dense(cells, depth, width, by).withColumnsRenamed(dict(zip(by, keys, strict=True))))
+    rows = df.where(F.col(x).isNotNull())
+    rows = rows.join(whole, null_safe(by, keys)) if by else rows.crossJoin(whole)  # one row
+    return rows.withColumn("estimate", _least(F.col("_cells"), columns_of(df, x, depth, width, seed, family), width)).drop("_cells", *keys)
 
 
 def merge(cells: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -133,21 +156,32 @@ def top_pct(df: DataFrame, x: str, depth: int, width: int, pct: float, seed: int
     return estimates.join(F.broadcast(total(cells))).where(F.col("estimate") >= pct * F.col("total")).drop("total")
 
 
-def top_n(df: DataFrame, x: str, depth: int, width: int, n: int, by: Sequence[str] = (), seed: int = SEED, family: str = "md5") -> DataFrame:
+def top_n(df: DataFrame, x: str, depth: int, width: int, n: int, by: Sequence[str] = (), seed: int = SEED, family: str = "md5", cut: Callable[[DataFrame], DataFrame] = tables.cut) -> DataFrame:
     """(by, x, estimate): the n largest estimates, of each scope if ``by`` is
-    given; ties by item. The same whatever the order of merging. Over
-    everything, any n items bound the least estimate that can be among them; the
-    native sketch of frequent items names good ones, and only items from there
-    on shuffle. Scopes estimate each of their distinct items."""
-    order = [F.col("estimate").desc(), F.col(x)]
+    given; ties by item. The same whatever the order of merging.
+
+    Any n items of a scope bound the least estimate that can be among them. The
+    native sketch of frequent items, a bounded number of candidates a scope in
+    each task, names good ones; then every row is estimated where it lies, and only
+    items from the bound on shuffle. The cells of all scopes are broadcast for
+    that while they are at most ``MOST_CELLS``; with more scopes than that each
+    scope's distinct items are estimated."""
     cells = sketch(df, x, depth, width, by, seed=seed, family=family)
-    if not by and depth * width <= MOST_CELLS:
+    keys, order = [f"_s{i}" for i in range(len(by))], [F.col("estimate").desc(), F.col(x)]
+    if by:
+        cells = cut(cells)  # its scopes are counted before its cells are read
+    scopes = cells.select(*by).distinct().count() if by else 1
+    if scopes * depth * width > MOST_CELLS:
+        estimates = frequency(cells, df.where(F.col(x).isNotNull()), x, depth, width, by, seed, family)
+    else:
         tracked = max(1000, 4 * n)
-        some = df.where(F.col(x).isNotNull()).agg(F.call_function("approx_top_k", F.col(x), F.lit(n), F.lit(tracked)).alias("t")).select(F.explode("t.item").alias(x))
-        kth = estimated(some, cells, x, depth, width, seed, family).agg(F.when(F.count("*") >= n, F.min("estimate")).otherwise(0).alias("_least"))
-        rows = estimated(df.select(x), cells, x, depth, width, seed, family).crossJoin(F.broadcast(kth)).where(F.col("estimate") >= F.col("_least"))
-        return rows.select(x, "estimate").distinct().orderBy(*order).limit(n)
-    estimates = frequency(cells, df.where(F.col(x).isNotNull()), x, depth, width, by, seed, family)
+        known = df.where(F.col(x).isNotNull()).select(*by, x)
+        some = (known.groupBy(*by) if by else known.groupBy()).agg(F.call_function("approx_top_k", F.col(x), F.lit(n), F.lit(tracked)).alias("t"))
+        some = estimated(some.select(*by, F.explode("t.item").alias(x)), cells, x, depth, width, seed, family, by)
+        kth = (some.groupBy(*[F.col(c).alias(k) for c, k in zip(by, keys, strict=True)]) if by else some.groupBy()).agg(F.when(F.count("*") >= n, F.min("estimate")).otherwise(F.lit(None)).alias("_bound"))
+        rows = estimated(known, cells, x, depth, width, seed, family, by)
+        rows = rows.join(F.broadcast(kth), null_safe(by, keys)) if by else rows.crossJoin(F.broadcast(kth))  # a row a scope
+        estimates = rows.where(F.col("_bound").isNull() | (F.col("estimate") >= F.col("_bound"))).select(*by, x, "estimate").distinct()
     if not by:
         return estimates.orderBy(*order).limit(n)
     w = Window.partitionBy(*by).orderBy(*order)
@@ -168,6 +202,47 @@ def heavy_hitters(df: DataFrame, x: str, value: Column, depth: int, width: int,
     return frequency(cells, df.where(F.col(x).isNotNull()), x, depth, width, seed=seed, family=family).orderBy(F.col("estimate").desc(), F.col(x)).limit(k)
 
 
+def sketch_map_of(df: DataFrame, x: str, agg: Agg, depth: int, width: int, seed: int = SEED, family: str = "md5") -> DataFrame:
+    """(row, col, value__...): cells that hold any aggregation's buffer of the
+    keys that meet in them. Stored ones merge by ``spec.merge``."""
+    rows = df.where(F.col(x).isNotNull())
+    return buffers(_cells(rows, x, depth, width, seed, family), {"value": agg}, ["row", "col"])
+
+
+def merge_map(stored: DataFrame, agg: Agg) -> DataFrame:
+    return merge_buffers(stored, {"value": agg}, ["row", "col"])
+
+
+def map_values(stored: DataFrame, agg: Agg) -> DataFrame:
+    """(row, col, n): what the cells' buffers present, in an order that grows."""
+    return present_buffers(stored, {"value": agg}, ["row", "col"]).withColumnRenamed("value", "n")
+
+
+def map_estimates(df: DataFrame, stored: DataFrame, x: str, agg: Agg, depth: int, width: int, seed: int = SEED, family: str = "md5") -> DataFrame:
+    """The rows of ``df`` with the ``estimate`` of their key: the least of its
+    cells' values. For aggregations whose result never falls when rows are
+    added (sums of what is not negative, maxima, counts of distinct values) it
+    is the key's own value at least."""
+    if depth * width > MOST_CELLS:
+        raise ValueError(f"a sketch of {depth * width} cells is not broadcast")
+    whole = dense(map_values(stored, agg).withColumnRenamed("n", "v"), depth, width, (), "v", None)
+    rows = df.where(F.col(x).isNotNull()).crossJoin(F.broadcast(whole.drop("total")))  # one row
+    return rows.withColumn("estimate", _least(F.col("_cells"), columns_of(df, x, depth, width, seed, family), width)).drop("_cells")
+
+
+def map_hitters(df: DataFrame, x: str, agg: Agg, likely: Column, depth: int, width: int, k: int, seed: int = SEED, family: str = "md5") -> DataFrame:
+    """(x, estimate): the k keys of the largest estimates. The keys of the rows
+    with the largest ``likely`` bound what can be among them; only keys from
+    that bound on shuffle."""
+    stored = sketch_map_of(df, x, agg, depth, width, seed, family)
+    top = df.where(F.col(x).isNotNull()).orderBy(likely.desc()).limit(4 * k).select(x).distinct()
+    bound = map_estimates(top, stored, x, agg, depth, width, seed, family).orderBy(F.col("estimate").desc()).limit(k)
+    bound = bound.agg(F.when(F.count("*") >= k, F.min("estimate")).alias("_bound"))
+    rows = map_estimates(df.select(x), stored, x, agg, depth, width, seed, family).crossJoin(F.broadcast(bound))  # one row
+    found = rows.where(F.col("_bound").isNull() | (F.col("estimate") >= F.col("_bound"))).select(x, "estimate").distinct()
+    return found.orderBy(F.col("estimate").desc(), F.col(x)).limit(k)
+
+
 # Decaying counts ---------------------------------------------------------
 
 

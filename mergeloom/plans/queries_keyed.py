@@ -194,6 +194,20 @@ def min_plus_step(spark, sf):
     return K.min_plus_step(start, e).withColumn("cost", r("cost"))
 
 
+def _closure_sql(rounds: int) -> str:
+    steps = ["d0 as (select 1 as node, 0.0::double as cost)"]
+    steps += [f"d{i + 1} as (select node, min(cost) as cost from (select * from d{i} union all select target, cost + weight from d{i} join e on node = source) group by 1)" for i in range(rounds)]
+    return f"with e as (select source, min(target) as target, weight from (select source, target % 97 + 1 as target, weight from ({EDGES})) group by source, weight), {', '.join(steps)} select node, round(cost, 3) as cost from d{rounds}"
+
+
+@query(_closure_sql(24))
+def min_plus_closure(spark, sf):
+    """Cheapest ways from supplier 1 over all suppliers' and parts' edges."""
+    e = table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("source"), (F.col("l_partkey") % 100 + 1).alias("target")).agg(F.min("l_extendedprice").alias("weight"))
+    e = tables.cut(e.groupBy("source", "weight").agg(F.min(F.col("target") % 97 + 1).alias("target")))
+    return K.min_plus_closure(spark.sql("select 1L as node, 0D as cost"), e, 64).withColumn("cost", r("cost", 3))
+
+
 @query("""select user_id, sum(n)::bigint as total, max(n) filter (event_type = 'click') as clicks, count(*) as kinds from (select user_id, event_type, count(*) as n from events group by 1, 2) group by 1""")
 def map_columns(spark, sf):
     """Counts as MAP columns, added up and looked into."""

@@ -7,9 +7,11 @@ import math
 from pyspark.sql import functions as F
 
 from mergeloom.functions import hashing
+from mergeloom.operators import aggregators as A
 from mergeloom.operators import ordered
-from mergeloom.operators.sketches import bloom, cms, exphist, hll, minhash, qtree
+from mergeloom.operators.sketches import bloom, cms, exphist, hll, minhash, qtree, states
 from mergeloom.plans.catalog import query
+from mergeloom.sources import tables
 from mergeloom.sources.tables import seconds, table
 
 
@@ -167,6 +169,45 @@ def sketch_map(spark, sf):
     return cms.heavy_hitters(table(spark, sf, "events"), "user_id", F.col("event_id"), D, W, 10)
 
 
+@query(f"""with k as (select user_id as x, max(event_id) as v from events group by 1),
+        c as (select x, v, row, {hashing.linear_sql("x::bigint", "row", D, W, cms.SEED)} as col from k, range({D}) t(row)),
+        f as (select x, min(m)::bigint as estimate from (select x, max(v) over (partition by row, col) as m from c) group by x)
+    select x as user_id, estimate from f order by estimate desc, x limit 10""")
+def sketch_map_max(spark, sf):
+    """The users of the largest event numbers, by cells that hold maxima."""
+    return cms.map_hitters(table(spark, sf, "events"), "user_id", A.max_of("event_id"), F.col("event_id"), D, W, 10)
+
+
+# Binary states ----------------------------------------------------------------
+
+
+@query(f"select round(estimate, 6) as estimate from ({estimate_sql(registers_sql('l_partkey', 'lineitem', B), B)})")
+def hll_binary_merge(spark, sf):
+    """States of many groups stored as binary values, merged, and read again."""
+    path = tables.shared_folder(spark, "states")
+    states.sets(table(spark, sf, "lineitem"), "l_partkey", B, 20, ["l_returnflag", "l_linestatus", "l_linenumber"]).write.parquet(path)
+    merged = states.merge_sets(spark.read.parquet(path))
+    return hll.estimate(states.registers(merged), B).withColumn("estimate", r("estimate"))
+
+
+@query(f"""select o_custkey, case when any_value(n) <= 10 then any_value(n)::double else any_value(estimate) end::bigint as size, any_value(n) <= 10 as exact from
+    (select o_custkey, count(distinct o_orderkey) as n from orders group by 1) join ({estimate_sql(registers_sql('o_orderkey', 'orders', B, 'o_custkey'), B, 'o_custkey')}) using (o_custkey) group by 1""")
+def hybrid_set_size(spark, sf):
+    return states.set_sizes(states.sets(table(spark, sf, "orders"), "o_orderkey", B, 10, ["o_custkey"]), ["o_custkey"]).withColumn("size", F.round("size").cast("long"))
+
+
+@query(f"""with g as (select *, case when event_type in ('click', 'error') then event_id % 5 else user_id end as x from events),
+    c as (select event_type, x, row, n, {hashing.linear_sql("x::bigint", "row", D, W, cms.SEED)} as col from (select event_type, x, count(*) as n from g group by 1, 2), range({D}) t(row)),
+    f as (select event_type, x, min(s)::bigint as estimate from (select *, sum(n) over (partition by event_type, row, col) as s from c) group by 1, 2),
+    k as (select event_type, count(distinct x) <= 20 as exact from g group by 1), e as (select event_type, x, count(*) as n from g group by 1, 2)
+    select f.event_type, f.x, case when exact then n else estimate end as estimate, exact from f join k using (event_type) join e on e.event_type = f.event_type and e.x = f.x""")
+def hybrid_counts(spark, sf):
+    """Exact counts where a type has few items, count-min estimates elsewhere."""
+    few = F.col("event_type").isin("click", "error")
+    rows = table(spark, sf, "events").withColumn("x", F.when(few, F.col("event_id") % 5).otherwise(F.col("user_id")).cast("long"))
+    return states.frequency(states.counts(rows, "x", D, W, 20, ["event_type"]), rows, "x", D, W, ["event_type"])
+
+
 DECAY = "sum(exp(-(m - epoch_us(ts) / 1e6) * ln(2) / 86400.0))"
 
 
