@@ -10,7 +10,7 @@ from mergeloom.operators import keyed as K
 from mergeloom.plans.catalog import query
 from mergeloom.sources import tables
 from mergeloom.sources.tables import table
-from mergeloom.streaming import summers
+from mergeloom.streaming import summers, timed
 
 SIGNED = "case when l_linenumber % 2 = 0 then 1 else -1 end"
 
@@ -257,6 +257,16 @@ def streaming_sessions(spark, sf):
     return rows.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n", r("value", 4).alias("value"))
 
 
+@query("""select user_id % 20 as k, sum(event_id)::bigint as event_id from events group by 1""")
+def streaming_timed_sums(spark, sf):
+    """The events as a stream through buffers that flush by size and time."""
+    top = tables.shared_folder(spark, "stream")
+    events = tables.stream(spark, sf, "events").select((F.col("user_id") % 20).alias("k"), "event_id")
+    sums = timed.timed_sums(events, "k", "event_id", 2000, 500, parts=8, share=0.05)
+    timed.drain(timed.start(sums, f"{top}/sums", f"{top}/progress"))
+    return spark.read.parquet(f"{top}/sums").groupBy("k").agg(F.sum("event_id").alias("event_id"))
+
+
 @query("""select user_id, sum(event_id)::bigint as event_id from events group by 1""")
 def summing_queue(spark, sf):
     partial = summers.summing_queue(table(spark, sf, "events"), ["user_id"], "event_id", 64, "user_id long, event_id long")
