@@ -27,6 +27,7 @@ from dataclasses import dataclass
 from itertools import repeat
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,7 +46,8 @@ HELD, AT_ONCE = 10_000, 64
 class Monoid:
     """``prepare`` makes a state of a row's values, ``plus`` one of two,
     ``present`` a tuple of results. ``append`` takes a row into a state at less
-    cost than preparing it, ``total`` merges several states at once. ``plus``
+    cost than preparing it, ``total`` merges several states at once, and ``bulk``
+    takes the Arrow columns of many rows into a state (or None) at once. ``plus``
     must be associative; it need not commute where an order is given. States
     that are appended to may change in place."""
 
@@ -55,6 +57,7 @@ class Monoid:
     zero: Callable[[], Any] | None = None
     append: Callable[..., Any] | None = None
     total: Callable[[list], Any] | None = None
+    bulk: Callable[[Any, list[pa.Array]], Any] | None = None
     dumps: Callable[[Any], bytes] = pickle.dumps
     loads: Callable[[bytes], Any] = pickle.loads
 
@@ -97,23 +100,48 @@ def _given(rows: Iterator[tuple], schema: pa.Schema, size: int = 1000) -> Iterat
         yield _batch(held, schema)
 
 
+def _groups(b: pa.RecordBatch, k: int) -> Iterator[tuple[tuple, list[pa.Array]]]:
+    """(key, other columns) of each group of a batch."""
+    if not k:
+        yield (), b.columns
+        return
+    ids = np.zeros(b.num_rows, np.int64)
+    for c in b.columns[:k]:
+        coded = c.dictionary_encode(null_encoding="encode")
+        ids = np.unique(ids * (len(coded.dictionary) + 1) + coded.indices.to_numpy(), return_inverse=True)[1]
+    order = np.argsort(ids, kind="stable")
+    ends = np.append(np.nonzero(np.diff(ids[order]))[0] + 1, len(order))
+    sorted_rows, start = b.take(pa.array(order)), 0
+    for end in ends.tolist():
+        yield tuple(c[start].as_py() for c in sorted_rows.columns[:k]), [c.slice(start, end - start) for c in sorted_rows.columns[k:]]
+        start = end
+
+
 def partials(df: DataFrame, monoid: Monoid, columns: Sequence[str], by: Sequence[str] = (), held: int = HELD) -> DataFrame:
     """(by, _state): states of the groups in each task, to be merged."""
     ship(df.sparkSession)
     out, k = _stored(df, by), len(by)
     arrow = to_arrow_schema(out)
 
+    def items(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        if not monoid.bulk:
+            yield from _rows(batches, k)
+            return
+        for b in batches:
+            if b.num_rows:
+                yield from _groups(b, k)
+
     def states(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         own: dict[tuple, list] = {}
-        for key, row in _rows(batches, k):
+        for key, row in items(batches):
             group = _group(key)
             if group in own:
-                own[group][1] = monoid.taken(own[group][1], row)
+                own[group][1] = monoid.bulk(own[group][1], row) if monoid.bulk else monoid.taken(own[group][1], row)
                 continue
             if len(own) >= held:
                 yield from ((*key, monoid.dumps(s)) for key, s in own.values())
                 own = {}
-            own[group] = [key, monoid.prepare(*row)]
+            own[group] = [key, monoid.bulk(None, row) if monoid.bulk else monoid.prepare(*row)]
         yield from ((*key, monoid.dumps(s)) for key, s in own.values())
 
     return df.select(*by, *columns).mapInArrow(lambda batches: _given(states(batches), arrow), out)

@@ -160,6 +160,26 @@ def sgd(df: DataFrame, by: Sequence[str], order: Sequence[str], features: Sequen
     return fold_groups(df, by, order, [*features, target], schema, lambda: (0, [float(w) for w in initial]), step, lambda s: (s[0], s[1]))
 
 
+def sgd_in_parts(df: DataFrame, by: Sequence[str], features: Sequence[str], target: str, initial: Sequence[float], step_size: Callable[[int, list[float]], float], gradient: Callable = linear_gradient) -> DataFrame:
+    """(by, count, weights): each task makes its own pass from the initial
+    weights over the rows that it has, and the models are averaged by their counts
+    of steps. No rows shuffle; the result depends on how they are dealt."""
+    from mergeloom.operators import monoid
+
+    def step(state: tuple, *row: Any) -> tuple:
+        count, weights = state
+        g = gradient(weights, list(row[:-1]), row[-1])
+        size = step_size(count, g)
+        return count + 1, [w - size * d for w, d in zip(weights, g, strict=True)]
+
+    def average(a: tuple, b: tuple) -> tuple:
+        n = a[0] + b[0]
+        return n, [(a[0] * x + b[0] * y) / n for x, y in zip(a[1], b[1], strict=True)]
+
+    models = monoid.Monoid(lambda *row: step((0, [float(w) for w in initial]), *row), average, lambda s: s, append=step)
+    return monoid.aggregate(df, models, [*features, target], "count long, weights array<double>", by)
+
+
 def averaged_weights(models: DataFrame) -> DataFrame:
     """(count, weights): models averaged by their counts of steps."""
     rows = models.select("count", F.posexplode("weights").alias("i", "w")).groupBy("i")

@@ -79,34 +79,39 @@ class Nodes:
     """A tree of at most ``most_nodes`` nodes: (level, place) with counts and
     sums, and values that are still to be binned."""
 
-    WAITING = 4096
+    WAITING = 8192
 
     def __init__(self, level: int, k: int) -> None:
-        self.level, self.k, self.values = level, k, []
+        self.level, self.k, self.values, self.waiting = level, k, [], 0
         self.at, self.n, self.s = np.zeros((0, 2), np.int64), np.zeros(0, np.int64), np.zeros(0)
 
-    def take(self, value: float | None) -> Nodes:
-        if value is not None and value == value:
-            if value < 0:
-                raise ValueError("quantile trees take no negative values")
-            self.values.append(value)
-            if len(self.values) >= self.WAITING:
-                self._settle()
+    def take(self, values: np.ndarray) -> Nodes:
+        values = values[~np.isnan(values)]
+        if (values < 0).any():
+            raise ValueError("quantile trees take no negative values")
+        self.values.append(values)
+        self.waiting += len(values)
+        if self.waiting >= self.WAITING:
+            self._settle()
         return self
 
     def _settle(self) -> None:
         """Bins what waits, and compresses a tree that has become too large."""
         if self.values:
-            v = np.array(self.values, np.float64)
+            v = np.concatenate(self.values)
             place = np.floor(v / 2.0**self.level).astype(np.int64)
             self._add(np.stack([np.full(len(v), self.level), place], 1), np.ones(len(v), np.int64), v)
-            self.values = []
+            self.values, self.waiting = [], 0
         if len(self.n) > most_nodes(self.k):
             self._compress()
 
     def _add(self, at: np.ndarray, n: np.ndarray, s: np.ndarray) -> None:
-        nodes, own = np.unique(np.concatenate([self.at, at]), axis=0, return_inverse=True)
-        own = own.reshape(-1)
+        both = np.concatenate([self.at, at])
+        order = np.lexsort((both[:, 1], both[:, 0]))
+        new = np.append(True, (np.diff(both[order], axis=0) != 0).any(1)) if len(order) else np.zeros(0, bool)
+        own = np.empty(len(order), np.int64)
+        own[order] = np.cumsum(new) - 1
+        nodes = both[order][new]
         counts = np.zeros(len(nodes), np.int64)
         np.add.at(counts, own, np.concatenate([self.n, n]))
         self.at, self.n, self.s = nodes, counts, np.bincount(own, np.concatenate([self.s, s]), len(nodes))
@@ -144,7 +149,9 @@ def bounded(df: DataFrame, x: str, k: int = 9, by: Sequence[str] = (), level: in
     """(by, level, leaf, n, s): a tree of at most ``most_nodes(k)`` nodes a group.
     Tasks keep trees of that size and merge them, so neither rows nor leaves
     shuffle. While a group has no more leaves than that its tree is exact."""
-    tree = monoid.Monoid(lambda v: Nodes(level, k).take(v), lambda a, b: a + b, lambda t: (t.rows(),), append=lambda t, v: t.take(v))
+    one = lambda v: np.array([np.nan if v is None else v])
+    many = lambda t, columns: (t or Nodes(level, k)).take(columns[0].to_numpy(zero_copy_only=False))
+    tree = monoid.Monoid(lambda v: Nodes(level, k).take(one(v)), lambda a, b: a + b, lambda t: (t.rows(),), append=lambda t, v: t.take(one(v)), bulk=many)
     value = F.col(x).cast("double")
     rows = df.where(value.isNotNull() & ~F.isnan(value)).select(*by, value.alias("_x"))
     # A state is some hundred kilobytes at most.

@@ -18,6 +18,7 @@ from collections.abc import Sequence
 from typing import Any
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,6 +60,15 @@ class SetState:
             self._bounded()
         return self
 
+    def add_all(self, column: pa.Array) -> SetState:
+        hashes = column.drop_null().to_numpy()
+        if self.hashes is None:
+            self._put(hashes)
+        else:
+            self.hashes.update(np.unique(hashes).tolist())
+            self._bounded()
+        return self
+
     def _bounded(self) -> None:
         if len(self.hashes) > self.most:
             hashes, self.hashes, self.registers = self.hashes, None, np.zeros(2**self.bits, np.uint8)
@@ -112,7 +122,7 @@ class SetState:
 
 
 def set_monoid(bits: int, most: int, present: Any = lambda s: s.size()) -> Monoid:
-    return Monoid(lambda h: SetState(bits, most).add(h), lambda a, b: a + b, present, lambda: SetState(bits, most), lambda s, h: s.add(h), dumps=SetState.dumps, loads=SetState.loads)
+    return Monoid(lambda h: SetState(bits, most).add(h), lambda a, b: a + b, present, lambda: SetState(bits, most), lambda s, h: s.add(h), bulk=lambda s, c: (s or SetState(bits, most)).add_all(c[0]), dumps=SetState.dumps, loads=SetState.loads)
 
 
 def set_hash(*keys: str) -> Column:
@@ -181,6 +191,19 @@ class CountState:
             self._bounded()
         return self
 
+    def add_all(self, key: pa.Array, n: pa.Array | None) -> CountState:
+        known = np.asarray(key.is_valid()) if n is None else np.asarray(key.is_valid()) & np.asarray(n.is_valid())
+        keys, own = np.unique(key.fill_null(0).to_numpy()[known], return_inverse=True)
+        sums = np.zeros(len(keys), np.int64)
+        np.add.at(sums, own, 1 if n is None else n.fill_null(0).to_numpy()[known])
+        if self.counts is None:
+            self._put(keys, sums)
+        else:
+            for k, v in zip(keys.tolist(), sums.tolist(), strict=True):
+                self.counts[k] = self.counts.get(k, 0) + v
+            self._bounded()
+        return self
+
     def _bounded(self) -> None:
         if len(self.counts) > self.most:
             counts, self.counts, self.cells = self.counts, None, np.zeros((self.depth, self.width), np.int64)
@@ -236,7 +259,7 @@ def linear(keys: np.ndarray, rows: int, width: int, seed: int) -> list[np.ndarra
 
 
 def count_monoid(depth: int, width: int, most: int, seed: int = cms.SEED, present: Any = lambda s: (s.total(), s.counts is not None)) -> Monoid:
-    return Monoid(lambda k, n=1: CountState(depth, width, seed, most).add(k, n), lambda a, b: a + b, present, lambda: CountState(depth, width, seed, most), lambda s, k, n=1: s.add(k, n), dumps=CountState.dumps, loads=CountState.loads)
+    return Monoid(lambda k, n=1: CountState(depth, width, seed, most).add(k, n), lambda a, b: a + b, present, lambda: CountState(depth, width, seed, most), lambda s, k, n=1: s.add(k, n), bulk=lambda s, c: (s or CountState(depth, width, seed, most)).add_all(*c, *[None] * (2 - len(c))), dumps=CountState.dumps, loads=CountState.loads)
 
 
 def counts(df: DataFrame, x: str, depth: int, width: int, most: int = 100, by: Sequence[str] = (), n: Column | None = None, seed: int = cms.SEED, family: str = "md5") -> DataFrame:

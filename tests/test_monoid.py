@@ -188,3 +188,29 @@ def test_max_by_of_any_type(spark):
         assert df.agg(A.min_by("i", "x", ["i"]).column()).first()[0] == least
     df = spark.createDataFrame([(1, "b", 5), (2, "a", 5), (3, "a", 4)], "i long, o string, x int")
     assert df.agg(A.max_by("i", "x", ["o"]).column()).first()[0] == 2
+
+
+def test_bulk_takes_whole_batches(spark, rows):
+    """The same sums by Arrow columns, with null and NaN keys."""
+    import numpy as np
+
+    bulk = Monoid(lambda x: x, lambda a, b: a + b, bulk=lambda s, c: (s or 0) + int(np.asarray(c[0]).sum()))
+    for by in (["g"], ["d"], ["g", "d"], []):
+        plain = monoid.aggregate(rows, Monoid(lambda x: x, lambda a, b: a + b), ["x"], "v long", by)
+        got = monoid.aggregate(rows, bulk, ["x"], "v long", by, held=2)
+        assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, map(tuple, plain.collect())))
+
+
+def test_models_in_parts(spark):
+    from mergeloom.operators import ordered
+
+    rng = random.Random(4)
+    data = [(i % 2, x, 3.0 * x + 1.0 - 4.0 * (i % 2)) for i in range(4000) for x in [rng.uniform(-1, 1)]]
+    df = spark.createDataFrame(data, "g long, x double, y double").repartition(6)
+    got = {r.g: r for r in ordered.sgd_in_parts(df, ["g"], ["x"], "y", [0.0, 0.0], ordered.constant_step(0.1)).collect()}
+    for g in (0, 1):
+        assert got[g]["count"] == 2000 and got[g].weights == pytest.approx([3.0, 1.0 - 4.0 * g], abs=0.05)
+    one = df.where("g = 0").coalesce(1).sortWithinPartitions("x")
+    alone = ordered.sgd_in_parts(one, [], ["x"], "y", [0.0, 0.0], ordered.constant_step(0.1)).first()
+    whole = ordered.sgd(one, [], ["x"], ["x"], "y", [0.0, 0.0], ordered.constant_step(0.1)).first()
+    assert alone.weights == pytest.approx(whole.weights) and alone["count"] == whole["count"]
