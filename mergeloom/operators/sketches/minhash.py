@@ -80,21 +80,28 @@ def candidates(sketch: DataFrame, hashes: int, n_bands: int, key: str) -> DataFr
     return pairs.select("a", "b").distinct()
 
 
-def similar_pairs(sketch: DataFrame, hashes: int, n_bands: int, key: str, least: float) -> DataFrame:
-    """(a, b, similarity) of candidates with at least that similarity, a < b.
-
-    Sets of equal signatures are one while candidates are sought and compared,
-    so copies meet in no bucket; their pairs are only written out at the end."""
+def similar_classes(sketch: DataFrame, hashes: int, n_bands: int, key: str, least: float) -> tuple[DataFrame, DataFrame]:
+    """(members, links): sets of equal signatures are a class, named by its
+    smallest; ``members`` is (key, class), ``links`` (a, b, similarity) has the
+    pairs of classes with at least that similarity, a < b. Copies meet in no
+    bucket, and nothing grows with the square of a class."""
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "h"))), lambda s: F.concat_ws(":", s["i"].cast("string"), s["h"].cast("string"))), ",")
     signed = sketch.groupBy(key).agg(F.md5(text).alias("_s"))
-    members = signed.join(signed.groupBy("_s").agg(F.min(key).alias("_first")), "_s").select(F.col(key).alias("_m"), "_first")
-    firsts = sketch.join(members.where("_m = _first").select(F.col("_m").alias(key)), key, "left_semi")
+    members = signed.join(signed.groupBy("_s").agg(F.min(key).alias("class")), "_s").select(key, "class")
+    firsts = sketch.join(members.where(F.col(key) == F.col("class")).select(key), key, "left_semi")
     pairs = candidates(firsts, hashes, n_bands, key)
     left = pairs.join(firsts.select(F.col(key).alias("a"), "i", F.col("h").alias("_a")), "a")
     both = left.join(firsts.select(F.col(key).alias("b"), "i", F.col("h").alias("_b")), ["b", "i"])
-    close = both.groupBy("a", "b").agg((F.count_if(F.col("_a") == F.col("_b")) / F.lit(float(hashes))).alias("similarity")).where(F.col("similarity") >= least)
-    x, y = (members.select(F.col("_m").alias(f"_m{k}"), F.col("_first").alias(k)) for k in "ab")
-    far = close.join(x, "a").join(y, "b").select(F.least("_ma", "_mb").alias("a"), F.greatest("_ma", "_mb").alias("b"), "similarity")
+    links = both.groupBy("a", "b").agg((F.count_if(F.col("_a") == F.col("_b")) / F.lit(float(hashes))).alias("similarity"))
+    return members, links.where(F.col("similarity") >= least)
+
+
+def similar_pairs(sketch: DataFrame, hashes: int, n_bands: int, key: str, least: float) -> DataFrame:
+    """(a, b, similarity), a < b: the same with every pair of sets written out,
+    for classes that are known to be small."""
+    members, links = similar_classes(sketch, hashes, n_bands, key, least)
+    x, y = (members.select(F.col(key).alias(f"_m{k}"), F.col("class").alias(k)) for k in "ab")
+    far = links.join(x, "a").join(y, "b").select(F.least("_ma", "_mb").alias("a"), F.greatest("_ma", "_mb").alias("b"), "similarity")
     equal = x.join(y, F.col("a") == F.col("b")).where("_ma < _mb").select(F.col("_ma").alias("a"), F.col("_mb").alias("b"), F.lit(1.0).alias("similarity"))
     return far.unionByName(equal) if least <= 1 else far
 

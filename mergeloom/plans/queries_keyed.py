@@ -257,6 +257,24 @@ def streaming_sessions(spark, sf):
     return rows.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n", r("value", 4).alias("value"))
 
 
+@query("""with e as (select *, time_bucket(interval 6 hour, ts) + interval 6 hour as stop from events), f as (select max(ts) - interval 1 day as mark from e where event_id % 2 = 0), l as (select max(ts) - interval 1 day as mark from e)
+    select event_type, stop, count(*) as n, sum(event_id)::bigint as ids from e, f, l where stop <= l.mark and (event_id % 2 = 0 or stop > f.mark) group by 1, 2""")
+def streaming_late_rows(spark, sf):
+    """Even events come first, odd ones a micro-batch later: of these only those
+    count whose window the watermark has not closed yet."""
+    top = tables.shared_folder(spark, "stream")
+    rows = table(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_id", "event_type")
+    aggs = {"n": A.size(), "ids": A.sum_of("event_id")}
+    for odd in (0, 1):  # the same query, started again when the rest has come
+        rows.where(F.col("event_id") % 2 == odd).write.mode("append").parquet(f"{top}/in")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{top}/in")
+        counted = summers.windowed(stream, "ts", "1 day", "6 hours", aggs, ["event_type"])
+        out = counted.select("event_type", F.col("window.end").alias("stop"), "n", "ids").writeStream.outputMode("append").format("parquet")
+        out.option("path", f"{top}/windows").option("checkpointLocation", f"{top}/progress").trigger(availableNow=True).start().awaitTermination()
+    found = spark.read.parquet(f"{top}/windows")
+    return found.select("event_type", F.col("stop").cast("timestamp_ntz").alias("stop"), "n", "ids")
+
+
 @query("""select user_id % 20 as k, sum(event_id)::bigint as event_id from events group by 1""")
 def streaming_timed_sums(spark, sf):
     """The events as a stream through buffers that flush by size and time."""

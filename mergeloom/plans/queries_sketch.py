@@ -361,6 +361,22 @@ def minhash_lsh(spark, sf):
     return out.withColumn("similarity", r("similarity"))
 
 
+@query(f"""with sig as ({signature_sql("user_id as g, strftime(ts, '%Y-%m-%d') as x from events")}),
+    whole as (select g, string_agg(i || ':' || h, ',' order by i) as s from sig group by 1), members as (select g, min(g) over (partition by s) as class from whole),
+    firsts as (select sig.* from sig join members using (g) where g = class),
+    bands as (select g, i // 4 as band, string_agg(h::varchar, ',' order by i) as bucket from firsts group by 1, 2),
+    pairs as (select distinct x.g as a, y.g as b from bands x join bands y using (band, bucket) where x.g < y.g),
+    links as (select a, b from pairs join firsts x on x.g = a join firsts y on y.g = b and x.i = y.i group by 1, 2 having count(*) filter (x.h = y.h) >= {0.8 * HASHES_MH})
+    select class, count(*) as members, (select count(*) from links where a = class or b = class) as links from members group by 1""")
+def minhash_classes(spark, sf):
+    """Users by the days that they came, in classes, with links between these."""
+    rows = table(spark, sf, "events").select("user_id", F.to_date("ts").cast("string").alias("day"))
+    members, links = minhash.similar_classes(minhash.signatures(rows, "day", HASHES_MH, ["user_id"]), HASHES_MH, 16, "user_id", 0.8)
+    ends = links.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count("*").alias("links"))
+    sizes = members.groupBy("class").agg(F.count("*").alias("members"))
+    return sizes.join(ends, "class", "left").select("class", "members", F.coalesce("links", F.lit(0)).alias("links"))
+
+
 @query(f"""select event_type, count(*) as n, round(sum(abs(v)), 3) as mass from (select event_type, i, sum(v) as v from (
     select event_type, {h(123456, 'user_id')} % 64 as i, case when {h(123456, 'user_id', 1)} % 2 = 1 then v else -v end as v from (select event_type, user_id, sum(value) as v from events group by 1, 2)) group by 1, 2) where v <> 0 group by 1""")
 def hashing_trick(spark, sf):
