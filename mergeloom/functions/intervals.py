@@ -146,6 +146,15 @@ def intersect_all(df: DataFrame, lower: str, upper: str, by: tuple[str, ...] = (
     return out.withColumn("empty", F.coalesce(F.col(lower) >= F.col(upper), F.lit(False)))
 
 
+def whole_numbers(lower: Column | str, upper: Column | str, lower_closed: bool = True, upper_closed: bool = False) -> Column:
+    """The whole numbers between two columns as an array, ascending; none where
+    the interval is empty, NULL where a bound is."""
+    a, b = (F.col(c) if isinstance(c, str) else c for c in (lower, upper))
+    first = F.ceil(a) if lower_closed else F.floor(a) + 1
+    last = F.floor(b) if upper_closed else F.ceil(b) - 1
+    return F.when(a.isNotNull() & b.isNotNull(), F.when(first <= last, F.sequence(first.cast("long"), last.cast("long"))).otherwise(F.array().cast("array<long>")))
+
+
 def successor(x: Column, most: int = 2**63 - 1) -> Column:
     """x + 1, NULL at the type's limit."""
     return F.when(x < most, x + 1)

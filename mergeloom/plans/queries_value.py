@@ -84,10 +84,13 @@ def interval_intersection(spark, sf):
     return intervals.intersect_all(rows, "lower", "upper", ("l_returnflag",))
 
 
-@query("""select unnest(range(3, 9)) as x""")
+@query("""select l_orderkey, count(*) as n, sum(x)::bigint as total, min(x)::bigint as least, max(x)::bigint as most from (
+    select l_orderkey, unnest(range(floor(l_quantity / 3)::bigint + 1, ceil(l_quantity)::bigint)) as x from lineitem) group by 1""")
 def interval_enumeration(spark, sf):
-    i = intervals.open_(2, 9)
-    return table(spark, sf, "region").limit(1).select(F.explode(i.least_to_greatest()).alias("x"))
+    """The whole numbers of an open interval of each row."""
+    inside = intervals.whole_numbers(F.col("l_quantity") / 3, F.col("l_quantity"), lower_closed=False)
+    rows = table(spark, sf, "lineitem").select("l_orderkey", F.explode(inside).alias("x"))
+    return rows.groupBy("l_orderkey").agg(F.count("*").alias("n"), F.sum("x").alias("total"), F.min("x").alias("least"), F.max("x").alias("most"))
 
 
 PAIRS = """(select a.vec_id as a, b.vec_id as b, list_transform(list_zip(a.embedding, b.embedding), lambda p: abs(p[1]::double - p[2]::double)) as d

@@ -32,10 +32,14 @@ def stream(spark: SparkSession, folder: str, name: str, files_a_batch: int | Non
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder's name under ``spark.checkpoint.dir``. Where the session has
-    none, under a temporary folder in local mode; on a cluster, whose machines
-    share no such folder, an error."""
+    """A fresh folder's name under ``spark.checkpoint.dir``, or the folder that
+    ``setCheckpointDir`` was given. Where the session has neither, under a temporary
+    folder in local mode; on a cluster, whose machines share no such folder, an
+    error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
+    held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if not base and held.isDefined():
+        base = held.get()
     if not base:
         if not spark.sparkContext._jsc.sc().isLocal():
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")

@@ -184,3 +184,12 @@ def test_gradient_descent_finds_a_line(spark):
     assert m["count"] == 2000 and m["weights"] == pytest.approx([3.0, 1.0], abs=0.01)
     two = spark.createDataFrame([(1, [1.0, 0.0]), (3, [5.0, 4.0])], "count long, weights array<double>")
     assert ordered.averaged_weights(two).first().weights == [4.0, 3.0]
+
+
+def test_whole_numbers_of_rows(spark):
+    df = spark.createDataFrame([(1.0, 4.0), (1.5, 1.9), (-2.0, -2.0), (3.0, 1.0), (None, 2.0)], "a double, b double")
+    both = lambda lo, hi: [r[0] for r in df.select(intervals.whole_numbers("a", "b", lo, hi)).collect()]
+    assert both(True, True) == [[1, 2, 3, 4], [], [-2], [], None]
+    assert both(True, False) == [[1, 2, 3], [], [], [], None]
+    assert both(False, False) == [[2, 3], [], [], [], None]
+    assert both(False, True) == [[2, 3, 4], [], [], [], None]
