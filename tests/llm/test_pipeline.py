@@ -54,7 +54,7 @@ def test_no_documents(spark, none, tmp_path):
 def test_queries_match_their_sql(spark, name):
     sf = "/root/testdata/sf0.001"
     c = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "embeddings", "conversations"):
         c.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
     cursor = c.execute(queries.ORACLE_SQL[name])
     columns = [d[0] for d in cursor.description]
