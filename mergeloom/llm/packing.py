@@ -16,7 +16,8 @@ A worker loads a tokenizer once and keeps the ids of at most two generations of
 ``KEPT_WORDS`` words of up to ``LONGEST_KEPT`` letters, until a task of another
 operator begins in it.
 
-Null text counts as empty: its only id is the end mark, one piece of length 1.
+Pieces of one length fill their batches in the order in which they are cut, so
+there are no ties to decide. Null text counts as empty: its only id is the end mark, one piece of length 1.
 Repeated rows and null doc_ids are packed like any other row. An empty table
 gives no rows. Texts are cut whole whatever their length. Other columns,
 whatever their names, are not read.

@@ -20,7 +20,7 @@ spread and grain of a group of n texts are shrunk towards those of all groups'
 merged sketches, which count as ``PRIOR`` texts: a small group has its own say
 in proportion, and no size is a switch.
 
-Null texts count as empty and fail the fixed rules. Null languages and sources
+A ratio at just a fence passes. Null texts count as empty and fail the fixed rules. Null languages and sources
 are groups like others. Very long texts are counted whole. Repeated rows are
 judged alike. Other columns, whatever their names, are not read, and stay where
 rows are kept whole. An empty table gives no rows.

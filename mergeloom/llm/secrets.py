@@ -21,7 +21,8 @@ written once. Counts pre-aggregate by (hash, owner, repository), then by
 the join back by hash carries candidates only and may be split by adaptive
 execution.
 
-Null texts count as empty. Null owners are one owner, null repositories one of
+Spans that begin alike come in the order of their kinds; a value of just the most
+owners or repositories is still live. Null texts count as empty. Null owners are one owner, null repositories one of
 its repositories. Very long texts are scanned whole. Repeated rows are scanned
 alike and are one repository. Other columns, whatever their names, are not read,
 and stay where rows are kept. An empty table gives no rows.

@@ -27,6 +27,11 @@ often as they came in. Very long texts are hashed whole, in runs of ``chunk``
 shingles. Other columns, whatever their names, are not read; where whole rows
 are kept they stay as they are. An empty table gives no rows.
 
+Ties: a bit that just half of the hashes set is 0, fingerprints at just four
+differing bits link, and so do sets of shingles at just the least similarity. Of a
+component the row of the smallest doc_id stays, null last, of equal ones that with
+the smallest row number.
+
 Four bits reach only part of the texts that share most of their words. The
 pipeline drops near copies by the texts themselves (``similar``): a Jaccard
 similarity of 0.8 or more of their sets of five-word shingles. Golay keys and

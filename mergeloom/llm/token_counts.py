@@ -23,7 +23,8 @@ Versions are patterns of one token, counted by native expressions, or names of
 public tokenizer files: ``word_bpe_49k`` (the same ids as ``packing``) and
 ``byte_bpe_50k``, counted in Arrow batches.
 
-Null sources, languages and versions are groups like others. Null texts have no
+Sums do not depend on the order of changes, so ties have no part in them. Null
+sources, languages and versions are groups like others. Null texts have no
 tokens, null changes count as 0. Very long texts are counted whole. Groups whose
 documents and tokens are both 0 are left out of the totals. Repeated rows count
 as often as they come. Other columns, whatever their names, are not read but for

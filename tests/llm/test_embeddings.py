@@ -99,7 +99,7 @@ def test_recall_of_lengths_without_a_model():
         assert (model.keys(x) == model.keys(y)).any(1).mean() >= 0.99
 
 
-@pytest.mark.parametrize("kind", KINDS)
+@pytest.mark.parametrize("kind", ["shifted", "close to a mean", "low rank"])
 def test_links_of_whole_tables(spark, kind):
     """The operator against brute force: at least 99 of 100 links, none false."""
     x, y = table(kind, 700, 32, np.random.default_rng(7))
