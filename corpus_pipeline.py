@@ -12,7 +12,7 @@ application's folder under ``spark.checkpoint.dir``.
 
 Null texts and texts of few words fall at the first stage; null doc_ids,
 languages and sources are carried, repeated rows leave one at the second stage.
-Very long texts go through whole. Columns beside those of documents stay as
+Ties fall as the stages say. Very long texts go through whole. Columns beside those of documents stay as
 they are up to packing, whatever their names. An empty table gives no rows.
 """
 
