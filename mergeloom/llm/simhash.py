@@ -50,7 +50,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mergeloom.llm import golay
@@ -265,7 +265,8 @@ def similar(rows: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
         return named.join(to, "c", "left").withColumn("c", F.coalesce("root", "c")).drop("root")
 
     # Each member with its bucket's first one; then, in buckets of several components, one member of each component with
-    # those of the first and the one before; then all members of buckets that still have several, in blocks.
+    # those of the first and the one before; then all members of buckets that still have several, in blocks: those of a bucket's
+    # largest component with the others of all its buckets at once, the others among themselves.
     stars = shared.select(F.col("v").alias("a"), F.col("low").alias("b")).where("a != b").distinct()
     first = roots(stars.select("*", F.col("a").alias("ca"), F.col("b").alias("cb")))
     named = materialize(_mixed(moved(shared.select("key", "v", F.col("v").alias("c")), first)), "mixed")
@@ -274,8 +275,9 @@ def similar(rows: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
     heads = heads.select(head.alias("x"), F.first(head).over(order).alias("low"), F.lag(head).over(order).alias("before"))
     heads = heads.select("x", F.explode(F.array("low", "before")).alias("y")).where("y.c != x.c")
     second = roots(heads.select(F.col("x.v").alias("a"), F.col("y.v").alias("b"), F.col("x.c").alias("ca"), F.col("y.c").alias("cb")).distinct())
-    named = materialize(_mixed(moved(named, second)), "mixed")
-    third = components(_linked_in_blocks(named, sets, least), "ca", "cb").withColumnsRenamed({"id": "c", "component": "root"})
+    members, rest = _by_hub(materialize(_mixed(moved(named, second)), "mixed"))
+    links = _linked_to_hubs(members, sets, least).union(_linked_in_blocks(rest, sets, least))
+    third = components(links, "ca", "cb").withColumnsRenamed({"id": "c", "component": "root"})
     out = moved(moved(moved(same.select("digest", F.col("v").alias("c")), first), second), third)
     out = materialize(out.select("digest", F.col("c").alias("component")), "roots")
     return marked.select("_row", "digest").join(out, "digest").select("_row", "component")
@@ -288,17 +290,59 @@ def _mixed(named: DataFrame) -> DataFrame:
     return out.where("c0 != c1").select("key", "v", "c")
 
 
+def _slices(members: Column, shingles: Column) -> Column:
+    return F.ceil(F.greatest(members / BLOCK_MEMBERS, shingles / BLOCK_SHINGLES, F.lit(1))).cast("int")
+
+
+def _by_hub(named: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(hub, v, c) and (key, v, c) from rows (key, v, c) of keys with several
+    components. A key's hub is that one of its components which has the most
+    members. A large group of near copies is the hub of very many keys, all of
+    them with much the same members: it is to be compared once with the others
+    that any of them holds, and what remains of its keys, without it, by key.
+    Hubs for which that makes more pairs than going by key stay with their keys."""
+    sizes = named.select("c", "v").distinct().groupBy("c").agg(F.count("*").alias("size"))
+    parts = named.groupBy("key", "c").agg(F.count("*").alias("m")).join(sizes, "c")
+    hubs = parts.groupBy("key").agg(F.max(F.struct("size", "c", "m")).alias("h"), F.sum("m").alias("m"))
+    hubs = hubs.select("key", F.col("h.c").alias("hub"), (F.col("h.m") * (F.col("m") - F.col("h.m")).cast("double")).alias("pairs"))
+    whole = materialize(named.join(hubs, "key"), "hubs")
+    members, inside = whole.select("hub", "v", "c").distinct(), F.col("c") == F.col("hub")
+    by_key = whole.select("key", "hub", "pairs").distinct().groupBy("hub").agg(F.sum("pairs").alias("pairs"))
+    at_once = members.groupBy("hub").agg((F.count_if(inside) * F.count_if(~inside).cast("double")).alias("at_once"))
+    worth = materialize(at_once.join(by_key, "hub").where("at_once <= pairs").select("hub", F.lit(True).alias("worth")), "worth")
+    rest = whole.join(worth, "hub", "left").where(F.col("worth").isNull() | ~inside)
+    return members.join(worth, "hub").select("hub", "v", "c"), _mixed(rest)
+
+
+def _linked_to_hubs(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """(ca, cb): the hubs and those of their others' components that some pair of
+    members links, from (hub, v, c). A hub's own members and the others are dealt
+    into slices of their own; a block is a slice of either side."""
+    inside = F.col("c") == F.col("hub")
+    sized = members.join(sets.select("v", F.size("s").alias("n")), "v")
+    k = [_slices(F.count_if(side), F.coalesce(F.sum(F.when(side, F.col("n"))), F.lit(0))).alias(name) for side, name in ((inside, "k0"), (~inside, "k1"))]
+    own = F.when(inside, F.pmod(F.xxhash64("v"), F.col("k0"))).otherwise(F.col("k0") + F.pmod(F.xxhash64("v"), F.col("k1"))).cast("int")
+    others = F.when(inside, F.sequence("k0", F.col("k0") + F.col("k1") - 1)).otherwise(F.sequence(F.lit(0), F.col("k0") - 1))
+    dealt = sized.join(sized.groupBy("hub").agg(*k), "hub").select(F.col("hub").alias("key"), own.alias("own"), F.explode(others).alias("other"), "v", "c")
+    return _compared(dealt, sets, least)
+
+
 def _linked_in_blocks(named: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """(ca, cb): the components of a bucket (key, v, c) that some pair of members
     links. A bucket's members are dealt into slices of about ``BLOCK_MEMBERS`` and
-    ``BLOCK_SHINGLES``; each pair of slices is a block, whose sets a task compares
-    all at once. No pair is a row, and a bucket of any size is as many blocks as
-    it needs."""
-    bucket = Window.partitionBy("key")
-    slices = F.ceil(F.greatest(F.count("*").over(bucket) / BLOCK_MEMBERS, F.sum("n").over(bucket) / BLOCK_SHINGLES)).cast("int")
-    dealt = named.join(sets.select("v", F.size("s").alias("n")), "v").withColumn("k", F.greatest(slices, F.lit(1))).withColumn("own", F.pmod(F.xxhash64("v"), F.col("k")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "v", "c").join(sets, "v")  # once for each slice of the bucket
+    ``BLOCK_SHINGLES``; each pair of slices is a block. No pair is a row, and a
+    bucket of any size is as many blocks as it needs."""
+    sized = named.join(sets.select("v", F.size("s").alias("n")), "v")
+    dealt = sized.join(sized.groupBy("key").agg(_slices(F.count("*"), F.sum("n")).alias("k")), "key")
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("v"), F.col("k")).cast("int"))
+    return _compared(dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1))), sets, least)
+
+
+def _compared(dealt: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """(ca, cb) from (key, own, other, v, c): members ``v`` of the slices ``own`` of
+    a key, once for each slice ``other`` that they meet. A task compares the sets
+    of a block, a pair of slices, all at once."""
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "v", "c").join(sets, "v")
     # Blocks come as sorted rows, one after another: collected lists of sets would fill the JVM's heap.
     blocks = dealt.select("key", "i", "j", "own", "c", "s").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 

@@ -174,6 +174,31 @@ def test_a_bucket_of_many_slices(spark, monkeypatch):
     assert sorted(map(tuple, simhash._linked_in_blocks(named, table, 0.8).distinct().collect())) == [(i, 100 + i) for i in range(5)]
 
 
+def test_a_component_of_many_buckets_is_compared_once(spark, monkeypatch):
+    """A group that stands in very many buckets, with others that some of its
+    members link, buckets of others alone, and a pair that shares one bucket."""
+    monkeypatch.setattr(simhash, "BLOCK_MEMBERS", 4)
+    rng = random.Random(4)
+    base = list(range(1000, 1020))
+    sets = {v: base[:18] + [v] for v in range(30)}  # one component, 0, of near copies
+    sets |= {100 + i: base[:18] + [5000 + i] for i in range(6)} | {200 + i: list(range(50 * i, 50 * i + 20)) for i in range(60)}
+    sets |= {300 + i: [*sets[200 + i][:18], 9000 + i] for i in range(20)}
+    named = [(k, v, 0) for k in range(50) for v in range(30) if rng.random() < 0.8]
+    named += [(k, v, v) for k in range(50) for v in rng.sample([v for v in sets if v >= 100], 5)]
+    named += [(60 + i, v, v) for i in range(20) for v in (200 + i, 300 + i)] + [(90, 0, 0), (90, 100, 100)]
+    rows = spark.createDataFrame(named, "key long, v long, c long")
+    table = spark.createDataFrame(list(sets.items()), "v long, s array<long>")
+    members, rest = simhash._by_hub(rows)
+    got = {tuple(r) for f in (simhash._linked_to_hubs(members, table, 0.8), simhash._linked_in_blocks(rest, table, 0.8)) for r in f.collect()}
+    alike = lambda a, b: len(set(a) & set(b)) >= 0.8 * len(set(a) | set(b))
+    want = {(min(c, d), max(c, d)) for k, v, c in named for j, w, d in named if k == j and c != d and alike(sets[v], sets[w])}
+    assert want and want <= got
+    own = {c: [sets[v] for _, v, o in named if o == c] for _, _, c in named}
+    assert all(any(alike(x, y) for x in own[a] for y in own[b]) for a, b in got)
+    assert members.where("c = 0").count() == 30 and rest.where("c = 0").count() == 0
+    assert rows.where("c = 0").count() > 1000
+
+
 def test_blocks_are_not_collected_in_the_heap(spark):
     """A block's sets come to Python as sorted rows, whole and in any batches."""
     sets = {i: list(range(20 * i, 20 * i + 20)) for i in range(17)} | {100 + i: [*range(20 * i, 20 * i + 18), 9000, 9001] for i in range(5)}
