@@ -87,6 +87,20 @@ def sparse_equiv(left: DataFrame, right: DataFrame, key: Sequence[str], value: s
     return minus(left, right, key, value).limit(1).agg((F.count("*") == 0).alias("equal"))
 
 
+def compared_maps(left: DataFrame, right: DataFrame, by: Sequence[str], key: Sequence[str], value: str) -> DataFrame:
+    """(by, contained, equal): the same two questions for a map of each group.
+    A group on one side only meets an empty map. Both sides are put side by side
+    by group and key in one shuffle, so groups of any size have partial answers;
+    keys are unique in their map, null groups and keys are like others. For
+    ``equal`` a null value is 0."""
+    sides = [m.select(*by, *key, F.lit(n).alias("_side"), F.struct(F.col(value).alias("v")).alias("_entry")) for n, m in enumerate((left, right))]
+    entry = lambda n: F.first(F.when(F.col("_side") == n, F.col("_entry")), ignorenulls=True)
+    both = sides[0].unionByName(sides[1]).groupBy(*by, *key).agg(entry(0).alias("_l"), entry(1).alias("_r"))
+    contained = F.col("_l").isNull() | F.col("_l").eqNullSafe(F.col("_r"))
+    equal = F.coalesce("_l.v", F.lit(0)) == F.coalesce("_r.v", F.lit(0))
+    return both.groupBy(*by).agg(F.bool_and(contained).alias("contained"), F.bool_and(equal).alias("equal"))
+
+
 def invert(m: DataFrame, key: str, value: str) -> DataFrame:
     """(value, keys): for each value the set of keys that have it."""
     return m.groupBy(value).agg(F.array_sort(F.collect_set(key)).alias("keys"))

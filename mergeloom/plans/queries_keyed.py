@@ -95,7 +95,16 @@ def merge_lookup(spark, sf):
     return K.merge_lookup(keys, rich, "c_custkey", "v", {"n_nationkey": F.col("nation")}, 0.0).select("n_nationkey", r("v", 2).alias("v"))
 
 
-@query("""select true as self_contained, false as other_contained, true as equal""")
+CLICKS = "(select user_id, count(*) as v from events where event_type = 'click' group by 1)"
+PURCHASES = "(select user_id, count(*) - 13 as v from events where event_type = 'purchase' group by 1)"
+
+
+def _within(inner: str, outer: str) -> str:
+    return f"not exists (select * from {inner} x where not exists (select * from {outer} y where y.user_id is not distinct from x.user_id and y.v = x.v))"
+
+
+@query(f"""select {_within(CLICKS, CLICKS)} as self_contained, {_within(CLICKS, PURCHASES)} as other_contained,
+    not exists (select user_id from (select * from {CLICKS} union all select user_id, -v from {CLICKS}) group by user_id having sum(v) <> 0) as equal""")
 def map_containment(spark, sf):
     left, right = _two_maps(spark, sf)
     same = K.right_contains_left(left, left, ["user_id"], "v").withColumnRenamed("contained", "self_contained")
@@ -103,6 +112,19 @@ def map_containment(spark, sf):
     return same.join(F.broadcast(other)).join(F.broadcast(K.sparse_equiv(left, left, ["user_id"], "v")))
 
 
+def _flags(where: str) -> str:
+    return f"(select l_orderkey as k, coalesce(nullif(l_returnflag, 'R'), '') as flag, count(*) - 1 as v from lineitem where {where} group by 1, 2)"
+
+
+@query(f"""select k as l_orderkey, bool_and(a.v is null or a.v is not distinct from b.v) as contained, bool_and(coalesce(a.v, 0) = coalesce(b.v, 0)) as equal
+    from {_flags("l_quantity > 5")} a full join {_flags("l_discount > 0.01")} b using (k, flag) group by 1""")
+def map_comparison(spark, sf):
+    """For each order two maps from flags, one of them null, to numbers of lines, some of them 0."""
+    lines = table(spark, sf, "lineitem").withColumn("flag", F.nullif("l_returnflag", F.lit("R")))
+    left, right = (lines.where(w).groupBy("l_orderkey", "flag").agg((F.count("*") - 1).alias("v")) for w in ("l_quantity > 5", "l_discount > 0.01"))
+    return K.compared_maps(left, right, ["l_orderkey"], ["flag"], "v")
+
+
 @query("""select c_mktsegment, array_to_string(list_sort(list(distinct c_nationkey)), ',') as keys from customer group by 1""")
 def invert(spark, sf):
     return K.invert(table(spark, sf, "customer"), "c_nationkey", "c_mktsegment").select("c_mktsegment", F.array_join("keys", ",").alias("keys"))

@@ -22,11 +22,12 @@ PACKAGE = Path(__file__).resolve().parent
 
 def ship(spark: SparkSession) -> None:
     """Give this package to the Python workers, once a Spark context, so that
-    functions sent to them can be unpickled wherever they run; and bound batches
-    where nobody has set them."""
+    functions sent to them can be unpickled wherever they run; and bound batches:
+    each of ``BATCHES`` that nobody has set is set for the whole session."""
     context = spark.sparkContext
-    if not set(BATCHES) & set(spark.conf.getAll):
-        for key, value in BATCHES.items():
+    known = spark.conf.getAll
+    for key, value in BATCHES.items():
+        if key not in known:
             spark.conf.set(key, value)
     if getattr(context, "_mergeloom_shipped", False):
         return

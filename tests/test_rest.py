@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from mergeloom.functions import algebra, approximate, hashing, intervals, vectors
 from mergeloom.operators import aggregators as A
 from mergeloom.operators import fold, ordered, scan
+from mergeloom.operators import keyed as K
 from mergeloom.operators.preparer import prepare
 from mergeloom.operators.sketches import bloom, cms, hll, minhash, qtree
 from mergeloom.plans import spec
@@ -152,3 +153,22 @@ def test_estimates_by_broadcast_and_by_join_agree(spark, monkeypatch):
     monkeypatch.setattr(cms, "MOST_CELLS", 10)
     assert results() == small
     assert cms.top_n(df.limit(0), "x", 3, 40, 7).count() == 0 and cms.top_pct(df.limit(0), "x", 3, 40, 0.1).count() == 0
+
+
+def test_maps_compared_by_group(spark):
+    """Against plain dictionaries: null groups, keys and values, zeros, a side
+    without the group, no rows at all."""
+    schema = "g string, k string, v long"
+    left = [("a", "x", 1), ("a", None, 2), ("b", "x", 1), ("b", "y", 0), (None, "x", 5), ("c", "x", None), ("e", "x", 0), ("f", "x", 1)]
+    right = [("a", "x", 1), ("a", None, 2), ("a", "z", 3), ("b", "x", 1), (None, "x", 5), ("c", "x", None), ("d", "x", 4), ("f", "x", 2)]
+    groups = lambda rows: {g: {k: v for h, k, v in rows if h == g} for g, _, _ in rows}
+    a, b = groups(left), groups(right)
+    want = {}
+    for g in {*a, *b}:
+        x, y = a.get(g, {}), b.get(g, {})
+        want[g] = (all(k in y and y[k] == v for k, v in x.items()), all((x.get(k) or 0) == (y.get(k) or 0) for k in {*x, *y}))
+    table = lambda rows: spark.createDataFrame(rows, schema).repartition(3)
+    got = K.compared_maps(table(left), table(right), ["g"], ["k"], "v")
+    assert {r.g: (r.contained, r.equal) for r in got.collect()} == want
+    assert set(want.values()) == {(True, True), (True, False), (False, True), (False, False)}
+    assert K.compared_maps(table([]), table([]), ["g"], ["k"], "v").collect() == []
