@@ -17,7 +17,7 @@ Only distinct fingerprints get keys. Components then form in two passes.
 First every bucket links its members to its first, last and preceding member
 (rows in proportion to the bucket), each link verified. After that only
 buckets which still hold several components are joined, and only between
-members of different components, again verified. So no link that joins two
+members of different components, again verified; large ones in blocks. So no link that joins two
 components is lost, and groups of near copies are not expanded into pairs.
 
 Null text counts as empty; a text without words has fingerprint zero and
@@ -154,14 +154,38 @@ def link(prints: DataFrame, most: int = MOST_BITS) -> DataFrame:
     first = components(stars, "fp", "to")
     named = shared.select("key", "fp").join(first, F.col("fp") == F.col("id"), "left").select("key", "fp", F.coalesce("component", "fp").alias("c"))
     by_key = Window.partitionBy("key")
-    mixed = named.select("*", F.min("c").over(by_key).alias("c0"), F.max("c").over(by_key).alias("c1")).where("c0 != c1").select("key", "fp", "c")
-    pairs = mixed.alias("x").join(mixed.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.c") < F.col("y.c")))
+    mixed = named.select("*", F.min("c").over(by_key).alias("c0"), F.max("c").over(by_key).alias("c1"), F.count("*").over(by_key).alias("n"))
+    mixed = mixed.where("c0 != c1").select("key", "fp", "c", "n")
+    small = mixed.where(F.col("n") <= BLOCK_MEMBERS)
+    pairs = small.alias("x").join(small.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.c") < F.col("y.c")))
     pairs = pairs.where(_close("x.fp", "y.fp", most)).select(F.col("x.c").alias("a"), F.col("y.c").alias("b"))
+    pairs = pairs.union(_close_in_blocks(mixed.where(F.col("n") > BLOCK_MEMBERS), most))
     second = components(pairs, "a", "b").withColumnsRenamed({"id": "c", "component": "root"})
     out = prints.select("fp").join(first, F.col("fp") == F.col("id"), "left").select("fp", F.coalesce("component", "fp").alias("c"))
     return out.join(second, "c", "left").select("fp", F.coalesce("root", "c").alias("component"))
 
 
+def _close_in_blocks(buckets: DataFrame, most: int) -> DataFrame:
+    """(a, b): components of a bucket (key, fp, c, its number n of rows) that some
+    pair of members links. Pairs of slices of ``BLOCK_MEMBERS`` or so are blocks,
+    so that a bucket of any size is the work of many tasks and no task's memory."""
+    k = F.ceil(F.col("n") / BLOCK_MEMBERS).cast("int")
+    dealt = buckets.withColumn("k", k).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("k")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "fp", "c")
+
+    def linked(block: pa.Table) -> pa.Table:
+        own, fp, c = (block[x].to_numpy() for x in ("own", "fp", "c"))
+        near = np.not_equal.outer(c, c) & (np.bitwise_count(np.bitwise_xor.outer(fp.view(np.uint64), fp.view(np.uint64))) <= most)
+        if block["i"][0] != block["j"][0]:
+            near &= np.not_equal.outer(own, own)
+        x, y = np.nonzero(np.triu(near))
+        found = np.unique(np.stack([np.minimum(c[x], c[y]), np.maximum(c[x], c[y])], 1), axis=0)
+        return pa.table({"a": found[:, 0], "b": found[:, 1]})
+
+    return dealt.groupBy("key", "i", "j").applyInArrow(linked, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, width: int = 4, most: int = MOST_BITS) -> DataFrame:
     """(doc_id, fp, component_id): component_id is the smallest doc_id
     reachable by links of at most ``most`` differing bits."""

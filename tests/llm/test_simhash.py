@@ -96,6 +96,25 @@ def test_chains_and_dense_groups(spark):
     assert {r.fp: r.component for r in got.collect()} == want
 
 
+def test_large_buckets_in_blocks(spark, monkeypatch):
+    """The same components however few members a block may hold."""
+    rng = random.Random(12)
+    prints = set()
+    for _ in range(6):
+        centre = rng.getrandbits(63)
+        prints |= {centre ^ sum(1 << b for b in rng.sample(range(63), rng.choice([3, 4, 5, 6]))) for _ in range(90)}
+    prints = sorted(prints)
+    u = np.array(prints, np.int64).view(np.uint64)
+    links = [(i, j) for i in range(len(u)) for j in np.nonzero(np.bitwise_count(u[:i] ^ u[i]) <= 4)[0].tolist()]
+    want = {prints[i]: prints[g] for i, g in enumerate(grouped(len(prints), links))}
+    table = spark.createDataFrame([(p,) for p in prints], "fp long")
+    for most in (1, 5, 512):
+        monkeypatch.setattr(simhash, "BLOCK_MEMBERS", most)
+        assert {r.fp: r.component for r in simhash.link(table).collect()} == want
+    found = simhash._close_in_blocks(spark.createDataFrame([(1, p, p, len(prints)) for p in prints], "key long, fp long, c long, n long"), 4)
+    assert {tuple(sorted(r)) for r in found.collect()} == {tuple(sorted((prints[i], prints[j]))) for i, j in links}
+
+
 def test_components_of_random_graphs(spark):
     rng = random.Random(5)
     for n, m in ((40, 30), (300, 280), (50, 0)):
