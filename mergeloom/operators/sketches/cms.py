@@ -163,7 +163,7 @@ def top_n(df: DataFrame, x: str, depth: int, width: int, n: int, by: Sequence[st
     Any n items of a scope bound the least estimate that can be among them. The
     native sketch of frequent items, a bounded number of candidates a scope in
     each task, names good ones; then every row is estimated where it lies, and only
-    items from the bound on shuffle. The cells of all scopes are broadcast for
+    items from the bound on shuffle (all distinct ones of a scope without a bound). The cells of all scopes are broadcast for
     that while they are at most ``MOST_CELLS``; with more scopes than that each
     scope's distinct items are estimated."""
     cells = sketch(df, x, depth, width, by, seed=seed, family=family)
@@ -180,7 +180,8 @@ def top_n(df: DataFrame, x: str, depth: int, width: int, n: int, by: Sequence[st
         some = estimated(some.select(*by, F.explode("t.item").alias(x)), cells, x, depth, width, seed, family, by)
         kth = (some.groupBy(*[F.col(c).alias(k) for c, k in zip(by, keys, strict=True)]) if by else some.groupBy()).agg(F.when(F.count("*") >= n, F.min("estimate")).otherwise(F.lit(None)).alias("_bound"))
         rows = estimated(known, cells, x, depth, width, seed, family, by)
-        rows = rows.join(F.broadcast(kth), null_safe(by, keys)) if by else rows.crossJoin(F.broadcast(kth))  # a row a scope
+        # A row a scope; none where no item stands out and the native sketch names none.
+        rows = rows.join(F.broadcast(kth), null_safe(by, keys), "left") if by else rows.crossJoin(F.broadcast(kth))
         estimates = rows.where(F.col("_bound").isNull() | (F.col("estimate") >= F.col("_bound"))).select(*by, x, "estimate").distinct()
     if not by:
         return estimates.orderBy(*order).limit(n)

@@ -54,6 +54,16 @@ def test_cms_bounds(spark):
     assert cms.frequency(cms.sketch(df, "x", depth, width), items(spark, [10**8]), "x", depth, width).first().estimate <= 30
 
 
+def test_top_n_of_scopes_where_no_item_stands_out(spark):
+    """More items than the native sketch tracks, all about as often: it names none."""
+    df = spark.range(24_000).select(F.when(F.col("id") % 2 == 1, F.lit("odd")).otherwise(F.lit("even")).alias("g"), (F.col("id") % 6000).alias("x"))
+    cells = cms.sketch(df, "x", 3, 500, ["g"])
+    true = {(r.g, r.x): r.estimate for r in cms.frequency(cells, df, "x", 3, 500, ["g"]).collect()}
+    want = {(g, x) for s in ("odd", "even") for (g, x), n in sorted((p for p in true.items() if p[0][0] == s), key=lambda p: (-p[1], p[0][1]))[:3]}
+    got = cms.top_n(df, "x", 3, 500, 3, ["g"]).collect()
+    assert len(got) == 6 and {(r.g, r.x) for r in got} == want and all(r.estimate == true[r.g, r.x] for r in got)
+
+
 def test_decaying_cms_merge(spark):
     rows = spark.createDataFrame([("a", 0.0), ("a", 10.0), ("b", 5.0)], "x string, t double")
     whole, at = cms.decaying(rows, "x", "t", 10.0, 4, 50)
