@@ -61,7 +61,8 @@ def adjoined_unit(spark, sf):
 
 @query("""select l_returnflag, ((sum(l_orderkey::hugeint * 10000000000000) % 18446744073709551616 + 27670116110564327424) % 18446744073709551616 - 9223372036854775808)::bigint as wrapped from lineitem group by 1""")
 def wrapping_sum(spark, sf):
-    agg = A.wrapping_sum(F.col("l_orderkey") * 10000000000000)
+    # A row's own product can be beyond 64 bits.
+    agg = A.wrapping_sum(F.col("l_orderkey").cast("decimal(20,0)") * F.lit(10000000000000).cast("decimal(14,0)"))
     return spec.aggregate(table(spark, sf, "lineitem"), {"wrapped": agg}, ["l_returnflag"])
 
 
