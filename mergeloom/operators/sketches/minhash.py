@@ -3,12 +3,21 @@
 from __future__ import annotations
 
 import itertools
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DataType, IntegerType, LongType, StructField, StructType
 
 from mergeloom.functions import hashing
+from mergeloom.session import ship
+from mergeloom.sources import tables
+
+#: Sets that are compared with each other at once; a larger bucket is dealt out.
+CHUNK = 2000
 
 
 def hashes_for(bytes_: int, hash_bytes: int = 4) -> int:
@@ -40,9 +49,9 @@ def signatures(df: DataFrame, x: str, hashes: int, by: Sequence[str]) -> DataFra
     distinct elements. Four functions come from one digest."""
     items = df.where(F.col(x).isNotNull()).select(*by, x).distinct()
     quads = items.withColumn("_q", F.explode(F.sequence(F.lit(0), F.lit((hashes - 1) // 4)))).withColumn("_d", hashing.digest(F.col("_q"), x))
-    each = quads.select(*by, F.posexplode(F.array(*[hashing.hex32(F.col("_d"), k) for k in range(4)])).alias("_k", "h"), (F.col("_q") * 4).alias("_base"))
-    each = each.select(*by, (F.col("_base") + F.col("_k")).alias("i"), "h").where(F.col("i") < hashes)
-    return each.groupBy(*by, "i").agg(F.min("h").alias("h"))
+    least = quads.groupBy(*by, "_q").agg(*[F.min(hashing.hex32(F.col("_d"), k)).alias(f"_h{k}") for k in range(4)])
+    each = least.select(*by, "_q", F.posexplode(F.array(*[F.col(f"_h{k}") for k in range(4)])).alias("_k", "h"))
+    return each.select(*by, (F.col("_q") * 4 + F.col("_k")).alias("i"), "h").where(F.col("i") < hashes)
 
 
 def merge(sketch: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -80,20 +89,150 @@ def candidates(sketch: DataFrame, hashes: int, n_bands: int, key: str) -> DataFr
     return pairs.select("a", "b").distinct()
 
 
+def _blocks(hashes: int, n_bands: int, least: float) -> tuple[int, list[int]]:
+    """How many equal registers a link has at least, and where the blocks of
+    registers begin, with the end, of which it shares one whole.
+
+    With fewer unequal registers than bands a link shares a band whatever they
+    are, and so one of any blocks that are one more than its unequal registers:
+    fewer and longer ones than the bands, with the same links."""
+    enough = next((k for k in range(hashes + 1) if k / float(hashes) >= least), hashes + 1)
+    n = max(1, hashes - enough + 1)
+    if n <= n_bands:
+        return enough, [-(-k * hashes // n) for k in range(n + 1)]
+    return enough, [k * (hashes // n_bands) for k in range(n_bands + 1)]
+
+
+def _together(batches: Iterator[pa.RecordBatch], hashes: int) -> Iterator[tuple]:
+    """(block, keys, registers, left, right) of each group of rows that follow one
+    another: the sets to compare, and which of them stand on which side."""
+
+    def whole(parts: list[pa.RecordBatch]) -> tuple:
+        t = pa.Table.from_batches(parts).combine_chunks()
+        block, low, high, own = (t.column(c).to_numpy() for c in ("_block", "_low", "_high", "_own"))
+        h = t.column("_h").combine_chunks().flatten().to_numpy().reshape(-1, hashes)
+        return int(block[0]), t.column("_key").combine_chunks(), h, np.nonzero(own == low)[0], np.nonzero(own == high)[0], low[0] == high[0]
+
+    last, held = None, []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        ids = np.stack([b.column(c).to_numpy().astype(np.int64) for c in ("_block", "_bucket", "_low", "_high")], 1)
+        starts = np.append(0, np.nonzero((ids[1:] != ids[:-1]).any(axis=1))[0] + 1)
+        for start, end in zip(starts.tolist(), [*starts[1:].tolist(), b.num_rows], strict=True):
+            own = tuple(ids[start].tolist())
+            if held and own != last:
+                if sum(x.num_rows for x in held) > 1:
+                    yield whole(held)
+                held = []
+            last = own
+            held.append(b.slice(start, end - start))
+    if held and sum(x.num_rows for x in held) > 1:
+        yield whole(held)
+
+
+def _linked(left: np.ndarray, right: np.ndarray, block: int, starts: list[int], enough: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many registers are equal, and which pairs are links whose first block
+    of equal registers is ``block``."""
+    if len(left) * len(right) <= 256:
+        equal = left[:, None, :] == right[None, :, :]
+        n = equal.sum(axis=2)
+        shared = np.logical_and.reduceat(equal[:, :, : starts[-1]], starts[:-1], axis=2)
+        return n, (n >= enough) & shared[:, :, block] & ~shared[:, :, :block].any(axis=2)
+    a, b = np.ascontiguousarray(left.T), np.ascontiguousarray(right.T)
+    n, before, here = np.zeros((len(left), len(right)), np.uint16), np.zeros((len(left), len(right)), bool), None
+    ends = {s: k for k, s in enumerate(starts[1:])}
+    run = None
+    for i in range(len(a)):
+        equal = a[i][:, None] == b[i][None, :]
+        n += equal
+        if i < starts[block + 1]:
+            run = equal if run is None else np.logical_and(run, equal, out=run)
+            if i + 1 in ends:
+                if ends[i + 1] == block:
+                    here = run
+                else:
+                    before |= run
+                run = None
+    return n, (n >= enough) & here & ~before
+
+
+def _compared(firsts: DataFrame, hashes: int, n_bands: int, key: str, least: float, schema: StructType, found: Callable[[pa.Array, np.ndarray, np.ndarray, np.ndarray], list]) -> DataFrame:
+    """What ``found`` says of (keys, left, right, equal registers) of the links,
+    each of which comes once. Sets meet in buckets of equal blocks; a bucket of
+    more than ``CHUNK`` sets is dealt out, and each two of its parts are compared
+    by themselves."""
+    ship(firsts.sparkSession)
+    enough, starts = _blocks(hashes, n_bands, least)
+    blocks = [F.xxhash64(F.slice("_h", s + 1, e - s)) for s, e in itertools.pairwise(starts)]
+    rows = firsts.select(F.col(key).alias("_key"), "_h", F.posexplode(F.array(*blocks)).alias("_block", "_bucket"))
+    large = rows.groupBy("_block", "_bucket").agg(F.count("*").alias("_n")).where(F.col("_n") > CHUNK).withColumn("_n", F.ceil(F.col("_n") / CHUNK))
+    rows = rows.join(F.broadcast(large), ["_block", "_bucket"], "left").withColumn("_n", F.coalesce("_n", F.lit(1)))  # a row in CHUNK at most
+    rows = rows.withColumn("_own", F.pmod(F.xxhash64("_key"), F.col("_n"))).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
+    rows = rows.withColumns({"_low": F.least("_own", "_other"), "_high": F.greatest("_own", "_other")})
+    place = ["_block", "_bucket", "_low", "_high"]
+    rows = rows.repartition(*place).sortWithinPartitions(*place).select(*place, "_own", "_key", "_h")
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, keys, h, left, right, same in _together(batches, hashes):
+            for k in range(0, len(left), 256):
+                some = left[k : k + 256]
+                n, links = _linked(h[some], h[right], block, starts, enough)
+                if same:  # each two once
+                    links &= some[:, None] < right[None, :]
+                if links.any():
+                    x, y = np.nonzero(links)
+                    columns = found(keys, some[x], right[y], n[x, y])
+                    yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+
+    return rows.mapInArrow(run, schema)
+
+
+def classes(sketch: DataFrame, key: str, cut: Callable[[DataFrame], DataFrame] = tables.cut) -> tuple[DataFrame, DataFrame]:
+    """(members, firsts): sets of equal signatures are a class, named by its
+    smallest; ``members`` is (key, class), ``firsts`` the smallest with their
+    registers (key, _h). Signatures are written once (``cut``)."""
+    text = F.array_join(F.transform("_r", lambda s: F.concat_ws(":", s["i"].cast("string"), s["h"].cast("string"))), ",")
+    # 32 bits a register, as a signed number.
+    packed = F.transform("_r", lambda s: (s["h"] - 2**31).cast("int"))
+    signed = sketch.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("i", "h"))).alias("_r"))
+    signed = cut(signed.select(key, F.md5(text).alias("_s"), packed.alias("_h")))
+    named = signed.groupBy("_s").agg(F.min(key).alias("class"))
+    members = signed.select(key, "_s").join(named, "_s").select(key, "class")
+    return members, signed.join(named.select(F.col("class").alias(key)), key, "left_semi").select(key, "_h")
+
+
+def _key_type(df: DataFrame, key: str) -> DataType:
+    return df.schema[key].dataType
+
+
 def similar_classes(sketch: DataFrame, hashes: int, n_bands: int, key: str, least: float) -> tuple[DataFrame, DataFrame]:
-    """(members, links): sets of equal signatures are a class, named by its
-    smallest; ``members`` is (key, class), ``links`` (a, b, similarity) has the
-    pairs of classes with at least that similarity, a < b. Copies meet in no
-    bucket, and nothing grows with the square of a class."""
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "h"))), lambda s: F.concat_ws(":", s["i"].cast("string"), s["h"].cast("string"))), ",")
-    signed = sketch.groupBy(key).agg(F.md5(text).alias("_s"))
-    members = signed.join(signed.groupBy("_s").agg(F.min(key).alias("class")), "_s").select(key, "class")
-    firsts = sketch.join(members.where(F.col(key) == F.col("class")).select(key), key, "left_semi")
-    pairs = candidates(firsts, hashes, n_bands, key)
-    left = pairs.join(firsts.select(F.col(key).alias("a"), "i", F.col("h").alias("_a")), "a")
-    both = left.join(firsts.select(F.col(key).alias("b"), "i", F.col("h").alias("_b")), ["b", "i"])
-    links = both.groupBy("a", "b").agg((F.count_if(F.col("_a") == F.col("_b")) / F.lit(float(hashes))).alias("similarity"))
-    return members, links.where(F.col("similarity") >= least)
+    """(members, links): ``members`` of classes is (key, class), ``links`` (a, b,
+    similarity) has the pairs of classes with at least that similarity that share
+    a band, a < b. Copies meet in no bucket, and nothing grows with the square of
+    a class. Every set has all registers, as ``signatures`` gives them."""
+    members, firsts = classes(sketch, key)
+    kind = _key_type(firsts, key)
+    schema = StructType([StructField("_a", kind), StructField("_b", kind), StructField("_n", IntegerType())])
+    links = _compared(firsts, hashes, n_bands, key, least, schema, lambda keys, x, y, n: [keys.take(pa.array(x)), keys.take(pa.array(y)), pa.array(n)])
+    return members, links.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"), (F.col("_n") / F.lit(float(hashes))).alias("similarity"))
+
+
+def linked_classes(sketch: DataFrame, hashes: int, n_bands: int, key: str, least: float) -> tuple[DataFrame, DataFrame]:
+    """(members, numbers): the same with the number of links of each class that
+    has one, (class, links), added up where sets are compared: no pair is
+    written."""
+    members, firsts = classes(sketch, key)
+    schema = StructType([StructField("class", _key_type(firsts, key)), StructField("links", LongType())])
+
+    def counted(keys: pa.Array, x: np.ndarray, y: np.ndarray, n: np.ndarray) -> list:
+        links = np.bincount(x, minlength=len(keys)) + np.bincount(y, minlength=len(keys))
+        own = np.nonzero(links)[0]
+        return [keys.take(pa.array(own)), pa.array(links[own])]
+
+    numbers = _compared(firsts, hashes, n_bands, key, least, schema, counted)
+    return members, numbers.groupBy("class").agg(F.sum("links").alias("links"))
 
 
 def similar_pairs(sketch: DataFrame, hashes: int, n_bands: int, key: str, least: float) -> DataFrame:

@@ -371,8 +371,7 @@ def minhash_lsh(spark, sf):
 def minhash_classes(spark, sf):
     """Users by the days that they came, in classes, with links between these."""
     rows = table(spark, sf, "events").select("user_id", F.to_date("ts").cast("string").alias("day"))
-    members, links = minhash.similar_classes(minhash.signatures(rows, "day", HASHES_MH, ["user_id"]), HASHES_MH, 16, "user_id", 0.8)
-    ends = links.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count("*").alias("links"))
+    members, ends = minhash.linked_classes(minhash.signatures(rows, "day", HASHES_MH, ["user_id"]), HASHES_MH, 16, "user_id", 0.8)
     sizes = members.groupBy("class").agg(F.count("*").alias("members"))
     return sizes.join(ends, "class", "left").select("class", "members", F.coalesce("links", F.lit(0)).alias("links"))
 

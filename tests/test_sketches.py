@@ -132,6 +132,36 @@ def test_similar_pairs_and_copies(spark):
     assert set(got) == {p for p, s in true.items() if s > 0.8} and all(abs(got[p] - true[p]) < 0.15 for p in got)
 
 
+@pytest.mark.parametrize("least, bands", [(0.8, 16), (0.6, 8), (1.0, 16)])
+def test_links_of_classes_compared_in_parts(spark, monkeypatch, least, bands):
+    """Buckets of more sets than are compared at once: the links are those of all
+    pairs, each once, and their numbers are added up without them."""
+    monkeypatch.setattr(minhash, "CHUNK", 20)
+    rng = random.Random(3)
+    sets = {f"k{i}": frozenset(rng.sample(range(30), rng.choice([25, 26, 27]))) for i in range(120)} | {"z1": frozenset(range(100, 110)), "z2": frozenset(range(100, 110))}
+    df = spark.createDataFrame([(k, x) for k, xs in sets.items() for x in xs], "k string, x int")
+    sketch = minhash.signatures(df, "x", 64, ["k"]).cache()
+    own = {}
+    for r in sketch.collect():
+        own.setdefault(r.k, [0] * 64)[r.i] = r.h
+    first = {}
+    for k in sorted(own):
+        first.setdefault(tuple(own[k]), k)
+    rows = 64 // bands
+    shares = lambda a, b: any(own[a][i : i + rows] == own[b][i : i + rows] for i in range(0, rows * bands, rows))
+    equal = lambda a, b: sum(x == y for x, y in zip(own[a], own[b], strict=True)) / 64
+    names = sorted(first.values())
+    want = {(a, b): equal(a, b) for i, a in enumerate(names) for b in names[i + 1 :] if equal(a, b) >= least and shares(a, b)}
+    members, links = minhash.similar_classes(sketch, 64, bands, "k", least)
+    got = [tuple(r) for r in links.collect()]
+    assert len(got) == len(want) and {(a, b): s for a, b, s in got} == want
+    assert {r.k: r["class"] for r in members.collect()} == {k: first[tuple(v)] for k, v in own.items()}
+    numbers = minhash.linked_classes(sketch, 64, bands, "k", least)[1]
+    assert {r["class"]: r.links for r in numbers.collect()} == Counter(k for p in want for k in p)
+    assert least == 1 or len(want) > 100
+    sketch.unpersist()
+
+
 def test_space_saver_bounds(spark):
     rows = [(str(i),) for i in range(1, 101) for _ in range(i * i // 10)]
     random.Random(4).shuffle(rows)
