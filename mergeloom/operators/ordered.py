@@ -12,17 +12,23 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
+from itertools import groupby
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
+from mergeloom.plans.spec import null_safe
 from mergeloom.session import ship
+from mergeloom.sources import tables
 
 Row = tuple
+#: Rows of a group whose gradient steps are composed by themselves.
+STRETCH = 50_000
 
 
 def _arrow(schema: str) -> pa.Schema:
@@ -160,6 +166,75 @@ def sgd(df: DataFrame, by: Sequence[str], order: Sequence[str], features: Sequen
     return fold_groups(df, by, order, [*features, target], schema, lambda: (0, [float(w) for w in initial]), step, lambda s: (s[0], s[1]))
 
 
+def linear_sgd(df: DataFrame, by: Sequence[str], order: Sequence[str], features: Sequence[str], target: str, initial: Sequence[float], step_size: Callable[[int, list[float]], float], key_schema: str = "", cut: Callable[[DataFrame], DataFrame] = tables.cut) -> DataFrame:
+    """(by, count, weights): ``sgd`` with ``linear_gradient`` and steps whose size
+    depends on their count alone, in as many tasks as there are stretches.
+
+    Such a step is an affine function of the weights, so stretches of a group's
+    rows are composed by themselves, up to rounding, and only one matrix of each
+    goes on to the group's fold. Rows are ranged and written once (``cut``) for
+    their places in the group."""
+    ship(df.sparkSession)
+    keys, k, xs, d = [f"_k{i}" for i in range(len(by))], len(by), [f"_x{i}" for i in range(len(features))], len(features) + 1
+    places = [f"_o{i}" for i in range(len(order))]
+    named = [F.col(c).alias(n) for c, n in zip([*by, *order, *features, target], [*keys, *places, *xs, "_y"], strict=True)]
+    rows = df.select(*named).repartitionByRange(*keys, *places).sortWithinPartitions(*keys, *places)
+    rows = cut(rows.select(*keys, *[F.col(c).cast("double").alias(c) for c in (*xs, "_y")], F.monotonically_increasing_id().alias("_at")).withColumn("_part", F.shiftright("_at", 33)))
+    own = [f"_g{i}" for i in range(k)]
+    runs = rows.groupBy(*[F.col(c).alias(g) for c, g in zip(keys, own, strict=True)], F.col("_part").alias("_in")).agg(F.count("*").alias("_n"), F.min("_at").alias("_from"))
+    before = Window.partitionBy(*own).orderBy("_in").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    runs = runs.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    rows = rows.join(runs, null_safe([*keys, "_part"], [*own, "_in"])).select(*keys, (F.col("_before") + F.col("_at") - F.col("_from")).alias("_n"), *xs, "_y")
+    rows = rows.withColumn("_stretch", F.floor(F.col("_n") / STRETCH)).select(*keys, "_stretch", "_n", *xs, "_y")
+    rows = rows.repartition(*keys, "_stretch").sortWithinPartitions(*keys, "_stretch", "_n")
+    out = StructType([*(rows.schema[c] for c in (*keys, "_stretch")), StructField("_rows", LongType()), StructField("_m", ArrayType(DoubleType()))])
+    arrow = to_arrow_schema(out)
+
+    def matrix(n: list[int], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """The steps as one matrix, which acts on the weights and a 1."""
+        size = np.array([step_size(c, []) for c in n])[:, None]
+        point = np.hstack([x, np.ones((len(x), 1))])
+        steps = np.zeros((len(x), d + 1, d + 1))
+        steps[:, :d, :d] = np.eye(d) - (size * point)[:, :, None] * point[:, None, :]
+        steps[:, :d, d], steps[:, d, d] = size * point * y[:, None], 1.0
+        while len(steps) > 1:
+            both = np.matmul(steps[1::2], steps[: len(steps) // 2 * 2 : 2])
+            steps = np.concatenate([both, steps[-1:]]) if len(steps) % 2 else both
+        return steps[0]
+
+    def composed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        last, key, count, whole = None, (), 0, None
+        for b in batches:
+            if any(b.column(i).null_count for i in range(k + 2, b.num_columns)):
+                raise ValueError("a feature or a target is null")
+            x, y, n = np.stack([b.column(i).to_numpy() for i in range(k + 2, k + 2 + d - 1)], 1) if d > 1 else np.zeros((b.num_rows, 0)), b.column(k + 1 + d).to_numpy(), b.column(k + 1).to_pylist()
+            start = 0
+            for new, run in groupby(zip(*[b.column(i).to_pylist() for i in range(k + 1)], strict=True), _group):
+                first = next(run)
+                end = start + 1 + sum(1 for _ in run)
+                part = matrix(n[start:end], x[start:end], y[start:end])
+                if whole is not None and new == last:
+                    count, whole = count + end - start, part @ whole
+                else:
+                    if whole is not None:
+                        yield (*key, count, whole.ravel().tolist())
+                    last, key, count, whole = new, first, end - start, part
+                start = end
+        if whole is not None:
+            yield (*key, count, whole.ravel().tolist())
+
+    def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in composed(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, arrow, strict=True)], schema=arrow)
+
+    def step(state: tuple, row: Row) -> tuple:
+        count, weights = state
+        return count + row[0], (np.array(row[1]).reshape(d + 1, d + 1) @ [*weights, 1.0])[:d].tolist()
+
+    schema = ", ".join(x for x in (key_schema, "count long, weights array<double>") if x)
+    return fold_groups(rows.mapInArrow(written, out), keys, ["_stretch"], ["_rows", "_m"], schema, lambda: (0, [float(w) for w in initial]), step, lambda s: (s[0], s[1]))
+
+
 def sgd_in_parts(df: DataFrame, by: Sequence[str], features: Sequence[str], target: str, initial: Sequence[float], step_size: Callable[[int, list[float]], float], gradient: Callable = linear_gradient) -> DataFrame:
     """(by, count, weights): each task makes its own pass from the initial
     weights over the rows that it has, and the models are averaged by their counts

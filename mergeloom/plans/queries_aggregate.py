@@ -492,6 +492,6 @@ def right_folded_sums(spark, sf):
 def sgd_linear(spark, sf):
     """One model a return flag, price from quantity and discount (scaled)."""
     rows = table(spark, sf, "lineitem").select("l_returnflag", "l_orderkey", "l_linenumber", "l_partkey", (F.col("l_quantity") / 50).alias("x1"), (F.col("l_discount") * 10).alias("x2"), (F.col("l_extendedprice") / 1e5).alias("y"))
-    out = ordered.sgd(rows, ["l_returnflag"], ["l_orderkey", "l_linenumber", "l_partkey", "y"], ["x1", "x2"], "y", [0.0, 0.0, 0.0], ordered.count_adaptive_step(0.1, 0.5), key_schema="l_returnflag string")
+    out = ordered.linear_sgd(rows, ["l_returnflag"], ["l_orderkey", "l_linenumber", "l_partkey", "y"], ["x1", "x2"], "y", [0.0, 0.0, 0.0], ordered.count_adaptive_step(0.1, 0.5), key_schema="l_returnflag string")
     w = F.col("weights")
     return out.select("l_returnflag", F.col("count").alias("steps"), r(w[0]).alias("quantity"), r(w[1]).alias("discount"), r(w[2]).alias("intercept"))
