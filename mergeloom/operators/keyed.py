@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mergeloom.plans.spec import Agg, null_safe
@@ -87,17 +87,30 @@ def sparse_equiv(left: DataFrame, right: DataFrame, key: Sequence[str], value: s
     return minus(left, right, key, value).limit(1).agg((F.count("*") == 0).alias("equal"))
 
 
+#: Parts of maps that are compared, at least: a task's memory is that of one.
+PARTS = 96
+
+
+def parts(spark: SparkSession) -> int:
+    """As many as shuffles have, or ``PARTS``; a number that is given is not
+    coalesced into fewer parts that grow with the input."""
+    return max(PARTS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def compared_maps(left: DataFrame, right: DataFrame, by: Sequence[str], key: Sequence[str], value: str) -> DataFrame:
     """(by, contained, equal): the same two questions for a map of each group.
     A group on one side only meets an empty map. Both sides are put side by side
     by group and key in one shuffle, so groups of any size have partial answers;
     keys are unique in their map, null groups and keys are like others. For
     ``equal`` a null value is 0."""
-    sides = [m.select(*by, *key, F.lit(n).alias("_side"), F.struct(F.col(value).alias("v")).alias("_entry")) for n, m in enumerate((left, right))]
-    entry = lambda n: F.first(F.when(F.col("_side") == n, F.col("_entry")), ignorenulls=True)
-    both = sides[0].unionByName(sides[1]).groupBy(*by, *key).agg(entry(0).alias("_l"), entry(1).alias("_r"))
-    contained = F.col("_l").isNull() | F.col("_l").eqNullSafe(F.col("_r"))
-    equal = F.coalesce("_l.v", F.lit(0)) == F.coalesce("_r.v", F.lit(0))
+    sides = [m.select(*by, *key, F.lit(n).alias("_side"), F.col(value).alias("_v")) for n, m in enumerate((left, right))]
+    entry = lambda n, c: F.first(F.when(F.col("_side") == n, c), ignorenulls=True)
+    both = sides[0].unionByName(sides[1])
+    both = both.repartition(parts(both.sparkSession), *by, *key).groupBy(*by, *key)
+    # Apart, so that they are held in a hash table and not sorted.
+    both = both.agg(*[entry(n, c).alias(f"{a}{n}") for n in (0, 1) for a, c in (("_in", F.lit(True)), ("_v", F.col("_v")))])
+    contained = F.col("_in0").isNull() | (F.col("_in1").isNotNull() & F.col("_v0").eqNullSafe(F.col("_v1")))
+    equal = F.coalesce("_v0", F.lit(0)) == F.coalesce("_v1", F.lit(0))
     return both.groupBy(*by).agg(F.bool_and(contained).alias("contained"), F.bool_and(equal).alias("equal"))
 
 

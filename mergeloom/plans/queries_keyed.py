@@ -120,7 +120,8 @@ def _flags(where: str) -> str:
     from {_flags("l_quantity > 5")} a full join {_flags("l_discount > 0.01")} b using (k, flag) group by 1""")
 def map_comparison(spark, sf):
     """For each order two maps from flags, one of them null, to numbers of lines, some of them 0."""
-    lines = table(spark, sf, "lineitem").withColumn("flag", F.nullif("l_returnflag", F.lit("R")))
+    lines = table(spark, sf, "lineitem").select("l_orderkey", F.nullif("l_returnflag", F.lit("R")).alias("flag"), "l_quantity", "l_discount")
+    lines = lines.repartition(K.parts(spark), "l_orderkey", "flag")
     left, right = (lines.where(w).groupBy("l_orderkey", "flag").agg((F.count("*") - 1).alias("v")) for w in ("l_quantity > 5", "l_discount > 0.01"))
     return K.compared_maps(left, right, ["l_orderkey"], ["flag"], "v")
 
