@@ -13,11 +13,14 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DataType, IntegerType, LongType, StructField, StructType
 
 from mergeloom.functions import hashing
+from mergeloom.operators.keyed import parts
 from mergeloom.session import ship
 from mergeloom.sources import tables
 
 #: Sets that are compared with each other at once; a larger bucket is dealt out.
 CHUNK = 2000
+#: Members of a class that are a row, and so pairs' square root, when pairs are written out.
+PART = 1000
 
 
 def hashes_for(bytes_: int, hash_bytes: int = 4) -> int:
@@ -171,7 +174,8 @@ def _compared(firsts: DataFrame, hashes: int, n_bands: int, key: str, least: flo
     rows = rows.withColumn("_own", F.pmod(F.xxhash64("_key"), F.col("_n"))).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
     rows = rows.withColumns({"_low": F.least("_own", "_other"), "_high": F.greatest("_own", "_other")})
     place = ["_block", "_bucket", "_low", "_high"]
-    rows = rows.repartition(*place).sortWithinPartitions(*place).select(*place, "_own", "_key", "_h")
+    # Of a given number, since little to read is much to compare.
+    rows = rows.repartition(parts(rows.sparkSession), *place).sortWithinPartitions(*place).select(*place, "_own", "_key", "_h")
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,14 +239,30 @@ def linked_classes(sketch: DataFrame, hashes: int, n_bands: int, key: str, least
     return members, numbers.groupBy("class").agg(F.sum("links").alias("links"))
 
 
+def expanded(members: DataFrame, links: DataFrame, key: str) -> DataFrame:
+    """(a, b, similarity), a < b: ``similar_classes`` with every pair of sets
+    written out, copies at similarity 1. Two parts of classes, of about ``PART``
+    members each, are one row until tasks have them; these are of a given number,
+    so that few and small rows that make many pairs are still spread."""
+    large = members.groupBy("class").agg(F.count("*").alias("_n")).where(F.col("_n") > PART).withColumn("_n", F.ceil(F.col("_n") / PART))
+    dealt = members.join(F.broadcast(large), "class", "left")  # a row in PART at most
+    dealt = dealt.select("class", F.col(key).alias("_key"), F.coalesce(F.pmod(F.xxhash64(key), F.col("_n")), F.lit(0)).alias("_part"))
+    rows = dealt.groupBy("class", "_part").agg(F.collect_list("_key").alias("_keys"))
+    x, y = (rows.select(F.col("class").alias(f"_{k}"), F.col("_part").alias(f"_p{k}"), F.col("_keys").alias(f"_m{k}")) for k in "ab")
+    far = links.select(F.col("a").alias("_a"), F.col("b").alias("_b"), "similarity").join(x, "_a").join(y, "_b").withColumn("_far", F.lit(True))
+    own = x.join(y, (F.col("_a") == F.col("_b")) & (F.col("_pa") <= F.col("_pb"))).withColumns({"similarity": F.lit(1.0), "_far": F.col("_pa") < F.col("_pb")})
+    own = own.where(F.col("_far") | (F.size("_ma") > 1))
+    both = far.unionByName(own).repartition(parts(members.sparkSession), "_a", "_pa", "_b", "_pb")
+    pairs = both.select("_far", "similarity", F.explode("_ma").alias("_x"), "_mb").select("_far", "similarity", "_x", F.explode("_mb").alias("_y"))
+    return pairs.where("_far or _x < _y").select(F.least("_x", "_y").alias("a"), F.greatest("_x", "_y").alias("b"), "similarity")
+
+
 def similar_pairs(sketch: DataFrame, hashes: int, n_bands: int, key: str, least: float) -> DataFrame:
     """(a, b, similarity), a < b: the same with every pair of sets written out,
-    for classes that are known to be small."""
+    as many as the square of a class."""
     members, links = similar_classes(sketch, hashes, n_bands, key, least)
-    x, y = (members.select(F.col(key).alias(f"_m{k}"), F.col("class").alias(k)) for k in "ab")
-    far = links.join(x, "a").join(y, "b").select(F.least("_ma", "_mb").alias("a"), F.greatest("_ma", "_mb").alias("b"), "similarity")
-    equal = x.join(y, F.col("a") == F.col("b")).where("_ma < _mb").select(F.col("_ma").alias("a"), F.col("_mb").alias("b"), F.lit(1.0).alias("similarity"))
-    return far.unionByName(equal) if least <= 1 else far
+    out = expanded(members, links, key)
+    return out if least <= 1 else out.limit(0)
 
 
 # Feature hashing -----------------------------------------------------------

@@ -357,8 +357,8 @@ def minhash_similarity(spark, sf):
 def minhash_lsh(spark, sf):
     """Users with similar sets of days, by banding."""
     rows = table(spark, sf, "events").select("user_id", F.to_date("ts").cast("string").alias("day"))
-    out = minhash.similar_pairs(minhash.signatures(rows, "day", HASHES_MH, ["user_id"]), HASHES_MH, 16, "user_id", 0.9)
-    return out.withColumn("similarity", r("similarity"))
+    members, links = minhash.similar_classes(minhash.signatures(rows, "day", HASHES_MH, ["user_id"]), HASHES_MH, 16, "user_id", 0.9)
+    return minhash.expanded(members, links.withColumn("similarity", r("similarity")), "user_id")
 
 
 @query(f"""with sig as ({signature_sql("user_id as g, strftime(ts, '%Y-%m-%d') as x from events")}),
